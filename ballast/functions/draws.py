@@ -39,12 +39,29 @@ def normal(purpose: str, *keys, seed: int = 42) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often it is mentioned.
+
+    The name is bound inside one expression, so neither a pushed-down filter nor a collapsed
+    projection can copy it.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def choose_by_weight(draw: Column, weights: list[float] | Column) -> Column:
     """Zero-based index whose cumulative weight first exceeds ``draw`` times the total."""
-    arr = weights if isinstance(weights, Column) else F.array(*[F.lit(float(w)) for w in weights])
-    # (running sum, index found so far): one left fold over a short array
-    total = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
+    if not isinstance(weights, Column):
+        total, run, passed = math.fsum(weights), 0.0, F.lit(0)
+        for w in weights[:-1]:
+            run += w
+            passed = passed + F.when(draw * F.lit(total) >= F.lit(run), 1).otherwise(0)
+        return passed.cast("int")
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("i"))
-    step = lambda a, x: F.struct((a["s"] + x).alias("s"),
-                                 F.when(a["s"] + x <= draw * total, a["i"] + 1).otherwise(a["i"]).alias("i"))
-    return F.least(F.aggregate(arr, start, step)["i"], F.size(arr) - 1)
+
+    def index(b: Column) -> Column:
+        step = lambda a, x: F.struct((a["s"] + x).alias("s"),
+                                     F.when(a["s"] + x <= b["goal"], a["i"] + 1).otherwise(a["i"]).alias("i"))
+        return F.least(F.aggregate(b["w"], start, step)["i"], F.size(b["w"]) - 1).cast("int")
+
+    return let(weights, lambda w: let(F.struct(w.alias("w"), (draw * total(w)).alias("goal")), index))

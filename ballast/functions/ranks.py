@@ -44,26 +44,29 @@ def _bucketed(df: DataFrame, first: str, buckets: int) -> DataFrame:
     return Bucketizer(splits=edges, inputCol="_image", outputCol="_bucket").transform(df).drop("_image")
 
 
-def running_total(df: DataFrame, by, order, weight: Column, total: str = "running",
+def running_total(df: DataFrame, by, order, weights: Column | dict[str, Column], total: str = "running",
                   size: str | None = None, buckets: int | None = None) -> DataFrame:
-    """Add the inclusive running sum of ``weight`` within ``by`` under ``order`` (unique columns).
+    """Add the inclusive running sum of each weight within ``by`` under ``order`` (unique columns).
 
-    ``size`` names an extra column with the sum over the whole group.
+    ``weights`` is one column (its sum is named ``total``) or several by name.  ``size`` names an
+    extra column with the first weight's sum over the whole group.
     """
     by = [by] if isinstance(by, str) else list(by)
     order = [order] if isinstance(order, str) else list(order)
+    named = weights if isinstance(weights, dict) else {total: weights}
     buckets = buckets or min(shuffle_width(df), 10_000)
-    cut = _bucketed(df.withColumn("_w", weight), order[0], buckets)
-    keys = [*by, "_bucket"]
+    cut = _bucketed(df.withColumns({f"_w{i}": w for i, w in enumerate(named.values())}), order[0], buckets)
+    keys, slots = [*by, "_bucket"], range(len(named))
     sofar = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = cut.withColumn("_local", F.sum("_w").over(sofar))
-    per_bucket = cut.groupBy(*keys).agg(F.sum("_w").alias("_n"))
+    local = cut.withColumns({f"_w{i}": F.sum(f"_w{i}").over(sofar) for i in slots})
+    per_bucket = cut.groupBy(*keys).agg(*[F.sum(f"_w{i}").alias(f"_n{i}") for i in slots])
     before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        *([F.sum("_n").over(W.partitionBy(*by)).alias(size)] if size else []))
-    return local.join(offsets, keys).withColumn(total, F.col("_local") + F.col("_before")) \
-                .drop("_bucket", "_local", "_before", "_w")
+        *keys, *[F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in slots],
+        *([F.sum("_n0").over(W.partitionBy(*by)).alias(size)] if size else []))
+    return local.join(offsets, keys) \
+                .withColumns({name: F.col(f"_w{i}") + F.col(f"_b{i}") for i, name in enumerate(named)}) \
+                .drop("_bucket", *[f"_w{i}" for i in slots], *[f"_b{i}" for i in slots])
 
 
 def ranked(df: DataFrame, by, order, rank: str = "rank", size: str | None = None,

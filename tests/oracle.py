@@ -99,7 +99,7 @@ def main():
             note = f"FAIL {type(e).__name__}: {str(e)[:1500]}"
         bad += note.startswith(("DIFF", "FAIL"))
         print(f"{name:36s} {time.time() - t:6.1f}s  {note}", flush=True)
-    print("bad:", bad)
+    print("bad:", bad, flush=True)
 
 
 if __name__ == "__main__":
