@@ -141,7 +141,7 @@ def borderline_smote(df: DataFrame, spec: TableSpec, strategy="auto", seed: int
     return append_synthetic(df, _put(made, "_new", spec.features).select(label, *spec.features), plan.keep_real)
 
 
-def svm_margin(df: DataFrame, spec: TableSpec, target, max_iter: int = 50) -> DataFrame:
+def svm_margin(df: DataFrame, spec: TableSpec, target, max_iter: int = 20) -> DataFrame:
     """``df`` with ``margin``: signed distance of each row from a linear one-against-rest border."""
     train = df.withColumn("_x", array_to_vector(vector(spec.features))) \
               .withColumn("_y", F.when(F.col(spec.label) == F.lit(target), 1.0).otherwise(0.0))

@@ -151,7 +151,8 @@ def g7(spark, sf):
 
 @query("g8_svm_smote")
 def g8(spark, sf):
-    return _made(spark, sf, G.svm_smote)
+    out = G.resample_encoded(G.svm_smote)(X.toxic_docs(spark, sf), X.TOXIC)
+    return out.where("is_synthetic").select("toxic", "n_chars", "lang", "source")
 
 
 @query("g9_kmeans_smote")
@@ -159,7 +160,7 @@ def g9(spark, sf):
     t = X.rare_lines(spark, sf).select("line_id", "l_extendedprice", "l_discount", "l_tax", "rare")
     scaled = min_max(t, ["l_extendedprice", "l_discount", "l_tax"]).transform(t)
     spec = X.TableSpec(features=("l_extendedprice", "l_discount", "l_tax"), label="rare", row_id=("line_id",))
-    return G.kmeans_smote(scaled, spec).groupBy("rare", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return G.kmeans_smote(scaled, spec, threshold=0.03).groupBy("rare", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ADA = f"""
