@@ -8,11 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.bounds import join_model
 from ballast.functions.draws import uniform
 from ballast.functions.ranks import ranked
 from ballast.functions.store import written
-from ballast.operators.neighbors import BLOCK, SiteIndex, _matrix, _squared, _type_of, radius_counts
+from ballast.operators.neighbors import BLOCK, SiteIndex, _in_reach, _matrix, _squared, _type_of, radius_counts
 from ballast.spec import refuse_stream
 
 
@@ -58,15 +57,13 @@ def dbscan(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples: int
         return df.withColumn("cluster", F.lit(-1))
     r2 = float(eps) ** 2
     index = SiteIndex(cores, F.col("vec"), row_id, 1)
-    queries = written(index.sites.select("vec", "site", F.col("rows")[0]["id"].alias("id"), F.lit(float(eps)).alias("bound")), "queries")
-    placed = index.place(queries)
-    near = index.reachable(placed, "bound", skip_own=False) if index.cells.depth else placed
+    queries = index.queries(cores, F.col("vec"), row_id)
 
     def linked(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
             return pd.DataFrame(columns=["a", "b"])
         qm, sm = _matrix(q["vec"]), _matrix(s["vec"])
-        qid, sid = q["id"].to_numpy(), np.array([r[0]["id"] for r in s["rows"]], dtype=object)
+        qid, sid = q["qid"].to_numpy(), s["id"].to_numpy()
         root = np.arange(len(s))
 
         def find(i: int) -> int:
@@ -91,29 +88,27 @@ def dbscan(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples: int
         out = [(qid[i], sid[find(int(hang[i]))]) for i in used] + [(sid[j], sid[find(j)]) for j in range(len(s))]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    edges = index.pair_blocks(near.drop("bound"), linked, f"a {id_type}, b {id_type}")
+    edges = index.pair_blocks(_in_reach(index, queries, eps), linked, f"a {id_type}, b {id_type}")
     found = components(edges)
     numbers = ranked(found.select("component").distinct(), [], "component").select("component", (F.col("rank") - 1).cast("int").alias("cluster"))
     core_points = written(found.join(numbers, "component").select(F.col("node").alias("id"), "cluster").join(
-        queries.select("id", "vec"), "id").select("id", "vec", "cluster"), "core-points")
+        queries.select(F.col("qid").alias("id"), "vec"), "id").select("id", "vec", "cluster"), "core-points")
 
     borders = flagged.where("not core")
     index2 = SiteIndex(core_points, F.col("vec"), "id", 1, carry=["cluster"])
-    q2 = borders.select("vec").distinct().withColumn("site", F.xxhash64(F.lit(""), F.col("vec"))).withColumn("bound", F.lit(float(eps)))
-    p2 = index2.place(q2)
-    n2 = index2.reachable(p2, "bound", skip_own=False) if index2.cells.depth else p2
+    q2 = index2.queries(borders, F.col("vec"), row_id)
 
     def lowest(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
             return pd.DataFrame(columns=["vec", "cluster"])
         qm, sm = _matrix(q["vec"]), _matrix(s["vec"])
-        number = np.array([r[0]["cluster"] for r in s["rows"]], dtype=np.int64)
+        number = s["_c_cluster"].to_numpy(np.int64)
         best = np.concatenate([np.where(_squared(qm[lo:lo + 512], sm) <= r2, number[None, :], np.iinfo(np.int32).max).min(1)
                                for lo in range(0, len(q), 512)])
         out = pd.DataFrame({"vec": q["vec"].to_numpy(), "cluster": best})
         return out[out["cluster"] < np.iinfo(np.int32).max]
 
-    joined = index2.pair_blocks(n2.drop("bound"), lowest, "vec ARRAY<DOUBLE>, cluster INT").groupBy("vec").agg(F.min("cluster").alias("cluster"))
+    joined = index2.pair_blocks(_in_reach(index2, q2, eps), lowest, "vec ARRAY<DOUBLE>, cluster INT").groupBy("vec").agg(F.min("cluster").alias("cluster"))
     of_vector = core_points.select("vec", "cluster").unionByName(joined).withColumnRenamed("vec", "_v")
     out = df.withColumn("_v", vec).join(of_vector, "_v", "left").drop("_v")
     return out.withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

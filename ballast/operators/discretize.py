@@ -397,14 +397,17 @@ class DiscretizerModel:
         return w[i] if i < len(w) else 1.0
 
 
-def fit_discretizer(df: DataFrame, cols, strategy: str, bins: int | str | None = "auto", label: str | None = None,
+def fit_discretizer(df: DataFrame, cols, strategy: str | None, bins: int | str | None = "auto", label: str | None = None,
                     bin_weights: str | None = None, exact: bool = True) -> DiscretizerModel:
     """One model per continuous column.
 
+    ``strategy``: one of STRATEGIES, or None to leave the columns as they are.
     ``bins``: a number, ``auto``/``auto-bgm`` (see :func:`auto_bins`) or None for 2.
     ``bin_weights``: None for 1.0 each, ``auto`` for mixture weights.
     """
     cols = list(cols)
+    if strategy is None:
+        return DiscretizerModel({})
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {', '.join(STRATEGIES)}")
     if strategy in ("chi-merge", "caim") and label is None:

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ballast.functions.bounds import MAX_MODEL_ROWS, join_model
+from ballast.functions.bounds import join_model, shuffle_width
 from ballast.functions.draws import uniform
 from ballast.functions.store import written
 from ballast.spec import refuse_stream
 
-BLOCK = 4096        # sites (or queries) per block
-MAX_CELLS = 4096    # cells in one partition of space; their boxes are sent to every task
-SAMPLE = 40_000     # sites whose medians place the splits (affects balance only, never results)
+BLOCK = 1024         # sites (or queries) per block
+MAX_CELLS = 65_536   # cells in one partition of space; the split points are sent to every task
+SAMPLE_PER_CELL = 16  # sites drawn per cell to place the splits (affects balance only, never results)
 
 
 def vector(features) -> Column:
@@ -53,6 +53,26 @@ class Cells:
             node = 2 * node + 1 + right
         return (node - (self.count - 1)).astype(np.int32)
 
+    def within(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, cell) for every cell whose region comes within ``radius`` of the point.
+
+        All points walk down the splits together; a step to the far side of a split keeps the
+        distance to that side per dimension, and is taken only while the sum stays in reach.
+        """
+        # a hair of slack, so that rounding never hides a cell
+        reach = (radius * (1 + 1e-9) + 1e-12) ** 2
+        point, node, off = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros_like(x)
+        for _ in range(self.depth):
+            d = self.dim[node]
+            gap = x[point, d] - self.at[node]
+            near = 2 * node + 1 + (gap >= 0)
+            far = 2 * node + 1 + (gap < 0)
+            away = off.copy()
+            away[np.arange(len(d)), d] = np.abs(gap)
+            go = (away * away).sum(1) <= reach[point]
+            point, node, off = np.concatenate([point, point[go]]), np.concatenate([near, far[go]]), np.concatenate([off, away[go]])
+        return point, (node - (self.count - 1)).astype(np.int32)
+
 
 def place_cells(sample: np.ndarray, cells: int) -> Cells:
     """Split at the median of the widest dimension, level by level."""
@@ -90,64 +110,59 @@ def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _box_gap(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Distance from each point to each box."""
-    out = np.zeros((len(x), len(low)))
-    for d in range(x.shape[1]):
-        v = x[:, d][:, None]
-        out += np.maximum(np.maximum(low[:, d][None, :] - v, v - high[:, d][None, :]), 0.0) ** 2
-    return np.sqrt(out)
-
-
 class SiteIndex:
-    """Distinct feature vectors of a table, cut into cells and blocks.
+    """The rows of a table that can be neighbours, cut into cells and blocks.
 
-    ``within`` columns separate the space: a search never leaves the query's own group.  Each site
-    keeps its ``keep`` rows of smallest id (with the ``carry`` columns), enough for any k <= keep.
+    ``within`` columns separate the space: a search never leaves the query's own group.  Of rows with
+    equal vectors only the ``keep`` of smallest id are held (with the ``carry`` columns), which is
+    enough for any k <= keep; ranks above ``keep`` are dropped before the shuffle as well, so a
+    vector shared by a large part of the table stays small.
     """
 
-    def __init__(self, df: DataFrame, vec: Column, row_id: str, keep: int, carry=(), within=(), tally: Column | None = None):
+    def __init__(self, df: DataFrame, vec: Column, row_id: str, keep: int, carry=(), within=()):
         refuse_stream(df, "neighbour search")
-        self.carry, self.within, self.keep = list(carry), list(within), keep
-        rows = df.select(*[F.col(c) for c in self.within], vec.alias("vec"), F.col(row_id).alias("_id"),
-                         *[F.col(c).alias(f"_c_{c}") for c in self.carry], *([tally.alias("_tally")] if tally is not None else []))
-        keys = [*self.within, "vec"]
-        if keep:
-            # ranks above `keep` are dropped before the shuffle as well, so a hot vector stays small
-            best = rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("_id"))).where(F.col("_r") <= keep)
-            entry = F.struct(F.col("_id").alias("id"), *[F.col(f"_c_{c}").alias(c) for c in self.carry])
-            sites = best.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("rows"))
-        else:
-            sites = rows.groupBy(*keys).agg(*([F.sum("_tally").alias("tally")] if tally is not None else []), F.count(F.lit(1)).alias("rows"))
-        self.sites = written(sites.withColumn("site", F.xxhash64(F.concat_ws("|", *[F.col(c).cast("string") for c in self.within]), F.col("vec"))), "sites")
+        self.carry, self.within = list(carry), list(within)
+        rows = df.select(*[F.col(c) for c in self.within], vec.alias("vec"), F.col(row_id).alias("id"),
+                         *[F.col(c).alias(f"_c_{c}") for c in self.carry])
+        order = W.partitionBy(*self.within, "vec").orderBy("id")
+        best = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).drop("_r")
+        self.sites = written(best.withColumn("site", F.xxhash64("vec")), "sites")
+        self._partition()
+
+    @classmethod
+    def counted(cls, df: DataFrame, vec: Column, label: str | None) -> "SiteIndex":
+        """Row counts per vector (and class) in place of the rows themselves."""
+        self = cls.__new__(cls)
+        self.carry, self.within = [], []
+        by = [vec.alias("vec"), *([F.col(label).alias("label")] if label else [])]
+        self.sites = written(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("site", F.xxhash64("vec")), "sites")
         self._partition()
+        return self
+
+    def queries(self, df: DataFrame, vec: Column, row_id: str) -> DataFrame:
+        """Distinct vectors (per group) with their smallest row id, ``qid``, and their cell."""
+        distinct = df.groupBy(*[F.col(c) for c in self.within], vec.alias("vec")).agg(F.min(row_id).alias("qid"))
+        return written(self.place(distinct.withColumn("site", F.xxhash64("vec"))), "queries")
 
     def _partition(self) -> None:
-        spark = self.sites.sparkSession
-        group_sizes = self.sites.groupBy(*self.within).agg(F.count(F.lit(1)).alias("_gn")) if self.within else None
+        self._groups = written(self.sites.groupBy(*self.within).agg(F.count(F.lit(1)).alias("_gn")), "groups") if self.within else None
         total = self.sites.count()
-        self.total = total
-        cells = 1 if total <= BLOCK else min(MAX_CELLS, 1 << math.ceil(math.log2(total / BLOCK)))
+        wanted = min(MAX_CELLS, math.ceil(total / BLOCK))
         sample = np.zeros((0, 1))
-        if cells > 1:
-            share = min(1.0, SAMPLE / total)
-            drawn = self.sites.where(uniform("cells", "site") < share).select("vec").limit(2 * SAMPLE)
+        if wanted > 1:
+            size = SAMPLE_PER_CELL * wanted
+            drawn = self.sites.where(uniform("cells", "site") < min(1.0, 1.2 * size / total)).select("vec").limit(2 * size)
             sample = np.array([r[0] for r in drawn.collect()], dtype=float)
-        self.cells = place_cells(sample, cells if len(sample) else 1)
-        self.placed = self.place(self.sites, group_sizes)
-        keys = [*self.within, "cell"]
-        dims = len(self.sites.first()["vec"]) if total else 1
-        self.blocks = self.placed.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.min(F.col("vec")[d]).alias(f"lo{d}") for d in range(dims)], *[F.max(F.col("vec")[d]).alias(f"hi{d}") for d in range(dims)]) \
-            .withColumn("parts", F.ceil(F.col("_n") / BLOCK).cast("int"))
-        self.blocks = written(self.blocks, "blocks")
-        self.dims = dims
-
-    def place(self, df: DataFrame, group_sizes: DataFrame | None = None) -> DataFrame:
-        """Add each vector's cell; groups that fit one block are not cut."""
+        self.cells = place_cells(sample, wanted if len(sample) else 1)
+        self.placed = self.place(self.sites)
+        if self.cells.depth:
+            self.placed = written(self.placed, "placed")
+        self.blocks = written(self.placed.groupBy(*self.within, "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "blocks")
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Add each vector's cell; a group that fits one block is not cut and has the cell -1."""
         if self.cells.depth == 0:
-            return df.withColumn("cell", F.lit(0))
+            return df.withColumn("cell", F.lit(-1))
         cells = self.cells
 
         @F.pandas_udf("int")
@@ -156,91 +171,59 @@ class SiteIndex:
 
         if not self.within:
             return df.withColumn("cell", locate("vec"))
-        self._groups = group_sizes if group_sizes is not None else self._groups
         joined = join_model(df, self._groups, self.within, "left")
-        return joined.withColumn("cell", F.when(F.coalesce("_gn", F.lit(0)) <= BLOCK, F.lit(0)).otherwise(locate("vec"))).drop("_gn")
-
-    # ------------------------------------------------------------ block pairs
+        return joined.withColumn("cell", F.when(F.coalesce("_gn", F.lit(0)) <= BLOCK, F.lit(-1)).otherwise(locate("vec"))).drop("_gn")
 
     def pair_blocks(self, queries: DataFrame, run, schema: str) -> DataFrame:
         """Apply ``run(query_pdf, site_pdf)`` to every query block / site block pair of a cell.
 
         ``queries`` has the group columns and ``cell``.  Site blocks are repeated per query block and
-        the other way round; both numbers follow from counts, so every pair is of bounded size.
+        the other way round; both numbers follow from counts, so every pair is of bounded size.  The
+        number of tasks is set by hand: the work is in the distances, not in the bytes shuffled.
         """
         keys = [*self.within, "cell"]
         q_sizes = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qparts"))
-        sizes = self.blocks.select(*keys, "parts").join(q_sizes, keys)
+        sizes = written(self.blocks.join(q_sizes, keys), "block-sizes")
         pick = lambda salt, n: F.pmod(F.xxhash64(F.col("site"), F.lit(salt)), n).cast("int")
         q = join_model(queries, sizes, keys).withColumn("qblock", pick("q", F.col("qparts"))) \
             .withColumn("sblock", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "qparts")
         s = join_model(self.placed, sizes, keys).withColumn("sblock", pick("s", F.col("parts"))) \
             .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1))).drop("parts", "qparts")
-        by = [*keys, "qblock", "sblock"]
-        return q.groupBy(*by).cogroup(s.groupBy(*by)).applyInPandas(run, schema)
+        by, tasks = [*keys, "qblock", "sblock"], shuffle_width(queries)
+        return q.repartition(tasks, *by).groupBy(*by).cogroup(s.repartition(tasks, *by).groupBy(*by)).applyInPandas(run, schema)
 
     def reachable(self, queries: DataFrame, bound: str, skip_own: bool) -> DataFrame:
-        """One row per (query, cell within ``bound`` of it); ``bound`` null means every cell."""
+        """One row per (query, cell within ``bound`` of it); ``bound`` null means every cell.
+
+        Cells that hold no site of the query's group fall out when the blocks are joined.
+        """
         if self.cells.depth == 0:
             return queries.where(F.lit(not skip_own))
-        dims, within = self.dims, self.within
-        if not within:
-            boxes = {(): self._boxes(self.blocks.limit(MAX_CELLS + 1).collect())}
-        else:
-            rows = self.blocks.limit(MAX_MODEL_ROWS + 1).collect()
-            if len(rows) > MAX_MODEL_ROWS:
-                return self._reachable_by_join(queries, bound, skip_own)
-            by_group: dict[tuple, list] = {}
-            for r in rows:
-                by_group.setdefault(tuple(r[c] for c in within), []).append(r)
-            boxes = {g: self._boxes(rs) for g, rs in by_group.items()}
+        cells = self.cells
 
         def spread(batches):
             for pdf in batches:
+                pdf = pdf[pdf["cell"] >= 0]
                 for lo in range(0, len(pdf), 1024):
                     part = pdf.iloc[lo:lo + 1024]
-                    groups = part.groupby(within, sort=False).indices if within else {(): np.arange(len(part))}
-                    for g, at in groups.items():
-                        g = g if isinstance(g, tuple) else (g,)
-                        if g not in boxes:
-                            continue
-                        sub = part.iloc[at]
-                        cells, low, high = boxes[g]
-                        limit = sub[bound].to_numpy(float)
-                        limit = np.where(np.isnan(limit), np.inf, limit)
-                        # a hair of slack so that rounding never hides a cell
-                        near = _box_gap(_matrix(sub["vec"]), low, high) <= (limit * (1 + 1e-9) + 1e-12)[:, None]
-                        if skip_own:
-                            near &= cells[None, :] != sub["cell"].to_numpy()[:, None]
-                        i, j = np.nonzero(near)
-                        out = sub.iloc[i].copy()
-                        out["cell"] = cells[j].astype(np.int32)
-                        yield out
+                    limit = part[bound].to_numpy(float)
+                    i, cell = cells.within(_matrix(part["vec"]), np.where(np.isnan(limit), np.inf, limit))
+                    if skip_own:
+                        other = cell != part["cell"].to_numpy()[i]
+                        i, cell = i[other], cell[other]
+                    out = part.iloc[i].copy()
+                    out["cell"] = cell
+                    yield out
 
         return queries.mapInPandas(spread, queries.schema)
 
-    def _boxes(self, rows):
-        return (np.array([r["cell"] for r in rows]), np.array([[r[f"lo{d}"] for d in range(self.dims)] for r in rows]),
-                np.array([[r[f"hi{d}"] for d in range(self.dims)] for r in rows]))
-
-    def _reachable_by_join(self, queries: DataFrame, bound: str, skip_own: bool) -> DataFrame:
-        """The same by an equi-join on the group columns, for box tables too large to send around."""
-        boxes = self.blocks.withColumnRenamed("cell", "_box").drop("_n", "parts")
-        gap = sum((F.pow(F.greatest(F.col(f"lo{d}") - F.col("vec")[d], F.col("vec")[d] - F.col(f"hi{d}"), F.lit(0.0)), F.lit(2.0))
-                   for d in range(self.dims)), F.lit(0.0))
-        near = F.col(bound).isNull() | (F.sqrt(gap) <= F.col(bound) * (1 + 1e-9) + 1e-12)
-        out = queries.join(boxes, self.within).where(near)
-        if skip_own:
-            out = out.where(F.col("_box") != F.col("cell"))
-        return out.withColumn("cell", F.col("_box")).select(*queries.columns)
-
 
 def _type_of(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
 
 def knn(left: DataFrame, right: DataFrame, vec: Column, row_id: str, k: int, carry=(), within=(),
-        include_self: bool = True, with_vector: bool = False, index: SiteIndex | None = None) -> DataFrame:
+        include_self: bool = True, with_vector: bool = False) -> DataFrame:
     """``left`` with a column ``neighbors``: the k nearest rows of ``right``, nearest first.
 
     Each neighbour is a struct (dist, id, carried columns[, vec]); ties go to the smaller id.  With
@@ -248,75 +231,51 @@ def knn(left: DataFrame, right: DataFrame, vec: Column, row_id: str, k: int, car
     the search to rows that agree on those columns.
     """
     want = k if include_self else k + 1
-    index = index or SiteIndex(right, vec, row_id, want, carry, within)
-    key_cols = [*within, "vec"]
-    queries = left.select(*within, vec.alias("vec")).distinct()
-    queries = queries.withColumn("site", F.xxhash64(F.concat_ws("|", *[F.col(c).cast("string") for c in within]), F.col("vec")))
-    placed = index.place(queries)
-    if index.cells.depth:
-        placed = written(placed, "queries")
-    id_type = _type_of(right, row_id)
-    fields = "".join(f", {c} {_type_of(right, c)}" for c in index.carry)
-    entry = f"STRUCT<d2 DOUBLE, id {id_type}{''.join(f', {c}: {_type_of(right, c)}' for c in index.carry).replace(': ', ' ')}, vec ARRAY<DOUBLE>>"
-    within_ddl = "".join(f"{c} {_type_of(left, c)}, " for c in within)
-    out_schema = f"{within_ddl}site BIGINT, vec ARRAY<DOUBLE>, found ARRAY<{entry}>"
-    carry_names, group_names = list(index.carry), list(within)
+    index = SiteIndex(right, vec, row_id, want, carry, within)
+    queries = index.queries(left, vec, row_id)
+    names = [f"_c_{c}" for c in index.carry]
+    schema = ", ".join([f"qid {_type_of(left, row_id)}", "d2 DOUBLE", f"id {_type_of(right, row_id)}",
+                        *[f"_c_{c} {_type_of(right, c)}" for c in index.carry], *(["nvec ARRAY<DOUBLE>"] if with_vector else [])])
+    columns = ["qid", "d2", "id", *names, *(["nvec"] if with_vector else [])]
 
     def nearest(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
-            return pd.DataFrame(columns=[*group_names, "site", "vec", "found"])
-        lists = s["rows"].to_numpy()
-        lengths = np.array([len(r) for r in lists])
-        owner = np.repeat(np.arange(len(s)), lengths)
-        entries = [e for r in lists for e in r]
-        ids = pd.Series([e["id"] for e in entries])
-        by_id = ids.argsort(kind="stable").to_numpy()
-        owner, sites = owner[by_id], _matrix(s["vec"])
-        queries_m = _matrix(q["vec"])
-        found = []
+            return pd.DataFrame(columns=columns)
+        s = s.sort_values("id")
+        sites, wanted, parts = _matrix(s["vec"]), _matrix(q["vec"]), []
         for lo in range(0, len(q), 512):
-            d2 = _squared(queries_m[lo:lo + 512], sites)[:, owner]  # columns in id order
-            if d2.shape[1] > want:
-                edge = np.partition(d2, want - 1, axis=1)[:, want - 1]
-                i, j = np.nonzero(d2 <= edge[:, None])
-            else:
-                i, j = np.nonzero(np.ones_like(d2, dtype=bool))
-            order = np.lexsort((j, d2[i, j], i))
+            d2 = _squared(wanted[lo:lo + 512], sites)
+            limit = np.partition(d2, want - 1, axis=1)[:, want - 1] if d2.shape[1] > want else np.full(len(d2), np.inf)
+            i, j = np.nonzero(d2 <= limit[:, None])
+            order = np.lexsort((j, d2[i, j], i))  # by query, distance, then id
             i, j = i[order], j[order]
-            first = np.searchsorted(i, np.arange(d2.shape[0]))
-            last = np.searchsorted(i, np.arange(d2.shape[0]), side="right")
-            for r in range(d2.shape[0]):
-                picks = []
-                for c in j[first[r]:min(last[r], first[r] + want)]:
-                    e = entries[by_id[c]]
-                    picks.append({"d2": float(d2[r, c]), "id": e["id"], **{n: e[n] for n in carry_names}, "vec": sites[owner[c]]})
-                found.append(picks)
-        out = q[[*group_names, "site", "vec"]].copy()
-        out["found"] = found
-        return out
-
-    own = index.pair_blocks(placed, nearest, out_schema)
-    keys = [*within, "site", "vec"]
-
-    def merged(df: DataFrame) -> DataFrame:
-        # at most `want` candidates per visited block
-        return df.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, want).alias("found"))
-
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < want
+            i, j = i[keep], j[keep]
+            out = {"qid": q["qid"].to_numpy()[lo + i], "d2": d2[i, j], "id": s["id"].to_numpy()[j]}
+            out |= {n: s[n].to_numpy()[j] for n in names}
+            if with_vector:
+                out["nvec"] = s["vec"].to_numpy()[j]
+            parts.append(pd.DataFrame(out))
+        return pd.concat(parts)
+
+    entry = F.struct("d2", "id", *names, *(["nvec"] if with_vector else []))
+    # at most `want` candidates per visited block
+    merged = lambda df: df.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, want).alias("found"))
+    found = index.pair_blocks(queries, nearest, schema)
     if index.cells.depth:
-        first_look = written(merged(own), "first-look")
-        bound = placed.join(first_look.select(*keys, F.when(F.size("found") >= want, F.sqrt(F.element_at("found", -1)["d2"])).alias("bound")), keys, "left")
-        rest = index.reachable(bound, "bound", skip_own=True)
-        second = index.pair_blocks(rest.drop("bound"), nearest, out_schema)
-        all_found = merged(first_look.unionByName(second))
-    else:
-        all_found = merged(own)
-    result = left.withColumn("_vec", vec).join(all_found.withColumnRenamed("vec", "_vec").drop("site"), [*within, "_vec"], "left")
-    hits = F.coalesce(F.col("found"), F.array().cast(f"ARRAY<{entry}>"))
+        own = written(found, "own-cell")
+        bounds = merged(own).select("qid", F.when(F.size("found") >= want, F.sqrt(F.element_at("found", -1)["d2"])).alias("bound"))
+        rest = written(index.reachable(queries.join(bounds, "qid", "left"), "bound", skip_own=True).drop("bound"), "reach")
+        found = own.unionByName(index.pair_blocks(rest, nearest, schema))
+    per_vector = queries.select("qid", *within, F.col("vec").alias("_vec")).join(merged(found), "qid").drop("qid")
+    # vectors are unique on this side; adaptive execution splits a hot one on the other
+    result = left.withColumn("_vec", vec).join(per_vector, [*within, "_vec"], "left")
+    hits = F.coalesce(F.col("found"), F.array())
     if not include_self:
         hits = F.slice(F.filter(hits, lambda e: e["id"] != F.col(row_id)), 1, k)
-    shape = lambda e: F.struct(F.sqrt(e["d2"]).alias("dist"), e["id"].alias("id"), *[e[c].alias(c) for c in carry_names],
-                               *([e["vec"].alias("vec")] if with_vector else []))
-    return result.withColumn("neighbors", F.transform(hits, shape)).drop("found", "_vec").select(*left.columns, "neighbors")
+    shape = lambda e: F.struct(F.sqrt(e["d2"]).alias("dist"), e["id"].alias("id"), *[e[f"_c_{c}"].alias(c) for c in index.carry],
+                               *([e["nvec"].alias("vec")] if with_vector else []))
+    return result.withColumn("neighbors", F.transform(hits, shape)).select(*left.columns, "neighbors")
 
 
 def knn_pairs(left: DataFrame, right: DataFrame, vec: Column, row_id: str, k: int, **options) -> DataFrame:
@@ -326,65 +285,53 @@ def knn_pairs(left: DataFrame, right: DataFrame, vec: Column, row_id: str, k: in
                 .select(row_id, F.col("n")["id"].alias("neighbor"), (F.col("pos") + 1).alias("rank"), F.col("n")["dist"].alias("dist"))
 
 
+def _in_reach(index: SiteIndex, queries: DataFrame, radius: float) -> DataFrame:
+    if not index.cells.depth:
+        return queries
+    return written(index.reachable(queries.withColumn("bound", F.lit(float(radius))), "bound", skip_own=False).drop("bound"), "reach")
+
+
 def radius_counts(left: DataFrame, right: DataFrame, vec: Column, row_id: str, radius: float, label: str | None = None) -> DataFrame:
     """``left`` with ``neighbors`` (rows of ``right`` within the radius, itself included) and, given a
     label, ``same_class`` (those that share it).
 
-    Only counts leave a task: per query and class the number of rows, never the pairs.
+    Only counts leave a task: per query vector and class the number of rows, never the pairs.
     """
-    cols = [label] if label else []
-    weight = F.lit(1)
-    spark_rows = right.groupBy(vec.alias("vec"), *cols).agg(F.count(F.lit(1)).alias("n"))
-    entry = F.struct(*[F.col(c).alias("label") for c in cols], F.col("n"))
-    index = _CountIndex(spark_rows, entry, bool(label))
-    queries = left.select(vec.alias("vec"), *cols).distinct() \
-        .withColumn("site", F.xxhash64(F.col("vec"), *[F.col(c) for c in cols])).withColumn("bound", F.lit(float(radius)))
-    placed = index.place(queries)
-    near = index.reachable(placed, "bound", skip_own=False) if index.cells.depth else placed
-    label_ddl = f"label {_type_of(right, label)}, " if label else ""
+    index = SiteIndex.counted(right, vec, label)
+    queries = index.queries(left, vec, row_id)
+    label_ddl = f", label {_type_of(right, label)}" if label else ""
+    columns = ["qid", *(["label"] if label else []), "n"]
     r2 = float(radius) ** 2
 
     def count(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        names = ["site", "vec", "neighbors", "same_class"]
-        if not len(q) or not len(s):
-            return pd.DataFrame(columns=names)
-        sites, qm = _matrix(s["vec"]), _matrix(q["vec"])
-        total = np.array([sum(e["n"] for e in r) for r in s["rows"]], dtype=np.int64)
-        same = np.zeros(len(q), dtype=np.int64)
-        every = np.zeros(len(q), dtype=np.int64)
-        table: dict = {}
-        if label:
-            for i, r in enumerate(s["rows"]):
-                for e in r:
-                    table.setdefault(e["label"], np.zeros(len(s), dtype=np.int64))[i] += e["n"]
-        labels = q[label].to_numpy() if label else None
-        for lo in range(0, len(q), 512):
-            inside = _squared(qm[lo:lo + 512], sites) <= r2
-            every[lo:lo + 512] = inside @ total
-            if label:
-                own = labels[lo:lo + 512]
-                for v in set(own):
-                    at = np.nonzero(own == v)[0]
-                    if v in table:
-                        same[lo + at] = inside[at] @ table[v]
-        return pd.DataFrame({"site": q["site"].to_numpy(), "vec": q["vec"].to_numpy(), "neighbors": every, "same_class": same})
-
-    counts = index.pair_blocks(near.drop("bound"), count, "site BIGINT, vec ARRAY<DOUBLE>, neighbors BIGINT, same_class BIGINT") \
-        .groupBy("site", "vec").agg(F.sum("neighbors").alias("neighbors"), F.sum("same_class").alias("same_class"))
-    per_query = queries.select("vec", *cols, "site").join(counts, ["site", "vec"], "left").drop("site").withColumnRenamed("vec", "_vec")
-    out = left.withColumn("_vec", vec).join(per_query, ["_vec", *cols], "left").drop("_vec")
-    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("neighbors", "same_class")})
-    return out if label else out.drop("same_class")
-
-
-class _CountIndex(SiteIndex):
-    """Sites that carry row counts per class instead of rows."""
-
-    def __init__(self, counted: DataFrame, entry: Column, labelled: bool):
-        self.carry, self.within, self.keep = [], [], 0
-        sites = counted.groupBy("vec").agg(F.collect_list(entry).alias("rows"))  # at most one entry per class
-        self.sites = written(sites.withColumn("site", F.xxhash64("vec")), "sites")
-        self._partition()
+        parts = []
+        if len(q) and len(s):
+            sites, wanted, n = _matrix(s["vec"]), _matrix(q["vec"]), s["n"].to_numpy(np.int64)
+            groups = s.groupby("label", sort=False).indices if label else {None: np.arange(len(s))}
+            for lo in range(0, len(q), 512):
+                inside = _squared(wanted[lo:lo + 512], sites) <= r2
+                for name, at in groups.items():
+                    total = inside[:, at] @ n[at]
+                    some = np.nonzero(total)[0]
+                    out = {"qid": q["qid"].to_numpy()[lo + some], "n": total[some]}
+                    if label:
+                        out["label"] = np.full(len(some), name, dtype=object)
+                    parts.append(pd.DataFrame(out)[columns])
+        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+
+    counts = index.pair_blocks(_in_reach(index, queries, radius), count, f"qid {_type_of(left, row_id)}{label_ddl}, n BIGINT")
+    of_vector = queries.select("qid", F.col("vec").alias("_vec"))
+    if not label:
+        total = of_vector.join(counts.groupBy("qid").agg(F.sum("n").alias("neighbors")), "qid").drop("qid")
+        out = left.withColumn("_vec", vec).join(total, "_vec", "left").drop("_vec")
+        return out.withColumn("neighbors", F.coalesce("neighbors", F.lit(0)).cast("long"))
+    # a map from class to count: its size is bounded by the classes
+    per = counts.groupBy("qid", "label").agg(F.sum("n").alias("n")) \
+        .groupBy("qid").agg(F.sum("n").alias("neighbors"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("_by"))
+    out = left.withColumn("_vec", vec).join(of_vector.join(per, "qid").drop("qid"), "_vec", "left")
+    same = F.coalesce(F.try_element_at(F.col("_by"), F.col(label)), F.lit(0))
+    return out.withColumns({"neighbors": F.coalesce("neighbors", F.lit(0)).cast("long"), "same_class": same.cast("long")}) \
+              .select(*left.columns, "neighbors", "same_class")
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, vec: Column, row_id: str, radius: float) -> DataFrame:
@@ -393,27 +340,25 @@ def radius_pairs(left: DataFrame, right: DataFrame, vec: Column, row_id: str, ra
     The pairs are the result; they are found between distinct vectors, cell by cell, and only then
     widened to the rows.
     """
-    index = SiteIndex(right, vec, row_id, 0)
-    queries = left.select(vec.alias("vec")).distinct().withColumn("site", F.xxhash64(F.lit(""), F.col("vec"))) \
-        .withColumn("bound", F.lit(float(radius)))
-    placed = index.place(queries)
-    near = index.reachable(placed, "bound", skip_own=False) if index.cells.depth else placed
-    r2 = float(radius) ** 2
+    index = SiteIndex(right, vec, row_id, 1)
+    queries = index.queries(left, vec, row_id)
+    kinds, r2 = (_type_of(left, row_id), _type_of(right, row_id)), float(radius) ** 2
 
     def close(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(q) and len(s):
-            sites, qm = _matrix(s["vec"]), _matrix(q["vec"])
+            sites, wanted = _matrix(s["vec"]), _matrix(q["vec"])
             for lo in range(0, len(q), 512):
-                d2 = _squared(qm[lo:lo + 512], sites)
+                d2 = _squared(wanted[lo:lo + 512], sites)
                 i, j = np.nonzero(d2 <= r2)
-                parts.append(pd.DataFrame({"mine": q["vec"].to_numpy()[lo + i], "other": s["vec"].to_numpy()[j], "dist": np.sqrt(d2[i, j])}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["mine", "other", "dist"])
-
-    pairs = index.pair_blocks(near.drop("bound"), close, "mine ARRAY<DOUBLE>, other ARRAY<DOUBLE>, dist DOUBLE")
-    mine = left.select(F.col(row_id), vec.alias("mine"))
-    theirs = right.select(F.col(row_id).alias("neighbor"), vec.alias("other"))
-    return pairs.join(mine, "mine").join(theirs, "other").select(row_id, "neighbor", "dist")
+                parts.append(pd.DataFrame({"qid": q["qid"].to_numpy()[lo + i], "sid": s["id"].to_numpy()[j], "dist": np.sqrt(d2[i, j])}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["qid", "sid", "dist"])
+
+    pairs = index.pair_blocks(_in_reach(index, queries, radius), close, f"qid {kinds[0]}, sid {kinds[1]}, dist DOUBLE")
+    mine = left.select(F.col(row_id), vec.alias("vec")).join(queries.select("vec", "qid"), "vec").select("qid", row_id)
+    sites = index.sites.select(F.col("vec").alias("_v"), F.col("id").alias("sid"))
+    theirs = right.select(F.col(row_id).alias("neighbor"), vec.alias("_v")).join(sites, "_v").select("sid", "neighbor")
+    return pairs.join(mine, "qid").join(theirs, "sid").select(row_id, "neighbor", "dist")
 
 
 # ---------------------------------------------------------------- point types

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.functions.bounds import collect_bounded
+from ballast.functions.ranks import ranked
 from ballast.functions.store import written
 from ballast.operators import resample as G
 from ballast.operators import synth as H
@@ -213,12 +214,11 @@ def _cross_validate(runs: Runs, dataset: str, sampler: str, rows: DataFrame, fea
 
 
 def _with_id(df: DataFrame, spec: TableSpec, offset_by: str) -> DataFrame:
-    """A row id for synthetic rows: equal rows share a hash and are told apart by their number."""
-    from ballast.functions.ranks import ranked
+    """A row id for synthetic rows, by content; equal rows are interchangeable, so their order is free."""
     content = F.xxhash64(F.lit(offset_by), *[F.col(c) for c in (*spec.features, spec.label)])
-    tagged = written(df.drop(*spec.row_id).withColumn("_h", content).withColumn("_salt", F.spark_partition_id()).withColumn(
+    tagged = written(df.drop(*spec.row_id).withColumn("_h", content).withColumn(
         "_n", F.monotonically_increasing_id()), "tagged")
-    return ranked(tagged, [], ["_h", "_n"], spec.row_id[0]).drop("_h", "_n", "_salt")
+    return ranked(tagged, [], ["_h", "_n"], spec.row_id[0]).drop("_h", "_n")
 
 
 def eval_detectability(dataset: str, df: DataFrame, spec: TableSpec, samplers=None, models=None, folds: int = 5,
@@ -294,8 +294,20 @@ def eval_pipeline_cv(dataset: str, df: DataFrame, spec: TableSpec, sampler: str,
 
 
 # The grid of discretizers the published experiment compares (method, bins, weights).
-DISCRETIZER_GRID = tuple((m, b, w) for m in ("bins-uni", "bins-q", "bins-k", "bins-bgm", "chi-merge") for b in (2, 4, 8, "auto-bgm")
-                         for w in (None,)) + (("caim", None, None),)
+DISCRETIZER_GRID = (
+    (None, None, None),
+    ("chi-merge", "auto-bgm", None),
+    ("bins-uni", "auto-bgm", None),
+    ("bins-q", "auto-bgm", None),
+    ("bins-k", "auto-bgm", None),
+    ("bins-bgm", "auto-bgm", None),
+    ("chi-merge", 5, None),
+    ("bins-uni", 5, None),
+    ("bins-q", 5, None),
+    ("bins-k", 5, None),
+    ("bins-bgm", 5, None),
+    ("caim", None, None),
+)
 
 
 def eval_discretization(dataset: str, df: DataFrame, spec: TableSpec, grid=DISCRETIZER_GRID, models=None, folds: int = 5,
@@ -321,9 +333,11 @@ def eval_discretization(dataset: str, df: DataFrame, spec: TableSpec, grid=DISCR
                     shared = shared or fit_discretizer(rows, cont, method, bins, spec.label, weights)
                 model = shared or fit_discretizer(train, cont, method, bins, spec.label, weights)
                 a, b = model.transform(train), model.transform(test)
-                hot = fit_one_hot(a, spec.features)
+                # without a method the continuous columns stay numbers
+                coded = [c for c in spec.features if method is not None or c in spec.categorical]
+                hot = fit_one_hot(a, coded)
                 a, b = hot.transform(a), hot.transform(b)
-                joined = F.concat(*[F.col(c) for c in spec.features])
+                joined = F.concat(*[F.col(c) if c in coded else F.array(F.col(c).cast("double")) for c in spec.features])
                 a, b = a.withColumn("_hot", joined), b.withColumn("_hot", joined)
                 runs.evaluate(dataset, fold, name, a, b, "_hot", spec.label, p.classes, chosen, None, seed)
             except FAILURES as e:

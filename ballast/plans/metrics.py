@@ -27,13 +27,15 @@ def scores(table: DataFrame, keys, average: str | Column = "weighted") -> DataFr
     """
     if average not in AVERAGES:
         raise ValueError(f"unknown average {average!r}; known: {', '.join(AVERAGES)}")
-    keys = list(keys)
+    named, keys = list(keys), list(keys) or ["_all"]
+    if not named:
+        table = table.withColumn("_all", F.lit(0))
     true_side = table.select(*keys, F.col("y").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"),
                              F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"))
     pred_side = table.select(*keys, F.col("pred").alias("c"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("tp"))
     per = true_side.unionByName(pred_side).groupBy(*keys, "c").agg(*[F.sum(x).alias(x) for x in ("t", "p", "tp")])
     everything = table.groupBy(*keys).agg(F.sum("n").alias("all"), F.max(F.greatest("y", "pred")).alias("positive"))
-    per = per.join(F.broadcast(everything), keys) if keys else per.crossJoin(F.broadcast(everything))  # one row per key
+    per = per.join(everything, keys)  # both sides hold a few rows per key
     t, p, tp, n = (F.col(x) for x in ("t", "p", "tp", "all"))
     tn = n - t - p + tp
     recall, precision, special = _ratio(tp, t), _ratio(tp, p), _ratio(tn, tn + p - tp)
@@ -52,7 +54,7 @@ def scores(table: DataFrame, keys, average: str | Column = "weighted") -> DataFr
     out["accuracy"] = F.sum("tp") / total
     out["balanced_accuracy"] = F.avg(F.when(t > 0, tp / F.when(t > 0, t)))
     wide = per.groupBy(*keys).agg(*[out[s].cast("double").alias(s) for s in SCORERS])
-    return wide.unpivot(keys, list(SCORERS), "scorer", "value")
+    return wide.unpivot(keys, list(SCORERS), "scorer", "value").select(*named, "scorer", "value")
 
 
 def summarize_results(results: DataFrame) -> DataFrame:
