@@ -20,19 +20,23 @@ def collect_bounded(df: DataFrame, what: str, max_rows: int = MAX_MODEL_ROWS) ->
     return rows
 
 
-def join_model(df: DataFrame, model: DataFrame, on, how: str = "inner",
-               max_rows: int = MAX_MODEL_ROWS) -> DataFrame:
-    """Join a model table to the data.
+def checked_broadcast(model: DataFrame, max_rows: int = MAX_MODEL_ROWS) -> DataFrame:
+    """The model ready to be joined: broadcast if its row count stays within the bound.
 
-    The model is broadcast only after its row count was checked against ``max_rows``; a larger one
-    is joined by shuffle, where adaptive execution splits skewed keys (the model is unique per key).
+    A larger one keeps a merge-join hint; adaptive execution then splits skewed keys of the data
+    (the model is unique per key).
     """
-    on = [on] if isinstance(on, str) else list(on)
     rows = model.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df.join(model.hint("merge"), on, how)
-    local = df.sparkSession.createDataFrame(rows, model.schema)
-    return df.join(F.broadcast(local), on, how)
+        return model.hint("merge")
+    return F.broadcast(model.sparkSession.createDataFrame(rows, model.schema))
+
+
+def join_model(df: DataFrame, model: DataFrame, on, how: str = "inner",
+               max_rows: int = MAX_MODEL_ROWS) -> DataFrame:
+    """Join a model table to the data, see :func:`checked_broadcast`."""
+    on = [on] if isinstance(on, str) else list(on)
+    return df.join(checked_broadcast(model, max_rows), on, how)
 
 
 def shuffle_width(df: DataFrame) -> int:
