@@ -50,6 +50,8 @@ def let(value: Column, use) -> Column:
 
 def choose_by_weight(draw: Column, weights: list[float] | Column) -> Column:
     """Zero-based index whose cumulative weight first exceeds ``draw`` times the total."""
+    if not isinstance(weights, Column) and len(weights) > 64:
+        weights = F.array(*[F.lit(float(w)) for w in weights])  # a short plan for a long list
     if not isinstance(weights, Column):
         total, run, passed = math.fsum(weights), 0.0, F.lit(0)
         for w in weights[:-1]:

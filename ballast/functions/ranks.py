@@ -89,11 +89,12 @@ def expand(need: DataFrame, count: str, copy: str = "copy", chunk: int = 65_536)
     """One row per copy 1..``count`` of each row, in two steps so that no task writes them all.
 
     The first step makes chunks, the second spreads the chunks over the executors and fills them.
+    The number of tasks is set by hand: before they are filled, the chunks look too small to spread.
     """
     last = F.ceil(F.col(count) / chunk).cast("long") - 1
     spread = need.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     keys = [c for c in need.columns if not isinstance(need.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType))]
-    spread = spread.repartition(*keys, "_chunk")
+    spread = spread.repartition(shuffle_width(need), *keys, "_chunk")
     begin = F.col("_chunk") * chunk
     return spread.withColumn(copy, F.explode(F.sequence(begin + 1, F.least(begin + chunk, F.col(count).cast("long"))))) \
                  .drop("_chunk")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ballast.functions.bounds import collect_bounded, join_model
+from ballast.functions.bounds import BoundExceeded, collect_bounded, join_model
 from ballast.functions.draws import pick, uniform
 from ballast.functions.ranks import expand, ranked
 from ballast.functions.store import written
@@ -24,6 +24,7 @@ from ballast.spec import TableSpec, refuse_stream
 # Fixed values of the published procedure.
 CLUSTER_PENALTY = 0.02   # added per cluster when choosing their number
 MICRO_CLUSTERS = 512     # centroids that take part in agglomeration
+MAX_MOMENTS = 5_000_000  # sums that one round of EM brings to the driver
 COVARIANCES = ("spherical", "tied", "diag", "full")
 
 
@@ -149,6 +150,9 @@ def fit_mixtures(df: DataFrame, features: str, ks, kinds=COVARIANCES, group: str
     data = written(df.select(g.alias("g"), F.col(features).alias("x")), "mixture-rows")
     sizes = {r["g"]: r["n"] for r in collect_bounded(data.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "groups", 1000)}
     dims = len(data.first()["x"])
+    cells = sum(len(kinds) * k * (1 + dims + (dims * dims if {"full", "tied"} & set(kinds) else dims)) for k in ks) * len(sizes)
+    if cells > MAX_MOMENTS:
+        raise BoundExceeded(f"{cells} moments per round; use fewer features or only diag and spherical covariances")
     stats = {r["g"]: r for r in data.groupBy("g").agg(*[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(dims)]).collect()}
     rates = F.create_map(*[v for n, m in sizes.items() for v in (F.lit(n), F.lit(min(1.0, 2.0 * sample / m)))])
     drawn: dict[str, list] = {}
@@ -174,8 +178,10 @@ def fit_mixtures(df: DataFrame, features: str, ks, kinds=COVARIANCES, group: str
 
         def moments(batches):
             sums: dict[tuple, np.ndarray] = {}
-            for pdf in batches:
-                for name, part in pdf.groupby("g", sort=False):
+            for batch in batches:
+                step = max(64, 4_000_000 // (dims * dims))  # rows whose outer products fit in memory
+                pieces = (batch.iloc[lo:lo + step] for lo in range(0, len(batch), step))
+                for name, part in (pair for piece in pieces for pair in piece.groupby("g", sort=False)):
                     x = np.vstack(part["x"].to_numpy()).astype(float)
                     outer = None
                     for i, key in enumerate(keys):
@@ -292,8 +298,11 @@ class MicroClusters:
 
 def micro_clusters(df: DataFrame, features: str, limit: int = MICRO_CLUSTERS, seed: int = 42) -> MicroClusters:
     """Distinct points if there are at most ``limit``, else the clusters of a distributed k-means."""
-    points = df.groupBy(F.col(features).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
-    few = points.limit(limit + 1).collect()
+    points = df.select(F.col(features).alias("_p"))
+    # a look at the first rows mostly shows that there are many points, without counting them all
+    few = points.limit(20 * limit).distinct().limit(limit + 1).collect()
+    if len(few) <= limit:
+        few = points.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
     if len(few) <= limit:
         few = sorted(few, key=lambda r: list(r["_p"]))
         spark = df.sparkSession

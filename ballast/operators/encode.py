@@ -160,36 +160,59 @@ def _power(x: np.ndarray, lam: float) -> np.ndarray:
     return out
 
 
-def _grid_moments(df: DataFrame, grids: dict[str, list[float]]) -> dict[tuple[str, int], tuple]:
-    """n, mean and squared deviations of the mapped column for every lambda of every column's grid.
+def _grid_moments(df: DataFrame, cols, grids: dict[tuple, list[float]], group: str | None) -> dict[tuple, tuple]:
+    """n, mean, squared deviations and slope of the mapped values for every lambda of every grid.
 
-    Each task reduces its rows to one line per (column, lambda); the lines are merged per column
-    and lambda by the pairwise-variance formula.
+    ``grids`` is keyed by (group value, column).  Each task reduces its rows to one line per grid
+    point; the lines are merged by the pairwise-variance formula.
     """
-    cols = list(grids)
+    key = F.col(group).cast("string") if group else F.lit("all")
+    cols = list(cols)
 
     def partial(batches):
         for pdf in batches:
             lines = []
-            for c in cols:
-                x = pdf[c].to_numpy(dtype=float)
-                x = x[~np.isnan(x)]
-                if not len(x):
-                    continue
-                slope = float((np.sign(x) * np.log1p(np.abs(x))).sum())
-                for i, lam in enumerate(grids[c]):
-                    y = _power(x, lam)
-                    lines.append((c, i, float(len(x)), float(y.mean()), float(((y - y.mean()) ** 2).sum()), slope))
-            yield pd.DataFrame(lines, columns=["column", "i", "n", "m", "m2", "slope"])
-
-    lines = df.select(*[_num(c).alias(c) for c in cols]).mapInPandas(
-        partial, "column STRING, i INT, n DOUBLE, m DOUBLE, m2 DOUBLE, slope DOUBLE")
-    merged = lines.groupBy("column", "i").agg(
+            for name, part in pdf.groupby("g", sort=False):
+                for c in cols:
+                    x = part[c].to_numpy(dtype=float)
+                    x = x[~np.isnan(x)]
+                    if not len(x):
+                        continue
+                    slope = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                    for i, lam in enumerate(grids[(name, c)]):
+                        y = _power(x, lam)
+                        lines.append((name, c, i, float(len(x)), float(y.mean()), float(((y - y.mean()) ** 2).sum()), slope))
+            yield pd.DataFrame(lines, columns=["g", "column", "i", "n", "m", "m2", "slope"])
+
+    lines = df.select(key.alias("g"), *[_num(c).alias(c) for c in cols]).mapInPandas(
+        partial, "g STRING, column STRING, i INT, n DOUBLE, m DOUBLE, m2 DOUBLE, slope DOUBLE")
+    merged = lines.groupBy("g", "column", "i").agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("m"),
         F.sum("m2").alias("inner"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("msq"),
         F.sum("slope").alias("slope"))
-    return {(r["column"], r["i"]): (r["n"], r["m"], max(r["inner"] + r["msq"] - r["n"] * r["m"] ** 2, 0.0), r["slope"])
-            for r in merged.collect()}
+    return {(r["g"], r["column"], r["i"]): (r["n"], r["m"], max(r["inner"] + r["msq"] - r["n"] * r["m"] ** 2, 0.0), r["slope"])
+            for r in collect_bounded(merged, "grid points", 1_000_000)}
+
+
+def _best_lambdas(df: DataFrame, cols, groups: list[str], group: str | None, low: float, high: float, points: int,
+                  rounds: int) -> dict[tuple, tuple]:
+    """(lambda, mean, deviation) of greatest normal likelihood per (group, column)."""
+    pairs = [(g, c) for g in groups for c in cols]
+    spans, best = dict.fromkeys(pairs, (low, high)), {}
+    for _ in range(rounds):
+        grids = {p: list(np.linspace(*spans[p], points)) for p in pairs}
+        sums = _grid_moments(df, cols, grids, group)
+        for g, c in pairs:
+            scored = []
+            for i, lam in enumerate(grids[(g, c)]):
+                n, m, m2, slope = sums.get((g, c, i), (0.0, 0.0, 0.0, 0.0))
+                if m2 > 0 and np.isfinite(m2):
+                    scored.append((-n / 2 * math.log(m2 / n) + (lam - 1) * slope, -i, lam, m, math.sqrt(m2 / n)))
+            mean = sums.get((g, c, 0), (0.0, 0.0))[1]
+            best[(g, c)] = max(scored)[2:] if scored else (1.0, mean, 1.0)
+            step = (spans[(g, c)][1] - spans[(g, c)][0]) / (points - 1)
+            spans[(g, c)] = (best[(g, c)][0] - step, best[(g, c)][0] + step)
+    return best
 
 
 def yeo_johnson_fit(df: DataFrame, cols, low: float = -2.0, high: float = 4.0, points: int = 25,
@@ -199,23 +222,9 @@ def yeo_johnson_fit(df: DataFrame, cols, low: float = -2.0, high: float = 4.0, p
     Every round reads the table once for all columns and all grid points together.
     """
     stats = column_stats(df, cols)
-    spans = {c: (low, high) for c in cols}
-    best: dict[str, tuple] = {}
-    for _ in range(rounds):
-        grids = {c: list(np.linspace(*spans[c], points)) for c in cols}
-        sums = _grid_moments(df, grids)
-        for c in cols:
-            scored = []
-            for i, lam in enumerate(grids[c]):
-                n, m, m2, slope = sums[(c, i)]
-                if m2 > 0 and np.isfinite(m2):
-                    scored.append((-n / 2 * math.log(m2 / n) + (lam - 1) * slope, -i, lam, m, math.sqrt(m2 / n)))
-            best[c] = max(scored) if scored else (0.0, 0, 1.0, stats[c]["mean"], 1.0)
-            step = (spans[c][1] - spans[c][0]) / (points - 1)
-            spans[c] = (best[c][2] - step, best[c][2] + step)
-    return YeoJohnsonModel({c: best[c][2] for c in cols}, {c: best[c][3] for c in cols},
-                           {c: best[c][4] or 1.0 for c in cols},
-                           {c: stats[c]["min"] for c in cols}, {c: stats[c]["max"] for c in cols})
+    best = _best_lambdas(df, cols, ["all"], None, low, high, points, rounds)
+    part = lambda i: {c: best[("all", c)][i] for c in cols}
+    return YeoJohnsonModel(part(0), part(1), part(2), {c: stats[c]["min"] for c in cols}, {c: stats[c]["max"] for c in cols})
 
 
 # ---------------------------------------------------------------- standardize + PCA
@@ -343,9 +352,18 @@ class PerGroupYeoJohnson:
         return self._choose(df, "inverse", clip)
 
 
-def per_group_yeo_johnson(df: DataFrame, cols, group: str, max_groups: int = 64) -> PerGroupYeoJohnson:
-    groups = sorted(r[0] for r in collect_bounded(df.select(group).distinct(), "clusters", max_groups))
-    return PerGroupYeoJohnson({g: yeo_johnson_fit(df.where(F.col(group) == F.lit(g)), cols) for g in groups}, group)
+def per_group_yeo_johnson(df: DataFrame, cols, group: str, max_groups: int = 64, low: float = -2.0, high: float = 4.0,
+                          points: int = 25, rounds: int = 4) -> PerGroupYeoJohnson:
+    """Fit the maps of all clusters together: one pass per round, whatever the number of clusters."""
+    lim = collect_bounded(df.groupBy(group).agg(*[f(_num(c)).alias(f"{t}{i}") for i, c in enumerate(cols)
+                                                 for t, f in (("lo", F.min), ("hi", F.max))]), "clusters", max_groups)
+    best = _best_lambdas(df, cols, [str(r[group]) for r in lim], group, low, high, points, rounds)
+    models = {}
+    for r in lim:
+        part = lambda i: {c: best[(str(r[group]), c)][i] for c in cols}
+        models[r[group]] = YeoJohnsonModel(part(0), part(1), part(2), {c: r[f"lo{i}"] for i, c in enumerate(cols)},
+                                           {c: r[f"hi{i}"] for i, c in enumerate(cols)})
+    return PerGroupYeoJohnson(models, group)
 
 
 # ---------------------------------------------------------------- categories

@@ -95,6 +95,7 @@ def _class_neighbors(df: DataFrame, spec: TableSpec, k: int, within) -> DataFram
 def _interpolate(slots: DataFrame, seeds: DataFrame, keys: list[str], rid: str, purpose: str, seed: int,
                  step: Column | None = None) -> DataFrame:
     """For each slot (keys, copy): a seed row by draw, one of its neighbours by draw, a point between."""
+    seeds = written(seeds, "seeds")  # ranked below in several passes
     rows = ranked(seeds, keys, rid, size="seeds").drop(rid)
     sizes = seeds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seeds"))
     chosen = join_model(slots, sizes, keys).withColumn("rank", pick(f"{purpose}.row", F.col("_seeds"), *keys, "copy", seed=seed))
