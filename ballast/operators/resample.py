@@ -13,6 +13,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ballast.functions.bounds import collect_bounded, join_model
@@ -38,12 +39,18 @@ def _checked(df: DataFrame, spec: TableSpec, numeric: bool = True) -> None:
         raise ValueError("categorical features: wrap the operator in resample_encoded")
 
 
+def _as_type(df: DataFrame, c: str, kind: T.DataType) -> Column:
+    """The column in another type; whole-number columns are rounded, not cut."""
+    fraction = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) and isinstance(kind, T.IntegralType)
+    return (F.rint(c) if fraction else F.col(c)).cast(kind).alias(c)
+
+
 def append_synthetic(df: DataFrame, synthetic: DataFrame, keep_real: bool = True) -> DataFrame:
     """Real rows followed by synthetic ones, told apart by ``is_synthetic``."""
     made = synthetic.withColumn("is_synthetic", F.lit(True))
     missing = [c for c in df.columns if c not in made.columns]
     made = made.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in missing}) if missing else made
-    made = made.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns], "is_synthetic")
+    made = made.select(*[_as_type(made, c, df.schema[c].dataType) for c in df.columns], "is_synthetic")
     return df.withColumn("is_synthetic", F.lit(False)).unionByName(made) if keep_real else made
 
 
@@ -334,7 +341,7 @@ def resample_encoded(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         inner = TableSpec(features=flat, label=spec.label, row_id=spec.row_id)
         out = fn(wide, inner, strategy, seed, **options)
         back = out.withColumns({c: one_hot_inverse(F.array(*names[c]), model.vocabulary[c]).cast(df.schema[c].dataType) for c in cats})
-        return back.select(*df.columns, "is_synthetic")
+        return back.select(*[_as_type(back, c, df.schema[c].dataType) for c in df.columns], "is_synthetic")
 
     return run
 
