@@ -48,6 +48,7 @@ def running_total(df: DataFrame, by, order, weights: Column | dict[str, Column],
                   size: str | None = None, buckets: int | None = None) -> DataFrame:
     """Add the inclusive running sum of each weight within ``by`` under ``order`` (unique columns).
 
+    ``by`` and ``order`` columns hold no nulls (rows with nulls are dropped when a table is loaded).
     ``weights`` is one column (its sum is named ``total``) or several by name.  ``size`` names an
     extra column with the first weight's sum over the whole group.
     """

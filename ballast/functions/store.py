@@ -26,7 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/ballast/{name}-{uuid.uuid4().hex}"
+    """A new path; all tables of one application lie in one folder, to be dropped when it is done."""
+    return f"{shared_folder(spark)}/ballast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -154,9 +154,7 @@ class SiteIndex:
             drawn = self.sites.where(uniform("cells", "site") < min(1.0, 1.2 * size / total)).select("vec").limit(2 * size)
             sample = np.array([r[0] for r in drawn.collect()], dtype=float)
         self.cells = place_cells(sample, wanted if len(sample) else 1)
-        self.placed = self.place(self.sites)
-        if self.cells.depth:
-            self.placed = written(self.placed, "placed")
+        self.placed = written(self.place(self.sites), "placed")
         self.blocks = written(self.placed.groupBy(*self.within, "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "blocks")
 
     def place(self, df: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.functions.bounds import collect_bounded
-from ballast.functions.ranks import ranked
+from ballast.functions.ranks import ranked, running_total
 from ballast.functions.store import written
 from ballast.operators import resample as G
 from ballast.operators import synth as H
@@ -77,7 +77,7 @@ def sampler_suite(seed: int = 42) -> dict[str, Callable[..., DataFrame]]:
     return {
         "ROS": G.random_oversample, "SMOTE": wrap(G.smote), "BorderSMOTE": wrap(G.borderline_smote),
         "SVM-SMOTE": wrap(G.svm_smote), "KMeans SMOTE": wrap(G.kmeans_smote), "ADASYN": wrap(G.adasyn),
-        "CBR": wrap(cluster_resampler), "GCOP": H.gaussian_copula, "SUBSPACE": wrap(H.subspace_resample),
+        "Cluster-Based": wrap(cluster_resampler), "GCOP": H.gaussian_copula, "SUBSPACE": wrap(H.subspace_resample),
         "CLUSTERED": H.clustered_resample, **G.RESAMPLERS,
     }
 
@@ -213,12 +213,19 @@ def _cross_validate(runs: Runs, dataset: str, sampler: str, rows: DataFrame, fea
                       features, label, classes, chosen, None, seed)
 
 
-def _with_id(df: DataFrame, spec: TableSpec, offset_by: str) -> DataFrame:
-    """A row id for synthetic rows, by content; equal rows are interchangeable, so their order is free."""
-    content = F.xxhash64(F.lit(offset_by), *[F.col(c) for c in (*spec.features, spec.label)])
-    tagged = written(df.drop(*spec.row_id).withColumn("_h", content).withColumn(
-        "_n", F.monotonically_increasing_id()), "tagged")
-    return ranked(tagged, [], ["_h", "_n"], spec.row_id[0]).drop("_h", "_n")
+def with_row_id(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """A row id 1..n for synthetic rows, ordered by content.
+
+    Equal rows are interchangeable, so the ids say the same under every partitioning.  Distinct
+    contents are placed by their running row counts; rows of one content are numbered in balanced
+    buckets, however many there are.
+    """
+    content = F.xxhash64(*[F.col(c) for c in (*spec.features, spec.label)])
+    tagged = written(df.drop(*spec.row_id).withColumn("_h", content).withColumn("_n", F.monotonically_increasing_id()), "tagged")
+    numbered = ranked(tagged, "_h", "_n", "_k")
+    sizes = tagged.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
+    before = running_total(sizes, [], "_h", F.col("_c"), "_upto").select("_h", (F.col("_upto") - F.col("_c")).alias("_before"))
+    return numbered.join(before, "_h").withColumn(spec.row_id[0], F.col("_before") + F.col("_k")).drop("_h", "_n", "_k", "_before")
 
 
 def eval_detectability(dataset: str, df: DataFrame, spec: TableSpec, samplers=None, models=None, folds: int = 5,
@@ -239,7 +246,7 @@ def eval_detectability(dataset: str, df: DataFrame, spec: TableSpec, samplers=No
             continue
         both = real_vs_synthetic(p.rows, made, cols)
         tagged = TableSpec(features=tuple(cols), label="is_real", row_id=("_row",))
-        _cross_validate(runs, dataset, name, _with_id(both, tagged, "detect"), cols, "is_real", ["_row"], 2, chosen, folds, seed)
+        _cross_validate(runs, dataset, name, with_row_id(both, tagged), cols, "is_real", ["_row"], 2, chosen, folds, seed)
     return runs.results("binary"), runs.error_table()
 
 
@@ -258,7 +265,7 @@ def eval_fidelity(dataset: str, df: DataFrame, spec: TableSpec, samplers=None, m
         except FAILURES as e:
             runs.failed(name, dataset, 0, seed, e)
             continue
-        _cross_validate(runs, dataset, name, _with_id(made, spec, "fidelity"), spec.features, spec.label, spec.row_id, p.classes, chosen, folds, seed)
+        _cross_validate(runs, dataset, name, with_row_id(made, spec), spec.features, spec.label, spec.row_id, p.classes, chosen, folds, seed)
     return fidelity_difference(runs.results(_average(p.classes))), runs.error_table()
 
 

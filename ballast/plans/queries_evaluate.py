@@ -40,8 +40,6 @@ def i4(spark, sf):
     xy = V._xy(p.rows, X.TOXIC.features, "toxic").cache()
     parts = []
     for name, build in V.classifiers(0).items():
-        if name in ("XGBoost", "Multilayer Perceptron"):
-            continue  # minutes on the whole table; they run in the tests
         table = M.confusion(V.fit_predict(build(3, 2), xy, xy), [], "label", "prediction")
         parts.append(table.select(F.lit(name).alias("classifier"), "y", "pred", "n"))
     from ballast.operators.prepare import stack_all
