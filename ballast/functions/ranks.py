@@ -32,8 +32,10 @@ def _image(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _bucketed(df: DataFrame, first: str, buckets: int) -> DataFrame:
+def _bucketed(df: DataFrame, first: str, buckets: int, is_draw: bool = False) -> DataFrame:
     """Add ``_bucket``, increasing with the first order column and about equally filled."""
+    if is_draw:  # uniform in [0, 1): the limits are known without a pass over the data
+        return df.withColumn("_bucket", F.floor(F.col(first) * buckets).cast("double"))
     df = df.withColumn("_image", _image(df, first))
     if buckets == 1:
         return df.withColumn("_bucket", F.lit(0.0)).drop("_image")
@@ -45,18 +47,20 @@ def _bucketed(df: DataFrame, first: str, buckets: int) -> DataFrame:
 
 
 def running_total(df: DataFrame, by, order, weights: Column | dict[str, Column], total: str = "running",
-                  size: str | None = None, buckets: int | None = None) -> DataFrame:
+                  size: str | None = None, buckets: int | None = None, is_draw: bool = False) -> DataFrame:
     """Add the inclusive running sum of each weight within ``by`` under ``order`` (unique columns).
 
-    ``by`` and ``order`` columns hold no nulls (rows with nulls are dropped when a table is loaded).
+    The input is read two or three times (bucket limits, bucket counts, ranks): write it first if it
+    is costly to make.  ``by`` and ``order`` columns hold no nulls (rows with nulls are dropped when a table is loaded).
     ``weights`` is one column (its sum is named ``total``) or several by name.  ``size`` names an
-    extra column with the first weight's sum over the whole group.
+    extra column with the first weight's sum over the whole group; ``is_draw`` says that the first
+    order column is uniform in [0, 1).
     """
     by = [by] if isinstance(by, str) else list(by)
     order = [order] if isinstance(order, str) else list(order)
     named = weights if isinstance(weights, dict) else {total: weights}
     buckets = buckets or min(shuffle_width(df), 10_000)
-    cut = _bucketed(df.withColumns({f"_w{i}": w for i, w in enumerate(named.values())}), order[0], buckets)
+    cut = _bucketed(df.withColumns({f"_w{i}": w for i, w in enumerate(named.values())}), order[0], buckets, is_draw)
     keys, slots = [*by, "_bucket"], range(len(named))
     sofar = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = cut.withColumns({f"_w{i}": F.sum(f"_w{i}").over(sofar) for i in slots})
@@ -71,9 +75,9 @@ def running_total(df: DataFrame, by, order, weights: Column | dict[str, Column],
 
 
 def ranked(df: DataFrame, by, order, rank: str = "rank", size: str | None = None,
-           buckets: int | None = None) -> DataFrame:
-    """Add the one-based rank of each row within ``by`` under ``order``; ``size`` as above."""
-    return running_total(df, by, order, F.lit(1).cast("long"), rank, size, buckets)
+           buckets: int | None = None, is_draw: bool = False) -> DataFrame:
+    """Add the one-based rank of each row within ``by`` under ``order``; ``size`` and ``is_draw`` as above."""
+    return running_total(df, by, order, F.lit(1).cast("long"), rank, size, buckets, is_draw)
 
 
 def fold_of(rank: Column, size: Column, k: int) -> Column:

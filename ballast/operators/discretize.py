@@ -175,7 +175,7 @@ def adjacent_chi_square(df: DataFrame, cols, label: str) -> DataFrame:
     """
     table, _ = contingency(df, cols, label)
     table = written(table, "contingency")
-    place = running_total(table, "column", "value", F.lit(1).cast("long"), "place")
+    place = written(running_total(table, "column", "value", F.lit(1).cast("long"), "place"), "places")
     left = place.select("column", "place", "value", "counts")
     right = place.select("column", (F.col("place") - 1).alias("place"), F.col("value").alias("next_value"), F.col("counts").alias("next_counts"))
     return left.join(right, ["column", "place"]) \
@@ -235,11 +235,18 @@ def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], max_in
         rows = F.aggregate(F.col("counts"), F.lit(0).cast("long"), lambda s, v: s + v)
         big = running_total(table.where(F.col("column").isin(large)), "column", "value", rows, "upto", size="rows")
         pure = F.when(F.size(F.filter("counts", lambda v: v > 0)) == 1, F.array_position("counts", F.array_max("counts")))
-        ordered = running_total(big.withColumn("pure", pure), "column", "value", F.lit(1).cast("long"), "place")
+        ordered = written(running_total(written(big.withColumn("pure", pure), "runs"), "column", "value", F.lit(1).cast("long"), "place"), "runs")
         previous = ordered.select("column", (F.col("place") + 1).alias("place"), F.col("pure").alias("before"))
-        opened = ordered.join(previous, ["column", "place"], "left") \
-            .withColumn("opens", F.when(F.col("pure").isNotNull() & F.col("before").eqNullSafe(F.col("pure")), 0).otherwise(1))
-        runs = running_total(opened, "column", "value", F.col("opens").cast("long"), "run", size="runs")
+        opened = written(ordered.join(previous, ["column", "place"], "left").withColumn(
+            "opens", F.when(F.col("pure").isNotNull() & F.col("before").eqNullSafe(F.col("pure")), 0).otherwise(1)), "runs")
+        # with fewer runs than wanted intervals, merging from the left stops early: the rightmost
+        # values that would have been merged last stay apart
+        numbers = {c: (distinct[c], bins[c]) for c in large}
+        lookup = lambda i: F.create_map(*[v for c in large for v in (F.lit(c), F.lit(numbers[c][i]).cast("long"))])[F.col("column")]
+        counted = running_total(opened, "column", "value", {"zero": (1 - F.col("opens")).cast("long")}, size="zeros")
+        spare = lookup(1) - (lookup(0) - F.col("zeros"))
+        apart = F.when((F.col("opens") == 0) & (F.col("zeros") - F.col("zero") < spare), 1).otherwise(F.col("opens"))
+        runs = running_total(written(counted.withColumn("opens", apart), "runs"), "column", "value", F.col("opens").cast("long"), "run", size="runs")
         block = F.floor((F.col("upto") - 1) / F.greatest(F.ceil(F.col("rows") / max_intervals), F.lit(1)))
         group = F.when(F.col("runs") <= max_intervals, F.col("run")).otherwise(block)
         merged = runs.withColumn("group", group).groupBy("column", "group").agg(

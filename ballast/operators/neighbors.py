@@ -24,7 +24,7 @@ from ballast.functions.store import written
 from ballast.spec import refuse_stream
 
 BLOCK = 1024         # sites (or queries) per block
-MAX_CELLS = 65_536   # cells in one partition of space; the split points are sent to every task
+MAX_CELLS = 16_384   # cells in one partition of space; the split points are sent to every task
 SAMPLE_PER_CELL = 16  # sites drawn per cell to place the splits (affects balance only, never results)
 
 
@@ -152,7 +152,8 @@ class SiteIndex:
         if wanted > 1:
             size = SAMPLE_PER_CELL * wanted
             drawn = self.sites.where(uniform("cells", "site") < min(1.0, 1.2 * size / total)).select("vec").limit(2 * size)
-            sample = np.array([r[0] for r in drawn.collect()], dtype=float)
+            flat = drawn.toArrow().column("vec").combine_chunks()  # at most 32 vectors per cell
+            sample = np.asarray(flat.flatten()).reshape(len(flat), -1) if len(flat) else sample
         self.cells = place_cells(sample, wanted if len(sample) else 1)
         self.placed = written(self.place(self.sites), "placed")
         self.blocks = written(self.placed.groupBy(*self.within, "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "blocks")

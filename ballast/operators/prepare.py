@@ -117,7 +117,7 @@ def shuffle(df: DataFrame, row_id, seed: int = 42, position: str = "position") -
     refuse_stream(df, "shuffle")
     ids = [row_id] if isinstance(row_id, str) else list(row_id)
     drawn = df.withColumn("_draw", uniform("shuffle", *ids, seed=seed))
-    return ranked(drawn, [], ["_draw", *ids], position).drop("_draw")
+    return ranked(drawn, [], ["_draw", *ids], position, is_draw=True).drop("_draw")
 
 
 def make_classification(spark: SparkSession, n: int, ratios, seed: int = 42, sep: float | None = None) -> DataFrame:

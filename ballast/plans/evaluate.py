@@ -60,10 +60,11 @@ def fit_predict(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- samplers
 
 def cluster_resampler(df: DataFrame, spec: TableSpec, strategy="auto", seed: int = 42, factor: float = 0.01,
-                      sample: int = 2000) -> DataFrame:
+                      sample: int | None = None) -> DataFrame:
     """Ward clusters cut at (median pair distance / factor), then resampling inside each of them.
 
-    The cut needs only a typical distance, so it is measured on a hash-drawn sample of rows.
+    The median looks at all pairs of distinct rows; on very large tables a caller may have it
+    measured on a hash-drawn ``sample`` of rows.
     """
     vec = vector(spec.features)
     cut = median_pair_distance(df, vec, spec.row_id[0], factor, sample=sample, seed=seed)

@@ -155,6 +155,12 @@ def g8(spark, sf):
     return out.where("is_synthetic").select("toxic", "n_chars", "lang", "source")
 
 
+@query("g8_svm_smote_counts", sql=_NEED + "SELECT toxic, (SELECT max(n) FROM c) AS n FROM c")
+def g8_counts(spark, sf):
+    out = G.resample_encoded(G.svm_smote)(X.toxic_docs(spark, sf), X.TOXIC)
+    return out.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("g9_kmeans_smote")
 def g9(spark, sf):
     t = X.rare_lines(spark, sf).select("line_id", "l_extendedprice", "l_discount", "l_tax", "rare")

@@ -97,14 +97,24 @@ def h7(spark, sf):
     return out.where("is_synthetic").select("toxic", "n_chars")
 
 
-@query("h8_sample_clustered")
+@query("h7_sample_subspace_counts", sql=f"""
+WITH {X.TOXIC_SQL}, c AS (SELECT toxic, count(*) AS n FROM toxic_docs GROUP BY toxic) SELECT toxic, (SELECT max(n) FROM c) AS n FROM c""")
+def h7_counts(spark, sf):
+    spec = X.TableSpec(features=("n_chars",), label="toxic", row_id=("doc_id",))
+    out = H.subspace_resample(X.toxic_docs(spark, sf), spec, max_components=3, rounds=15)
+    return out.where("toxic IS NOT NULL AND n_chars IS NOT NULL").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("h8_sample_clustered", sql=f"""
+WITH {X.RARE_SQL}, c AS (SELECT rare, count(*) AS n FROM rare_lines GROUP BY rare)
+SELECT rare, false AS is_synthetic, n FROM c UNION ALL SELECT rare, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
 def h8(spark, sf):
     out = H.clustered_resample(X.rare_lines(spark, sf), X.RARE, max_clusters=5)
     return out.groupBy("rare", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h8_sample_clustered_ranges", sql=f"""
-WITH {X.RARE_SQL}, c AS (SELECT rare, count(*) AS n FROM rare_lines GROUP BY rare)
+WITH {X.RARE_SQL}
 SELECT rare, l_returnflag, true AS in_range, sum(k) > 0 AS some FROM (SELECT rare, l_returnflag, count(*) AS k FROM rare_lines GROUP BY ALL) WHERE rare = 1 GROUP BY rare, l_returnflag""")
 def h8_ranges(spark, sf):
     t = X.rare_lines(spark, sf).withColumn("cluster", F.col("l_returnflag"))

@@ -45,6 +45,16 @@ def test_chi_merge_starts_from_equal_blocks_when_large(spark):
     assert len(cuts) == 3 and cuts == sorted(cuts) and set(cuts) <= set(x)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_chi_merge_of_long_runs_is_exact(spark, k, classes):
+    x = np.arange(60).astype(float)
+    y = np.minimum((x // 20).astype(int), classes - 1)
+    y[30:33] = 0
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x DOUBLE, y INT")
+    assert D.chi_merge_cuts(df, ["x"], "y", {"x": k}, max_intervals=20)["x"] == chi_merge_brute(x, y, k)
+
+
 def caim_brute(x, y):
     classes = np.unique(y)
 
