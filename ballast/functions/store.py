@@ -35,3 +35,12 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, name: str = "spread") -> DataFrame:
+    """A written table for steps that compute much per row.
+
+    One that lies in fewer pieces than there are cores is cut up once; a large table is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return written(table.repartition(cores), name) if table.rdd.getNumPartitions() < cores else table

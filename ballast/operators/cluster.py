@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ballast.functions.bounds import BoundExceeded, collect_bounded, join_model
 from ballast.functions.draws import pick, uniform
 from ballast.functions.ranks import expand, ranked
-from ballast.functions.store import written
+from ballast.functions.store import spread, written
 from ballast.operators.encode import array_to_vector, feature_array, fit_one_hot, min_max
 from ballast.operators.neighbors import vector
 from ballast.operators.prepare import class_counts
@@ -69,7 +69,7 @@ def choose_k_kmeans(df: DataFrame, features: str = "features", max_clusters: int
 
     The feature table is written once; the candidate fits are submitted side by side.
     """
-    data = written(df.withColumn("_x", array_to_vector(F.col(features))), "features")
+    data = spread(written(df.withColumn("_x", array_to_vector(F.col(features))), "features"))
     total = total_squares(data, features) or 1.0
 
     def fit(k: int):
@@ -147,7 +147,7 @@ def fit_mixtures(df: DataFrame, features: str, ks, kinds=COVARIANCES, group: str
     """
     refuse_stream(df, "fit_mixtures")
     g = F.col(group).cast("string") if group else F.lit("all")
-    data = written(df.select(g.alias("g"), F.col(features).alias("x")), "mixture-rows")
+    data = spread(written(df.select(g.alias("g"), F.col(features).alias("x")), "mixture-rows"))
     sizes = {r["g"]: r["n"] for r in collect_bounded(data.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "groups", 1000)}
     dims = len(data.first()["x"])
     cells = sum(len(kinds) * k * (1 + dims + (dims * dims if {"full", "tied"} & set(kinds) else dims)) for k in ks) * len(sizes)
