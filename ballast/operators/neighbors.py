@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ballast.functions.bounds import checked_broadcast, join_model, shuffle_width
+from ballast.functions.bounds import MAX_MODEL_ROWS, join_model, shuffle_width
 from ballast.functions.draws import uniform
 from ballast.functions.store import written
 from ballast.spec import refuse_stream
@@ -182,13 +182,17 @@ class SiteIndex:
         """
         keys = [*self.within, "cell"]
         q_sizes = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("qparts"))
-        sizes = checked_broadcast(self.blocks.join(q_sizes, keys))
+        sizes = self.blocks.join(q_sizes, keys)
+        known, tasks = sizes.limit(MAX_MODEL_ROWS + 1).collect(), shuffle_width(queries)
+        if len(known) <= MAX_MODEL_ROWS:
+            tasks = max(1, min(tasks, sum(r["parts"] * r["qparts"] for r in known)))
+            sizes = F.broadcast(queries.sparkSession.createDataFrame(known, sizes.schema))
         pick = lambda salt, n: F.pmod(F.xxhash64(F.col("site"), F.lit(salt)), n).cast("int")
         q = queries.join(sizes, keys).withColumn("qblock", pick("q", F.col("qparts"))) \
             .withColumn("sblock", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts", "qparts")
         s = self.placed.join(sizes, keys).withColumn("sblock", pick("s", F.col("parts"))) \
             .withColumn("qblock", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1))).drop("parts", "qparts")
-        by, tasks = [*keys, "qblock", "sblock"], shuffle_width(queries)
+        by = [*keys, "qblock", "sblock"]
         return q.repartition(tasks, *by).groupBy(*by).cogroup(s.repartition(tasks, *by).groupBy(*by)).applyInPandas(run, schema)
 
     def reachable(self, queries: DataFrame, bound: str, skip_own: bool) -> DataFrame:
