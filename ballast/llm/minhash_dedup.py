@@ -242,3 +242,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, text: st
     out = sketched.drop("regs").join(written(named, "components"), "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"), *own_row)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, percent: int = 80, width: int = 5, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The documents that stay: of every component the one with the smallest id, once, with its own columns.
+
+    Documents without words stay, and so do rows with a null id; of rows that repeat an id one stays.
+    """
+    numbered = written(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup-docs")
+    found = near_duplicates(numbered, percent, width, text, id_col, row="_dedup_row").where("kept")
+    unnamed = found.where(F.col(id_col).isNull()).select("_dedup_row")
+    stay = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("_dedup_row").alias("_dedup_row")).select("_dedup_row")
+    return numbered.join(stay.unionByName(unnamed), "_dedup_row").select(*docs.columns)

@@ -183,7 +183,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     are 0.  Columns named like the new ones are replaced.
     """
     spark = docs.sparkSession
-    base = docs.drop("held_out", "score", "predicted")
+    base = docs.drop("held_out", "score", "predicted", "_f")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     marked = base.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text")).join(known.where(fold(F.col("_id")) != 2), "_id")
     marked = written(marked.select("text", "toxic", fold(F.col("_id")).alias("fold"), F.xxhash64("_id").alias("draw")), "labelled")

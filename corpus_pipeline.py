@@ -1,19 +1,48 @@
-"""The corpus pipeline: stages on documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: toxic documents go, one document of each near-duplicate group stays, sources are mixed to
+their targets and what is left is packed into sequences.  Each stage is written as Parquet and read again by the next."""
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from ballast.functions.store import written
+from ballast.llm.minhash_dedup import deduplicated
+from ballast.llm.mixing import mixed
+from ballast.llm.packing import pack
+from ballast.llm.toxicity import score_documents
 
-#: No SQL: the first stage fits a model and the last tokenizes.
+#: No SQL: the first stage fits a model and the last one tokenizes.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ballast.functions.store import written
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return deduplicated(docs, percent=80, width=5)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed(docs)
+
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, 1, with_ids=False)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
