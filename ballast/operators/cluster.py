@@ -156,11 +156,12 @@ def fit_mixtures(df: DataFrame, features: str, ks, kinds=COVARIANCES, group: str
     stats = {r["g"]: r for r in data.groupBy("g").agg(*[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(dims)]).collect()}
     rates = F.create_map(*[v for n, m in sizes.items() for v in (F.lit(n), F.lit(min(1.0, 2.0 * sample / m)))])
     drawn: dict[str, list] = {}
-    for r in data.where(uniform("mixture.sample", F.xxhash64("x"), seed=seed) < rates[F.col("g")]).limit(4 * sample * len(sizes)).collect():
+    place = uniform("mixture.sample", F.xxhash64("x"), seed=seed)
+    for r in data.withColumn("_u", place).where(F.col("_u") < rates[F.col("g")]).orderBy("_u", "g").limit(4 * sample * len(sizes)).collect():
         drawn.setdefault(r["g"], []).append(r["x"])
     models: dict[tuple, Mixture] = {}
     for name, n in sizes.items():
-        x = np.array(sorted(drawn.get(name) or [r["x"] for r in data.where(F.col("g") == name).limit(sample).collect()]), dtype=float)
+        x = np.array(sorted(drawn.get(name) or [r["x"] for r in data.where(F.col("g") == name).orderBy(place, "x").limit(sample).collect()]), dtype=float)
         var = np.array([stats[name][f"v{i}"] for i in range(dims)]) + ridge
         for k in ks:
             if k > n:
@@ -263,18 +264,19 @@ def class_subspaces(df: DataFrame, features: str, label: str, max_components: in
     """Per class a mixture of least BIC, components numbered on from class to class.
 
     Returns the labelled rows (``cluster``) and a model table (class, cluster, probability, mean,
-    cov).  All clusters of a class are equally likely; classes with one row are left out.
+    cov).  All clusters of a class are equally likely; a class with one row is one point without spread.
     """
     fitted = fit_mixtures(df, features, range(1, max_components + 1), group=label, rounds=rounds, seed=seed)
     kind = df.schema[label].dataType
     names = {str(r[label]): r for r in collect_bounded(class_counts(df, label), "classes", 1000)}
     rows, start, pieces = [], 0, F.lit(None).cast("int")
     for name in sorted(fitted, key=lambda s: names[s][label]):
-        if names[name]["n"] < 2:
-            continue
         m = best_mixture(fitted[name])
+        if names[name]["n"] < 2:
+            m = Mixture(m.kind, m.weight, m.mean, np.zeros_like(m.cov), m.loglik, m.rows)
         value = names[name][label]
-        pieces = F.when(F.col(label) == F.lit(value), mixture_label(features, m) + start).otherwise(pieces)
+        own = mixture_label(features, m) if m.k > 1 else F.lit(0)
+        pieces = F.when(F.col(label) == F.lit(value), (own + start).cast("int")).otherwise(pieces)
         rows += [(value, start + j, 1.0 / m.k, m.kind, [float(v) for v in m.mean[j]], [float(v) for v in m.cov[j].ravel()]) for j in range(m.k)]
         start += m.k
     schema = T.StructType([T.StructField(label, kind), T.StructField("cluster", T.IntegerType()), T.StructField("p", T.DoubleType()),
@@ -409,16 +411,18 @@ def cluster_profile(df: DataFrame, cluster: str, cols, label: str | None = None)
     return wide.join(maps, cluster)
 
 
-def p_cluster_given_class(df: DataFrame, cluster: str, label: str) -> DataFrame:
-    """(label, cluster, n, p) for every class and cluster, absent pairs with 0."""
-    counts = collect_bounded(df.groupBy(label, cluster).agg(F.count(F.lit(1)).alias("n")), "class-cluster pairs")
-    n = {(r[label], r[cluster]): r["n"] for r in counts}
-    totals: dict = {}
-    for (c, _), v in n.items():
-        totals[c] = totals.get(c, 0) + v
-    rows = [(c, u, n.get((c, u), 0), n.get((c, u), 0) / totals[c]) for c in sorted(totals) for u in sorted({u for _, u in n})]
-    return df.sparkSession.createDataFrame(rows, T.StructType([
-        df.schema[label], df.schema[cluster], T.StructField("n", T.LongType()), T.StructField("p", T.DoubleType())]))
+def p_cluster_given_class(df: DataFrame, cluster: str, label: str, absent: bool = True) -> DataFrame:
+    """(label, cluster, n, p) for every class and cluster; pairs that do not occur have 0, or no row without ``absent``."""
+    counts = written(df.groupBy(label, cluster).agg(F.count(F.lit(1)).alias("n")), "class-clusters")
+    totals = counts.groupBy(label).agg(F.sum("n").alias("_all"))
+    pairs = counts.select(label, cluster)
+    if absent:  # the classes are few (checked), so every cluster carries the list of them
+        classes = sorted(r[label] for r in collect_bounded(totals.select(label), "classes", 10_000))
+        listed = F.array(*[F.lit(c) for c in classes]).cast(T.ArrayType(df.schema[label].dataType))
+        pairs = counts.select(cluster).distinct().withColumn(label, F.explode(listed))
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    return join_model(pairs.join(counts, [label, cluster], "left"), totals, label) \
+        .select(label, cluster, n.alias("n"), (n / F.col("_all")).alias("p"))
 
 
 # ---------------------------------------------------------------- outliers and padding
@@ -461,7 +465,7 @@ def isolation_score(df: DataFrame, spec: TableSpec, trees: int = 100, rows: int
     rid = list(spec.row_id)
     draw = uniform("isolation", *rid, seed=seed)
     share = min(1.0, 1.5 * trees * rows / max(total, 1))
-    picked = df.where(draw < share).select(draw.alias("u"), vector(spec.features).alias("x")).limit(3 * trees * rows).collect()
+    picked = df.where(draw < share).select(draw.alias("u"), vector(spec.features).alias("x")).orderBy("u", "x").limit(3 * trees * rows).collect()
     picked = np.array([r["x"] for r in sorted(picked, key=lambda r: r["u"])], dtype=float)
     rng = np.random.default_rng(seed)
     per = min(rows, len(picked))

@@ -20,16 +20,16 @@ def core_flags(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples:
     return radius_counts(df, df, vec, row_id, eps).withColumn("core", F.col("neighbors") >= min_samples).drop("neighbors")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node is connected to.
 
     Every round takes the least label among the neighbours and then follows labels to their own
-    labels; each round is written, so the lineage stays short.
+    labels; each round is written, so the lineage stays short.  Labels only fall, so the rounds end.
     """
     both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(
         edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -39,7 +39,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         labels = new
         if not changed:
             return labels
-    raise RuntimeError("connected components did not settle")
 
 
 def dbscan(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples: int = 3) -> DataFrame:

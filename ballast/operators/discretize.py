@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.bounds import collect_bounded
+from ballast.functions.bounds import BoundExceeded, collect_bounded
 from ballast.functions.ranks import running_total
 from ballast.functions.store import written
 from ballast.operators.encode import column_stats, fit_one_hot
@@ -102,11 +103,11 @@ def _midpoints(centres: list[float]) -> list[float]:
     return [(a + b) / 2 for a, b in zip(centres, centres[1:])]
 
 
-def kmeans_cuts(df: DataFrame, cols, bins: dict[str, int], passes: int = 10) -> dict[str, list[float]]:
+def kmeans_cuts(df: DataFrame, cols, bins: dict[str, int], passes: int = 300) -> dict[str, list[float]]:
     """Edges midway between the centres of a one-dimensional k-means.
 
     Lloyd's iterations run on bounded histograms first, then over all rows (one aggregation for
-    all columns per pass) until no centre moves.
+    all columns per pass) until no centre moves, or for the published 300 ``passes``.
     """
     centres: dict[str, list[float]] = {}
     lines: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
@@ -217,20 +218,20 @@ def _merge_intervals(starts: np.ndarray, counts: np.ndarray, k: int) -> list[flo
     return [float(s) for s in starts[alive]]
 
 
-def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], max_intervals: int = 50_000) -> dict[str, list[float]]:
+def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], start_intervals: int | None = None,
+                   max_runs: int = 5_000_000) -> dict[str, list[float]]:
     """ChiMerge: start from distinct values, merge the least chi-square pair until k intervals.
 
     Neighbouring values that hold a single, equal class have chi-square zero, so they are merged in
-    Spark first.  Columns that still have more than ``max_intervals`` starting intervals begin from
-    that many intervals of equal row count (every row is counted); the merging of one column then
-    works on a bounded table in one task, columns in parallel.
+    Spark first; what is left of a column is merged in one task, columns in parallel.  With
+    ``start_intervals`` every column begins from that many intervals of equal row count instead of its values,
+    whatever its size.  A column that keeps more than ``max_runs`` runs is refused: it needs ``start_intervals``.
     """
     per_value, classes = contingency(df, cols, label)
     table = written(per_value, "contingency")
     distinct = {r["column"]: r["v"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("v")).collect()}
-    large = [c for c in cols if distinct.get(c, 0) > max_intervals]
-    parts = table.where(~F.col("column").isin(large)) if large else table
-    start = parts.select("column", F.col("value").alias("start"), "counts")
+    large = [c for c in cols if c in distinct]
+    start = None
     if large:
         rows = F.aggregate(F.col("counts"), F.lit(0).cast("long"), lambda s, v: s + v)
         big = running_total(table.where(F.col("column").isin(large)), "column", "value", rows, "upto", size="rows")
@@ -247,12 +248,15 @@ def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], max_in
         spare = lookup(1) - (lookup(0) - F.col("zeros"))
         apart = F.when((F.col("opens") == 0) & (F.col("zeros") - F.col("zero") < spare), 1).otherwise(F.col("opens"))
         runs = running_total(written(counted.withColumn("opens", apart), "runs"), "column", "value", F.col("opens").cast("long"), "run", size="runs")
-        block = F.floor((F.col("upto") - 1) / F.greatest(F.ceil(F.col("rows") / max_intervals), F.lit(1)))
-        group = F.when(F.col("runs") <= max_intervals, F.col("run")).otherwise(block)
+        group = F.col("run")
+        if start_intervals:
+            group = F.floor((F.col("upto") - 1) / F.greatest(F.ceil(F.col("rows") / start_intervals), F.lit(1)))
+        elif (most := runs.agg(F.max("runs")).first()[0]) > max_runs:
+            raise BoundExceeded(f"a column keeps {most} runs of values; give start_intervals")
         merged = runs.withColumn("group", group).groupBy("column", "group").agg(
             F.min("value").alias("start"),
             F.array(*[F.sum(F.col("counts")[i]) for i in range(len(classes))]).alias("counts"))
-        start = start.unionByName(merged.select("column", "start", "counts"))
+        start = merged.select("column", "start", "counts")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
@@ -261,7 +265,7 @@ def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], max_in
         return pd.DataFrame({"column": c, "cut": kept})
 
     out: dict[str, list[float]] = {c: [] for c in cols}
-    for r in collect_bounded(start.groupBy("column").applyInPandas(merge, "column STRING, cut DOUBLE"), "intervals"):
+    for r in collect_bounded(start.groupBy("column").applyInPandas(merge, "column STRING, cut DOUBLE"), "intervals") if large else []:
         out[r["column"]].append(r["cut"])
     return {c: sorted(v)[1:] for c, v in out.items()}
 
@@ -350,7 +354,7 @@ def caim_cuts(df: DataFrame, cols, label: str, max_cuts: int | None = None) -> d
 
 def auto_bins(df: DataFrame, cols, max_modes: int = 10) -> dict[str, int]:
     """Number of bins = number of mixture components some row is assigned to, at least 2."""
-    used = active_modes(df, mixture_1d(df, cols, max_modes), eps=-1.0)
+    used = active_modes(df, mixture_1d(df, cols, max_modes, prior=None), eps=-1.0)
     return {c: max(2, sum(m.used for m in used[c])) for c in cols}
 
 
@@ -359,6 +363,21 @@ def bin_code(x: Column, cuts: list[float]) -> Column:
     return sum((F.when(x >= F.lit(float(e)), 1).otherwise(0) for e in cuts), F.lit(0)).cast("int")
 
 
+def cut_weights(modes: list[Mode], cuts: list[float]) -> list[float]:
+    """Weight of each bin: that of the mixture components whose mean lies in it."""
+    out = [0.0] * (len(cuts) + 1)
+    for m in modes:
+        out[bisect_right(cuts, m.mean)] += m.weight
+    return out
+
+
+def _weights_of(modes: list[Mode], means: list[float]) -> list[float]:
+    out = [0.0] * len(means)
+    for m in modes:
+        out[min(range(len(means)), key=lambda i: (abs(means[i] - m.mean), i))] += m.weight
+    return out
+
+
 @dataclass
 class DiscretizerModel:
     """Cut points (or mixture modes) and bin weights per column."""
@@ -422,12 +441,13 @@ def fit_discretizer(df: DataFrame, cols, strategy: str | None, bins: int | str |
     n = auto_bins(df, cols) if bins in ("auto", "auto-bgm") and strategy != "caim" else \
         {c: 2 if bins is None or isinstance(bins, str) else int(bins) for c in cols}
     weights = {}
-    if bin_weights == "auto":
-        weights = {c: [m.weight for m in ms] for c, ms in mixture_1d(df, cols).items()}
+    found = mixture_1d(df, cols, prior=None) if bin_weights == "auto" else {}
     if strategy == "bins-bgm":
         modes: dict[str, list[Mode]] = {}
         for size in sorted(set(n.values())):
-            modes |= mixture_1d(df, [c for c in cols if n[c] == size], size)
+            modes |= mixture_1d(df, [c for c in cols if n[c] == size], size, prior=None)
+        if found:  # a bin has the weight of the components that it is the likeliest for
+            weights = {c: _weights_of(found[c], [m.mean for m in modes[c]]) for c in cols}
         return DiscretizerModel({}, modes, weights)
     if strategy == "bins-uni":
         cuts = uniform_cuts(df, cols, n)
@@ -439,6 +459,8 @@ def fit_discretizer(df: DataFrame, cols, strategy: str | None, bins: int | str |
         cuts = chi_merge_cuts(df, cols, label, n)
     else:
         cuts = caim_cuts(df, cols, label)
+    if found:
+        weights = {c: cut_weights(found[c], cuts[c]) for c in cols}
     return DiscretizerModel(cuts, {}, weights)
 
 

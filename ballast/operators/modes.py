@@ -64,7 +64,7 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
-def _fit_mixture(x: np.ndarray, n: np.ndarray, modes: int, rounds: int = 100) -> list[tuple[float, float, float]]:
+def _fit_mixture(x: np.ndarray, n: np.ndarray, modes: int, prior: float = CONCENTRATION, rounds: int = 100) -> list[tuple[float, float, float]]:
     """Variational Gaussian mixture with a stick-breaking weight prior on weighted points.
 
     The update formulas are those of the textbook treatment of variational mixtures in one
@@ -83,7 +83,7 @@ def _fit_mixture(x: np.ndarray, n: np.ndarray, modes: int, rounds: int = 100) ->
         bar = (w * x[:, None]).sum(0) / size
         scatter = (w * (x[:, None] - bar) ** 2).sum(0)
         later = np.concatenate([np.cumsum(size[::-1])[::-1][1:], [0.0]])
-        a, b = 1.0 + size, CONCENTRATION + later
+        a, b = 1.0 + size, prior + later
         log_stick = _digamma(a) - _digamma(a + b)
         log_rest = np.concatenate([[0.0], np.cumsum(_digamma(b) - _digamma(a + b))[:-1]])
         precision, dof = 1.0 + size, 1.0 + size
@@ -104,12 +104,17 @@ def _fit_mixture(x: np.ndarray, n: np.ndarray, modes: int, rounds: int = 100) ->
     return [(float(m), float(np.sqrt(s)), float(p)) for m, s, p in zip(mean, sd2, weight)]
 
 
-def mixture_1d(df: DataFrame, cols, max_modes: int = 10, where: dict[str, Column] | None = None) -> dict[str, list[Mode]]:
-    """A Gaussian mixture per column, fitted on bounded histograms, columns in parallel."""
+def mixture_1d(df: DataFrame, cols, max_modes: int = 10, where: dict[str, Column] | None = None,
+               prior: float | None = CONCENTRATION) -> dict[str, list[Mode]]:
+    """A Gaussian mixture per column, fitted on bounded histograms, columns in parallel.
+
+    ``prior`` is the weight concentration; None stands for 1 / ``max_modes``.
+    """
+    prior = 1.0 / max_modes if prior is None else prior
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("centre")
-        found = _fit_mixture(pdf["centre"].to_numpy(float), pdf["n"].to_numpy(float), max_modes)
+        found = _fit_mixture(pdf["centre"].to_numpy(float), pdf["n"].to_numpy(float), max_modes, prior)
         return pd.DataFrame([(pdf["column"].iloc[0], i, *m) for i, m in enumerate(found)],
                             columns=["column", "mode", "mean", "sd", "weight"])
 

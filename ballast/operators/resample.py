@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from ballast.functions.bounds import collect_bounded, join_model
 from ballast.functions.draws import pick, uniform
-from ballast.functions.ranks import expand, ranked
+from ballast.functions.ranks import expand, ranked, running_total
 from ballast.functions.store import written
 from ballast.operators.counts import CountPlan, plan_counts
 from ballast.operators.encode import array_to_vector, fit_one_hot, one_hot, one_hot_inverse, vector_to_array
@@ -298,11 +298,27 @@ def cluster_plan(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return flagged.withColumn("need", need.cast("long")).select(cluster, label, "n", "included", "dropped", "need")
 
 
-def cluster_based_resample(df: DataFrame, spec: TableSpec, cluster: str, inner: str = "cs", seed: int = 42, k: int = 1) -> DataFrame:
+def _spread_need(plan: DataFrame, wanted: CountPlan, cluster: str) -> DataFrame:
+    """(cluster, label, n, need): what a class is to get, dealt to the clusters with two or more of its rows by their size."""
+    label = wanted.label
+    base = plan.where("n > 1").select(cluster, label, "n")
+    held = {r[label] for r in collect_bounded(base.select(label).distinct(), "classes", 10_000)}
+    lone = [c for c in wanted.targets if c not in held]
+    if lone:
+        raise ValueError(f"no cluster holds two rows of the classes {lone}")
+    upto = running_total(written(base, "cluster-need"), label, cluster, F.col("n"), "_upto", size="_all")
+    goal = F.create_map(*[v for c, k in wanted.need.items() for v in (F.lit(c), F.lit(k).cast("long"))])[F.col(label)]
+    part = lambda rows: F.floor(goal * rows / F.col("_all"))
+    return upto.withColumn("need", (part(F.col("_upto")) - part(F.col("_upto") - F.col("n"))).cast("long")).select(cluster, label, "n", "need")
+
+
+def cluster_based_resample(df: DataFrame, spec: TableSpec, cluster: str, inner: str = "cs", seed: int = 42, k: int = 1,
+                           strategy="auto") -> DataFrame:
     """Resample inside every cluster at once, given cluster labels (noise counts as one cluster).
 
-    ``inner``: ``cs`` for :func:`centroid_sample`, ``smote`` for :func:`smote`.  Rows of dropped
-    clusters leave the table; all other rows stay.
+    ``inner``: ``cs`` for :func:`centroid_sample`, ``smote`` for :func:`smote` with ``k`` neighbours.  With ``auto`` each
+    cluster is balanced for itself; any other strategy says what each class gets in all (see
+    :func:`plan_counts`), which its clusters share by size.  Rows of dropped clusters leave the table; all other rows stay.
     """
     _checked(df, spec)
     if inner not in ("cs", "smote"):
@@ -311,7 +327,8 @@ def cluster_based_resample(df: DataFrame, spec: TableSpec, cluster: str, inner:
     plan = written(cluster_plan(df, cluster, label), "cluster-plan")
     gone = plan.where("dropped").select(*keys)
     kept = join_model(df, gone, keys, "left_anti")
-    need = plan.where("need > 0").select(*keys, "n", "need")
+    wanted = None if strategy == "auto" else plan_counts(df, label, strategy)
+    need = (plan if wanted is None else written(_spread_need(plan, wanted, cluster), "cluster-need")).where("need > 0").select(*keys, "n", "need")
     inside = join_model(df, need.select(*keys), keys, "left_semi")
     if inner == "cs":
         made = _centroid_rows(inside, spec, need, keys, seed, toward=False)
@@ -319,7 +336,7 @@ def cluster_based_resample(df: DataFrame, spec: TableSpec, cluster: str, inner:
         seeds = _class_neighbors(inside, spec, k, keys)
         made = _put(_interpolate(expand(need, "need").drop("need", "n"), seeds, keys, _id(spec), "cluster", seed), "_new", spec.features) \
             .select(*keys, *spec.features)
-    return append_synthetic(kept, made)
+    return append_synthetic(kept, made, wanted is None or wanted.keep_real)
 
 
 # ---------------------------------------------------------------- wrappers and registry

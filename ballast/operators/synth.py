@@ -143,13 +143,33 @@ def _scores(df: DataFrame, model_cols: list[str], quantiles: dict[str, np.ndarra
             xs, zs = _increasing(quantiles[c], grid)
             parts.append(_interpolate(F.col(c).cast("double"), xs, zs))
         else:
-            expr = F.lit(0.0)
-            for value, _, z in categories[c]:
-                expr = F.when(F.col(c).cast("string") == value, F.lit(z)).otherwise(expr)
-            parts.append(expr)
+            parts.append(_category_score(F.col(c), categories[c]))
     return F.array(*parts)
 
 
+def _category_score(value: Column, known: list) -> Column:
+    """The score of a category, 0 for one that was not seen."""
+    of = {v: z for v, _, z in known}
+
+    @F.pandas_udf("double")
+    def score(values: pd.Series) -> pd.Series:
+        return values.map(of).fillna(0.0).astype(float)
+
+    return score(value.cast("string"))
+
+
+def _category_at(z: Column, known: list) -> Column:
+    """The category whose range of scores holds ``z``, by binary search."""
+    cuts = np.array([NormalDist().inv_cdf(min(max(upper, 1e-9), 1 - 1e-9)) for _, upper, _ in known[:-1]])
+    names = np.array([v for v, _, _ in known], dtype=object)
+
+    @F.pandas_udf("string")
+    def category(scores: pd.Series) -> pd.Series:
+        return pd.Series(names[np.searchsorted(cuts, scores.to_numpy(float), side="right")])
+
+    return category(z)
+
+
 def _interpolate(x: Column, at: np.ndarray, to: np.ndarray) -> Column:
     """Piecewise linear map through the points (at, to), flat outside."""
 
@@ -204,9 +224,7 @@ def sample_copula(model: CopulaModel, slots: DataFrame, given: bool = True, seed
     if given:
         rho = model.corr[:d, d]
         root = _root(model.corr[:d, :d] - np.outer(rho, rho))
-        score = F.lit(0.0)
-        for value, _, z in model.categories[label]:
-            score = F.when(F.col(label).cast("string") == value, F.lit(z)).otherwise(score)
+        score = _category_score(F.col(label), model.categories[label])
         centre = [score * float(r) for r in rho]
         keys = [label, "copy"]
     else:
@@ -222,11 +240,7 @@ def sample_copula(model: CopulaModel, slots: DataFrame, given: bool = True, seed
             x = _interpolate(F.col(f"_z{i}"), model.grid, model.quantiles[c])
             values[c] = F.rint(x) if c in model.whole else x
         else:
-            known = model.categories[c]
-            expr = F.lit(known[-1][0])
-            for value, upper, _ in reversed(known[:-1]):
-                expr = F.when(F.col(f"_z{i}") < NormalDist().inv_cdf(min(max(upper, 1e-9), 1 - 1e-9)), F.lit(value)).otherwise(expr)
-            values[c] = expr
+            values[c] = _category_at(F.col(f"_z{i}"), model.categories[c])
     return out.withColumns(values).drop(*z)
 
 

@@ -20,7 +20,7 @@ from ballast.functions.ranks import ranked, running_total
 from ballast.functions.store import written
 from ballast.operators import resample as G
 from ballast.operators import synth as H
-from ballast.operators.density import median_pair_distance
+from ballast.operators.density import dbscan, median_pair_distance
 from ballast.operators.cluster import cluster_features, ward
 from ballast.operators.discretize import fit_discretizer
 from ballast.operators.encode import array_to_vector, fit_one_hot, standardize
@@ -36,19 +36,32 @@ FAILURES = (ValueError, RuntimeError, ArithmeticError, PySparkException)
 
 # ---------------------------------------------------------------- classifiers
 
-def classifiers(seed: int = 0) -> dict[str, Callable[[int, int], object]]:
-    """The six classifiers by name; each maps (features, classes) to an estimator.
+# Names and parameters of the classifiers of the published experiments.
+PENALTY = 1.0        # C: weight of the sum of losses against half the squared weights
+MAX_ITERATIONS = 300
+BOOSTING_ROUNDS = 100
+BOOSTING_DEPTH = 10
+FOREST_TREES = 50
+HIDDEN_LAYERS = (128, 128)
+DEEPEST = 30         # Spark's ceiling for trees that the experiments do not limit
 
-    Linear SVM and boosted trees know two classes only, so more classes go one against the rest.
+
+def classifiers(seed: int = 0) -> dict[str, Callable[[int, int, int], object]]:
+    """The six classifiers by name; each maps (features, classes, rows) to an estimator.
+
+    Linear SVM and boosted trees know two classes only, so more classes go one against the rest.  Spark
+    weighs the mean loss, the published C the sum of losses, so the penalty is 1 / (C * rows).  Trees without a
+    limit of depth stop at Spark's own of 30.
     """
-    binary = lambda est: lambda d, c: est() if c <= 2 else OneVsRest(classifier=est())
+    binary = lambda est: lambda d, c, n: est(n) if c <= 2 else OneVsRest(classifier=est(n))
+    weak = lambda n: 1.0 / (PENALTY * max(n, 1))
     return {
-        "Logistic Regression": lambda d, c: LogisticRegression(maxIter=300),
-        "Support Vector Machine": binary(lambda: LinearSVC(maxIter=100, regParam=1.0)),
-        "Decision Tree": lambda d, c: DecisionTreeClassifier(impurity="gini", maxDepth=30, seed=seed),
-        "XGBoost": binary(lambda: GBTClassifier(maxDepth=10, seed=seed)),
-        "Random Forest": lambda d, c: RandomForestClassifier(numTrees=50, impurity="gini", maxDepth=30, featureSubsetStrategy="sqrt", seed=seed),
-        "Multilayer Perceptron": lambda d, c: MultilayerPerceptronClassifier(layers=[d, 128, 128, c], maxIter=300, seed=seed),
+        "Logistic Regression": lambda d, c, n: LogisticRegression(maxIter=MAX_ITERATIONS, regParam=weak(n)),
+        "Support Vector Machine": binary(lambda n: LinearSVC(maxIter=100, regParam=weak(n))),
+        "Decision Tree": lambda d, c, n: DecisionTreeClassifier(impurity="gini", maxDepth=DEEPEST, seed=seed),
+        "XGBoost": binary(lambda n: GBTClassifier(maxDepth=BOOSTING_DEPTH, maxIter=BOOSTING_ROUNDS, stepSize=0.3, seed=seed)),
+        "Random Forest": lambda d, c, n: RandomForestClassifier(numTrees=FOREST_TREES, impurity="gini", maxDepth=DEEPEST, featureSubsetStrategy="sqrt", seed=seed),
+        "Multilayer Perceptron": lambda d, c, n: MultilayerPerceptronClassifier(layers=[d, *HIDDEN_LAYERS, c], maxIter=MAX_ITERATIONS, seed=seed),
     }
 
 
@@ -60,16 +73,22 @@ def fit_predict(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- samplers
 
 def cluster_resampler(df: DataFrame, spec: TableSpec, strategy="auto", seed: int = 42, factor: float = 0.01,
-                      sample: int | None = None) -> DataFrame:
-    """Ward clusters cut at (median pair distance / factor), then resampling inside each of them.
+                      sample: int | None = None, estimator: str = "hac", inner: str = "cs", k: int = 1) -> DataFrame:
+    """Clusters at the distance (median pair distance / factor), then resampling inside each of them.
 
-    The median looks at all pairs of distinct rows; on very large tables a caller may have it
-    measured on a hash-drawn ``sample`` of rows.
+    ``estimator``: ``hac`` cuts a Ward tree there, ``dbscan`` takes it as radius (3 rows make a core; noise is one
+    cluster).  ``inner``: ``cs`` or ``smote`` with ``k`` neighbours.  The median looks at all pairs of distinct rows; on very
+    large tables a caller may have it measured on a hash-drawn ``sample`` of rows.
     """
+    if estimator not in ("hac", "dbscan"):
+        raise ValueError(f"unknown cluster estimator {estimator!r}")
     vec = vector(spec.features)
     cut = median_pair_distance(df, vec, spec.row_id[0], factor, sample=sample, seed=seed)
-    rows = written(ward(df.withColumn("_vec", vec), "_vec", cut, seed).drop("_vec"), "ward")
-    return G.cluster_based_resample(rows, spec, "cluster", seed=seed).drop("cluster")
+    if estimator == "hac":
+        rows = ward(df.withColumn("_vec", vec), "_vec", cut, seed).drop("_vec")
+    else:
+        rows = dbscan(df, vec, spec.row_id[0], cut, 3)
+    return G.cluster_based_resample(written(rows, "clusters"), spec, "cluster", inner, seed, k, strategy).drop("cluster")
 
 
 def sampler_suite(seed: int = 42) -> dict[str, Callable[..., DataFrame]]:
@@ -146,10 +165,11 @@ class Runs:
                  classes: int, chosen: dict, seconds: float | None, seed: int) -> None:
         """Fit every classifier on the train rows and keep its confusion table on the test rows."""
         x, y = written(_xy(train, features, label), "train"), written(_xy(test, features, label), "test")
-        width = len(x.first()["features"]) if x.limit(1).count() else 0
+        first, size = x.first(), x.count()
+        width = len(first["features"]) if first else 0
         for name, build in chosen.items():
             try:
-                table = confusion(fit_predict(build(width, classes), x, y), [], "label", "prediction")
+                table = confusion(fit_predict(build(width, classes, size), x, y), [], "label", "prediction")
                 self.cells += [(dataset, fold, sampler, name, r["y"], r["pred"], r["n"]) for r in collect_bounded(table, "confusion table")]
                 if seconds is not None:
                     self.times.append((dataset, fold, sampler, name, "Fit Time", seconds))

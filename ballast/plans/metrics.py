@@ -18,12 +18,12 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
 
 
-def scores(table: DataFrame, keys, average: str | Column = "weighted") -> DataFrame:
+def scores(table: DataFrame, keys, average: str | Column = "weighted", positive=None) -> DataFrame:
     """(keys..., scorer, value) for all seven scores.
 
-    ``average``: ``binary`` (the larger label is the positive class), ``micro`` (pooled over the
-    classes) or ``weighted`` (by class size).  Zero divisions give 0.  Balanced accuracy is the mean
-    recall of the classes that occur.
+    ``average``: ``binary`` (scores of the class ``positive``, the largest label of the whole table if not
+    given; a key in which it never occurs scores 0), ``micro`` (pooled over the classes) or ``weighted`` (by
+    class size).  Zero divisions give 0.  Balanced accuracy is the mean recall of the classes that occur.
     """
     if average not in AVERAGES:
         raise ValueError(f"unknown average {average!r}; known: {', '.join(AVERAGES)}")
@@ -34,7 +34,9 @@ def scores(table: DataFrame, keys, average: str | Column = "weighted") -> DataFr
                              F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"))
     pred_side = table.select(*keys, F.col("pred").alias("c"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("tp"))
     per = true_side.unionByName(pred_side).groupBy(*keys, "c").agg(*[F.sum(x).alias(x) for x in ("t", "p", "tp")])
-    everything = table.groupBy(*keys).agg(F.sum("n").alias("all"), F.max(F.greatest("y", "pred")).alias("positive"))
+    everything = table.groupBy(*keys).agg(F.sum("n").alias("all"))
+    if average == "binary" and positive is None:
+        positive = table.agg(F.max(F.greatest("y", "pred"))).first()[0]
     per = per.join(everything, keys)  # both sides hold a few rows per key
     t, p, tp, n = (F.col(x) for x in ("t", "p", "tp", "all"))
     tn = n - t - p + tp
@@ -49,7 +51,7 @@ def scores(table: DataFrame, keys, average: str | Column = "weighted") -> DataFr
         r = _ratio(s(tp), s(t))
         out = {"sensitivity": r, "specificity": _ratio(s(tn), s(tn + p - tp)), "f1": _ratio(2 * s(tp), s(t + p)), "precision": _ratio(s(tp), s(p)), "recall": r}
     else:
-        only = lambda x: F.max(F.when(F.col("c") == F.col("positive"), x))
+        only = lambda x: F.coalesce(F.max(F.when(F.col("c") == F.lit(positive), x)), F.lit(0.0))
         out = {"sensitivity": only(recall), "specificity": only(special), "f1": only(f1), "precision": only(precision), "recall": only(recall)}
     out["accuracy"] = F.sum("tp") / total
     out["balanced_accuracy"] = F.avg(F.when(t > 0, tp / F.when(t > 0, t)))

@@ -63,12 +63,12 @@ def e5(spark, sf):
 
 
 @query("e6_p_cluster_given_class", sql="""
-WITH n AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' OR l_linenumber > 3 GROUP BY 1, 2),
+WITH n AS (SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2),
 k AS (SELECT DISTINCT l_linenumber FROM n), c AS (SELECT l_returnflag, sum(n) AS t FROM n GROUP BY 1)
 SELECT c.l_returnflag, k.l_linenumber, CAST(coalesce(n.n, 0) AS BIGINT) AS n, round(coalesce(n.n, 0) / t, 6) AS p FROM c CROSS JOIN k
 LEFT JOIN n ON n.l_returnflag = c.l_returnflag AND n.l_linenumber = k.l_linenumber""")
 def e6(spark, sf):
-    t = X.table(spark, sf, "lineitem").where("l_returnflag <> 'A' OR l_linenumber > 3")
+    t = X.table(spark, sf, "lineitem")
     return E.p_cluster_given_class(t, "l_linenumber", "l_returnflag").withColumn("p", F.round("p", 6))
 
 

@@ -150,11 +150,11 @@ def c8(spark, sf):
 
 
 @query("c9_clip_to_fit_range", sql="""
-WITH s AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders WHERE o_orderstatus = 'F')
+WITH s AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders)
 SELECT o_orderkey, round(greatest(least(o_totalprice * 1.5 - 20000, b), a), 4) AS o_totalprice FROM orders, s""")
 def c9(spark, sf):
-    t = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    s = E.column_stats(t.where("o_orderstatus = 'F'"), ["o_totalprice"])["o_totalprice"]
+    t = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    s = E.column_stats(t, ["o_totalprice"])["o_totalprice"]
     x = F.col("o_totalprice") * 1.5 - 20000.0
     return t.select("o_orderkey", F.round(E.clip_to_range(x, s["min"], s["max"]), 4).alias("o_totalprice"))
 

@@ -37,10 +37,10 @@ def i2(spark, sf):
 @query("i4_classifiers")
 def i4(spark, sf):
     p = V.prepare(X.toxic_docs(spark, sf), X.TOXIC)
-    xy = V._xy(p.rows, X.TOXIC.features, "toxic").cache()
-    parts = []
+    xy = V._xy(p.rows, X.TOXIC.features, "toxic")
+    parts, rows = [], xy.count()
     for name, build in V.classifiers(0).items():
-        table = M.confusion(V.fit_predict(build(3, 2), xy, xy), [], "label", "prediction")
+        table = M.confusion(V.fit_predict(build(3, 2, rows), xy, xy), [], "label", "prediction")
         parts.append(table.select(F.lit(name).alias("classifier"), "y", "pred", "n"))
     from ballast.operators.prepare import stack_all
     return stack_all(parts)

@@ -63,12 +63,12 @@ def g3_rows(spark, sf):
 
 
 @query("g4_balance_clusters", sql="""
-WITH m AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity >= l_linenumber * 7 OR l_returnflag = 'R' GROUP BY 1, 2),
+WITH m AS (SELECT l_linenumber, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
 g AS (SELECT l_returnflag FROM m GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 1),
 k AS (SELECT *, first(l_returnflag) OVER w AS mc, first(n) OVER w AS mn FROM m WINDOW w AS (PARTITION BY l_linenumber ORDER BY n DESC, l_returnflag))
 SELECT l_linenumber, l_returnflag, n, CASE WHEN l_returnflag <> mc AND l_returnflag <> (SELECT * FROM g) AND n / mn > 0.01 THEN mn - n ELSE 0 END AS need FROM k""")
 def g4(spark, sf):
-    t = X.table(spark, sf, "lineitem").where("l_quantity >= l_linenumber * 7 OR l_returnflag = 'R'")
+    t = X.table(spark, sf, "lineitem")
     return C.balance_clusters(t, "l_linenumber", "l_returnflag")
 
 

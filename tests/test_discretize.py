@@ -39,9 +39,9 @@ def test_chi_merge(spark, k, seed):
     assert D.chi_merge_cuts(df, ["x"], "y", {"x": k})["x"] == chi_merge_brute(x, y, k)
 
 
-def test_chi_merge_starts_from_equal_blocks_when_large(spark):
+def test_chi_merge_starts_from_equal_blocks_on_demand(spark):
     x, y, df = table(spark)
-    cuts = D.chi_merge_cuts(df, ["x"], "y", {"x": 4}, max_intervals=10)["x"]
+    cuts = D.chi_merge_cuts(df, ["x"], "y", {"x": 4}, start_intervals=10)["x"]
     assert len(cuts) == 3 and cuts == sorted(cuts) and set(cuts) <= set(x)
 
 
@@ -52,7 +52,21 @@ def test_chi_merge_of_long_runs_is_exact(spark, k, classes):
     y = np.minimum((x // 20).astype(int), classes - 1)
     y[30:33] = 0
     df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x DOUBLE, y INT")
-    assert D.chi_merge_cuts(df, ["x"], "y", {"x": k}, max_intervals=20)["x"] == chi_merge_brute(x, y, k)
+    assert D.chi_merge_cuts(df, ["x"], "y", {"x": k})["x"] == chi_merge_brute(x, y, k)
+
+
+def test_chi_merge_refuses_too_many_runs(spark):
+    _, _, df = table(spark)
+    with pytest.raises(ValueError):
+        D.chi_merge_cuts(df, ["x"], "y", {"x": 4}, max_runs=3)
+
+
+def test_auto_weights_follow_the_bins(spark):
+    df = spark.createDataFrame([(float(v),) for v in [*range(100), *range(1000, 1300)]], "x DOUBLE")
+    for strategy in ("bins-uni", "bins-q", "bins-bgm"):
+        model = D.fit_discretizer(df, ["x"], strategy, 3, bin_weights="auto")
+        assert len(model.weights["x"]) == model.bins("x") and abs(sum(model.weights["x"]) - 1) < 1e-9
+    assert D.cut_weights([D.Mode(0.0, 1.0, 0.25), D.Mode(5.0, 1.0, 0.75)], [1.0, 2.0]) == [0.25, 0.0, 0.75]
 
 
 def caim_brute(x, y):

@@ -194,3 +194,29 @@ def test_accept_matching_gives_up(table):
     gen = lambda slots: slots.withColumn("ok", uniform("g", "label", "copy", "attempt") < F.when(F.col("label") == "a", 0.5).otherwise(0.0))
     out = H.accept_matching(table, {"a": 20, "b": 3}, "label", gen, F.col("ok"), max_tries=4)
     assert counts(out) == {"a": 20}
+
+
+@pytest.mark.parametrize("estimator, inner", [("hac", "cs"), ("hac", "smote"), ("dbscan", "cs"), ("dbscan", "smote")])
+def test_cluster_resampler_follows_the_strategy(table, estimator, inner):
+    made = lambda s: {r["label"]: r["count"] for r in cluster_resampler(table, SPEC, s, factor=0.5, estimator=estimator, inner=inner)
+                      .where("is_synthetic").groupBy("label").count().collect()}
+    have = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
+    assert made("create-new") == have
+    assert made({"c": have["c"] + 7}) == {"c": 7}
+
+
+@pytest.mark.parametrize("many", [500, 5000])
+def test_copula_of_many_categories(spark, many):
+    rows = [(i, float(i % 97), f"v{i % many}", "ab"[i % 3 == 0]) for i in range(2 * many)]
+    t = spark.createDataFrame(rows, "id INT, x DOUBLE, k STRING, y STRING")
+    spec = TableSpec(features=("x", "k"), label="y", row_id=("id",), categorical=("k",))
+    out = H.gaussian_copula(t, spec, "create-new").where("is_synthetic")
+    assert out.count() == 2 * many and out.join(t, "k", "left_anti").count() == 0
+
+
+def test_classes_of_one_row_get_their_rows(spark):
+    rows = [(i, float(i), "a" if i < 30 else "b" if i < 40 else "c") for i in range(41)]
+    t = spark.createDataFrame(rows, "id INT, x DOUBLE, y STRING")
+    out = H.subspace_resample(t, TableSpec(features=("x",), label="y", row_id=("id",)), max_components=2, rounds=5)
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {"a": 30, "b": 30, "c": 30}
+    assert all(abs(r["x"] - 40) < 1e-6 for r in out.where("y = 'c' AND is_synthetic").collect())

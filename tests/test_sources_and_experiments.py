@@ -85,6 +85,12 @@ def test_metrics_zero_division(spark):
         metric(spark, [(1, 1)], "macro")
 
 
+def test_a_key_without_positives_scores_zero(spark):
+    t = spark.createDataFrame([("a", 0, 0), ("a", 0, 0), ("b", 1, 1), ("b", 0, 1)], "k STRING, y INT, p INT")
+    got = {(r["k"], r["scorer"]): r["value"] for r in M.scores(M.confusion(t, ["k"], "y", "p"), ["k"], "binary").collect()}
+    assert got["a", "precision"] == got["a", "recall"] == got["a", "f1"] == 0.0 and got["b", "recall"] == 1.0
+
+
 def test_folds_are_even(spark, sf):
     t = stratified_folds(X.toxic_docs(spark, sf), "toxic", "doc_id", 5)
     for r in t.groupBy("toxic", "fold").count().groupBy("toxic").agg(F.max("count").alias("a"), F.min("count").alias("b")).collect():
@@ -95,7 +101,7 @@ def test_all_classifiers(spark, sf):
     p = V.prepare(X.toxic_docs(spark, sf), X.TOXIC)
     xy = V._xy(p.rows, X.TOXIC.features, "toxic").cache()
     for name, build in V.classifiers(0).items():
-        est = build(3, 2)
+        est = build(3, 2, 80)
         if est.hasParam("maxIter"):
             est.setMaxIter(3)
         assert V.fit_predict(est, xy, xy).count() == xy.count(), name
@@ -106,7 +112,7 @@ def test_classifiers_for_more_classes(spark, sf):
     p = V.prepare(t, X.LANG)
     xy = V._xy(p.rows, X.LANG.features, "lang").cache()
     for name in ("Support Vector Machine", "XGBoost"):
-        est = V.classifiers(0)[name](2, 4)
+        est = V.classifiers(0)[name](2, 4, 80)
         est.setClassifier(est.getClassifier().setMaxIter(2))
         assert V.fit_predict(est, xy, xy).select("prediction").distinct().count() >= 1
 
