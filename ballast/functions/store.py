@@ -44,3 +44,10 @@ def spread(table: DataFrame, name: str = "spread") -> DataFrame:
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
     return written(table.repartition(cores), name) if table.rdd.getNumPartitions() < cores else table
+
+
+def discard(spark: SparkSession) -> None:
+    """Drop all tables that this application has written; call it once its results are stored."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ballast/{spark.sparkContext.applicationId}")
+    path.getFileSystem(conf).delete(path, True)

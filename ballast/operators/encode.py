@@ -382,7 +382,10 @@ def frequency_vocabulary(df: DataFrame, cols) -> DataFrame:
     counts = value_counts(df, cols)
     if len(counts.limit(MAX_MODEL_ROWS + 1).collect()) > MAX_MODEL_ROWS:
         from ballast.functions.ranks import ranked
-        return ranked(counts.withColumn("_neg", -F.col("n")), "column", ["_neg", "value"]) \
+        # equal counts are common: their values spread them over the buckets, in the order of the ranks
+        image = F.conv(F.rpad(F.hex(F.substring("value", 1, 6).cast("binary")), 12, "0").substr(1, 12), 16, 10).cast("double")
+        spread = counts.withColumn("_place", image / F.lit(float(1 << 48)) - F.col("n")).withColumn("_neg", -F.col("n"))
+        return ranked(spread, "column", ["_place", "_neg", "value"]) \
             .select("column", "value", "n", (F.col("rank") - 1).cast("int").alias("code"))
     return counts.select("column", "value", "n", (F.row_number().over(order) - 1).alias("code"))
 

@@ -197,7 +197,9 @@ def adasyn(df: DataFrame, spec: TableSpec, strategy="auto", seed: int = 42, k: i
     _checked(df, spec)
     plan, label, rid = plan_counts(df, spec.label, strategy), spec.label, _id(spec)
     _need_neighbours(plan)
-    need = adasyn_need(df, spec, plan, k).where("need > 0")
+    need = written(adasyn_need(df, spec, plan, k).where("need > 0"), "adasyn-need")
+    if plan.targets and need.isEmpty():
+        raise ValueError("no row of the classes to raise has neighbours of other classes enough for a new row")
     rows = _class_neighbors(_targets(df, plan), spec, k, [label])
     slots = expand(need, "need").drop("need")
     to = F.element_at("near", pick("adasyn.near", F.size("near"), rid, "copy", seed=seed).cast("int"))

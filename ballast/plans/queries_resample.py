@@ -118,8 +118,8 @@ own AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS pos,
 near AS (SELECT id, seg, x0, x1, y0, y1, pos, least(have, 5) AS have FROM own WHERE pos <= 5)"""
 
 
-def _made(spark, sf, fn, **options):
-    t = X.seg_customers(spark, sf).withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
+def _made(spark, sf, fn, table=None, **options):
+    t = (X.seg_customers(spark, sf) if table is None else table).withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
     out = fn(t, X.SEGMENT, "auto", **options)
     return out.where("is_synthetic").select("c_mktsegment", F.round("c_acctbal", 4).alias("c_acctbal"), F.round("c_nationkey", 4).alias("c_nationkey"))
 
@@ -169,16 +169,23 @@ def g9(spark, sf):
     return G.kmeans_smote(scaled, spec, threshold=0.03).groupBy("rare", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# One segment against all others, so that there is much to make up for.
+_ONE = "CASE WHEN c_mktsegment = 'BUILDING' THEN 'BUILDING' ELSE 'OTHER' END"
 _ADA = f"""
-WITH {_SEG}, al AS (SELECT id, seg, oseg, row_number() OVER (PARTITION BY id ORDER BY d, other) AS pos FROM p),
+WITH one AS (SELECT c_custkey, c_acctbal, c_nationkey, {_ONE} AS c_mktsegment FROM customer),
+{_SEG.replace("customer", "one")}, al AS (SELECT id, seg, oseg, row_number() OVER (PARTITION BY id ORDER BY d, other) AS pos FROM p),
 cn AS (SELECT id, seg, count(*) AS found, count(CASE WHEN oseg <> seg THEN 1 END) AS others FROM al WHERE pos <= 5 GROUP BY id, seg),
 nd AS (SELECT cn.id, cn.seg, CAST(round_even((others / found) * plan.need / sum(others / found) OVER (PARTITION BY cn.seg), 0) AS BIGINT) AS need
   FROM cn JOIN plan ON cn.seg = plan.seg WHERE plan.need > 0)"""
 
 
+def _one_segment(spark, sf):
+    return X.seg_customers(spark, sf).withColumn("c_mktsegment", F.expr(_ONE))
+
+
 @query("g10_adasyn_need", sql=_ADA + " SELECT id AS c_custkey, seg AS c_mktsegment, need FROM nd")
 def g10_need(spark, sf):
-    t = X.seg_customers(spark, sf)
+    t = _one_segment(spark, sf)
     return G.adasyn_need(t, X.SEGMENT, C.plan_counts(t, "c_mktsegment"))
 
 
@@ -187,7 +194,7 @@ sl AS (SELECT id, seg, unnest(generate_series(1, need)) AS copy FROM nd WHERE ne
 pt AS (SELECT sl.copy, near.*, {pick_sql('adasyn.near', 'near.have', 'sl.id', 'sl.copy')} AS want, {u_sql('adasyn.gap', 'sl.id', 'sl.copy')} AS u FROM sl JOIN near ON sl.id = near.id)
 SELECT seg AS c_mktsegment, round(x0 + u * (y0 - x0), 4) AS c_acctbal, round(x1 + u * (y1 - x1), 4) AS c_nationkey FROM pt WHERE pos = want""")
 def g10(spark, sf):
-    return _made(spark, sf, G.adasyn)
+    return _made(spark, sf, G.adasyn, _one_segment(spark, sf))
 
 
 @query("g11_centroid_sample", sql=f"""

@@ -161,3 +161,19 @@ def test_fitted_transforms_on_a_stream(spark, sf):
         stratified_folds(read_parquet_stream(spark, source), "event_type", "event_id")
     with pytest.raises(TypeError):
         G.random_oversample(read_parquet_stream(spark, source), X.EVENTS)
+
+
+def test_entry_runs_from_another_folder(tmp_path):
+    """Workers find the package even if the session was started elsewhere."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "import __spark_entry__ as e\nfrom pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+            "print('ROWS', len(e.entry(s).collect()), len(e.queries()['c14_draw_mode'](s, '/root/testdata/sf0.001').collect()) > 0)\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 2 True" in done.stdout, done.stderr[-2000:]
