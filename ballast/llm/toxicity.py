@@ -35,27 +35,33 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).split()
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+def _slot(size: int, x: np.ndarray) -> np.ndarray:
+    """Place of packed letters in the hashed table of their level."""
+    h = (x.astype(np.uint64) + np.uint64(size)) * STEP
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - BITS[size])).astype(np.int64)
 
 
-def letter_grams(words: list[bytes]) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], np.ndarray]:
-    """For every letter of every word (the word's end is one too): hashes of the gram and of its context by length of the
-    context, and the word it belongs to.  Letters are bytes."""
-    raw = np.frombuffer(b"".join(b" " * CONTEXT + w + b" " for w in words), np.uint8).astype(np.uint64) + np.uint64(1)
+def _gram(size: int, packed: np.ndarray) -> np.ndarray:
+    return packed & ((1 << 8 * (size + 1)) - 1)
+
+
+def _context(size: int, packed: np.ndarray) -> np.ndarray:
+    return (packed >> 8) & ((1 << 8 * size) - 1)
+
+
+def letter_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every letter of every word (its end is one too) packed with the five before it, six bytes a number, and the word
+    it belongs to.  Letters are bytes."""
+    raw = np.frombuffer(b"".join(b" " * CONTEXT + w + b" " for w in words), np.uint8).astype(np.int64)
     sizes = np.array([len(w) + CONTEXT + 1 for w in words], np.int64)
     word = np.repeat(np.arange(len(words)), sizes)
     first = np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(np.arange(len(raw)) - first >= CONTEXT)
-    grams, contexts = {}, {}
-    for size in (CONTEXT, MIDDLE, LAST):
-        h = np.full(len(at), np.uint64(size))
-        for back in range(size, 0, -1):
-            h = (h + raw[at - back]) * STEP
-        contexts[size] = _mixed(h)
-        grams[size] = _mixed((h + raw[at]) * STEP + np.uint64(7))
-    return grams, contexts, word[at]
+    packed = np.zeros(len(at), np.int64)
+    for back in range(CONTEXT, -1, -1):
+        packed = (packed << 8) | raw[at - back]
+    return packed, word[at]
 
 
 class Models:
@@ -66,19 +72,16 @@ class Models:
         self.gram, self.context = gram, context
         self.known: dict[bytes, float] = {}
 
-    def _slot(self, size: int, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - BITS[size])).astype(np.int64)
-
     def log_ratios(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihood of each word under the toxic model less that under the ordinary one."""
-        grams, contexts, word = letter_grams(words)
+        packed, word = letter_grams(words)
         shared = np.full(len(word), 1 / LETTERS)
         for size in (LAST, MIDDLE):
-            n = self.gram[size][self._slot(size, grams[size])]
-            total, kinds = self.context[size][:, self._slot(size, contexts[size])]
+            n = self.gram[size][_slot(size, _gram(size, packed))]
+            total, kinds = self.context[size][:, _slot(size, _context(size, packed))]
             shared = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shared) / np.maximum(total, 1), shared)
         logs = []
-        g, c = self._slot(CONTEXT, grams[CONTEXT]), self._slot(CONTEXT, contexts[CONTEXT])
+        g, c = _slot(CONTEXT, packed), _slot(CONTEXT, _context(CONTEXT, packed))
         for k in (0, 1):
             n, total, kinds = self.gram[CONTEXT][k][g], self.context[CONTEXT][k][c], self.context[CONTEXT][2 + k][c]
             p = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shared) / np.maximum(total, 1), shared)
@@ -104,38 +107,37 @@ class Models:
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
-    """``rows`` (text, toxic) to one row per gram: its hash, the hashes of its context and shorter ends, counts by class."""
+    """``rows`` (text, toxic) to one row per gram: its six letters packed, and its counts in both classes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, list[int]] = {}
 
         def told() -> pd.DataFrame:
-            words = list(held)
-            n = np.array([held[w] for w in words], np.int64).reshape(-1, 2)
-            grams, contexts, word = letter_grams(words)
-            signed = lambda x: x.view(np.int64)
-            all_rows = pd.DataFrame({"g": signed(grams[CONTEXT]), "h": signed(contexts[CONTEXT]), "g3": signed(grams[MIDDLE]), "h3": signed(contexts[MIDDLE]),
-                                     "g1": signed(grams[LAST]), "h1": signed(contexts[LAST]), "toxic": n[word, 0], "plain": n[word, 1]})
-            return all_rows.groupby("g", as_index=False).agg({"h": "first", "g3": "first", "h3": "first", "g1": "first", "h1": "first", "toxic": "sum", "plain": "sum"})
+            n = np.array(list(held.values()), np.int64).reshape(-1, 2)
+            packed, word = letter_grams(list(held))
+            return pd.DataFrame({"g": packed, "toxic": n[word, 0], "plain": n[word, 1]}).groupby("g", as_index=False).sum()
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 for w in words_of(text):
                     held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
-                if len(held) > 200_000:
+                if len(held) > 300_000:  # bounds memory only
                     yield told()
                     held = {}
         if held:
             yield told()
 
-    parts = rows.mapInPandas(count, "g long, h long, g3 long, h3 long, g1 long, h1 long, toxic long, plain long")
-    return parts.groupBy("g").agg(*[F.first(c).alias(c) for c in ("h", "g3", "h3", "g1", "h1")], F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    return rows.mapInPandas(count, "g long, toxic long, plain long").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def _table(found: DataFrame, key: str, size: int, columns: list[str]) -> np.ndarray:
+def _table(found: DataFrame, key: str, part, size: int, columns: list[str]) -> np.ndarray:
     """Sums by slot of the hashed table; at most 2 ** BITS[size] rows reach the driver."""
-    slot = F.shiftrightunsigned(F.col(key), 64 - BITS[size]).cast("int").alias("slot")
-    rows = found.groupBy(slot).agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toPandas()
+
+    @F.pandas_udf("int")
+    def slot(keys: pd.Series) -> pd.Series:
+        return pd.Series(_slot(size, part(size, keys.to_numpy(np.int64))).astype(np.int32))
+
+    rows = found.groupBy(slot(key).alias("slot")).agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toPandas()
     out = np.zeros((len(columns), 1 << BITS[size]), np.float32)
     for k, c in enumerate(columns):
         out[k, rows["slot"].to_numpy(np.int64)] = rows[c].to_numpy()
@@ -145,13 +147,13 @@ def _table(found: DataFrame, key: str, size: int, columns: list[str]) -> np.ndar
 def fit(rows: DataFrame) -> Models:
     """The models of ``rows`` (text, toxic), all of which are counted."""
     grams = written(gram_counts(rows), "letter-grams")
-    middle = written(grams.groupBy("g3").agg(*[F.first(c).alias(c) for c in ("h3", "g1", "h1")], F.count("*").alias("n")), "letter-ends")
-    last = middle.groupBy("g1").agg(F.first("h1").alias("h1"), F.count("*").alias("n"))
-    one = F.lit(1).alias("kinds")
-    seen = [(F.col(c) > 0).cast("int").alias(f"{c}_kinds") for c in ("toxic", "plain")]
-    gram = {CONTEXT: _table(grams, "g", CONTEXT, ["toxic", "plain"]), MIDDLE: _table(middle, "g3", MIDDLE, ["n"])[0], LAST: _table(last, "g1", LAST, ["n"])[0]}
-    context = {CONTEXT: _table(grams.select("h", "toxic", "plain", *seen), "h", CONTEXT, ["toxic", "plain", "toxic_kinds", "plain_kinds"]),
-               MIDDLE: _table(middle.select("h3", "n", one), "h3", MIDDLE, ["n", "kinds"]), LAST: _table(last.select("h1", "n", one), "h1", LAST, ["n", "kinds"])}
+    ends = lambda df, size: df.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)).alias("g")).agg(F.count("*").alias("n"), F.lit(1).alias("kinds"))
+    middle = written(ends(grams, MIDDLE), "letter-ends")
+    last = ends(middle, LAST)
+    kinds = grams.withColumns({f"{c}_kinds": (F.col(c) > 0).cast("int") for c in ("toxic", "plain")})
+    gram = {CONTEXT: _table(grams, "g", _gram, CONTEXT, ["toxic", "plain"]), MIDDLE: _table(middle, "g", _gram, MIDDLE, ["n"])[0], LAST: _table(last, "g", _gram, LAST, ["n"])[0]}
+    context = {CONTEXT: _table(kinds, "g", _context, CONTEXT, ["toxic", "plain", "toxic_kinds", "plain_kinds"]),
+               MIDDLE: _table(middle, "g", _context, MIDDLE, ["n", "kinds"]), LAST: _table(last, "g", _context, LAST, ["n", "kinds"])}
     return Models(gram, context)
 
 
@@ -185,7 +187,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     spark = docs.sparkSession
     base = docs.drop("held_out", "score", "predicted", "_f")
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
-    marked = base.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text")).join(known.where(fold(F.col("_id")) != 2), "_id")
+    taught = known.where(fold(F.col("_id")) != 2).hint("merge")  # one plan at every size
+    marked = base.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text")).join(taught, "_id")
     marked = written(marked.select("text", "toxic", fold(F.col("_id")).alias("fold"), F.xxhash64("_id").alias("draw")), "labelled")
     shared = spark.sparkContext.broadcast(fit(marked.where("fold < 2")))
     names = ["mean", "most", "top", "telling", "words"]
