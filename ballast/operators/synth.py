@@ -5,6 +5,7 @@ so rows are made where they are needed and the same seed gives the same table on
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import NormalDist
@@ -63,14 +64,27 @@ def draw_conditions(spark: SparkSession, n: int, probs: DataFrame, cols, seed: i
     value = F.lit(None).cast("string")
     mask, name = F.lit(""), F.lit("")
     for i, c in enumerate(cols):
-        at = choose_by_weight(uniform("cond.val", "draw", seed=seed), [r["p"] for r in model[c]])
-        value = F.when(which == i + 1, F.element_at(F.array(*[F.lit(r["value"]) for r in model[c]]), at + 1)).otherwise(value)
+        drawn = _weighted_value(uniform("cond.val", "draw", seed=seed), [r["value"] for r in model[c]], [r["p"] for r in model[c]])
+        value = F.when(which == i + 1, drawn).otherwise(value)
         name = F.when(which == i + 1, F.lit(c)).otherwise(name)
         mask = F.when(which == i + 1, F.lit("".join("1" if j == i else "0" for j in range(len(cols))))).otherwise(mask)
     return spark.range(1, n + 1).withColumnRenamed("id", "draw") \
         .select("draw", name.alias("column"), value.alias("value"), mask.alias("mask"))
 
 
+def _weighted_value(draw: Column, values: list[str], weights: list[float]) -> Column:
+    """The value whose cumulative weight first exceeds the draw; a long list is searched, not walked."""
+    if len(values) <= 64:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), choose_by_weight(draw, weights) + 1)
+    upto, total, names = np.cumsum(weights)[:-1], math.fsum(weights), np.array(values, dtype=object)
+
+    @F.pandas_udf("string")
+    def at(draws: pd.Series) -> pd.Series:
+        return pd.Series(names[np.searchsorted(upto, draws.to_numpy(float) * total, side="right")])
+
+    return at(draw)
+
+
 def sample_matching(df: DataFrame, conditions: DataFrame, cols, row_id: str, seed: int = 42) -> DataFrame:
     """One uniformly drawn real row per condition (draw, column, value) that has the requested value.
 

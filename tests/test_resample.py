@@ -220,3 +220,10 @@ def test_classes_of_one_row_get_their_rows(spark):
     out = H.subspace_resample(t, TableSpec(features=("x",), label="y", row_id=("id",)), max_components=2, rounds=5)
     assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {"a": 30, "b": 30, "c": 30}
     assert all(abs(r["x"] - 40) < 1e-6 for r in out.where("y = 'c' AND is_synthetic").collect())
+
+
+def test_conditions_of_many_categories_follow_their_shares(spark):
+    probs = spark.createDataFrame([("k", f"v{i:04d}", 1, 0.5 if i == 7 else 0.5 / 2999) for i in range(3000)], "column STRING, value STRING, n INT, p DOUBLE")
+    got = H.draw_conditions(spark, 4000, probs, ["k"]).groupBy("value").count().collect()
+    seen = {r["value"]: r["count"] for r in got}
+    assert sum(seen.values()) == 4000 and 1850 < seen["v0007"] < 2150 and len(seen) > 1000
