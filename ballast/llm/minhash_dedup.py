@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.store import written
+from ballast.llm.remember import claim
 from ballast.operators.density import components
 
 BASE, RATE, TOP = 1.1, 20.0, 254  # register values are 0..TOP + 1, one byte
 BANDS, ROWS = 32, 5  # at a similarity of 0.8 a pair misses all bands with a probability of 3e-6
-MARGIN = 0.15  # below the threshold by this much, an estimate from 160 registers (deviation 0.03) rules a pair out
+MARGIN = 0.15  # below the threshold by this much, an estimate from 160 registers (deviation 0.032) rules a pair out
+FINE, FINE_MARGIN = 1024, 0.06  # the same for the longer sketch (deviation 0.013) that open buckets are compared by
 BLOCK = 512  # documents of a bucket compared at once with as many others
-REMEMBERED = 1_000_000  # words a worker remembers with their hashes before it starts anew; bounds memory only
+REMEMBERED = 300_000  # words a worker remembers with their hashes before it starts anew; bounds memory only
 STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
@@ -53,6 +55,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = word_hashes()
+    claim(known)
     if len(known) > REMEMBERED:
         known.clear()
     w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -67,23 +70,26 @@ def shingles(text: str | None, width: int) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(42)
-    n = BANDS * ROWS
-    return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    return rng.integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, FINE, dtype=np.uint32)
 
 
-def registers(sets: np.ndarray) -> np.ndarray:
-    """The registers of a set of 64-bit hashes, one byte each."""
-    times, plus = _functions()
+def registers(sets: np.ndarray, count: int = BANDS * ROWS) -> np.ndarray:
+    """The first ``count`` registers of a set of 64-bit hashes, one byte each."""
+    times, plus = (f[:count] for f in _functions())
     x = ((sets * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(times), np.uint32(0xFFFFFFFF))
-    for lo in range(0, len(x), 256):
-        np.minimum(least, (x[lo:lo + 256, None] * times + plus).min(0), out=least)
+    step = 256 * BANDS * ROWS // count
+    for lo in range(0, len(x), step):
+        np.minimum(least, (x[lo:lo + step, None] * times + plus).min(0), out=least)
     e = -np.log1p(-(least + 0.5) / 2.0 ** 32) / RATE
     return np.clip(np.floor(1 - np.log(e) / math.log(BASE)), 0, TOP + 1).astype(np.uint8)
 
 
-def similarity(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def similarity(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, step: int = 1000) -> np.ndarray:
     """Most likely Jaccard similarity, given in how many registers a lies above and below b and how large both sets are."""
+    if len(above) > step:  # small tables of likelihoods, one after the other
+        parts = [slice(lo, lo + step) for lo in range(0, len(above), step)]
+        return np.concatenate([similarity(above[p], below[p], n_a[p], n_b[p]) for p in parts])
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     grid = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)
@@ -95,6 +101,22 @@ def similarity(above: np.ndarray, below: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return grid[np.arange(len(u)), likelihood.argmax(1)]
 
 
+def at_least(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Row by row of two matrices of registers: whether the most likely similarity is ``least`` or more: the likelihood, which has one top, does not fall there."""
+    above, below = (a > b).sum(1), (a < b).sum(1)
+    u = n_a / (n_a + n_b)
+    v = 1 - u
+    shrink = (BASE - 1) / BASE
+    x, y = u - v * least, v - u * least  # chances that a register of a lies above, and below, without ties
+    possible = (x >= 0) & (y >= 0)
+    x, y = np.maximum(x, 1e-9), np.maximum(y, 1e-9)
+    up, down = (-np.log1p(-z * shrink) / math.log(BASE) for z in (x, y))
+    up_slope, down_slope = (-w * shrink / (math.log(BASE) * (1 - z * shrink)) for w, z in ((v, x), (u, y)))
+    equal = a.shape[1] - above - below
+    slope = above * up_slope / up + below * down_slope / down - equal * (up_slope + down_slope) / np.maximum(1 - up - down, 1e-12)
+    return possible & (slope >= 0)
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` (id, text and perhaps more) with n, digest and regs in the place of text; both are null without words."""
 
@@ -127,23 +149,34 @@ def _alike(n_a, n_b):
     return (n_a * 100 >= n_b * 80) & (n_b * 100 >= n_a * 80)
 
 
-def _matrix(regs: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(regs), np.uint8).reshape(-1, BANDS * ROWS)
+def _matrix(regs: pd.Series, count: int = BANDS * ROWS) -> np.ndarray:
+    return np.frombuffer(b"".join(regs), np.uint8).reshape(-1, count)
+
+
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(id, n, regs) with the longer sketch."""
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "n": [len(h) for h in batch["hashes"]],
+                                "regs": [registers(np.asarray(h, np.int64).view(np.uint64), FINE).tobytes() for h in batch["hashes"]]})
+
+    return sets.select("id", "hashes").mapInPandas(build, f"id {sets.schema['id'].dataType.simpleString()}, n long, regs binary")
 
 
 def likely(pairs: DataFrame, sites: DataFrame, least: float) -> DataFrame:
     """Those (a, b) whose registers make a similarity of ``least`` likely."""
     side = lambda x: sites.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
 
-    @F.pandas_udf("double")
-    def estimate(regs_a: pd.Series, regs_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    @F.pandas_udf("boolean")
+    def near(regs_a: pd.Series, regs_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
         if not len(n_a):
-            return pd.Series([], dtype=float)
+            return pd.Series([], dtype=bool)
         a, b = _matrix(regs_a), _matrix(regs_b)
-        return pd.Series(similarity((a > b).sum(1), (a < b).sum(1), n_a.to_numpy(float), n_b.to_numpy(float)))
+        return pd.Series(at_least(a, b, n_a.to_numpy(float), n_b.to_numpy(float), least))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.where(estimate("regs_a", "regs_b", "n_a", "n_b") >= least).select("a", "b")
+    return both.where(near("regs_a", "regs_b", "n_a", "n_b")).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -155,16 +188,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                .where(F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).select("a", "b")
 
 
-def _open_pairs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+def _open_pairs(batches: Iterator[pd.DataFrame], goal: float) -> Iterator[pd.DataFrame]:
     """Likely pairs of different groups in rows that come sorted by task; a task may go on in the next batch."""
     rest = None
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         key = rows["task"].to_numpy()
-        regs, n, group, place = _matrix(rows["regs"]), rows["n"].to_numpy(float), rows["component"].to_numpy(), rows["id"].to_numpy()
+        regs, few, n, group, place = _matrix(rows["regs"], FINE), BANDS * ROWS, rows["n"].to_numpy(float), rows["component"].to_numpy(), rows["id"].to_numpy()
         side = rows["side"].to_numpy()
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        left, right = [], []
+        left, right, found, held = [], [], [], 0
+
+        def judge() -> None:
+            i, j = np.concatenate(left), np.concatenate(right)
+            left.clear()
+            right.clear()
+            for lo in range(0, len(i), 5000):
+                p, q = i[lo:lo + 5000], j[lo:lo + 5000]
+                hit = at_least(regs[p, :few], regs[q, :few], n[p], n[q], goal - MARGIN)
+                p, q = p[hit], q[hit]
+                hit = at_least(regs[p], regs[q], n[p], n[q], goal - FINE_MARGIN)
+                found.append((place[p[hit]], place[q[hit]]))
+
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             s = side[lo:hi]
             if s.any() and not s.all():  # two blocks
@@ -176,12 +221,13 @@ def _open_pairs(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Da
             keep = (group[i] != group[j]) & _alike(n[i], n[j])
             left.append(i[keep])
             right.append(j[keep])
-        i, j = (np.concatenate(x) if x else np.zeros(0, int) for x in (left, right))
-        hit = np.zeros(len(i), bool)
-        for lo in range(0, len(i), 20_000):
-            a, b = regs[i[lo:lo + 20_000]], regs[j[lo:lo + 20_000]]
-            hit[lo:lo + 20_000] = similarity((a > b).sum(1), (a < b).sum(1), n[i[lo:lo + 20_000]], n[j[lo:lo + 20_000]]) >= least
-        a, b = place[i[hit]], place[j[hit]]
+            held += int(keep.sum())
+            if held > 50_000:
+                judge()
+                held = 0
+        if left:
+            judge()
+        a, b = (np.concatenate([f[k] for f in found]) if found else place[:0] for k in (0, 1))
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     for batch in batches:
@@ -203,7 +249,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, text: st
     An empty table gives an empty table; other columns are left aside.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    least = percent / 100 - MARGIN
     known = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), *([F.col(row).alias("_row")] if row else []))
     sketched = written(sketches(known, width), "sketches")
     sites = written(sketched.where("digest is not null and id is not null").groupBy("digest").agg(F.min(F.struct("id", "n", "regs")).alias("s"))
@@ -222,22 +267,30 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, text: st
 
     to_ends = members.select("id", F.explode(F.array("low", "high")).alias("end")).where("id <> end")
     stars = written(to_ends.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "pairs")
-    links = written(confirmed(written(likely(stars, sites, least), "likely"), sets, percent), "links")
+    links = written(confirmed(written(likely(stars, sites, percent / 100 - MARGIN), "likely"), sets, percent), "links")
+    first = components(links)
 
-    grouped = members.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    grouped = members.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     grouped = written(grouped.select("bucket", "id", "component"), "grouped")
     several = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")) \
         .where("low <> high").select("bucket", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(
         F.xxhash64("bucket", F.least(j, own), F.greatest(j, own)).alias("task"), (own > j).cast("int").alias("side"), (j == own).alias("alone")))
-    dealt = grouped.join(several, "bucket").withColumn("t", F.explode(tasks)).select("id", "component", "t.*").join(sites.select("id", "n", "regs"), "id")
-    pairs = dealt.repartition("task").sortWithinPartitions("task").mapInPandas(lambda it: _open_pairs(it, least), f"a {kind}, b {kind}")
+    still = written(grouped.join(several, "bucket"), "open-buckets")
+    fine = written(fine_sketches(sets.join(still.select("id").distinct(), "id")), "fine-sketches")
+    dealt = still.withColumn("t", F.explode(tasks)).select("id", "component", "t.*").join(fine, "id")
+    pairs = dealt.repartition("task").sortWithinPartitions("task").mapInPandas(lambda it: _open_pairs(it, percent / 100), f"a {kind}, b {kind}")
     rest = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
-    links = links.unionByName(confirmed(rest, sets, percent))
 
-    named = sites.select("digest", "site").join(components(links).withColumnRenamed("node", "site"), "site", "left") \
-        .select("digest", F.coalesce("component", "site").alias("component"))
+    # what the rest adds joins up whole components: a graph of few nodes
+    of = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    more = confirmed(rest, sets, percent).join(of("a"), "a", "left").join(of("b"), "b", "left") \
+        .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("last"))
+    named = sites.select("digest", "site").join(first.withColumnRenamed("node", "site"), "site", "left") \
+        .select("digest", F.coalesce("component", "site").alias("component")).join(second, "component", "left") \
+        .select("digest", F.coalesce("last", "component").alias("component"))
     own_row = [F.col("_row").alias(row)] if row else []
     out = sketched.drop("regs").join(written(named, "components"), "digest", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id")).alias("component_id"), *own_row)

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from ballast.functions.bounds import collect_bounded
 from ballast.functions.ranks import ranked
 from ballast.functions.store import written
+from ballast.llm.remember import claim
 
-REMEMBERED = 1_000_000  # words a worker remembers with their ids before it starts anew; bounds memory only
+REMEMBERED = 600_000  # words a worker remembers with their ids before it starts anew; bounds memory only
 # Words whose characters stand alone under Unicode composition, and how the vocabulary cuts such words in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -83,6 +84,7 @@ class WordIds:
             self.known.update(zip(other[lo:lo + 20_000], self._encode([w.decode() for w in other[lo:lo + 20_000]])))
 
     def ids(self, texts: list[str], end: int) -> Iterator[bytes]:
+        claim(self.known, self.parts)
         if max(len(self.known), len(self.parts)) > REMEMBERED:
             self.known.clear()
             self.parts.clear()

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.llm.remember import claim
+
 # Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_PAIR = np.iinfo(np.int32).max
@@ -109,6 +111,7 @@ class ByteBpe:
 
     def counts(self, texts: list[str]) -> list[int]:
         """Counts of a batch: what is new in all its texts is merged in one go."""
+        claim(self.known)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         parts = [self.split.split(t) if self.split else [t] for t in texts]

@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.store import written
+from ballast.llm.remember import claim
 
 CONTEXT, MIDDLE, LAST = 5, 3, 1  # letters before the predicted one, at the class level and the two shared levels
 BITS = {CONTEXT: 20, MIDDLE: 19, LAST: 16}  # sizes of the hashed tables; they bound what is collected and broadcast
 DISCOUNT = 0.75
 LETTERS = 256.0
 CALIBRATION_ROWS = 50_000  # the logistic curve is fitted to at most so many rows, those with the smallest hashes
-REMEMBERED = 1_000_000  # words a worker remembers with their scores before it starts anew; bounds memory only
+REMEMBERED = 300_000  # words a worker remembers with their scores before it starts anew; bounds memory only
 STEP = np.uint64(0x9E3779B97F4A7C15)
 # ASCII letters and all bytes of other scripts stay, everything else is blank.
 _BLANK = bytes(i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
@@ -91,12 +92,13 @@ class Models:
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Per text: mean log ratio of its words, the largest, the mean of the three largest, log of 1 + the sum of those above
         2 per square root of words, log of 1 + words."""
+        claim(self.known)
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known, split = self.known, [words_of(t) for t in texts]
         new = list({w for words in split for w in words if w not in known})
-        for lo in range(0, len(new), 50_000):
-            known.update(zip(new[lo:lo + 50_000], self.log_ratios(new[lo:lo + 50_000]).tolist()))
+        for lo in range(0, len(new), 10_000):
+            known.update(zip(new[lo:lo + 10_000], self.log_ratios(new[lo:lo + 10_000]).tolist()))
         out = np.zeros((len(texts), 5))
         for i, words in enumerate(split):
             if words:
@@ -113,15 +115,17 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         held: dict[bytes, list[int]] = {}
 
         def told() -> pd.DataFrame:
-            n = np.array(list(held.values()), np.int64).reshape(-1, 2)
-            packed, word = letter_grams(list(held))
-            return pd.DataFrame({"g": packed, "toxic": n[word, 0], "plain": n[word, 1]}).groupby("g", as_index=False).sum()
+            words, n, parts = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2), []
+            for lo in range(0, len(words), 10_000):
+                packed, word = letter_grams(words[lo:lo + 10_000])
+                parts.append(pd.DataFrame({"g": packed, "toxic": n[word + lo, 0], "plain": n[word + lo, 1]}).groupby("g", as_index=False).sum())
+            return pd.concat(parts).groupby("g", as_index=False).sum()
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 for w in words_of(text):
                     held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
-                if len(held) > 300_000:  # bounds memory only
+                if len(held) > 150_000:  # bounds memory only
                     yield told()
                     held = {}
         if held:

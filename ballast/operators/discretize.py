@@ -15,7 +15,7 @@ from ballast.functions.bounds import BoundExceeded, collect_bounded
 from ballast.functions.ranks import running_total
 from ballast.functions.store import written
 from ballast.operators.encode import column_stats, fit_one_hot
-from ballast.operators.modes import Mode, active_modes, histograms, likeliest, mixture_1d
+from ballast.operators.modes import Mode, active_modes, likeliest, mixture_1d, starting_points
 from ballast.spec import refuse_stream
 
 # Strategy names callers of the reference use.
@@ -106,15 +106,11 @@ def _midpoints(centres: list[float]) -> list[float]:
 def kmeans_cuts(df: DataFrame, cols, bins: dict[str, int], passes: int = 300) -> dict[str, list[float]]:
     """Edges midway between the centres of a one-dimensional k-means.
 
-    Lloyd's iterations run on bounded histograms first, then over all rows (one aggregation for
+    Lloyd's iterations run on quantiles first, then over all rows (one aggregation for
     all columns per pass) until no centre moves, or for the published 300 ``passes``.
     """
     centres: dict[str, list[float]] = {}
-    lines: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
-    for r in collect_bounded(histograms(df, cols), "histogram lines", 4096 * max(len(cols), 1) + 1):
-        lines[r["column"]].append((r["centre"], r["n"]))
-    for c in cols:
-        x, n = (np.array(v, dtype=float) for v in zip(*sorted(lines[c])))
+    for c, (x, n) in starting_points(df, cols).items():
         k = min(bins[c], len(x))
         edges = np.linspace(x[0], x[-1], k + 1)
         m = (edges[1:] + edges[:-1]) / 2

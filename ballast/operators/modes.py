@@ -1,6 +1,7 @@
 """Mode-specific normalization: a value becomes (scalar within one Gaussian mode, mode slot)."""
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.bounds import collect_bounded
 from ballast.functions.draws import uniform
+from ballast.functions.store import written
 from ballast.operators.encode import clip_to_range
 from ballast.spec import refuse_stream
 
@@ -19,7 +21,8 @@ EDGE = 0.99           # and is clipped to +-EDGE
 SMOOTHING = 1e-6      # added to every responsibility before a mode is drawn
 MISSING = -9999999.0  # the modal value that stands for a missing entry
 CONCENTRATION = 0.001  # weight prior of the mixture; small values leave few modes in use
-HISTOGRAM_BINS = 4096
+TOLERANCE = 1e-3      # of the mean log density, where a mixture has settled
+START_POINTS = 1001   # quantiles that a fit starts from
 
 
 @dataclass(frozen=True)
@@ -34,25 +37,17 @@ class Mode:
 
 # ---------------------------------------------------------------- one-dimensional mixtures
 
-def histograms(df: DataFrame, cols, bins: int = HISTOGRAM_BINS, where: dict[str, Column] | None = None) -> DataFrame:
-    """(column, bin, n, centre): at most ``bins`` lines per column.
+def starting_points(df: DataFrame, cols, points: int = START_POINTS, where: dict[str, Column] | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per column distinct values and weights: ``points`` quantiles, for iterations over all rows to start from.
 
-    One pass finds the ranges, one groups all columns together (partial sums before the shuffle).
-    The centre of a bin is the mean of its values.
+    Outliers do not thin them out, as they would the bins of a histogram.  Columns without values are left out.
     """
-    refuse_stream(df, "histograms")
+    refuse_stream(df, "starting_points")
     num = {c: F.when(where[c], F.col(c).cast("double")) if where and c in where else F.col(c).cast("double") for c in cols}
-    lim = df.agg(*[f(num[c]).alias(f"{t}{i}") for i, c in enumerate(cols) for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    parts = []
-    for i, c in enumerate(cols):
-        lo, hi = lim[f"lo{i}"], lim[f"hi{i}"]
-        if lo is None:
-            continue
-        width = ((hi - lo) or 1.0) / bins
-        at = F.least(F.floor((num[c] - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        parts.append(F.struct(F.lit(c).alias("column"), at.alias("bin"), num[c].alias("x")))
-    return df.select(F.explode(F.array(*parts)).alias("s")).select("s.*").where(F.col("x").isNotNull()) \
-             .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("centre"))
+    probs = [i / (points - 1) for i in range(points)]
+    row = df.agg(*[F.percentile_approx(x, probs, 10_000).alias(f"q{i}") for i, x in enumerate(num.values())]).first()
+    found = {c: row[f"q{i}"] for i, c in enumerate(cols) if row[f"q{i}"]}
+    return {c: tuple(v.astype(float) for v in np.unique(np.array(q, float), return_counts=True)) for c, q in found.items()}
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -64,66 +59,111 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
 
 
-def _fit_mixture(x: np.ndarray, n: np.ndarray, modes: int, prior: float = CONCENTRATION, rounds: int = 100) -> list[tuple[float, float, float]]:
-    """Variational Gaussian mixture with a stick-breaking weight prior on weighted points.
-
-    The update formulas are those of the textbook treatment of variational mixtures in one
-    dimension (normal-gamma prior around the column's own mean and variance).
-    """
+@dataclass
+class _Posterior:
+    """State of a variational Gaussian mixture of one column (normal-gamma prior around the column's own mean and variance)."""
+
+    prior: float
+    centre: float
+    var: float
+    log_weight: np.ndarray
+    weight: np.ndarray
+    mean: np.ndarray
+    sd2: np.ndarray
+    precision: np.ndarray
+    dof: np.ndarray
+
+    def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Per point and component, and the sum of the log densities (up to a constant)."""
+        log_p = self.log_weight[None, :] - 0.5 * (np.log(self.sd2) + np.log(self.dof) - np.log(2) - _digamma(self.dof / 2))[None, :] \
+            - 0.5 * (1.0 / self.precision[None, :] + (x[:, None] - self.mean) ** 2 / self.sd2[None, :])
+        top = log_p.max(1, keepdims=True)
+        p = np.exp(log_p - top)
+        norm = p.sum(1, keepdims=True)
+        return p / norm, float((top + np.log(norm)).sum())
+
+
+def _posterior(prior: float, centre: float, var: float, size: np.ndarray, first: np.ndarray, second: np.ndarray) -> _Posterior:
+    """The update for given sums of responsibilities, of (x - centre) and of its square, per component."""
+    size = size + 1e-10
+    bar = first / size
+    scatter = np.maximum(second - size * bar ** 2, 0.0)
+    later = np.concatenate([np.cumsum(size[::-1])[::-1][1:], [0.0]])
+    a, b = 1.0 + size, prior + later
+    log_stick = _digamma(a) - _digamma(a + b)
+    log_rest = np.concatenate([[0.0], np.cumsum(_digamma(b) - _digamma(a + b))[:-1]])
+    precision, dof = 1.0 + size, 1.0 + size
+    stick = a / (a + b)
+    weight = stick * np.concatenate([[1.0], np.cumprod(1 - stick)[:-1]])
+    sd2 = (var + scatter + size / precision * bar ** 2) / dof + 1e-6 * var
+    return _Posterior(prior, centre, var, log_stick + log_rest, weight / weight.sum(), centre + size * bar / precision, sd2, precision, dof)
+
+
+def _sums(x: np.ndarray, resp: np.ndarray, centre: float, n: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w, z = resp * np.reshape(n, (-1, 1)), (x - centre)[:, None]
+    return w.sum(0), (w * z).sum(0), (w * z * z).sum(0)
+
+
+def _start(x: np.ndarray, n: np.ndarray, modes: int, prior: float, rounds: int = 100) -> _Posterior:
+    """A mixture fitted to weighted points, for the rows to go on from."""
     total, k = n.sum(), min(modes, len(x))
     centre = float((n * x).sum() / total)
     var = float((n * (x - centre) ** 2).sum() / total) or 1e-12
     edges = np.interp((np.arange(k) + 0.5) / k, np.cumsum(n) / total, x)
     resp = np.zeros((len(x), k))
     resp[np.arange(len(x)), np.abs(x[:, None] - edges[None, :]).argmin(1)] = 1.0
-    mean = sd2 = weight = None
     for _ in range(rounds):
-        w = resp * n[:, None]
-        size = w.sum(0) + 1e-10
-        bar = (w * x[:, None]).sum(0) / size
-        scatter = (w * (x[:, None] - bar) ** 2).sum(0)
-        later = np.concatenate([np.cumsum(size[::-1])[::-1][1:], [0.0]])
-        a, b = 1.0 + size, prior + later
-        log_stick = _digamma(a) - _digamma(a + b)
-        log_rest = np.concatenate([[0.0], np.cumsum(_digamma(b) - _digamma(a + b))[:-1]])
-        precision, dof = 1.0 + size, 1.0 + size
-        mean = (centre + size * bar) / precision
-        sd2 = (var + scatter + size / precision * (bar - centre) ** 2) / dof + 1e-6 * var
-        log_p = (log_stick + log_rest)[None, :] - 0.5 * (np.log(sd2) + np.log(dof) - np.log(2) - _digamma(dof / 2))[None, :] \
-            - 0.5 * (1.0 / precision[None, :] + (x[:, None] - mean) ** 2 / sd2[None, :])
-        log_p -= log_p.max(1, keepdims=True)
-        new = np.exp(log_p)
-        new /= new.sum(1, keepdims=True)
+        state = _posterior(prior, centre, var, *_sums(x, resp, centre, n))
+        new, _ = state.responsibilities(x)
         moved = float((np.abs(new - resp) * n[:, None]).sum() / total)
         resp = new
-        stick = a / (a + b)
-        weight = stick * np.concatenate([[1.0], np.cumprod(1 - stick)[:-1]])
         if moved < 1e-4:
             break
-    weight = weight / weight.sum()
-    return [(float(m), float(np.sqrt(s)), float(p)) for m, s, p in zip(mean, sd2, weight)]
+    return state
 
 
 def mixture_1d(df: DataFrame, cols, max_modes: int = 10, where: dict[str, Column] | None = None,
-               prior: float | None = CONCENTRATION) -> dict[str, list[Mode]]:
-    """A Gaussian mixture per column, fitted on bounded histograms, columns in parallel.
+               prior: float | None = CONCENTRATION, rounds: int = 100) -> dict[str, list[Mode]]:
+    """A variational Gaussian mixture with a stick-breaking weight prior per column.
 
-    ``prior`` is the weight concentration; None stands for 1 / ``max_modes``.
+    The fit starts from that of the column's quantiles; then every round reads all rows once for all columns, until
+    the mean log density moves by less than 1e-3, or for the published 100 ``rounds``.  ``prior`` is the
+    weight concentration; None stands for 1 / ``max_modes``.
     """
     prior = 1.0 / max_modes if prior is None else prior
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("centre")
-        found = _fit_mixture(pdf["centre"].to_numpy(float), pdf["n"].to_numpy(float), max_modes, prior)
-        return pd.DataFrame([(pdf["column"].iloc[0], i, *m) for i, m in enumerate(found)],
-                            columns=["column", "mode", "mean", "sd", "weight"])
-
-    fitted = histograms(df, cols, where=where).groupBy("column") \
-        .applyInPandas(fit, "column STRING, mode INT, mean DOUBLE, sd DOUBLE, weight DOUBLE")
-    out: dict[str, list[Mode]] = {c: [] for c in cols}
-    for r in sorted(fitted.collect(), key=lambda r: (r["column"], r["mode"])):
-        out[r["column"]].append(Mode(r["mean"], r["sd"], r["weight"]))
-    return out
+    num = {c: F.when(where[c], F.col(c).cast("double")) if where and c in where else F.col(c).cast("double") for c in cols}
+    rows = written(df.select(*[x.alias(f"x{i}") for i, x in enumerate(num.values())]), "mixture-values")
+    states = {c: _start(x, n, max_modes, prior) for c, (x, n) in starting_points(df, cols, where=where).items()}
+    moving, reached = {i: c for i, c in enumerate(cols) if c in states}, {}
+    for _ in range(rounds):
+        if not moving:
+            break
+        current = {i: states[c] for i, c in moving.items()}
+
+        def sums(batches):
+            for batch in batches:
+                out = []
+                for i, state in current.items():
+                    x = batch[f"x{i}"].to_numpy(float)
+                    x = x[~np.isnan(x)]
+                    if len(x):
+                        resp, density = state.responsibilities(x)
+                        out += [(i, j, *map(float, v)) for j, v in enumerate(zip(*_sums(x, resp, state.centre)))]
+                        out.append((i, -1, float(len(x)), density, 0.0))
+                yield pd.DataFrame(out, columns=["col", "mode", "size", "first", "second"])
+
+        total = rows.mapInPandas(sums, "col INT, mode INT, size DOUBLE, first DOUBLE, second DOUBLE") \
+            .groupBy("col", "mode").agg(*[F.sum(v).alias(v) for v in ("size", "first", "second")]).orderBy("col", "mode").collect()
+        for i, c in list(moving.items()):
+            old, mine = states[c], [r for r in total if r["col"] == i and r["mode"] >= 0]
+            n, density = next((r["size"], r["first"]) for r in total if r["col"] == i and r["mode"] < 0)
+            new = _posterior(old.prior, old.centre, old.var, *(np.array([r[v] for r in mine]) for v in ("size", "first", "second")))
+            states[c] = new
+            if abs(density / n - reached.get(c, math.inf)) < TOLERANCE:
+                del moving[i]
+            reached[c] = density / n
+    return {c: [Mode(float(m), float(np.sqrt(v)), float(w)) for m, v, w in zip(states[c].mean, states[c].sd2, states[c].weight)] if c in states else []
+            for c in cols}
 
 
 # ---------------------------------------------------------------- modes in use

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from ballast.llm.minhash_dedup import BANDS, ROWS, _open_pairs, deduplicated, near_duplicates, registers, shingles, similarity
+from ballast.llm.minhash_dedup import BANDS, FINE, ROWS, _open_pairs, at_least, deduplicated, near_duplicates, registers, shingles, similarity
 
 import pandas as pd
 
@@ -84,16 +84,19 @@ def test_estimate_is_near_the_similarity(share):
     ra, rb = registers(a), registers(b)
     got = similarity(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([2000.0]), np.array([2000.0]))[0]
     assert abs(got - share) < 0.12
+    for least in (got - 0.03, got + 0.03):
+        assert at_least(ra[None], rb[None], np.array([2000.0]), np.array([2000.0]), least)[0] == (least < got)
+    assert (registers(a, FINE)[:len(ra)] == ra).all()
     assert (registers(np.r_[a, b]) == np.maximum(ra, rb)).all()  # mergeable
 
 
 def test_tasks_that_span_batches():
-    regs = registers(shingles("a b c d e f", 4)).tobytes()
+    regs = registers(shingles("a b c d e f", 4), FINE).tobytes()
     rows = pd.DataFrame({"id": range(6), "component": range(6), "task": [1, 1, 1, 2, 2, 2], "side": 0, "alone": True, "n": 3, "regs": [regs] * 6})
-    whole = pd.concat(_open_pairs(iter([rows]), 0.6))
-    cut = pd.concat(_open_pairs(iter([rows.iloc[:2], rows.iloc[2:4], rows.iloc[4:]]), 0.6))
+    whole = pd.concat(_open_pairs(iter([rows]), 0.8))
+    cut = pd.concat(_open_pairs(iter([rows.iloc[:2], rows.iloc[2:4], rows.iloc[4:]]), 0.8))
     assert len(whole) == 6 and set(map(tuple, cut.to_numpy().tolist())) == set(map(tuple, whole.to_numpy().tolist()))
-    assert BANDS * ROWS == len(regs)
+    assert len(regs) == FINE > BANDS * ROWS
 
 
 def test_empty(make_docs):

@@ -139,3 +139,22 @@ def test_errors(spark):
         D.fit_discretizer(df, ["x"], "bins-z")
     with pytest.raises(ValueError):
         D.fit_discretizer(df, ["x"], "caim")
+
+
+def test_an_outlier_does_not_hide_the_modes(spark):
+    rng = np.random.default_rng(5)
+    x = np.r_[rng.normal(0, 1, 6000), rng.normal(20, 2, 3000), [500.0]]
+    df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE")
+    found = D.mixture_1d(df, ["x"], 5)["x"]
+    for mean, share in ((0, 6000 / 9001), (20, 3000 / 9001)):
+        near = [m for m in found if abs(m.mean - mean) < 3]
+        assert near and abs(sum(m.weight for m in near) - share) < 0.05
+    assert len(D.kmeans_cuts(df.where("x < 100"), ["x"], {"x": 2})["x"]) == 1
+
+
+def test_kmeans_settles_on_many_values(spark):
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.uniform(0, 1, 20_000), rng.uniform(3, 4, 20_000)]
+    df = spark.createDataFrame([(float(v),) for v in x], "x DOUBLE")
+    cut, = D.kmeans_cuts(df, ["x"], {"x": 2})["x"]
+    assert abs(cut - (x[x < cut].mean() + x[x >= cut].mean()) / 2) < 1e-9
