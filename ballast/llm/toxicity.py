@@ -6,10 +6,13 @@ contexts of three letters, then of one, then a uniform floor.  So a rare form of
 and a word that neither class has seen is judged alike by both.  A text is compared by length-normalised log-likelihoods: over all its
 words, and over its most telling words; a logistic curve fitted to other labelled rows turns these into a score.
 
-Counts are taken over all training rows and kept in tables of fixed size, indexed by hashes of the letters.
+Counts are exact, taken over all training rows and kept as written tables.  The corpus's distinct words are scored by joins to them,
+and its documents by joins to the words.  Only the most frequent grams and words are broadcast, with the scores that the joins
+would give them; how many changes no result.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +24,11 @@ from ballast.functions.store import written
 from ballast.llm.remember import claim
 
 CONTEXT, MIDDLE, LAST = 5, 3, 1  # letters before the predicted one, at the class level and the two shared levels
-BITS = {CONTEXT: 20, MIDDLE: 19, LAST: 16}  # sizes of the hashed tables; they bound what is collected and broadcast
 DISCOUNT = 0.75
 LETTERS = 256.0
 CALIBRATION_ROWS = 50_000  # the logistic curve is fitted to at most so many rows, those with the smallest hashes
-REMEMBERED = 300_000  # words a worker remembers with their scores before it starts anew; bounds memory only
-STEP = np.uint64(0x9E3779B97F4A7C15)
+HEAD_GRAMS, HEAD_WORDS = 1 << 19, 1 << 18  # the most frequent ones, broadcast; the others are joined
+HELD = 150_000  # words that a task counts before it hands them on; bounds memory only
 # ASCII letters and all bytes of other scripts stay, everything else is blank.
 _BLANK = bytes(i if 97 <= i <= 122 or i > 127 else 32 for i in range(256))
 
@@ -36,21 +38,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_BLANK).split()
 
 
-def _slot(size: int, x: np.ndarray) -> np.ndarray:
-    """Place of packed letters in the hashed table of their level."""
-    h = (x.astype(np.uint64) + np.uint64(size)) * STEP
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - BITS[size])).astype(np.int64)
-
-
-def _gram(size: int, packed: np.ndarray) -> np.ndarray:
-    return packed & ((1 << 8 * (size + 1)) - 1)
-
-
-def _context(size: int, packed: np.ndarray) -> np.ndarray:
-    return (packed >> 8) & ((1 << 8 * size) - 1)
-
-
 def letter_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Every letter of every word (its end is one too) packed with the five before it, six bytes a number, and the word
     it belongs to.  Letters are bytes."""
@@ -65,49 +52,6 @@ def letter_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed, word[at]
 
 
-class Models:
-    """Both class models as tables of fixed size."""
-
-    def __init__(self, gram: dict, context: dict):
-        #: gram[CONTEXT]: (toxic, ordinary) counts, other levels: continuation counts; context[.]: totals, then kinds.
-        self.gram, self.context = gram, context
-        self.known: dict[bytes, float] = {}
-
-    def log_ratios(self, words: list[bytes]) -> np.ndarray:
-        """Log-likelihood of each word under the toxic model less that under the ordinary one."""
-        packed, word = letter_grams(words)
-        shared = np.full(len(word), 1 / LETTERS)
-        for size in (LAST, MIDDLE):
-            n = self.gram[size][_slot(size, _gram(size, packed))]
-            total, kinds = self.context[size][:, _slot(size, _context(size, packed))]
-            shared = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shared) / np.maximum(total, 1), shared)
-        logs = []
-        g, c = _slot(CONTEXT, packed), _slot(CONTEXT, _context(CONTEXT, packed))
-        for k in (0, 1):
-            n, total, kinds = self.gram[CONTEXT][k][g], self.context[CONTEXT][k][c], self.context[CONTEXT][2 + k][c]
-            p = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * shared) / np.maximum(total, 1), shared)
-            logs.append(np.log(np.maximum(p, 1e-300)))
-        return np.bincount(word, logs[0] - logs[1], minlength=len(words))
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Per text: mean log ratio of its words, the largest, the mean of the three largest, log of 1 + the sum of those above
-        2 per square root of words, log of 1 + words."""
-        claim(self.known)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, split = self.known, [words_of(t) for t in texts]
-        new = list({w for words in split for w in words if w not in known})
-        for lo in range(0, len(new), 10_000):
-            known.update(zip(new[lo:lo + 10_000], self.log_ratios(new[lo:lo + 10_000]).tolist()))
-        out = np.zeros((len(texts), 5))
-        for i, words in enumerate(split):
-            if words:
-                s = np.fromiter(map(known.__getitem__, words), float, len(words))
-                top = np.sort(np.partition(s, max(0, len(s) - 3))[-3:])
-                out[i] = s.mean(), top[-1], top.mean(), np.log1p(s[s > 2].sum() / np.sqrt(len(s))), np.log1p(len(s))
-        return out
-
-
 def gram_counts(rows: DataFrame) -> DataFrame:
     """``rows`` (text, toxic) to one row per gram: its six letters packed, and its counts in both classes."""
 
@@ -125,7 +69,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 for w in words_of(text):
                     held.setdefault(w, [0, 0])[0 if toxic else 1] += 1
-                if len(held) > 150_000:  # bounds memory only
+                if len(held) > HELD:
                     yield told()
                     held = {}
         if held:
@@ -134,31 +78,131 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(count, "g long, toxic long, plain long").groupBy("g").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
-def _table(found: DataFrame, key: str, part, size: int, columns: list[str]) -> np.ndarray:
-    """Sums by slot of the hashed table; at most 2 ** BITS[size] rows reach the driver."""
+def _end(size: int) -> Column:
+    """The last ``size`` + 1 letters of a packed gram."""
+    return F.col("g").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1))
 
-    @F.pandas_udf("int")
-    def slot(keys: pd.Series) -> pd.Series:
-        return pd.Series(_slot(size, part(size, keys.to_numpy(np.int64))).astype(np.int32))
 
-    rows = found.groupBy(slot(key).alias("slot")).agg(*[F.sum(c).cast("float").alias(c) for c in columns]).toPandas()
-    out = np.zeros((len(columns), 1 << BITS[size]), np.float32)
-    for k, c in enumerate(columns):
-        out[k, rows["slot"].to_numpy(np.int64)] = rows[c].to_numpy()
-    return out
+def _smoothed(n: Column, total: Column, kinds: Column, shared: Column) -> Column:
+    """Kneser-Ney: the discounted count, and the rest of its context by the shared backoff."""
+    return F.when(total > 0, (F.greatest(n - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * shared) / total).otherwise(shared)
 
 
-def fit(rows: DataFrame) -> Models:
-    """The models of ``rows`` (text, toxic), all of which are counted."""
-    grams = written(gram_counts(rows), "letter-grams")
-    ends = lambda df, size: df.groupBy(F.col("g").bitwiseAND(F.lit((1 << 8 * (size + 1)) - 1)).alias("g")).agg(F.count("*").alias("n"), F.lit(1).alias("kinds"))
+def gram_ratios(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, n, r): the log-likelihood of every counted gram's last letter under the toxic model less that under the ordinary one;
+    and (c, r): that of any letter that was not counted after the context c, where the shared backoff cancels out."""
+    before = F.shiftright("g", 8)
+    ends = lambda df, size: df.groupBy(_end(size).alias("g")).agg(F.count("*").alias("n"))
+    sums = lambda df: df.groupBy(before.alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     middle = written(ends(grams, MIDDLE), "letter-ends")
-    last = ends(middle, LAST)
-    kinds = grams.withColumns({f"{c}_kinds": (F.col(c) > 0).cast("int") for c in ("toxic", "plain")})
-    gram = {CONTEXT: _table(grams, "g", _gram, CONTEXT, ["toxic", "plain"]), MIDDLE: _table(middle, "g", _gram, MIDDLE, ["n"])[0], LAST: _table(last, "g", _gram, LAST, ["n"])[0]}
-    context = {CONTEXT: _table(kinds, "g", _context, CONTEXT, ["toxic", "plain", "toxic_kinds", "plain_kinds"]),
-               MIDDLE: _table(middle, "g", _context, MIDDLE, ["n", "kinds"]), LAST: _table(last, "g", _context, LAST, ["n", "kinds"])}
-    return Models(gram, context)
+    last = written(ends(middle, LAST), "letter-ends")  # 65,536 rows at most
+    contexts = written(grams.groupBy(before.alias("c")).agg(
+        *[F.sum(k).alias(k) for k in ("toxic", "plain")], *[F.sum((F.col(k) > 0).cast("long")).alias(f"{k}_kinds") for k in ("toxic", "plain")]), "letter-contexts")
+    level = lambda df, shared: df.withColumn("c", before).join(sums(df), "c").withColumn("q", _smoothed(F.col("n"), F.col("total"), F.col("kinds"), shared))
+    q_last = level(last, F.lit(1 / LETTERS)).select(F.col("g").alias("e"), F.col("q").alias("s"))
+    q_middle = level(middle.withColumn("e", _end(LAST)).join(q_last, "e"), F.col("s")).select(F.col("g").alias("e"), "q")
+    named = contexts.select("c", *[F.col(k).alias(f"{k}_all") for k in ("toxic", "plain")], "toxic_kinds", "plain_kinds")
+    seen = grams.withColumn("c", before).withColumn("e", _end(MIDDLE)).join(named, "c").join(q_middle, "e")
+    p = {k: _smoothed(F.col(k), F.col(f"{k}_all"), F.col(f"{k}_kinds"), F.col("q")) for k in ("toxic", "plain")}
+    rest = {k: F.when(F.col(k) > 0, DISCOUNT * F.col(f"{k}_kinds") / F.col(k)).otherwise(1.0) for k in ("toxic", "plain")}
+    return (written(seen.select("g", (F.col("toxic") + F.col("plain")).alias("n"), (F.log(p["toxic"]) - F.log(p["plain"])).alias("r")), "letter-ratios"),
+            written(contexts.select("c", (F.log(rest["toxic"]) - F.log(rest["plain"])).alias("r")), "context-ratios"))
+
+
+def frequent(table: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows with the largest ``n``, at most ``most`` of them, cut where a power of 1.1 is."""
+    step = F.floor(F.log(F.col(n).cast("double")) / float(np.log(1.1)))
+    left, cut = most, None
+    for row in sorted(table.groupBy(step.alias("k")).count().collect(), reverse=True):
+        left -= row["count"]
+        if left < 0:
+            break
+        cut = row["k"]
+    return table.where(step >= cut) if cut is not None else table.limit(0)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n) of the column ``text``."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: Counter[bytes] = Counter()
+        told = lambda: pd.DataFrame({"word": list(held), "n": list(held.values())})
+        for batch in batches:
+            for text in batch["text"]:
+                held.update(words_of(text))
+                if len(held) > HELD:
+                    yield told()
+                    held.clear()
+        if held:
+            yield told()
+
+    return texts.mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_ratios(words: DataFrame, ratios: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``words`` (word, n) with s: the log-likelihood of the word under the toxic model less that under the ordinary one."""
+    top = frequent(ratios, "n", HEAD_GRAMS).select("g", "r").toPandas().sort_values("g")
+    shared = words.sparkSession.sparkContext.broadcast((top["g"].to_numpy(np.int64), top["r"].to_numpy(float)))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, values = shared.value
+        for whole in batches:
+            for lo in range(0, len(whole), 10_000):
+                batch = whole.iloc[lo:lo + 10_000]
+                packed, word = letter_grams(batch["word"].tolist())
+                at = np.minimum(np.searchsorted(keys, packed), max(0, len(keys) - 1))
+                hit = keys[at] == packed if len(keys) else np.zeros(len(packed), bool)
+                s = np.bincount(word[hit], values[at[hit]], minlength=len(batch)) if hit.any() else np.zeros(len(batch))
+                missed = np.split(packed[~hit], np.cumsum(np.bincount(word[~hit], minlength=len(batch)))[:-1])
+                yield pd.DataFrame({"word": batch["word"].to_numpy(), "n": batch["n"].to_numpy(), "s": s, "missed": missed})
+
+    parts = written(words.mapInPandas(look, "word binary, n long, s double, missed array<bigint>"), "word-parts")
+    missed = parts.select("word", F.explode("missed").alias("g"))
+    asked = missed.select("g").distinct().join(ratios.select("g", "r"), "g", "left").withColumn("c", F.shiftright("g", 8)) \
+        .join(contexts.withColumnRenamed("r", "rest"), "c", "left").select("g", F.coalesce("r", "rest", F.lit(0.0)).alias("r"))
+    more = missed.join(asked, "g").groupBy("word").agg(_total(F.sort_array(F.collect_list("r"))).alias("more"))
+    return parts.select("word", "n", "s").join(more, "word", "left").select("word", "n", (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s"))
+
+
+def _total(numbers: Column) -> Column:
+    """The sum in the order of the list, so that it does not depend on the order of arrival."""
+    return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+
+def text_features(texts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Of every distinct ``_k`` in ``texts`` (_k, text), by ``scores`` (word, n, s) of all their words: mean log ratio of the words, the largest,
+    the mean of the three largest, log of 1 + the sum of those above 2 per square root of words, log of 1 + words."""
+    top = frequent(scores, "n", HEAD_WORDS).select("word", "s").toPandas()
+    shared = texts.sparkSession.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), top["s"].tolist())))
+    lists = ("top", "missed")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
+        known = shared.value
+        for whole in batches:
+            for lo in range(0, len(whole), 512):
+                batch, rows = whole.iloc[lo:lo + 512], []
+                for text in batch["text"]:
+                    words = words_of(text)
+                    found = list(map(known.get, words))
+                    missed = [w for w, s in zip(words, found) if s is None] if None in found else []
+                    s = np.array([x for x in found if x is not None] if missed else found, float)
+                    best = np.sort(np.partition(s, max(0, len(s) - 3))[-3:]) if len(s) else s
+                    rows.append((len(words), s.sum(), s[s > 2].sum(), best, missed))
+                yield pd.DataFrame(rows, columns=["n", "sum", "telling", *lists]).assign(_k=batch["_k"].to_numpy())
+
+    parts = written(texts.mapInPandas(look, "n long, sum double, telling double, top array<double>, missed array<binary>, _k binary")
+                    .withColumn("_n", F.monotonically_increasing_id()), "text-parts")
+    missed = parts.select("_n", F.explode("missed").alias("word")).join(scores.select("word", "s").hint("merge"), "word")
+    more = missed.groupBy("_n").agg(F.sort_array(F.collect_list("s"), False).alias("more"))
+    none = F.array().cast("array<double>")
+    both = parts.drop("missed").join(more, "_n", "left").withColumn("more", F.coalesce("more", none))
+    best = both.withColumn("best", F.slice(F.sort_array(F.concat("top", F.slice("more", 1, 3)), False), 1, 3)) \
+        .withColumn("sum", F.col("sum") + _total(F.col("more"))).withColumn("telling", F.col("telling") + _total(F.filter("more", lambda x: x > 2)))
+    some = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
+    return best.select("_k", some(F.col("sum") / F.col("n")).alias("mean"), some(F.col("best")[0]).alias("most"),
+                       some(_total(F.col("best")) / F.size("best")).alias("top"), some(F.log1p(F.col("telling") / F.sqrt("n"))).alias("telling"),
+                       F.log1p(F.col("n").cast("double")).alias("words")).dropDuplicates(["_k"])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,22 +232,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     texts get the score of a text without words; a null id is not held out.  Without labels of both classes all scores
     are 0.  Columns named like the new ones are replaced.
     """
-    spark = docs.sparkSession
-    base = docs.drop("held_out", "score", "predicted", "_f")
+    told = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit("")))))
+    base = docs.drop("held_out", "score", "predicted", "_k").withColumn("_k", told)  # rows with one key have one text
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     taught = known.where(fold(F.col("_id")) != 2).hint("merge")  # one plan at every size
-    marked = base.select(F.col(id_col).alias("_id"), F.col(text).cast("string").alias("text")).join(taught, "_id")
-    marked = written(marked.select("text", "toxic", fold(F.col("_id")).alias("fold"), F.xxhash64("_id").alias("draw")), "labelled")
-    shared = spark.sparkContext.broadcast(fit(marked.where("fold < 2")))
+    texts = base.select(F.col(id_col).alias("_id"), "_k", F.col(text).cast("string").alias("text"))
+    marked = written(texts.join(taught, "_id").select("_k", "text", "toxic", fold(F.col("_id")).alias("fold"), F.xxhash64("_id").alias("draw")), "labelled")
+    grams = written(gram_counts(marked.where("fold < 2")), "letter-grams")
+    words = written(word_counts(texts.select("text")), "words")
+    scores = written(word_ratios(words, *gram_ratios(grams)), "word-ratios")
     names = ["mean", "most", "top", "telling", "words"]
-
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        models = shared.value
-        for texts in batches:
-            yield pd.DataFrame(np.concatenate([models.features(texts.iloc[lo:lo + 128].tolist()) for lo in range(0, len(texts), 128)] or [np.zeros((0, 5))]), columns=names)
-
-    sample = marked.where("fold = 3").orderBy("draw").limit(CALIBRATION_ROWS).select(features("text").alias("f"), "toxic").select("f.*", "toxic").toPandas()
+    features = written(text_features(texts.select("_k", "text"), scores), "text-features")
+    sample = marked.where("fold = 3").orderBy("draw").limit(CALIBRATION_ROWS).select("_k", "draw", "toxic").join(features, "_k").toPandas()
+    sample = sample.assign(_k=[bytes(k) for k in sample["_k"]]).sort_values(["draw", "_k"])
     x, y = sample[names].to_numpy(float), sample["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         mean, scale, w = fit_curve(x, y)
@@ -211,10 +252,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
         counted = [r[0] for r in marked.where("fold < 2").select("toxic").distinct().collect()]
         # no rows for a curve: two telling words a text of fifty are even odds; without both classes nothing is toxic
         mean, scale, w = np.zeros(5), np.ones(5), np.array([-6.0, 0, 0.5, 0.5, 0.5, 0]) if len(counted) == 2 else np.r_[-50.0, np.zeros(5)]
-    found = base.withColumn("_f", features(F.col(text).cast("string")))
+    found = base.join(features.select("_k", F.struct(*names).alias("_f")).hint("merge"), "_k", "left")
     line = F.lit(float(w[0]))
     for n, m, s, b in zip(names, mean, scale, w[1:]):
         line = line + (F.col(f"_f.{n}") - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(b))
     return found.withColumn("held_out", F.coalesce(fold(F.col(id_col)) == 2, F.lit(False))) \
-        .withColumn("score", 1 / (1 + F.exp(-line))).drop("_f") \
+        .withColumn("score", 1 / (1 + F.exp(-line))).drop("_f", "_k") \
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))

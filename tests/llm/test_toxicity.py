@@ -1,6 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
 
+import pytest
+
+from ballast.llm import toxicity as T
 from ballast.llm.toxicity import score_documents
 
 PLAIN = "morning table river garden paper window walking yellow quiet simple reading number summer kitchen market".split()
@@ -48,3 +53,73 @@ def test_without_labels_or_rows(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["predicted"] for r in score_documents(make_docs([(1, "a b")]), none).collect()] == [0]
     assert score_documents(make_docs([]), none).collect() == []
+
+
+def letter_ratio(taught, word):
+    """Log ratio of a word by dictionaries: ``taught`` are (toxic, plain) Counters of words."""
+    grams = [{}, {}]
+    for k, words in enumerate(taught):
+        for w, n in words.items():
+            padded = b" " * 5 + w + b" "
+            for i in range(5, len(padded)):
+                grams[k][padded[i - 5:i + 1]] = grams[k].get(padded[i - 5:i + 1], 0) + n
+    distinct = set(grams[0]) | set(grams[1])
+    levels = {}
+    for size in (3, 1):
+        distinct_ends, n = {g[-size - 1:] for g in distinct}, {}
+        for g in distinct:
+            n[g[-size - 1:]] = n.get(g[-size - 1:], 0) + 1
+        total, kinds = {}, {}
+        for e in distinct_ends:
+            total[e[:-1]], kinds[e[:-1]] = total.get(e[:-1], 0) + n[e], kinds.get(e[:-1], 0) + 1
+        levels[size], distinct = (n, total, kinds), distinct_ends
+    classes = []
+    for k in (0, 1):
+        total, kinds = {}, {}
+        for g, n in grams[k].items():
+            total[g[:5]], kinds[g[:5]] = total.get(g[:5], 0) + n, kinds.get(g[:5], 0) + 1
+        classes.append((grams[k], total, kinds))
+
+    def p(level, gram, shared):
+        n, total, kinds = level
+        c = gram[:-1]
+        return (max(n.get(gram, 0) - 0.75, 0) + 0.75 * kinds[c] * shared) / total[c] if total.get(c) else shared
+
+    def ratio(w):
+        padded, out = b" " * 5 + w + b" ", 0.0
+        for i in range(5, len(padded)):
+            g = padded[i - 5:i + 1]
+            q = p(levels[3], g[-4:], p(levels[1], g[-2:], 1 / 256))
+            out += math.log(p(classes[0], g, q) / p(classes[1], g, q))
+        return out
+
+    return [ratio(w) for w in word]
+
+
+@pytest.mark.parametrize("head", [0, 20_000])
+def test_counts_are_exact_however_many_grams_there_are(spark, monkeypatch, head):
+    """Tables of fixed size mixed up the counts of different grams, the more the larger the corpus."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèжшщ") for _ in range(rng.randrange(3, 12)))
+    rows = [(" ".join(word() for _ in range(100)), int(i % 5 == 0)) for i in range(600)]
+    taught = Counter(), Counter()
+    for text, toxic in rows:
+        taught[0 if toxic else 1].update(T.words_of(text))
+    asked = [w for k in (0, 1) for w in list(taught[k])[:1000]] + [word().encode() for _ in range(1000)]
+    asked = list(dict.fromkeys(asked))
+    monkeypatch.setattr(T, "HEAD_GRAMS", head)
+    grams = T.gram_counts(spark.createDataFrame(rows, "text string, toxic int")).cache()
+    words = spark.createDataFrame([(bytearray(w), 1) for w in asked], "word binary, n long")
+    got = {bytes(r["word"]): r["s"] for r in T.word_ratios(words, *T.gram_ratios(grams)).collect()}
+    assert grams.count() > 200_000 and len(got) == len(asked)
+    assert max(abs(got[w] - x) for w, x in zip(asked, letter_ratio(taught, asked))) < 1e-9
+
+
+@pytest.mark.parametrize("head", [0, 2, 1000])
+def test_text_features_do_not_depend_on_what_is_broadcast(spark, monkeypatch, head):
+    monkeypatch.setattr(T, "HEAD_WORDS", head)
+    scores = spark.createDataFrame([(bytearray(b"aa"), 9, 3.0), (bytearray(b"bb"), 8, -1.0), (bytearray(b"cc"), 2, 4.0), (bytearray(b"dd"), 1, 0.5)], "word binary, n long, s double")
+    texts = [(bytearray(b"1"), "aa bb, cc aa dd"), (bytearray(b"2"), "bb"), (bytearray(b"3"), None), (bytearray(b"1"), "aa bb, cc aa dd")]
+    got = {bytes(r["_k"]): tuple(r[1:]) for r in T.text_features(spark.createDataFrame(texts, "_k binary, text string"), scores).collect()}
+    assert got[b"1"] == pytest.approx((9.5 / 5, 4.0, 10 / 3, math.log1p(10 / math.sqrt(5)), math.log(6)))
+    assert got[b"2"] == pytest.approx((-1, -1, -1, 0, math.log(2))) and got[b"3"] == (0, 0, 0, 0, 0) and len(got) == 3
