@@ -24,6 +24,7 @@ from ballast.spec import TableSpec, refuse_stream
 # Fixed values of the published procedure.
 CLUSTER_PENALTY = 0.02   # added per cluster when choosing their number
 MICRO_CLUSTERS = 512     # centroids that take part in agglomeration
+PUBLISHED_CLUSTERS, PUBLISHED_ROUNDS = 20, 100  # limits of the reference's experiments: clusters or components, and rounds of EM
 MAX_MOMENTS = 5_000_000  # sums that one round of EM brings to the driver
 COVARIANCES = ("spherical", "tied", "diag", "full")
 

@@ -27,7 +27,7 @@ def e1(spark, sf):
 
 @query("e2_choose_k_kmeans")
 def e2(spark, sf):
-    found = E.choose_k_kmeans(_features(spark, sf), max_clusters=6)
+    found = E.choose_k_kmeans(_features(spark, sf), max_clusters=E.PUBLISHED_CLUSTERS)
     return found.labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -43,13 +43,13 @@ def e2_score(spark, sf):
 def e3(spark, sf):
     spec = X.TableSpec(features=("c_acctbal", "c_nationkey"), label="c_mktsegment", row_id=("c_custkey",))
     t = E.cluster_features(X.seg_customers(spark, sf), spec)
-    found = E.choose_k_mixture(t, max_clusters=5, rounds=15)
+    found = E.choose_k_mixture(t, max_clusters=E.PUBLISHED_CLUSTERS, rounds=E.PUBLISHED_ROUNDS)
     return found.labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e4_hierarchical")
 def e4(spark, sf):
-    return E.hierarchical(_features(spark, sf), max_clusters=8).labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return E.hierarchical(_features(spark, sf), max_clusters=E.PUBLISHED_CLUSTERS).labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("e5_cluster_profile", sql="""
@@ -129,7 +129,7 @@ def e11(spark, sf):
 def e12(spark, sf):
     spec = X.TableSpec(features=("n_chars",), label="toxic", row_id=("doc_id",))
     t = E.cluster_features(X.toxic_docs(spark, sf), spec)
-    rows, _ = E.class_subspaces(t, "features", "toxic", max_components=3, rounds=15)
+    rows, _ = E.class_subspaces(t, "features", "toxic", max_components=E.PUBLISHED_CLUSTERS, rounds=E.PUBLISHED_ROUNDS)
     return rows.groupBy("toxic", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 

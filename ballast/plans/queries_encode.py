@@ -235,6 +235,22 @@ def c16(spark, sf):
     return back.where(F.col("l_tax").isin(0.0, M.MISSING)).groupBy(F.round("l_tax", 4).alias("l_tax")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("c16_mixed_column_rest", sql="SELECT count(*) AS n, true AS in_range, true AS exact FROM lineitem WHERE l_tax NOT IN (0, 0.08)")
+def c16_rest(spark, sf):
+    """The other values of a mixed column lie in the range of the mode they were drawn to, and come back as they were unless they were clipped to it."""
+    tax = F.col("l_tax").cast("double")
+    t = X.rare_lines(spark, sf).select("line_id", F.when(tax == 0.08, F.lit(M.MISSING)).otherwise(tax).alias("l_tax"), tax.alias("was"))
+    model = M.mode_normalize(t, [], {"l_tax": (0.0, M.MISSING)})
+    coded = model.encode(t, "line_id").withColumns({"slot": F.col("l_tax_slot"), "scalar": F.col("l_tax_value")})
+    used, order = model.used("l_tax"), model.order["l_tax"]
+    modes = [used[i - 2] if i > 1 else None for i in order]  # the two modal values come first in the fitted order
+    mean, sd = (F.element_at(F.array(*[F.lit(getattr(m, k) if m else None).cast("double") for m in modes]), F.col("slot") + 1) for k in ("mean", "sd"))
+    back = model.decode(coded).where(~F.col("was").isin(0.0, 0.08))
+    inside = F.coalesce(F.abs(F.col("l_tax") - mean) <= M.SPREAD * M.EDGE * sd + 1e-9, F.lit(False))
+    same = (F.abs(F.col("l_tax") - F.col("was")) < 1e-9) | (F.abs("scalar") >= M.EDGE)
+    return back.agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside).alias("in_range"), F.bool_and(same).alias("exact"))
+
+
 @query("c17_general_scale", sql="""
 WITH s AS (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b, -0.001 AS qa, max(l_quantity) + 0.001 AS qb FROM lineitem)
 SELECT round((l_extendedprice - a) / ((b - a) / 2) - 1, 6) AS price, round((l_quantity - qa) / ((qb - qa) / 2) - 1, 6) AS quantity, count(*) AS n

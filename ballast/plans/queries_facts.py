@@ -76,7 +76,7 @@ def c7_fit(spark, sf):
 @query("e2_choose_k_kmeans_score", sql="SELECT count(*) AS n, true AS least, true AS score_holds FROM lineitem")
 def e2_facts(spark, sf):
     """The chosen k has the least score, and the labels give that score again from their moments."""
-    found = E.choose_k_kmeans(E.cluster_features(X.rare_lines(spark, sf), X.RARE), max_clusters=6)
+    found = E.choose_k_kmeans(E.cluster_features(X.rare_lines(spark, sf), X.RARE), max_clusters=E.PUBLISHED_CLUSTERS)
     again = E.inertia_score(found.labelled, "cluster", "features").first()
     return spark.createDataFrame([(found.labelled.count(), found.scores[found.k] == min(found.scores.values()),
                                    again["k"] == found.k and abs(again["score"] - found.scores[found.k]) < 1e-2)], "n BIGINT, least BOOLEAN, score_holds BOOLEAN")
@@ -85,7 +85,7 @@ def e2_facts(spark, sf):
 @query("e3_choose_k_mixture_bic", sql="SELECT count(*) AS n, true AS least FROM customer")
 def e3_facts(spark, sf):
     spec = X.TableSpec(features=("c_acctbal", "c_nationkey"), label="c_mktsegment", row_id=("c_custkey",))
-    found = E.choose_k_mixture(E.cluster_features(X.seg_customers(spark, sf), spec), max_clusters=5, rounds=15)
+    found = E.choose_k_mixture(E.cluster_features(X.seg_customers(spark, sf), spec), max_clusters=E.PUBLISHED_CLUSTERS, rounds=E.PUBLISHED_ROUNDS)
     best = found.detail["model"]
     return spark.createDataFrame([(found.labelled.where(F.col("cluster").between(0, best.k - 1)).count(), best.bic == min(found.detail["all"].values()))], "n BIGINT, least BOOLEAN")
 
@@ -93,7 +93,7 @@ def e3_facts(spark, sf):
 @query("e12_class_subspaces_rows", sql=f"WITH {X.TOXIC_SQL} SELECT toxic, count(*) AS n, true AS equal_shares FROM toxic_docs GROUP BY toxic")
 def e12_facts(spark, sf):
     spec = X.TableSpec(features=("n_chars",), label="toxic", row_id=("doc_id",))
-    rows, model = E.class_subspaces(E.cluster_features(X.toxic_docs(spark, sf), spec), "features", "toxic", max_components=3, rounds=15)
+    rows, model = E.class_subspaces(E.cluster_features(X.toxic_docs(spark, sf), spec), "features", "toxic", max_components=E.PUBLISHED_CLUSTERS, rounds=E.PUBLISHED_ROUNDS)
     shares = model.groupBy("toxic").agg((F.abs(F.sum("p") - 1) < 1e-9).alias("equal_shares"))
     return rows.where("cluster IS NOT NULL").groupBy("toxic").agg(F.count("*").alias("n")).join(shares, "toxic").select("toxic", "n", "equal_shares")
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ballast.functions.draws import pick, uniform
 from ballast.functions.ranks import ranked
+from ballast.operators import cluster as E
 from ballast.operators import synth as H
 from ballast.operators.cluster import p_cluster_given_class
 from ballast.operators.resample import random_oversample
@@ -93,7 +94,7 @@ def h6(spark, sf):
 @query("h7_sample_subspace")
 def h7(spark, sf):
     spec = X.TableSpec(features=("n_chars",), label="toxic", row_id=("doc_id",))
-    out = H.subspace_resample(X.toxic_docs(spark, sf), spec, max_components=3, rounds=15)
+    out = H.subspace_resample(X.toxic_docs(spark, sf), spec, max_components=E.PUBLISHED_CLUSTERS, rounds=E.PUBLISHED_ROUNDS)
     return out.where("is_synthetic").select("toxic", "n_chars")
 
 
@@ -101,7 +102,7 @@ def h7(spark, sf):
 WITH {X.TOXIC_SQL}, c AS (SELECT toxic, count(*) AS n FROM toxic_docs GROUP BY toxic) SELECT toxic, (SELECT max(n) FROM c) AS n FROM c""")
 def h7_counts(spark, sf):
     spec = X.TableSpec(features=("n_chars",), label="toxic", row_id=("doc_id",))
-    out = H.subspace_resample(X.toxic_docs(spark, sf), spec, max_components=3, rounds=15)
+    out = H.subspace_resample(X.toxic_docs(spark, sf), spec, max_components=E.PUBLISHED_CLUSTERS, rounds=E.PUBLISHED_ROUNDS)
     return out.where("toxic IS NOT NULL AND n_chars IS NOT NULL").groupBy("toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,7 +110,7 @@ def h7_counts(spark, sf):
 WITH {X.RARE_SQL}, c AS (SELECT rare, count(*) AS n FROM rare_lines GROUP BY rare)
 SELECT rare, false AS is_synthetic, n FROM c UNION ALL SELECT rare, true, (SELECT max(n) FROM c) - n FROM c WHERE n < (SELECT max(n) FROM c)""")
 def h8(spark, sf):
-    out = H.clustered_resample(X.rare_lines(spark, sf), X.RARE, max_clusters=5)
+    out = H.clustered_resample(X.rare_lines(spark, sf), X.RARE, max_clusters=E.PUBLISHED_CLUSTERS)
     return out.groupBy("rare", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
