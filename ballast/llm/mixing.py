@@ -2,6 +2,7 @@
 
 A source's target over its size says how many copies of each document the mix wants.  The whole part is certain; the rest
 is a probability, and the documents of a source are ranked by random odds over inclusion odds (Pareto order sampling).
+As all documents of a source have the same odds, that is the order of their uniform draws.
 The sample is of fixed size in words: documents are taken in rank order while they fit what is left of the target.  Those
 that did not fit are passed over and the later ones asked again, round after round, until no document of the source
 fits the gap; then the one whose size is nearest to the gap is added if that ends nearer to the target.
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.bounds import join_model
-from ballast.functions.draws import let, uniform
+from ballast.functions.draws import uniform
 from ballast.functions.ranks import ranked, running_total
 from ballast.functions.store import written
 
@@ -58,12 +59,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     sources = targets(written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    sources = written(sources.withColumn("_s", key).withColumn("_whole", F.floor(ratio)).withColumn("_part", ratio - F.floor(ratio))
+    sources = written(sources.withColumn("_s", key).withColumn("_whole", F.floor(ratio))
                       .withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size")).drop("source"), "sources")
-    odds = let(uniform("mix", "id", seed=seed), lambda u: u / (1 - u)) / (F.col("_part") / (1 - F.col("_part")))
-    state = join_model(sized.withColumn("_s", key).drop("source"), sources.select("_s", "_part"), "_s") \
-        .withColumn("_order", F.when(F.col("_part") > 0, let(odds, lambda q: q / (1 + q))).otherwise(0.5)) \
-        .drop("_part").withColumn("_more", F.lit(0))
+    state = sized.withColumn("_s", key).drop("source").withColumn("_order", uniform("mix", "id", seed=seed)).withColumn("_more", F.lit(0))
     while True:
         state = written(state, "mix")
         gaps = written(sources.join(state.where("_more = 1").groupBy("_s").agg(F.sum("size").alias("_got")), "_s", "left")
@@ -71,9 +69,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         asked = join_model(state, gaps, "_s").withColumn("_fits", (F.col("_more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_gap")))
         if asked.where("_fits").isEmpty():
             break
-        run = running_total(asked, "_s", ["_order", "id", "size"], {"_run": F.when(F.col("_fits"), F.col("size")).otherwise(0)}, is_draw=True)
-        state = run.withColumn("_more", F.when(F.col("_fits") & (F.col("_run") <= F.col("_gap")), 1).otherwise(F.col("_more"))) \
-                   .drop("_gap", "_fits", "_run")
+        run = running_total(asked.where("_fits"), "_s", ["_order", "id", "size"], {"_run": F.col("size")}, is_draw=True)
+        state = run.withColumn("_more", (F.col("_run") <= F.col("_gap")).cast("int")).drop("_run") \
+                   .unionByName(asked.where("not _fits")).drop("_gap", "_fits")
     # one more document where that ends nearer to the target
     off = F.abs(F.col("size") - F.col("_gap"))
     best = asked.where("_more = 0 and size > 0").groupBy("_s").agg(

@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from ballast.llm import mixing
 from ballast.llm.mixing import mix, mixed
 
 
@@ -57,3 +58,23 @@ def test_copies_keep_columns_and_empty_tables(make_docs):
 def test_ends_of_the_share(make_docs, share):
     got = mix(make_docs([(i, "w " * i, "ab"[i % 2]) for i in range(20)]), share=share).collect()
     assert all(r["taken"] == share * r["size"] for r in got)
+
+
+def test_a_hot_source_is_ranked_in_even_buckets(make_docs, monkeypatch):
+    """A source at its cap, or nearly so, does not go to one window task; what cannot be taken is not ranked."""
+    ranked, total = [], mixing.running_total
+
+    def spy(df, by, order, weights, **options):
+        if by == "_s":
+            ranked.append([(r["_s"], int(r[order[0]] * 16), r["_fits"]) for r in df.collect()])
+        return total(df, by, order, weights, **options)
+
+    monkeypatch.setattr(mixing, "running_total", spy)
+    docs = make_docs([(i, "w " * (1 + i % 5), "capped" if i % 2 else "aa" if i % 8 else "b") for i in range(1600)])
+    got = mix(docs, weights=(1, 5, 9), share=1.9).collect()
+    assert len(got) == 1600 and ranked
+    for rows in ranked:
+        assert all(fits for _, _, fits in rows)
+        for source in {s for s, _, _ in rows}:
+            places = [p for s, p, _ in rows if s == source]
+            assert len(places) < 100 or max(map(places.count, set(places))) < 0.2 * len(places)
