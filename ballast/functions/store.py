@@ -5,10 +5,16 @@ A written table survives the loss of executors and cuts the lineage of iterative
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+# Drops a query's shuffle files at its end; a later use of the same plan writes them anew.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scope: ContextVar[str] = ContextVar("scope", default="")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,14 +33,36 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path; all tables of one application lie in one folder, to be dropped when it is done."""
-    return f"{shared_folder(spark)}/ballast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}{_scope.get()}/{name}-{uuid.uuid4().hex}"
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/ballast/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write the rows once to the shared folder and read them back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write the rows once to the shared folder and read them back.
+
+    The shuffles behind the rows go with the end of the write, as what follows reads the table.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, name), spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables written inside lie in a folder of this name, which :func:`discard` can drop alone."""
+    token = _scope.set(f"/{name}")
+    try:
+        yield
+    finally:
+        _scope.reset(token)
 
 
 def spread(table: DataFrame, name: str = "spread") -> DataFrame:
@@ -46,8 +74,12 @@ def spread(table: DataFrame, name: str = "spread") -> DataFrame:
     return written(table.repartition(cores), name) if table.rdd.getNumPartitions() < cores else table
 
 
-def discard(spark: SparkSession) -> None:
-    """Drop all tables that this application has written; call it once its results are stored."""
+def _delete(spark: SparkSession, folder: str) -> None:
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/ballast/{spark.sparkContext.applicationId}")
+    path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(conf).delete(path, True)
+
+
+def discard(spark: SparkSession, name: str = "") -> None:
+    """Drop all tables that this application has written, or those of one scope; call it once the results are stored."""
+    _delete(spark, f"{_folder(spark)}/{name}" if name else _folder(spark))
