@@ -19,4 +19,4 @@ def test_one_query_for_each_operator():
     import __spark_entry__ as entry
 
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm.queries())
-    assert numbers == list(range(1, 11)) and {"pipeline", *llm.queries()} <= set(entry.queries())
+    assert numbers == list(range(1, 14)) and {"pipeline", *llm.queries()} <= set(entry.queries())
