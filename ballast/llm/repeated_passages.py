@@ -8,7 +8,8 @@ is done with.  Around the anchors that several documents hold the windows are ex
 buckets by 96-bit hash, where every document but the one with the smallest id learns that it repeats.
 
 No task holds a group: a batch sends an anchor or window once, however many of its documents hold it, and settles those itself; what
-a bucket receives of one passage is a row of eight or 28 bytes for each batch.  Equal texts count as anchors and windows like others, but only
+a bucket receives of one passage is eight or 28 bytes for each batch.  What documents learn returns to them as marks, packed for a
+stretch of documents at a time.  Equal texts count as anchors and windows like others, but only
 the one of smallest id is extended: its copies go whole.
 """
 from __future__ import annotations
@@ -32,6 +33,8 @@ PERIOD, COVER = 7, (0, 1, 3)  # every difference modulo 7 is one of two residues
 AT_ONCE = 4_000_000  # bytes of texts that are worked on at once, and so many documents at most
 SEVERAL = (1 << 16) - 1  # stands for the documents of a batch if several hold an anchor
 ANCHORS, WINDOWS = 4_000_000, 1_500_000  # so many of them a bucket, about; bounds a task's memory
+STRETCH = 1024  # documents whose marks travel together
+MARK = np.dtype([("low", "<u2"), ("hash", "<u8")])  # a document's place in its stretch, and an anchor or window of it
 WINDOW = np.dtype([("high", "<u8"), ("low", "<u4"), ("num", "<i8"), ("place", "<i8")])  # what a batch says of a window
 MASK48 = np.uint64((1 << 48) - 1)
 
@@ -79,9 +82,35 @@ def _tables(schema: pa.Schema, columns: dict, count: int) -> Iterator[pa.RecordB
         yield from pa.table([columns[f.name] if f.name in columns else pa.nulls(count, f.type) for f in schema], schema=schema).to_batches(10_000)
 
 
-def _marks(schema: pa.Schema, nums: np.ndarray, hashes: np.ndarray, **more) -> Iterator[pa.RecordBatch]:
-    keys, values = _slices(nums, hashes)
-    yield from _tables(schema, {"num": pa.array(keys, pa.int64()), "marks": pa.array(values, pa.binary()), **{k: pa.array(np.full(len(keys), v), schema.field(k).type) for k, v in more.items()}}, len(keys))
+def _marks(schema: pa.Schema, nums: np.ndarray, hashes: np.ndarray, buckets: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (num: the stretch, marks) that say which hashes concern which documents."""
+    marks = np.zeros(len(nums), MARK)
+    marks["low"], marks["hash"] = nums % STRETCH, hashes
+    keys, values = _slices(nums // STRETCH, marks)
+    columns = {"num": pa.array(keys, pa.int64()), "marks": pa.array(values, pa.binary()), "bucket": pa.array(keys % buckets, pa.int32())}
+    yield from _tables(schema, columns, len(keys))
+
+
+def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(num, marks) of every document, from rows sorted by stretch, which may go on in the next batch."""
+    stretch, held = -1, []
+
+    def documents() -> pa.RecordBatch:
+        marks = np.frombuffer(b"".join(held), MARK)
+        keys, values = _slices(marks["low"], marks["hash"])
+        return pa.RecordBatch.from_arrays([pa.array(stretch * STRETCH + keys.astype(np.int64)), pa.array(values, pa.binary())], ["num", "marks"])
+
+    for batch in batches:
+        for s, marks in zip(batch.column("num").to_pylist(), batch.column("marks").to_pylist()):
+            if s != stretch:
+                yield documents()
+                stretch, held = s, []
+            held.append(marks)
+    yield documents()
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.select("num", "marks").repartition("num").sortWithinPartitions("num").mapInArrow(_per_document, "num long, marks binary")
 
 
 # ---------------------------------------------------------------- anchors
@@ -121,7 +150,7 @@ def _anchor_rows(buckets: int, width: int, digest: bool) -> Callable:
             first = np.flatnonzero(np.r_[True, hash_[1:] != hash_[:-1]]) if len(key) else np.zeros(0, np.int64)
             count = np.diff(np.r_[first, len(key)])
             shared = np.repeat(count > 1, count)
-            yield from _marks(_DEALT, nums[owner[shared]], hash_[shared], bucket=int(nums[0] % buckets))
+            yield from _marks(_DEALT, nums[owner[shared]], hash_[shared], buckets)
             entries = np.where(count > 1, key[first] | np.uint64(SEVERAL), key[first])
             bucket = ((hash_[first] >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             keys, values = _slices(bucket, entries)
@@ -152,9 +181,8 @@ _WINDOWS = pa.schema([("bucket", pa.int32()), ("num", pa.int64()), ("marks", pa.
 _MARKS = pa.schema([("num", pa.int64()), ("marks", pa.binary())])
 
 
-def _joined(marks: pa.Array) -> list[np.ndarray]:
-    """The hashes in each list of binaries."""
-    return [np.frombuffer(b"".join(m), "<u8") for m in marks.to_pylist()]
+def _hashes(marks: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(m, "<u8") for m in marks.to_pylist()]
 
 
 def _window_rows(buckets: int, width: int) -> Callable:
@@ -169,7 +197,7 @@ def _window_rows(buckets: int, width: int) -> Callable:
             words = hash_words(data, start, end)
             at, hash_ = anchors(words, first, size, length)
             cuts = np.searchsorted(text[at], np.arange(len(part) + 1)).tolist()
-            shared = np.concatenate([np.isin(hash_[lo:hi], m) for lo, hi, m in zip(cuts[:-1], cuts[1:], _joined(part.column("marks")))])
+            shared = np.concatenate([np.isin(hash_[lo:hi], m) for lo, hi, m in zip(cuts[:-1], cuts[1:], _hashes(part.column("marks")))])
             wanted = np.zeros(len(words) + PERIOD, bool)
             for k in range(PERIOD):  # the window's words around the anchor
                 wanted[at[shared] - k] = True  # a place before the array wraps to its spare end
@@ -184,7 +212,7 @@ def _window_rows(buckets: int, width: int) -> Callable:
             if len(rows):  # a document says a window once
                 rows = rows[np.r_[True, (rows["high"][1:] != rows["high"][:-1]) | (rows["low"][1:] != rows["low"][:-1]) | (rows["num"][1:] != rows["num"][:-1])]]
             later = _later(rows)
-            yield from _marks(_WINDOWS, rows["num"][later], rows["high"][later])
+            yield from _marks(_WINDOWS, rows["num"][later], rows["high"][later], buckets)
             rows = rows[~later]
             keys, values = _slices((rows["high"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), rows)
             yield from _tables(_WINDOWS, {"bucket": pa.array(keys.astype(np.int32)), "num": pa.array(np.zeros(len(keys), np.int64)), "entries": pa.array(values, pa.binary())}, len(keys))
@@ -220,7 +248,7 @@ def _cut_out(width: int, digest: bool) -> Callable:
             size = np.bincount(text, minlength=len(part))
             first, words = np.cumsum(size) - size, hash_words(data, start, end)
             removed, kept = [], []
-            for k, marks in enumerate(_joined(part.column("marks"))):
+            for k, marks in enumerate(_hashes(part.column("marks"))):
                 lo, n = int(first[k]), int(size[k])
                 hit = np.isin(hash_windows(words, np.arange(lo, lo + n - width + 1), width), marks)
                 edges = np.zeros(n + 1, np.int64)
@@ -270,13 +298,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, digest: bool = False, text:
 
     # of equal texts the one of smallest id is looked into
     sites = written(facts.where("id is not null").groupBy("d1", "d2").agg(F.min(F.struct("place", "num", "id")).alias("s")).select("d1", "d2", "s.*"), "sites")
-    marks = rows.where("d1 is null").groupBy("num").agg(F.collect_list("marks").alias("marks"))
+    marks = _gathered(rows.where("d1 is null"))
     texts = known.where("id is not null").select("d1", "d2", "id", "text")
     wanted = written(texts.join(sites.join(marks, "num"), ["d1", "d2", "id"]).select("num", "place", "text", "marks"), "wanted")
-    amount = F.aggregate("marks", F.lit(0).cast("long"), lambda a, m: a + F.octet_length(m)) * PERIOD / (8 * len(COVER))
+    amount = F.octet_length("marks") * PERIOD / (8 * len(COVER))
     windows = wanted.mapInArrow(_window_rows(_buckets(wanted, amount, WINDOWS), width), "bucket int, num long, marks binary, entries binary")
     repeats = windows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle_windows, "num long, marks binary")
-    repeats = written(repeats, "repeats").groupBy("num").agg(F.collect_list("marks").alias("marks"))
+    repeats = _gathered(written(repeats, "repeats"))
     cut = wanted.drop("marks", "place").join(repeats, "num").mapInArrow(_cut_out(width, digest), "num long, n_removed long, kept string").dropDuplicates(["num"])
     changed = written(sites.join(cut, "num", "left").select("d1", "d2", F.col("place").alias("least"), "n_removed", F.col("kept").alias("left")), "changed")
 
