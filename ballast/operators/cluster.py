@@ -19,11 +19,11 @@ from ballast.functions.store import spread, written
 from ballast.operators.encode import array_to_vector, feature_array, fit_one_hot, min_max
 from ballast.operators.neighbors import vector
 from ballast.operators.prepare import class_counts
+from ballast.operators.ward import distinct_points, merge_below, merge_rounds, roots
 from ballast.spec import TableSpec, refuse_stream
 
 # Fixed values of the published procedure.
 CLUSTER_PENALTY = 0.02   # added per cluster when choosing their number
-MICRO_CLUSTERS = 512     # centroids that take part in agglomeration
 PUBLISHED_CLUSTERS, PUBLISHED_ROUNDS = 20, 100  # limits of the reference's experiments: clusters or components, and rounds of EM
 MAX_MOMENTS = 5_000_000  # sums that one round of EM brings to the driver
 COVARIANCES = ("spherical", "tied", "diag", "full")
@@ -288,115 +288,51 @@ def class_subspaces(df: DataFrame, features: str, label: str, max_components: in
 
 # ---------------------------------------------------------------- Ward agglomeration
 
-@dataclass
-class MicroClusters:
-    """At most 512 weighted centroids with their labelled rows (``micro``)."""
-
-    rows: DataFrame
-    size: np.ndarray
-    centre: np.ndarray
-    inner: np.ndarray  # squared distances inside each
-    exact: bool
-
-
-def micro_clusters(df: DataFrame, features: str, limit: int = MICRO_CLUSTERS, seed: int = 42) -> MicroClusters:
-    """Distinct points if there are at most ``limit``, else the clusters of a distributed k-means."""
-    points = df.select(F.col(features).alias("_p"))
-    # a look at the first rows mostly shows that there are many points, without counting them all
-    few = points.limit(20 * limit).distinct().limit(limit + 1).collect()
-    if len(few) <= limit:
-        few = points.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).limit(limit + 1).collect()
-    if len(few) <= limit:
-        few = sorted(few, key=lambda r: list(r["_p"]))
-        spark = df.sparkSession
-        names = spark.createDataFrame([(r["_p"], i) for i, r in enumerate(few)], "_p ARRAY<DOUBLE>, micro INT")
-        rows = df.withColumn("_p", F.col(features)).join(F.broadcast(names), "_p").drop("_p")
-        return MicroClusters(rows, np.array([r["n"] for r in few], float), np.array([r["_p"] for r in few], float), np.zeros(len(few)), True)
-    data = df.withColumn("_x", array_to_vector(F.col(features)))
-    model = KMeans(k=limit, seed=seed, featuresCol="_x", predictionCol="micro", maxIter=10).fit(data)
-    rows = written(model.transform(data).drop("_x"), "micro")
-    dims = len(few[0]["_p"])
-    moments = collect_bounded(rows.groupBy("micro").agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(F.col(features)[i]).alias(f"m{i}") for i in range(dims)],
-        *[F.var_pop(F.col(features)[i]).alias(f"v{i}") for i in range(dims)]), "micro clusters", limit)
-    at = {r["micro"]: r for r in moments}
-    order = sorted(at)
-    remap = F.create_map(*[v for i, c in enumerate(order) for v in (F.lit(c), F.lit(i))])
-    rows = rows.withColumn("micro", remap[F.col("micro")])
-    return MicroClusters(rows, np.array([at[c]["n"] for c in order], float), np.array([[at[c][f"m{i}"] for i in range(dims)] for c in order]),
-                         np.array([at[c]["n"] * sum(at[c][f"v{i}"] for i in range(dims)) for c in order]), False)
-
-
-def ward_merges(size: np.ndarray, centre: np.ndarray) -> list[tuple[int, int, float]]:
-    """Ward merges (a into it b, distance) of weighted centroids, nearest pair first."""
-    n, c = size.astype(float).copy(), centre.astype(float).copy()
-    alive = np.ones(len(n), dtype=bool)
-    d2 = ((c[:, None, :] - c[None]) ** 2).sum(2)
-    cost = 2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * d2
-    np.fill_diagonal(cost, np.inf)
-    merges = []
-    for _ in range(len(n) - 1):
-        a, b = divmod(int(cost.argmin()), len(n))
-        a, b = min(a, b), max(a, b)
-        merges.append((a, b, math.sqrt(max(cost[a, b], 0.0))))
-        c[a] = (n[a] * c[a] + n[b] * c[b]) / (n[a] + n[b])
-        n[a] += n[b]
-        alive[b] = False
-        cost[b, :] = cost[:, b] = np.inf
-        row = 2.0 * n[a] * n / (n[a] + n) * ((c - c[a]) ** 2).sum(1)
-        row[~alive] = np.inf
-        row[a] = np.inf
-        cost[a, :] = cost[:, a] = row
-    return merges
-
-
-def _labels(count: int, merges) -> np.ndarray:
-    """Cluster number of every starting point, numbered by first member."""
-    root = np.arange(count)
-    for a, b, _ in merges:
-        root[root == b] = a
-    return np.unique(root, return_inverse=True)[1]
-
-
-def _inertia(m: MicroClusters, own: np.ndarray) -> float:
-    total = float(m.inner.sum())
-    for j in np.unique(own):
-        at = own == j
-        mean = (m.size[at, None] * m.centre[at]).sum(0) / m.size[at].sum()
-        total += float((m.size[at] * ((m.centre[at] - mean) ** 2).sum(1)).sum())
-    return total
-
-
-def _labelled(m: MicroClusters, own: np.ndarray) -> DataFrame:
-    spark = m.rows.sparkSession
-    names = spark.createDataFrame([(i, int(c)) for i, c in enumerate(own)], "micro INT, cluster INT")
-    return m.rows.join(F.broadcast(names), "micro").drop("micro")
+def _by_point(df: DataFrame, features: str, points: DataFrame, low: DataFrame) -> DataFrame:
+    """``df`` with ``_root``, the smallest point of each row's cluster in the forest of ``low``."""
+    named = points.join(roots(low).withColumnRenamed("node", "id"), "id", "left").select("vec", F.coalesce("root", "id").alias("_root"))
+    return df.withColumn("vec", F.col(features).cast("array<double>")).join(named, "vec").drop("vec")
 
 
 def hierarchical(df: DataFrame, features: str = "features", k: int | None = None, max_clusters: int = 10, seed: int = 42) -> Choice:
-    """Ward clusters, k given or chosen as for k-means; adds ``cluster``.
+    """Ward clusters over all distinct points, k given or chosen as for k-means; adds ``cluster``, numbered by their smallest vectors.
 
-    Rows are first reduced to at most 512 weighted centroids (exactly the distinct points when there
-    are no more than that); the merging of those is a bounded model fit.  Scores use the moments of
-    the centroids, so trying every k needs no further pass.
+    The squares within the clusters of a cut are half the costs of the merges below it, so all k are scored from the tree.
+    Of merges of equal cost the later one counts as higher.  The result needs no draw; ``seed`` is there for the callers' sake.
     """
-    m = micro_clusters(df, features, seed=seed)
-    merges = ward_merges(m.size, m.centre)
-    count = len(m.size)
-    mean = (m.size[:, None] * m.centre).sum(0) / m.size.sum()
-    total = float(m.inner.sum() + (m.size * ((m.centre - mean) ** 2).sum(1)).sum()) or 1.0
-    tries = [k] if k else [j for j in range(2, max_clusters) if j <= count]
-    cut = {j: _labels(count, merges[:count - j]) for j in tries}
-    scores = {j: _inertia(m, own) / total + CLUSTER_PENALTY * j for j, own in cut.items()}
+    refuse_stream(df, "hierarchical")
+    points = distinct_points(df, features)
+    edges = merge_rounds(points)
+    most = k or max(max_clusters - 1, 1)
+    facts = edges.agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost")).first()
+    order = ["cost", "turn", "step", "node"]
+    top = [r.asDict() for r in edges.orderBy(*[F.desc(c) for c in order]).limit(most - 1).collect()]  # at most one less than the clusters
+    low = edges if not top else edges.where(F.struct(*order) < F.struct(*[F.lit(top[-1][c]).cast(edges.schema[c].dataType).alias(c) for c in order]))
+    total = float(facts["cost"] or 0.0) or 1.0
+    tries = [k] if k else [j for j in range(2, max_clusters) if j <= facts["n"] + 1] or [1]
+    scores = {j: (total - sum(m["cost"] for m in top[:j - 1])) / total + CLUSTER_PENALTY * j for j in tries}
     best = min(scores, key=lambda j: (scores[j], j))
-    return Choice(best, scores, _labelled(m, cut[best]), {"exact": m.exact})
+    rows = written(_by_point(df, features, points, low), "ward-rows")
+    base = sorted(r["_root"] for r in collect_bounded(rows.select("_root").distinct(), "clusters"))
+    into = {m["node"]: m["into"] for m in top[best - 1:]}
+
+    def root(b: int) -> int:
+        while b in into:
+            b = into[b]
+        return b
+
+    number = {r: i for i, r in enumerate(sorted({root(b) for b in base}))}
+    names = df.sparkSession.createDataFrame([(b, number[root(b)]) for b in base], "_root BIGINT, cluster INT")
+    return Choice(best, scores, join_model(rows, names, "_root").drop("_root"), {"merges": [(m["node"], m["into"], math.sqrt(m["cost"])) for m in top]})
 
 
 def ward(df: DataFrame, features: str, distance_threshold: float, seed: int = 42) -> DataFrame:
-    """Ward clusters, merging while the distance stays below the threshold; adds ``cluster``."""
-    m = micro_clusters(df, features, seed=seed)
-    merges = [x for x in ward_merges(m.size, m.centre) if x[2] < distance_threshold]
-    return _labelled(m, _labels(len(m.size), merges))
+    """Ward clusters of all distinct points, merged while the distance (root of the cost) stays below the threshold; adds ``cluster``, numbered by their smallest vectors."""
+    refuse_stream(df, "ward")
+    points = distinct_points(df, features)
+    rows = written(_by_point(df, features, points, merge_below(points, distance_threshold)), "ward-rows")
+    numbers = ranked(written(rows.select("_root").distinct(), "ward-names"), [], "_root").select("_root", (F.col("rank") - 1).cast("int").alias("cluster"))
+    return rows.join(numbers, "_root").drop("_root")
 
 
 # ---------------------------------------------------------------- class-by-cluster statistics

@@ -118,6 +118,33 @@ def e10(spark, sf):
     return E.ward(t, "features", 3.0).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _ward_sql(going: str) -> str:
+    """Ward's merges of the roots of balances, the cheapest neighbours on the line first, as long as ``going`` holds of the list l and the least cost m."""
+    return f"""
+WITH RECURSIVE p AS (SELECT sqrt(c_acctbal + 1000) AS x, CAST(count(*) AS DOUBLE) AS n FROM customer GROUP BY 1),
+s(l) AS (SELECT list({{'n': n, 'x': x, 'low': x}} ORDER BY x) FROM p UNION ALL
+  SELECT list_concat(list_append(l[1:i - 1], {{'n': l[i].n + l[i + 1].n, 'x': (l[i].n * l[i].x + l[i + 1].n * l[i + 1].x) / (l[i].n + l[i + 1].n), 'low': l[i].low}}), l[i + 2:])
+  FROM (SELECT l, m, list_position(c, m) AS i FROM (SELECT l, c, list_min(c) AS m FROM (
+    SELECT l, list_transform(range(1, len(l)), lambda i: 2 * l[i].n * l[i + 1].n / (l[i].n + l[i + 1].n) * power(l[i + 1].x - l[i].x, 2)) AS c FROM s))) WHERE {going}),
+e AS (SELECT unnest(l).low AS low FROM (SELECT l FROM s ORDER BY len(l) LIMIT 1)),
+b AS (SELECT low, row_number() OVER (ORDER BY low) - 1 AS cluster FROM e)
+SELECT c_custkey, CAST(b.cluster AS INTEGER) AS cluster FROM customer ASOF JOIN b ON sqrt(c_acctbal + 1000) >= b.low"""
+
+
+def _balances(spark, sf):
+    return X.table(spark, sf, "customer").select("c_custkey", F.array(F.sqrt(F.col("c_acctbal") + 1000)).alias("features"))
+
+
+@query("e4_hierarchical_balances", sql=_ward_sql("len(l) > 12"))
+def e4_balances(spark, sf):
+    return E.hierarchical(_balances(spark, sf), k=12).labelled.select("c_custkey", "cluster")
+
+
+@query("e10_ward_balances", sql=_ward_sql("len(l) > 1 AND m < 25.0"))
+def e10_balances(spark, sf):
+    return E.ward(_balances(spark, sf), "features", 5.0).select("c_custkey", "cluster")
+
+
 @query("e11_median_pair_distance", sql="""
 SELECT round(quantile_cont(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 0.5) / 3, 6) AS eps FROM embeddings a, embeddings b""")
 def e11(spark, sf):
