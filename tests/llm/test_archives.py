@@ -4,6 +4,7 @@ import hashlib
 import pytest
 
 from ballast.functions.store import scratch_path
+from ballast.llm import web_archives
 from ballast.llm.web_archives import arc_records, convert, convert_arc, digest_rows, read_warc, write_arc
 
 PAGES = [(1, "http://a.com/x y", "<p>one</p>"), (2, "http://b.com/", None), (3, None, ""), (4, "http://é.com/\n", "same\r\n\r\nWARC/1.1\r\n"), (5, "http://d.com", "same\r\n\r\nWARC/1.1\r\n"),
@@ -55,5 +56,22 @@ def test_header_lines_of_each_version():
 def test_repeated_rows_and_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert digest_rows(convert(empty)[0]).collect() == []
-    twice = spark.createDataFrame([PAGES[0], PAGES[0]], "page_id long, url string, html string")
-    assert [r["record_type"] for r in digest_rows(convert(twice)[0]).collect()] == ["response", "response"]
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "v", "x"), (3, "w", "y"), (3, "w", "y")]  # a row for each, one response a payload
+    got = digest_rows(convert(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))[0]).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == sorted([(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (3, "response", None), (3, "revisit", 3)], key=str)
+
+
+def test_urls_and_ids_that_look_like_headers(spark):
+    rows = [("a\r\nX-Page-Id: b", "filedesc:x", "p"), ("50%0A%", "filedesc://y 1", "q"), ("c", "filedesc:x", "p")]
+    records, _ = convert(spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1))
+    got = digest_rows(records, "string").collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [("50%0A%", "response", None), (rows[0][0], "response", None), ("c", "revisit", rows[0][0])]
+
+
+def test_many_files_a_partition(spark, monkeypatch):
+    monkeypatch.setattr(web_archives, "FILE_BYTES", 60_000)
+    rows = [(i, f"u{i}", f"{i % 7} " * 2000) for i in range(100)]
+    records, path = convert(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    assert sorted(map(tuple, digest_rows(records).collect())) == want(rows)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).count()
+    assert files >= 9
