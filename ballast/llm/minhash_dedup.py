@@ -4,8 +4,8 @@ A document is its set of word shingles.  Register i holds the smallest of the sh
 variable, cut down to its power of ``BASE``: registers of a union are the larger of both, and those of similar sets agree
 often.  Bands of registers bring together documents that agree in a whole band.  Within such buckets documents are first held
 against the bucket's smallest and largest id, which joins large groups up at once; buckets that then still hold several
-groups are compared in full, by likelihood of the registers, until no pair of different groups is left open.
-Every link is confirmed on the full shingle sets.  Documents with equal sets are one site from the start.
+groups are compared in full, by likelihood of the registers, and documents that may hang together with another group meet once more with
+their sets.  Tasks return links that join groups, never all pairs.  Every link is confirmed on the full shingle sets.  Documents with equal sets are one site from the start.
 """
 from __future__ import annotations
 
@@ -188,16 +188,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                .where(F.col("shared") * 100 >= (F.col("sizes") - F.col("shared")) * percent).select("a", "b")
 
 
-def _open_pairs(batches: Iterator[pd.DataFrame], goal: float) -> Iterator[pd.DataFrame]:
-    """Likely pairs of different groups in rows that come sorted by task; a task may go on in the next batch."""
+def _by_task(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
+    """``work(rows)`` of rows that come sorted by task; a task may go on in the next batch."""
     rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        last = rows["task"].to_numpy() == rows["task"].iat[-1] if len(rows) else np.zeros(0, bool)
+        rest = rows[last]
+        if not last.all():
+            yield work(rows[~last].reset_index(drop=True))
+    if rest is not None and len(rest):
+        yield work(rest.reset_index(drop=True))
+
+
+def _sides(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Per task the rows to be compared: of two blocks both sides, or one block within itself (then None)."""
+    key, side = rows["task"].to_numpy(), rows["side"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        s = side[lo:hi]
+        if s.any() and not s.all():
+            yield np.flatnonzero(s == 0) + lo, np.flatnonzero(s == 1) + lo
+        elif rows["alone"].iat[lo]:
+            yield np.arange(lo, hi), None
+
+
+def _open_rows(batches: Iterator[pd.DataFrame], goal: float) -> Iterator[pd.DataFrame]:
+    """(task, side, alone, id) of the documents that a task may link to another group, by likelihood of their registers."""
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows["task"].to_numpy()
-        regs, few, n, group, place = _matrix(rows["regs"], FINE), BANDS * ROWS, rows["n"].to_numpy(float), rows["component"].to_numpy(), rows["id"].to_numpy()
-        side = rows["side"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        left, right, found, held = [], [], [], 0
+        regs, few, n, group = _matrix(rows["regs"], FINE), BANDS * ROWS, rows["n"].to_numpy(float), rows["component"].to_numpy()
+        left, right, held, wanted = [], [], 0, np.zeros(len(rows), bool)
 
         def judge() -> None:
             i, j = np.concatenate(left), np.concatenate(right)
@@ -208,16 +229,14 @@ def _open_pairs(batches: Iterator[pd.DataFrame], goal: float) -> Iterator[pd.Dat
                 hit = at_least(regs[p, :few], regs[q, :few], n[p], n[q], goal - MARGIN)
                 p, q = p[hit], q[hit]
                 hit = at_least(regs[p], regs[q], n[p], n[q], goal - FINE_MARGIN)
-                found.append((place[p[hit]], place[q[hit]]))
-
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            s = side[lo:hi]
-            if s.any() and not s.all():  # two blocks
-                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(s == 0) + lo, np.flatnonzero(s == 1) + lo, indexing="ij"))
-            elif rows["alone"].iat[lo]:
-                i, j = (x + lo for x in np.triu_indices(hi - lo, 1))
+                wanted[p[hit]] = True
+                wanted[q[hit]] = True
+
+        for a, b in _sides(rows):
+            if b is None:
+                i, j = (a[x] for x in np.triu_indices(len(a), 1))
             else:
-                continue
+                i, j = (x.ravel() for x in np.meshgrid(a, b, indexing="ij"))
             keep = (group[i] != group[j]) & _alike(n[i], n[j])
             left.append(i[keep])
             right.append(j[keep])
@@ -227,17 +246,56 @@ def _open_pairs(batches: Iterator[pd.DataFrame], goal: float) -> Iterator[pd.Dat
                 held = 0
         if left:
             judge()
-        a, b = (np.concatenate([f[k] for f in found]) if found else place[:0] for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        last = rows["task"].to_numpy() == rows["task"].iat[-1] if len(rows) else np.zeros(0, bool)
-        rest = rows[last]
-        if not last.all():
-            yield compared(rows[~last].reset_index(drop=True))
-    if rest is not None and len(rest):
-        yield compared(rest.reset_index(drop=True))
+        return rows.loc[wanted, ["task", "side", "alone", "id"]]
+
+    yield from _by_task(batches, compared)
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 65_536) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as a matrix."""
+    who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    number, who = (np.cumsum(several) - 1)[number[several[number]]], who[several[number]]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    order = np.argsort(number, kind="stable")
+    number, who = number[order], who[order]
+    for lo in range(0, int(several.sum()), columns):
+        a, b = np.searchsorted(number, [lo, lo + columns])
+        held = np.zeros((len(sets), columns), np.float32)
+        held[who[a:b], number[a:b] - lo] = 1.0
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def _spanning(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Links (a, b) between groups, confirmed on full sets: no more than join a task's groups, so fewer than its rows."""
+
+    def linked(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for a, b in _sides(rows):
+            at = a if b is None else np.r_[a, b]
+            sets, group = [np.asarray(h, np.int64) for h in rows["hashes"].iloc[at]], rows["component"].to_numpy()[at]
+            both, n = shared_counts(sets), np.array([len(s) for s in sets])
+            near = both * 100 >= (n[:, None] + n[None, :] - both) * percent
+            root = {g: g for g in group.tolist()}
+
+            def find(g):
+                while root[g] != g:
+                    root[g] = root[root[g]]
+                    g = root[g]
+                return g
+
+            names, code = np.unique(group, return_inverse=True)  # pairs of groups, each once
+            i, j = np.nonzero(np.triu(near & (group[:, None] != group[None, :]), 1))
+            for x, y in np.unique(np.stack([np.minimum(code[i], code[j]), np.maximum(code[i], code[j])], 1), axis=0).tolist():
+                p, q = find(names[x]), find(names[y])
+                if p != q:
+                    root[p] = q
+                    out.append((names[x], names[y]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    yield from _by_task(batches, linked)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, text: str = "text", id_col: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -280,13 +338,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 4, text: st
     still = written(grouped.join(several, "bucket"), "open-buckets")
     fine = written(fine_sketches(sets.join(still.select("id").distinct(), "id")), "fine-sketches")
     dealt = still.withColumn("t", F.explode(tasks)).select("id", "component", "t.*").join(fine, "id")
-    pairs = dealt.repartition("task").sortWithinPartitions("task").mapInPandas(lambda it: _open_pairs(it, percent / 100), f"a {kind}, b {kind}")
-    rest = written(pairs.distinct().join(stars, ["a", "b"], "left_anti"), "open-pairs")
+    dealt = dealt.repartition("task").sortWithinPartitions("task")
+    wanted = written(dealt.mapInPandas(lambda it: _open_rows(it, percent / 100), f"task long, side int, alone boolean, id {kind}"), "open-rows")
 
-    # what the rest adds joins up whole components: a graph of few nodes
-    of = lambda x: first.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
-    more = confirmed(rest, sets, percent).join(of("a"), "a", "left").join(of("b"), "b", "left") \
-        .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+    # what these add joins up whole components: a graph of few nodes
+    component = wanted.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = component.join(sets, "id").select("task", "side", "alone", "component", "hashes").repartition("task").sortWithinPartitions("task")
+    more = rows.mapInPandas(lambda it: _spanning(it, percent), f"a {kind}, b {kind}")
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("last"))
     named = sites.select("digest", "site").join(first.withColumnRenamed("node", "site"), "site", "left") \
         .select("digest", F.coalesce("component", "site").alias("component")).join(second, "component", "left") \

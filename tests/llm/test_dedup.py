@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from ballast.llm.minhash_dedup import BANDS, FINE, ROWS, _open_pairs, at_least, deduplicated, near_duplicates, registers, shingles, similarity
+from ballast.llm.minhash_dedup import BANDS, FINE, ROWS, _open_rows, at_least, deduplicated, near_duplicates, registers, shared_counts, shingles, similarity
 
 import pandas as pd
 
@@ -93,11 +93,37 @@ def test_estimate_is_near_the_similarity(share):
 def test_tasks_that_span_batches():
     regs = registers(shingles("a b c d e f", 4), FINE).tobytes()
     rows = pd.DataFrame({"id": range(6), "component": range(6), "task": [1, 1, 1, 2, 2, 2], "side": 0, "alone": True, "n": 3, "regs": [regs] * 6})
-    whole = pd.concat(_open_pairs(iter([rows]), 0.8))
-    cut = pd.concat(_open_pairs(iter([rows.iloc[:2], rows.iloc[2:4], rows.iloc[4:]]), 0.8))
+    whole = pd.concat(_open_rows(iter([rows]), 0.8))
+    cut = pd.concat(_open_rows(iter([rows.iloc[:2], rows.iloc[2:4], rows.iloc[4:]]), 0.8))
     assert len(whole) == 6 and set(map(tuple, cut.to_numpy().tolist())) == set(map(tuple, whole.to_numpy().tolist()))
     assert len(regs) == FINE > BANDS * ROWS
 
 
+def test_shared_counts():
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(-50, 50), rng.randrange(60)))) for _ in range(30)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for columns in (7, 65_536):
+        got = shared_counts(sets, columns)
+        assert all(got[i][j] == want[i][j] for i in range(30) for j in range(30) if i != j)
+
+
+def test_a_bucket_of_several_blocks(make_docs):
+    """More near copies than three blocks hold, in chains whose ends are not near, in families that share a band."""
+    rng, rows = random.Random(11), []
+    base = [f"w{i}" for i in range(60)]
+    for g in range(2):
+        text = list(base) if g == 0 else base[:40] + [f"g{i}" for i in range(20)]
+        for k in range(560):
+            if k % 40 == 0:
+                text[rng.randrange(60)] = f"d{g}x{k}"
+            one = list(text)
+            one[rng.randrange(60)] = f"e{rng.randrange(10 ** 6)}"
+            rows.append((g * 10_000 + k, " ".join(one)))
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(make_docs(rows), 80, 4).collect()]
+    want = brute(rows)
+    assert sorted(got) == sorted(want) and len({c for *_, c in want}) < 900
+
+
 def test_empty(make_docs):
     assert near_duplicates(make_docs([])).collect() == [] and deduplicated(make_docs([(1, None), (2, None)])).count() == 2
