@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions alone.
 
 A source's target over its size says how many copies of each document the mix wants.  The whole part is certain; the rest
-is a probability, and the documents of a source are ranked by random odds over inclusion odds (Pareto order sampling).
-As all documents of a source have the same odds, that is the order of their uniform draws.
+is a probability, and the documents of a source are ranked by random odds over inclusion odds (Pareto order sampling).  Inclusion odds
+are those of the rest times the root of a document's size over the source's mean, so that long documents come first more often; what is
+common to a source does not change its order and is left out.
 The sample is of fixed size in words: documents are taken in rank order while they fit what is left of the target.  Those
 that did not fit are passed over and the later ones asked again, round after round, until no document of the source
 fits the gap; then the one whose size is nearest to the gap is added if that ends nearer to the target.
@@ -56,12 +57,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     keep = [F.col(row).alias("_row")] if row else [F.monotonically_increasing_id().alias("_row")]
     sized = written(docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"),
                                 word_count(F.col(text)).alias("size"), *keep), "sizes")
-    sources = targets(written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources"), weights, share, most)
+    sums = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs")), "sources")
+    sources = targets(sums, weights, share, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
     sources = written(sources.withColumn("_s", key).withColumn("_whole", F.floor(ratio))
                       .withColumn("_need", F.col("target") - F.col("_whole") * F.col("source_size")).drop("source"), "sources")
-    state = sized.withColumn("_s", key).drop("source").withColumn("_order", uniform("mix", "id", seed=seed)).withColumn("_more", F.lit(0))
+    draw, odds = uniform("mix", "id", seed=seed), F.sqrt(F.greatest("size", F.lit(1)) * F.col("_docs") / F.col("_all"))
+    state = join_model(sized.withColumn("_s", key).drop("source"), sums.select(key.alias("_s"), "_docs", F.greatest("source_size", F.lit(1)).alias("_all")), "_s")
+    state = state.withColumn("_q", draw / (1 - draw) / odds).withColumn("_order", F.col("_q") / (1 + F.col("_q"))).withColumn("_more", F.lit(0)).drop("_q", "_docs", "_all")
     while True:
         state = written(state, "mix")
         gaps = written(sources.join(state.where("_more = 1").groupBy("_s").agg(F.sum("size").alias("_got")), "_s", "left")
@@ -69,6 +73,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         asked = join_model(state, gaps, "_s").withColumn("_fits", (F.col("_more") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_gap")))
         if asked.where("_fits").isEmpty():
             break
+        # as odds spread around one, the order fills [0, 1) nearly evenly
         run = running_total(asked.where("_fits"), "_s", ["_order", "id", "size"], {"_run": F.col("size")}, is_draw=True)
         state = run.withColumn("_more", (F.col("_run") <= F.col("_gap")).cast("int")).drop("_run") \
                    .unionByName(asked.where("not _fits")).drop("_gap", "_fits")

@@ -22,9 +22,9 @@ def _sql() -> str:
          CASE WHEN source_size > 0 THEN target / source_size - floor(target / source_size) ELSE 0 END AS part FROM aims)""",
              f"""r0 AS (
   SELECT doc_id, s, size, source_size, target, whole, target - whole * source_size AS need, 0 AS more,
-         CASE WHEN part > 0 THEN q / (1 + q) ELSE 0.5 END AS o
-  FROM (SELECT *, u / (1 - u) / (part / (1 - part)) AS q FROM (
-    SELECT *, {u_sql("mix", "doc_id")} AS u FROM sized JOIN parts USING (s))))"""]
+         q / (1 + q) AS o
+  FROM (SELECT *, u / (1 - u) / sqrt(greatest(size, 1) * docs / greatest(source_size, 1)) AS q FROM (
+    SELECT *, {u_sql("mix", "doc_id")} AS u, count(*) OVER (PARTITION BY s) AS docs FROM sized JOIN parts USING (s))))"""]
     for k in range(1, ROUNDS + 1):
         steps.append(f"""g{k} AS (SELECT *, need - coalesce(sum(size * more) OVER (PARTITION BY s), 0)::DOUBLE AS gap FROM r{k - 1}),
 r{k} AS (

@@ -78,3 +78,12 @@ def test_a_hot_source_is_ranked_in_even_buckets(make_docs, monkeypatch):
         for source in {s for s, _, _ in rows}:
             places = [p for s, p, _ in rows if s == source]
             assert len(places) < 100 or max(map(places.count, set(places))) < 0.2 * len(places)
+
+
+def test_inclusion_is_unequal(make_docs):
+    """Of documents of one source the longer are taken more often, in about the proportion of the odds."""
+    docs = make_docs([(i, "w " * (16 if i % 2 else 1), "s") for i in range(3000)])
+    got = mix(docs, share=0.5).collect()
+    share = {n: sum(r["copies"] for r in got if r["size"] == n) / 1500 for n in (1, 16)}
+    odds = {n: p / (1 - p) for n, p in share.items()}
+    assert 3.0 < odds[16] / odds[1] < 5.5 and abs(sum(r["taken"] for r in got) - 0.5 * 17 * 1500) <= 1
