@@ -56,7 +56,7 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 @contextmanager
-def scope(spark: SparkSession, name: str) -> Iterator[None]:
+def scope(name: str) -> Iterator[None]:
     """Tables written inside lie in a folder of this name, which :func:`discard` can drop alone."""
     token = _scope.set(f"/{name}")
     try:
