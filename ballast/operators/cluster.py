@@ -2,12 +2,10 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +13,10 @@ from pyspark.sql import types as T
 from ballast.functions.bounds import BoundExceeded, collect_bounded, join_model
 from ballast.functions.draws import pick, uniform
 from ballast.functions.ranks import expand, ranked
-from ballast.functions.store import spread, written
-from ballast.operators.encode import array_to_vector, feature_array, fit_one_hot, min_max
+from ballast.functions.store import written
+from ballast.functions.sums import array_sums
+from ballast.operators.encode import feature_array, fit_one_hot, min_max
+from ballast.operators.kmeans import fit_all, matrices, nearest, seeds_of, weighted_points
 from ballast.operators.neighbors import vector
 from ballast.operators.prepare import class_counts
 from ballast.operators.ward import distinct_points, merge_below, merge_rounds, roots
@@ -65,23 +65,22 @@ class Choice:
     detail: dict = field(default_factory=dict)
 
 
-def choose_k_kmeans(df: DataFrame, features: str = "features", max_clusters: int = 10, seed: int = 42, threads: int = 3) -> Choice:
+def choose_k_kmeans(df: DataFrame, features: str = "features", max_clusters: int = 10, seed: int = 42) -> Choice:
     """k in [2, max) of least within-squares / total-squares + 0.02 k; adds ``cluster``.
 
-    The feature table is written once; the candidate fits are submitted side by side.
+    All k are fitted together: equal vectors are one weighted row, and a round of every model is
+    one pass and one sum of arrays.  ``detail["centres"]`` holds the centres of every k.
     """
-    data = spread(written(df.withColumn("_x", array_to_vector(F.col(features))), "features"))
-    total = total_squares(data, features) or 1.0
-
-    def fit(k: int):
-        model = KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(data)
-        return k, model.summary.trainingCost / total + CLUSTER_PENALTY * k, model
-
-    with ThreadPoolExecutor(threads) as pool:
-        tried = list(pool.map(fit, range(2, max_clusters)))
-    best = min(tried, key=lambda t: (t[1], t[0]))
-    labelled = written(best[2].transform(data).drop("_x"), "clusters")
-    return Choice(best[0], {k: s for k, s, _ in tried}, labelled)
+    refuse_stream(df, "choose_k_kmeans")
+    data = written(df, "features")
+    points = weighted_points(data, features)
+    seeds = seeds_of(points, max_clusters - 1, seed)["all"]
+    total = float(seeds.n * seeds.var.sum()) or 1.0
+    fitted = fit_all(points, seeds, range(2, max_clusters), seed)
+    scores = {k: within / total + CLUSTER_PENALTY * k for k, (_, within) in fitted.items()}
+    best = min(scores, key=lambda k: (scores[k], k))
+    labelled = written(data.withColumn("cluster", nearest(features, fitted[best][0])), "clusters")
+    return Choice(best, scores, labelled, {"centres": {k: c for k, (c, _) in fitted.items()}})
 
 
 def inertia_score(df: DataFrame, cluster: str, features: str) -> DataFrame:
@@ -116,104 +115,76 @@ class Mixture:
         return -2.0 * self.loglik + (self.k * d + self.k - 1 + shape) * math.log(max(self.rows, 1.0))
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), self.k))
-        for j in range(self.k):
-            low = np.linalg.cholesky(self.cov[j])
-            z = np.linalg.solve(low, (x - self.mean[j]).T)
-            out[:, j] = math.log(max(self.weight[j], 1e-300)) - 0.5 * (z * z).sum(0) - np.log(np.diag(low)).sum() \
-                - 0.5 * x.shape[1] * math.log(2 * math.pi)
-        return out
-
-
-def _seed_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k spread-out rows of a bounded sample, then a few k-means steps on it."""
-    centres = [x[rng.integers(len(x))]]
-    for _ in range(k - 1):
-        d = np.min([((x - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
-    c = np.array(centres)
-    for _ in range(10):
-        own = ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)
-        c = np.array([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
-    return c
+        """log of weight times density, rows by components; the largest array has rows * k * d numbers."""
+        d = x.shape[1]
+        apart = x[None, :, :] - self.mean[:, None, :]
+        if self.kind in ("diag", "spherical"):
+            var = np.diagonal(self.cov, axis1=1, axis2=2)
+            away, size = np.einsum("kbd,kd->kb", apart * apart, 1.0 / var), 0.5 * np.log(var).sum(1)
+        else:
+            low = np.linalg.cholesky(self.cov)
+            z = apart @ np.linalg.inv(low).transpose(0, 2, 1)
+            away, size = (z * z).sum(2), np.log(np.diagonal(low, axis1=1, axis2=2)).sum(1)
+        return (np.log(np.maximum(self.weight, 1e-300)) - size - 0.5 * d * math.log(2 * math.pi)) - 0.5 * away.T
 
 
 def fit_mixtures(df: DataFrame, features: str, ks, kinds=COVARIANCES, group: str | None = None, rounds: int = 40,
-                 tol: float = 1e-3, ridge: float = 1e-6, seed: int = 42, sample: int = 2000) -> dict:
+                 tol: float = 1e-3, ridge: float = 1e-6, seed: int = 42) -> dict:
     """EM for every (group, covariance type, k) at once: {group: [Mixture, ...]}.
 
-    Each round reads the table once.  A task turns its rows into weighted moments of every model
-    still moving; the moments are summed by (model, component, position), so what reaches the
-    driver is bounded by the size of the models.
+    Equal vectors of a group are one weighted row.  Each round reads them once: a task adds up one
+    array of weighted moments for every model still moving, and arrays are added in a tree of
+    tasks, so the driver receives a few arrays of the models' own size.  Means begin at
+    centres that are spread over all rows, see :func:`~ballast.operators.kmeans.seeds_of`.
     """
     refuse_stream(df, "fit_mixtures")
-    g = F.col(group).cast("string") if group else F.lit("all")
-    data = spread(written(df.select(g.alias("g"), F.col(features).alias("x")), "mixture-rows"))
-    sizes = {r["g"]: r["n"] for r in collect_bounded(data.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "groups", 1000)}
-    dims = len(data.first()["x"])
-    cells = sum(len(kinds) * k * (1 + dims + (dims * dims if {"full", "tied"} & set(kinds) else dims)) for k in ks) * len(sizes)
+    points = weighted_points(df, features, group)
+    dims, ks = len(points.first()["x"]), list(ks)
+    seeds = seeds_of(points, max(ks), seed)
+    cells = sum(len(kinds) * k * (1 + dims + (dims * dims if {"full", "tied"} & set(kinds) else dims)) for k in ks) * len(seeds)
     if cells > MAX_MOMENTS:
         raise BoundExceeded(f"{cells} moments per round; use fewer features or only diag and spherical covariances")
-    stats = {r["g"]: r for r in data.groupBy("g").agg(*[F.var_pop(F.col("x")[i]).alias(f"v{i}") for i in range(dims)]).collect()}
-    rates = F.create_map(*[v for n, m in sizes.items() for v in (F.lit(n), F.lit(min(1.0, 2.0 * sample / m)))])
-    drawn: dict[str, list] = {}
-    place = uniform("mixture.sample", F.xxhash64("x"), seed=seed)
-    for r in data.withColumn("_u", place).where(F.col("_u") < rates[F.col("g")]).orderBy("_u", "g").limit(4 * sample * len(sizes)).collect():
-        drawn.setdefault(r["g"], []).append(r["x"])
     models: dict[tuple, Mixture] = {}
-    for name, n in sizes.items():
-        x = np.array(sorted(drawn.get(name) or [r["x"] for r in data.where(F.col("g") == name).orderBy(place, "x").limit(sample).collect()]), dtype=float)
-        var = np.array([stats[name][f"v{i}"] for i in range(dims)]) + ridge
-        for k in ks:
-            if k > n:
-                continue
-            mean = _seed_means(x, k, np.random.default_rng(seed))
+    for name, s in seeds.items():
+        var = s.var + ridge
+        for k in [k for k in ks if k <= s.n]:
+            mean = s.centres(k, seed)
             for kind in kinds:
                 start = np.diag(var) if kind != "spherical" else np.eye(dims) * var.mean()
                 models[(name, kind, k)] = Mixture(kind, np.full(k, 1 / k), mean.copy(), np.repeat(start[None], k, 0))
+    middle = {name: s.mean for name, s in seeds.items()}
     moving = set(models)
     for _ in range(rounds):
         if not moving:
             break
-        active = {m: models[m] for m in moving}
-        keys = sorted(active)
+        keys = sorted(moving)
+        active = [(i, key, models[key]) for i, key in enumerate(keys)]
 
         def moments(batches):
-            sums: dict[tuple, np.ndarray] = {}
-            for batch in batches:
-                step = max(64, 4_000_000 // (dims * dims))  # rows whose outer products fit in memory
-                pieces = (batch.iloc[lo:lo + step] for lo in range(0, len(batch), step))
-                for name, part in (pair for piece in pieces for pair in piece.groupby("g", sort=False)):
-                    x = np.vstack(part["x"].to_numpy()).astype(float)
-                    outer = None
-                    for i, key in enumerate(keys):
-                        if key[0] != name:
-                            continue
-                        joint = active[key].log_joint(x)
-                        top = joint.max(1, keepdims=True)
-                        p = np.exp(joint - top)
-                        norm = p.sum(1, keepdims=True)
-                        p /= norm
-                        full = key[1] in ("full", "tied")
-                        if full and outer is None:
-                            outer = (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-                        second = p.T @ (outer if full else x * x)
-                        vals = np.hstack([p.sum(0)[:, None], p.T @ x, second])
-                        sums[(i, -1)] = sums.get((i, -1), 0.0) + np.array([float((top + np.log(norm)).sum())])
-                        for j in range(active[key].k):
-                            sums[(i, j)] = sums.get((i, j), 0.0) + vals[j]
-            lines = [(i, j, pos, float(v)) for (i, j), a in sums.items() for pos, v in enumerate(a)]
-            yield pd.DataFrame(lines, columns=["model", "component", "pos", "v"])
-
-        added = data.mapInPandas(moments, "model INT, component INT, pos INT, v DOUBLE") \
-            .groupBy("model", "component", "pos").agg(F.sum("v").alias("v"))
-        total: dict[tuple, dict[int, float]] = {}
-        for r in added.toLocalIterator():
-            total.setdefault((r["model"], r["component"]), {})[r["pos"]] = r["v"]
-        for i, key in enumerate(keys):
-            m, n = models[key], float(sizes[key[0]])
-            loglik = total[(i, -1)][0]
-            table = np.array([[total[(i, j)][p] for p in range(len(total[(i, j)]))] for j in range(m.k)])
+            sums: dict[int, np.ndarray] = {}
+            for name, x, w, _ in matrices(batches, dims * max(dims, *ks)):
+                y = x - middle[name]  # moments about the group's middle keep the digits that moments about zero lose
+                outer = None
+                for i, key, model in active:
+                    if key[0] != name:
+                        continue
+                    joint = model.log_joint(x)
+                    top = joint.max(1, keepdims=True)
+                    p = np.exp(joint - top)
+                    norm = p.sum(1, keepdims=True)
+                    loglik = float((w[:, None] * (top + np.log(norm))).sum())
+                    p *= w[:, None] / norm
+                    if key[1] in ("full", "tied") and outer is None:
+                        outer = (y[:, :, None] * y[:, None, :]).reshape(len(y), -1)
+                    second = p.T @ (outer if key[1] in ("full", "tied") else y * y)
+                    part = np.concatenate([[loglik], np.hstack([p.sum(0)[:, None], p.T @ y, second]).ravel()])
+                    sums[i] = sums[i] + part if i in sums else part
+            return sums
+
+        total = array_sums(points, moments)
+        for i, key, m in active:
+            n = seeds[key[0]].n
+            loglik, table = float(total[i][0]), total[i][1:].reshape(m.k, -1)
             size = table[:, 0] + 1e-10
             mean = table[:, 1:1 + dims] / size[:, None]
             if m.kind in ("full", "tied"):
@@ -228,7 +199,7 @@ def fit_mixtures(df: DataFrame, features: str, ks, kinds=COVARIANCES, group: str
                 cov = np.array([np.diag(v) for v in var])
             cov = (cov + cov.transpose(0, 2, 1)) / 2 + ridge * np.eye(dims)
             change = (loglik - m.loglik) / n
-            models[key] = Mixture(m.kind, size / size.sum(), mean, cov, loglik, n)
+            models[key] = Mixture(m.kind, size / size.sum(), mean + middle[key[0]], cov, loglik, n)
             if abs(change) < tol:
                 moving.discard(key)
     out: dict[str, list[Mixture]] = {}

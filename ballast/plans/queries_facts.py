@@ -11,6 +11,7 @@ from ballast.operators import encode as C
 from ballast.operators import modes as M
 from ballast.operators import resample as G
 from ballast.operators import synth as H
+from ballast.operators.kmeans import nearest
 from ballast.plans import fixtures as X
 from ballast.plans.registry import query
 
@@ -90,6 +91,42 @@ def e3_facts(spark, sf):
     return spark.createDataFrame([(found.labelled.where(F.col("cluster").between(0, best.k - 1)).count(), best.bic == min(found.detail["all"].values()))], "n BIGINT, least BOOLEAN")
 
 
+@query("e2_scores_of_every_k", sql=f"SELECT k, (SELECT count(*) FROM lineitem) AS n, true AS score_holds FROM range(2, {E.PUBLISHED_CLUSTERS}) t(k)")
+def e2_every_k(spark, sf):
+    """Every k's score again, from the counts and variances of the rows that its centres label."""
+    t = E.cluster_features(X.rare_lines(spark, sf), X.RARE)
+    found = E.choose_k_kmeans(t, max_clusters=E.PUBLISHED_CLUSTERS)
+    centres = found.detail["centres"]
+    dims = len(centres[2][0])
+    labels = F.map_from_arrays(F.array(*[F.lit(k) for k in centres]), F.array(*[nearest("features", c) for c in centres.values()]))
+    rows = found.labelled.select("features", F.explode(labels).alias("k", "own"))
+    per = rows.groupBy("k", "own").agg(F.count("*").alias("n"), *[F.var_pop(F.col("features")[i]).alias(f"v{i}") for i in range(dims)])
+    total = E.total_squares(t, "features")
+    score = F.sum(F.col("n") * sum((F.col(f"v{i}") for i in range(dims)), F.lit(0.0))) / total + F.col("k") * E.CLUSTER_PENALTY
+    fitted = F.create_map(*[v for k, s in found.scores.items() for v in (F.lit(k), F.lit(s))])
+    return per.groupBy("k").agg(F.sum("n").alias("n"), (F.abs(score - fitted[F.col("k")]) < 1e-9).alias("score_holds")) \
+              .select(F.col("k").cast("long").alias("k"), "n", "score_holds")
+
+
+# one component has its moments in closed form, so SQL gives the criterion of every kind and class
+ONE_COMPONENT = """
+WITH s AS (SELECT min(c_acctbal) AS a1, max(c_acctbal) AS b1, min(c_nationkey) AS a2, max(c_nationkey) AS b2 FROM customer),
+x AS (SELECT c_mktsegment AS segment, (c_acctbal - a1) / (b1 - a1) AS f, (c_nationkey - a2) / CAST(b2 - a2 AS DOUBLE) AS g FROM customer, s),
+m AS (SELECT segment, CAST(count(*) AS DOUBLE) AS n, var_pop(f) AS v, var_pop(g) AS w, covar_pop(f, g) AS c FROM x GROUP BY segment),
+d AS (SELECT segment, n, 'full' AS kind, v * w - c * c AS det, 5 AS free FROM m UNION ALL SELECT segment, n, 'tied', v * w - c * c, 5 FROM m
+  UNION ALL SELECT segment, n, 'diag', v * w, 4 FROM m UNION ALL SELECT segment, n, 'spherical', (v + w) * (v + w) / 4, 3 FROM m)
+SELECT segment, kind, round(n * (2 * ln(2 * pi()) + ln(det) + 2) + free * ln(n), 3) AS bic FROM d"""
+
+
+@query("e3_bic_of_one_component", sql=ONE_COMPONENT)
+def e3_one(spark, sf):
+    spec = X.TableSpec(features=("c_acctbal", "c_nationkey"), label="c_mktsegment", row_id=("c_custkey",))
+    t = E.cluster_features(X.seg_customers(spark, sf), spec)
+    found = E.fit_mixtures(t, "features", [1], group="c_mktsegment", rounds=3, ridge=0.0)
+    rows = [(name, m.kind, round(m.bic, 3)) for name, models in found.items() for m in models]
+    return spark.createDataFrame(rows, "segment STRING, kind STRING, bic DOUBLE")
+
+
 @query("e12_class_subspaces_rows", sql=f"WITH {X.TOXIC_SQL} SELECT toxic, count(*) AS n, true AS equal_shares FROM toxic_docs GROUP BY toxic")
 def e12_facts(spark, sf):
     spec = X.TableSpec(features=("n_chars",), label="toxic", row_id=("doc_id",))
