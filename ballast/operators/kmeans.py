@@ -18,7 +18,7 @@ from ballast.functions.sums import array_sums
 
 SEED_ROUNDS = 5      # rounds of drawing candidates for the first centres
 MAX_GROUPS = 1000    # groups fitted side by side
-BATCH_NUMBERS = 2_000_000  # numbers of the largest array that a batch makes
+BATCH_NUMBERS = 1 << 18  # numbers of the largest array of a piece, so that it stays near the processor
 
 
 @dataclass
@@ -151,28 +151,30 @@ def fit_all(points: DataFrame, seeds: Seeds, ks, seed: int = 42, rounds: int = 2
     moving, out = set(centres), {}
     for turn in range(rounds):
         active = {k: centres[k] for k in sorted(moving)}
-        at, lo = {}, 0
-        for k, c in active.items():
-            at[k] = slice(lo, lo + len(c))
-            lo += len(c)
+        first = np.cumsum([0, *active])  # where each k's centres begin among all of them
         stacked = np.vstack(list(active.values()))
+        every, dims = stacked.shape
+        middle = stacked.mean(0)
+        turned, length = -2 * (stacked - middle).T, ((stacked - middle) ** 2).sum(1)
 
         def moments(batches):
-            sums: dict[int, np.ndarray] = {}
-            for _, x, w, _ in matrices(batches, len(stacked) + x_width):
-                away = squares(x, stacked)
-                for k, c in active.items():
-                    own = away[:, at[k]].argmin(1)
-                    hit = (own[:, None] == np.arange(k)) * w[:, None]
-                    apart = x - c[own]  # sums about the centres keep the digits that sums about zero lose
-                    part = np.concatenate([[w @ (apart * apart).sum(1)], hit.sum(0), (hit.T @ apart).ravel()])
-                    sums[k] = sums[k] + part if k in sums else part
-            return sums
-
-        x_width = stacked.shape[1]
-        total = array_sums(points, moments)
-        for k, c in active.items():
-            cost, size, shift = total[k][0], total[k][1:1 + k], total[k][1 + k:].reshape(k, -1)
+            cost, size, shift = np.zeros(len(active)), np.zeros(every), np.zeros((dims, every))
+            for _, x, w, _ in matrices(batches, every + len(active) * dims):
+                away = (x - middle) @ turned + length
+                own = np.stack([away[:, lo:hi].argmin(1) + lo for lo, hi in zip(first, first[1:])], axis=1)
+                apart = x[:, None, :] - stacked[own]  # sums about the centres keep the digits that sums about zero lose
+                flat = own.ravel()
+                cost += w @ (apart * apart).sum(2)
+                size += np.bincount(flat, np.repeat(w, len(active)), every)
+                for j in range(dims):
+                    shift[j] += np.bincount(flat, (apart[:, :, j] * w[:, None]).ravel(), every)
+            return {0: np.concatenate([cost, size, shift.ravel()])}
+
+        total = array_sums(points, moments)[0]
+        costs, sizes, shifts = np.split(total, [len(active), len(active) + every])
+        for i, (k, c) in enumerate(active.items()):
+            mine = slice(first[i], first[i + 1])
+            cost, size, shift = costs[i], sizes[mine], shifts.reshape(dims, every)[:, mine].T
             step = shift / np.maximum(size, 1e-300)[:, None]
             step[size == 0] = 0.0
             moved = (step * step).sum(1)
