@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ballast.functions.bounds import BoundExceeded, collect_bounded
-from ballast.functions.ranks import running_total
+from ballast.functions.bounds import BoundExceeded, collect_bounded, join_model
+from ballast.functions.ranks import ranked, running_total
 from ballast.functions.store import written
 from ballast.operators.encode import column_stats, fit_one_hot
 from ballast.operators.modes import Mode, active_modes, likeliest, mixture_1d, starting_points
@@ -179,39 +180,166 @@ def adjacent_chi_square(df: DataFrame, cols, label: str) -> DataFrame:
                .select("column", "value", "next_value", chi_square(F.col("counts"), F.col("next_counts")).alias("chi2"))
 
 
-def _merge_intervals(starts: np.ndarray, counts: np.ndarray, k: int) -> list[float]:
-    """Merge the adjacent pair of least chi-square (leftmost on ties) until k intervals are left."""
-    n = len(starts)
-    counts = counts.astype(float)
-    left, right, alive = np.arange(-1, n - 1), np.arange(1, n + 1), np.ones(n, dtype=bool)
-    version = np.zeros(n, dtype=np.int64)
-
-    def score(i: int, j: int) -> float:
-        a, b = counts[i], counts[j]
-        both, sa, sb = a + b, a.sum(), b.sum()
+def pair_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chi-square of rows of ``a`` with rows of ``b`` (class counts), class after class, as :func:`_pair_score` adds it up."""
+    a, b = a.astype(float), b.astype(float)
+    sa, sb = _in_order(a), _in_order(b)
+    out = np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        both = x + y
         ea, eb = both * sa / (sa + sb), both * sb / (sa + sb)
-        ok = both > 0
-        return float((((a - ea)[ok] ** 2) / ea[ok] + ((b - eb)[ok] ** 2) / eb[ok]).sum())
+        with np.errstate(invalid="ignore", divide="ignore"):
+            term = (x - ea) * (x - ea) / ea + (y - eb) * (y - eb) / eb
+        out = out + np.where(both > 0, term, 0.0)
+    return out
+
+
+def _in_order(counts: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(counts))
+    for x in counts.T:
+        total = total + x
+    return total
+
+
+def _pair_score(a: list[float], b: list[float]) -> float:
+    sa, sb, out = sum(a), sum(b), 0.0
+    for x, y in zip(a, b):
+        both = x + y
+        if both > 0:
+            ea, eb = both * sa / (sa + sb), both * sb / (sa + sb)
+            out += (x - ea) * (x - ea) / ea + (y - eb) * (y - eb) / eb
+    return out
+
+
+def merge_intervals(counts: np.ndarray, k: int = 1, level: float = float("inf")) -> tuple[np.ndarray, np.ndarray, list, list]:
+    """Merge the adjacent pair of least chi-square (leftmost on ties) until k intervals are left or all pairs are above ``level``.
 
-    heap = [(score(i, i + 1), i, 0) for i in range(n - 1)]
+    Returns the places of the first members of what is left, their counts, and all counts that the first
+    and the last interval had on the way.
+    """
+    n = len(counts)
+    scores = pair_scores(counts[:-1], counts[1:])
+    rows = counts.astype(float).tolist()
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    alive, version = np.ones(n, dtype=bool), [0] * n
+    heap = [(s, i, 0) for i, s in enumerate(scores.tolist()) if s <= level]
     heapq.heapify(heap)
-    remaining = n
+    remaining, last = n, n - 1
+    firsts, lasts = [rows[0]], [rows[-1]]
     while remaining > k and heap:
         _, i, v = heapq.heappop(heap)
         if not alive[i] or version[i] != v or right[i] >= n:
             continue
         j = right[i]
-        counts[i] += counts[j]
+        rows[i] = [x + y for x, y in zip(rows[i], rows[j])]
         alive[j] = False
         right[i] = right[j]
         if right[j] < n:
             left[right[j]] = i
         remaining -= 1
+        if i == 0:
+            firsts.append(rows[0])
+        if j == last:
+            last = i
+            lasts.append(rows[i])
         for a in (left[i], i):
             if a >= 0 and right[a] < n:
                 version[a] += 1
-                heapq.heappush(heap, (score(a, right[a]), int(a), int(version[a])))
-    return [float(s) for s in starts[alive]]
+                score = _pair_score(rows[a], rows[right[a]])
+                if score <= level:
+                    heapq.heappush(heap, (score, a, version[a]))
+    kept = np.flatnonzero(alive)
+    return kept, np.array([rows[i] for i in kept]), firsts, lasts
+
+
+PIECE = 20_000  # neighbouring intervals that are merged in one task
+_CLOSED = "column STRING, piece LONG, start DOUBLE, counts ARRAY<LONG>, firsts ARRAY<ARRAY<DOUBLE>>, lasts ARRAY<ARRAY<DOUBLE>>"
+
+
+@F.pandas_udf(T.DoubleType())
+def _score(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = np.full(len(a), -1.0)  # the last interval of a column has no pair
+    some = b.notna().to_numpy()
+    if some.any():
+        out[some] = pair_scores(np.vstack(a[some].to_numpy()), np.vstack(b[some].to_numpy()))
+    return pd.Series(out)
+
+
+@F.pandas_udf(T.BooleanType())
+def _meets(lasts: pd.Series, firsts: pd.Series, level: pd.Series) -> pd.Series:
+    """Whether an interval at a border could have been merged across it, in any two states of its sides."""
+    out = []
+    for a, b, top in zip(lasts, firsts, level):
+        x, y = np.vstack(a), np.vstack(b)
+        out.append(any((pair_scores(np.repeat(x[i:i + 1], len(y), 0), y) <= top).any() for i in range(len(x))))
+    return pd.Series(out)
+
+
+def _closed(piece: pd.DataFrame) -> pd.DataFrame:
+    piece = piece.sort_values("start")
+    kept, counts, firsts, lasts = merge_intervals(np.vstack(piece["counts"].to_numpy()), level=piece["level"].iloc[0])
+    none = [None] * (len(kept) - 1)
+    return pd.DataFrame({"column": piece["column"].iloc[0], "piece": piece["piece"].iloc[0], "start": piece["start"].to_numpy()[kept],
+                         "counts": list(counts.astype(np.int64)), "firsts": [firsts, *none], "lasts": [lasts, *none]})
+
+
+def _merged_below(table: DataFrame, shares: dict[str, float]) -> tuple[DataFrame, dict[str, bool]]:
+    """``table`` (column, start, counts) after all merges that come before every pair is above the column's level.
+
+    The level is that share's quantile of the column's scores.  A column is cut into pieces, each at the largest of
+    some thousand scores, and pieces are merged alone.  What a piece does depends on the others only by its
+    borders; where the counts on both sides of a border ever gave a score up to the level, the two pieces are joined
+    and merged again.  The second result says whether a level is the least score, which cannot be lowered.
+    """
+    place = written(running_total(table, "column", "start", F.lit(1).cast("long"), "place"), "places")
+    after = place.select("column", (F.col("place") - 1).alias("place"), F.col("counts").alias("next"))
+    scored = written(place.join(after, ["column", "place"], "left").withColumn("score", _score("counts", "next"))
+                     .drop("next").withColumn("stretch", F.floor(F.col("place") / PIECE)), "scores")
+    pairs = scored.where("score >= 0").groupBy("column").agg(
+        F.min("score").alias("least"), F.percentile_approx("score", [1 / 2 ** i for i in range(1, 21)], 10_000).alias("q"))
+    levels = {r["column"]: (max(r["least"], r["q"][round(-np.log2(shares[r["column"]])) - 1]), r["least"]) for r in pairs.collect()}
+    level = F.create_map(*[v for c, (top, _) in levels.items() for v in (F.lit(c), F.lit(top))])[F.col("column")]
+    borders = scored.groupBy("column", "stretch").agg(F.max_by("place", F.struct("score", "place")).alias("border"))
+    dealt = written(scored.join(borders, ["column", "stretch"]).select(
+        "column", "start", "counts", level.alias("level"), (F.col("stretch") + (F.col("place") > F.col("border")).cast("long")).alias("piece")), "pieces")
+    while True:
+        closed = written(dealt.groupBy("column", "piece").applyInPandas(_closed, _CLOSED), "merged")
+        ends = closed.where("firsts is not null")
+        order = ranked(ends.select("column", "piece", "firsts", "lasts"), "column", "piece", "nth")
+        order = written(order, "ends")
+        met = order.select("column", "piece", (F.col("nth") + 1).alias("nth"), "lasts").join(
+            order.select("column", "nth", F.col("piece").alias("right"), "firsts"), ["column", "nth"])
+        joined = collect_bounded(met.where(_meets("lasts", "firsts", level)).select("column", "piece", "right"), "borders")
+        if not joined:
+            return closed.select("column", "start", "counts"), {c: top <= least for c, (top, least) in levels.items()}
+        into: dict[tuple[str, int], int] = {}
+        for r in sorted(joined):  # from the left, so that a chain of pieces gets the number of its first
+            into[r["column"], r["right"]] = into.get((r["column"], r["piece"]), r["piece"])
+        moved = dealt.sparkSession.createDataFrame([(c, p, q) for (c, p), q in into.items()], "column STRING, piece LONG, into LONG")
+        dealt = written(join_model(dealt, moved, ["column", "piece"], "left").withColumn("piece", F.coalesce("into", "piece")).drop("into"), "pieces")
+
+
+def _merged_down(start: DataFrame, bins: dict[str, int]) -> DataFrame:
+    """``start`` (column, start, counts) merged level by level while a column has more intervals than one task should hold.
+
+    A level that would leave fewer intervals than wanted is not taken but tried again lower; where the least one already
+    does, a single chain of merges leads from there to the end and the column stays as it is.
+    """
+    sizes = lambda df: {r["column"]: r["count"] for r in df.groupBy("column").count().collect()}
+    done, size = None, sizes(start)
+    shares = {c: 0.5 for c, n in size.items() if n > max(PIECE, 2 * bins[c])}
+    table = start
+    while shares:
+        rest = table.where(~F.col("column").isin(list(shares)))
+        done = rest if done is None else done.unionByName(rest)
+        table = table.where(F.col("column").isin(list(shares)))
+        merged, least = _merged_below(table, shares)
+        left = sizes(merged)
+        good = [c for c in shares if left[c] >= bins[c]]
+        table = written(merged.where(F.col("column").isin(good)).unionByName(table.where(~F.col("column").isin(good))), "intervals")
+        shares = {c: shares[c] if c in good else shares[c] / 2 for c in shares
+                  if (left[c] > max(PIECE, 2 * bins[c]) if c in good else not least[c] and shares[c] > 2 ** -20)}
+    return table if done is None else done.unionByName(table)
 
 
 def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], start_intervals: int | None = None,
@@ -219,49 +347,52 @@ def chi_merge_cuts(df: DataFrame, cols, label: str, bins: dict[str, int], start_
     """ChiMerge: start from distinct values, merge the least chi-square pair until k intervals.
 
     Neighbouring values that hold a single, equal class have chi-square zero, so they are merged in
-    Spark first; what is left of a column is merged in one task, columns in parallel.  With
+    Spark first.  What is left of a column is cut into pieces of some thousand intervals that are merged apart, level by level, in
+    the order that one heap over the column would take; the last ``PIECE`` intervals of a column go through one task.  With
     ``start_intervals`` every column begins from that many intervals of equal row count instead of its values,
-    whatever its size.  A column that keeps more than ``max_runs`` runs is refused: it needs ``start_intervals``.
+    whatever its size.  Where one chain of merges runs through a whole column from above k to below, each
+    merge waits for the one before: such a column is refused if it keeps more than ``max_runs`` intervals.
     """
     per_value, classes = contingency(df, cols, label)
     table = written(per_value, "contingency")
     distinct = {r["column"]: r["v"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("v")).collect()}
     large = [c for c in cols if c in distinct]
-    start = None
-    if large:
-        rows = F.aggregate(F.col("counts"), F.lit(0).cast("long"), lambda s, v: s + v)
-        big = running_total(table.where(F.col("column").isin(large)), "column", "value", rows, "upto", size="rows")
-        pure = F.when(F.size(F.filter("counts", lambda v: v > 0)) == 1, F.array_position("counts", F.array_max("counts")))
-        ordered = written(running_total(written(big.withColumn("pure", pure), "runs"), "column", "value", F.lit(1).cast("long"), "place"), "runs")
-        previous = ordered.select("column", (F.col("place") + 1).alias("place"), F.col("pure").alias("before"))
-        opened = written(ordered.join(previous, ["column", "place"], "left").withColumn(
-            "opens", F.when(F.col("pure").isNotNull() & F.col("before").eqNullSafe(F.col("pure")), 0).otherwise(1)), "runs")
-        # with fewer runs than wanted intervals, merging from the left stops early: the rightmost
-        # values that would have been merged last stay apart
-        numbers = {c: (distinct[c], bins[c]) for c in large}
-        lookup = lambda i: F.create_map(*[v for c in large for v in (F.lit(c), F.lit(numbers[c][i]).cast("long"))])[F.col("column")]
-        counted = running_total(opened, "column", "value", {"zero": (1 - F.col("opens")).cast("long")}, size="zeros")
-        spare = lookup(1) - (lookup(0) - F.col("zeros"))
-        apart = F.when((F.col("opens") == 0) & (F.col("zeros") - F.col("zero") < spare), 1).otherwise(F.col("opens"))
-        runs = running_total(written(counted.withColumn("opens", apart), "runs"), "column", "value", F.col("opens").cast("long"), "run", size="runs")
-        group = F.col("run")
-        if start_intervals:
-            group = F.floor((F.col("upto") - 1) / F.greatest(F.ceil(F.col("rows") / start_intervals), F.lit(1)))
-        elif (most := runs.agg(F.max("runs")).first()[0]) > max_runs:
-            raise BoundExceeded(f"a column keeps {most} runs of values; give start_intervals")
-        merged = runs.withColumn("group", group).groupBy("column", "group").agg(
-            F.min("value").alias("start"),
-            F.array(*[F.sum(F.col("counts")[i]) for i in range(len(classes))]).alias("counts"))
-        start = merged.select("column", "start", "counts")
+    if not large:
+        return {c: [] for c in cols}
+    rows = F.aggregate(F.col("counts"), F.lit(0).cast("long"), lambda s, v: s + v)
+    big = running_total(table.where(F.col("column").isin(large)), "column", "value", rows, "upto", size="rows")
+    pure = F.when(F.size(F.filter("counts", lambda v: v > 0)) == 1, F.array_position("counts", F.array_max("counts")))
+    ordered = written(running_total(written(big.withColumn("pure", pure), "runs"), "column", "value", F.lit(1).cast("long"), "place"), "runs")
+    previous = ordered.select("column", (F.col("place") + 1).alias("place"), F.col("pure").alias("before"))
+    opened = written(ordered.join(previous, ["column", "place"], "left").withColumn(
+        "opens", F.when(F.col("pure").isNotNull() & F.col("before").eqNullSafe(F.col("pure")), 0).otherwise(1)), "runs")
+    # with fewer runs than wanted intervals, merging from the left stops early: the rightmost
+    # values that would have been merged last stay apart
+    numbers = {c: (distinct[c], bins[c]) for c in large}
+    lookup = lambda i: F.create_map(*[v for c in large for v in (F.lit(c), F.lit(numbers[c][i]).cast("long"))])[F.col("column")]
+    counted = running_total(opened, "column", "value", {"zero": (1 - F.col("opens")).cast("long")}, size="zeros")
+    spare = lookup(1) - (lookup(0) - F.col("zeros"))
+    apart = F.when((F.col("opens") == 0) & (F.col("zeros") - F.col("zero") < spare), 1).otherwise(F.col("opens"))
+    runs = running_total(written(counted.withColumn("opens", apart), "runs"), "column", "value", F.col("opens").cast("long"), "run", size="runs")
+    group = F.col("run")
+    if start_intervals:
+        group = F.floor((F.col("upto") - 1) / F.greatest(F.ceil(F.col("rows") / start_intervals), F.lit(1)))
+    merged = runs.withColumn("group", group).groupBy("column", "group").agg(
+        F.min("value").alias("start"),
+        F.array(*[F.sum(F.col("counts")[i]) for i in range(len(classes))]).alias("counts"))
+    start = _merged_down(written(merged.select("column", "start", "counts"), "intervals"), bins)
+    most = start.groupBy("column").count().agg(F.max("count")).first()[0]
+    if not start_intervals and most > max_runs:
+        raise BoundExceeded(f"a column keeps {most} runs of values that only one chain of merges joins; give start_intervals")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("start")
         c = pdf["column"].iloc[0]
-        kept = _merge_intervals(pdf["start"].to_numpy(float), np.vstack(pdf["counts"].to_numpy()), bins[c])
-        return pd.DataFrame({"column": c, "cut": kept})
+        kept = merge_intervals(np.vstack(pdf["counts"].to_numpy()), bins[c])[0]
+        return pd.DataFrame({"column": c, "cut": pdf["start"].to_numpy(float)[kept]})
 
     out: dict[str, list[float]] = {c: [] for c in cols}
-    for r in collect_bounded(start.groupBy("column").applyInPandas(merge, "column STRING, cut DOUBLE"), "intervals") if large else []:
+    for r in collect_bounded(start.groupBy("column").applyInPandas(merge, "column STRING, cut DOUBLE"), "intervals"):
         out[r["column"]].append(r["cut"])
     return {c: sorted(v)[1:] for c, v in out.items()}
 

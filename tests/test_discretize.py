@@ -61,6 +61,46 @@ def test_chi_merge_refuses_too_many_runs(spark):
         D.chi_merge_cuts(df, ["x"], "y", {"x": 4}, max_runs=3)
 
 
+def runs_of(kind, n, seed):
+    """(x, y) with every row a value of its own."""
+    rng = np.random.default_rng(seed)
+    y = {"mixed": (rng.random(n) < 0.3 + 0.4 * (np.arange(n) * 4 // n % 2)).astype(int), "alternating": np.arange(n) % 2,
+         "three": rng.integers(0, 3, n), "rare": (rng.random(n) < 0.05).astype(int)}[kind]
+    return np.arange(n).astype(float), y
+
+
+@pytest.mark.parametrize("kind, piece, k", [("mixed", 7, 5), ("alternating", 7, 5), ("three", 40, 2), ("rare", 20, 3)])
+def test_chi_merge_in_pieces_keeps_the_order_of_one_heap(spark, monkeypatch, kind, piece, k):
+    monkeypatch.setattr(D, "PIECE", piece)
+    x, y = runs_of(kind, 400, 3)
+    df = spark.createDataFrame([(float(a), float(a // 3), int(b)) for a, b in zip(x, y)], "x DOUBLE, z DOUBLE, y INT")
+    got = D.chi_merge_cuts(df, ["x", "z"], "y", {"x": k, "z": k + 1})
+    assert got["x"] == chi_merge_brute(x, y, k) and got["z"] == chi_merge_brute(x // 3, y, k + 1)
+
+
+def test_chi_merge_of_many_runs_equals_one_heap(spark):
+    x, y = runs_of("mixed", 720_000, 1)
+    opens = np.r_[True, y[1:] != y[:-1]]
+    run = np.cumsum(opens) - 1
+    counts = np.stack([np.bincount(run, y == c) for c in (0, 1)], 1)
+    assert len(counts) > 300_000
+    kept = D.merge_intervals(counts, 6)[0]
+    df = spark.range(len(x)).select(F.col("id").cast("double").alias("x")).join(
+        spark.createDataFrame([(float(v),) for v in x[y == 1]], "x DOUBLE").withColumn("y", F.lit(1)), "x", "left").fillna(0, ["y"])
+    assert D.chi_merge_cuts(df, ["x"], "y", {"x": 6}, max_runs=D.PIECE)["x"] == x[opens][kept][1:].tolist()
+
+
+@pytest.mark.parametrize("classes", [2, 3, 9])
+def test_pair_scores_agree_to_the_last_bit(classes):
+    rng = np.random.default_rng(classes)
+    a, b = rng.integers(0, 50, (500, classes)), rng.integers(0, 3, (500, classes))
+    a[:, 0] += 1
+    b[:, -1] += 1
+    got = D.pair_scores(a, b)
+    assert got.tolist() == [D._pair_score(x, y) for x, y in zip(a.astype(float).tolist(), b.astype(float).tolist())]
+    assert got == pytest.approx([chi(x, y) for x, y in zip(a.astype(float), b.astype(float))])
+
+
 def test_auto_weights_follow_the_bins(spark):
     df = spark.createDataFrame([(float(v),) for v in [*range(100), *range(1000, 1300)]], "x DOUBLE")
     for strategy in ("bins-uni", "bins-q", "bins-bgm"):
