@@ -76,6 +76,29 @@ def d5(spark, sf):
     return D.fit_discretizer(t, ["l_extendedprice", "l_discount", "l_tax"], "chi-merge", 6, label="rare").transform(t)
 
 
+def _chi_sql(a: str, b: str, classes: list[str]) -> str:
+    total = lambda v: "(" + " + ".join(f"{v}.{c}" for c in classes) + ")"
+    part = lambda v, c: f"power({v}.{c} - ({a}.{c} + {b}.{c}) * {total(v)} / ({total(a)} + {total(b)}), 2) / (({a}.{c} + {b}.{c}) * {total(v)} / ({total(a)} + {total(b)}))"
+    return " + ".join(f"(CASE WHEN {a}.{c} + {b}.{c} > 0 THEN {part(a, c)} + {part(b, c)} ELSE 0 END)" for c in classes)
+
+
+@query("d5_chi_merge_quantity", sql=f"""
+WITH RECURSIVE c AS (SELECT l_quantity AS v, CAST(count(CASE WHEN l_returnflag = 'A' THEN 1 END) AS DOUBLE) AS a,
+  CAST(count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS DOUBLE) AS n, CAST(count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS DOUBLE) AS r FROM lineitem GROUP BY 1),
+m AS (SELECT list(struct_pack(v := v, a := a, n := n, r := r) ORDER BY v) AS l FROM c
+  UNION ALL
+  SELECT list_concat(l[:i - 1], [struct_pack(v := l[i].v, a := l[i].a + l[i + 1].a, n := l[i].n + l[i + 1].n, r := l[i].r + l[i + 1].r)], l[i + 2:])
+  FROM (SELECT l, list_position(s, list_min(s)) AS i FROM (
+    SELECT l, list_transform(range(1, len(l)), lambda j: {_chi_sql("l[j]", "l[j + 1]", ["a", "n", "r"])}) AS s FROM m WHERE len(l) > 6))),
+k AS (SELECT unnest(l[2:]).v AS cut FROM m WHERE len(l) = 6)
+SELECT cut, (SELECT count(*) FROM lineitem WHERE l_quantity >= cut) AS above FROM k""")
+def d5_quantity(spark, sf):
+    t = X.table(spark, sf, "lineitem").select("l_quantity", "l_returnflag")
+    cuts = D.chi_merge_cuts(t, ["l_quantity"], "l_returnflag", {"l_quantity": 6})["l_quantity"]
+    above = t.agg(*[F.count(F.when(F.col("l_quantity") >= c, 1)).alias(f"c{i}") for i, c in enumerate(cuts)])
+    return above.select(F.explode(F.array(*[F.struct(F.lit(c).alias("cut"), F.col(f"c{i}").alias("above")) for i, c in enumerate(cuts)])).alias("e")).select("e.*")
+
+
 _CAIM = f"""
 WITH {X.RARE_SQL}, c AS (SELECT l_extendedprice AS value, CAST(count(CASE WHEN rare = 0 THEN 1 END) AS DOUBLE) AS c0,
   CAST(count(CASE WHEN rare = 1 THEN 1 END) AS DOUBLE) AS c1 FROM rare_lines GROUP BY 1),
