@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ballast.functions.bounds import MAX_MODEL_ROWS, collect_bounded, join_model
+from ballast.functions.store import written
 from ballast.operators.prepare import value_counts
 from ballast.spec import UnknownColumns, refuse_stream, validate_columns
 
@@ -324,46 +325,76 @@ def per_group_scale(df: DataFrame, cols, group: str, kind: str = "mms11") -> Per
     return PerGroupScale(stats, cols, group, kind)
 
 
+def _yeo_johnson_at(x: Column, lam: Column) -> Column:
+    """The Yeo-Johnson map with a lambda of the row's own."""
+    other = F.lit(2.0) - lam
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    down = F.when(F.abs(other) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1.0 - x, other) - 1.0) / other)
+    return F.when(x >= 0, up).otherwise(down)
+
+
+def _yeo_johnson_back(y: Column, lam: Column) -> Column:
+    other = F.lit(2.0) - lam
+    up = F.when(F.abs(lam) < 1e-12, F.expm1(y)).otherwise(F.pow(F.greatest(y * lam + 1.0, F.lit(0.0)), 1.0 / lam) - 1.0)
+    down = F.when(F.abs(other) < 1e-12, -F.expm1(-y)).otherwise(1.0 - F.pow(F.greatest(1.0 - other * y, F.lit(0.0)), 1.0 / other))
+    return F.when(y >= 0, up).otherwise(down)
+
+
 class PerGroupYeoJohnson:
-    """A Yeo-Johnson map per cluster; the number of clusters is a bounded model size."""
+    """A Yeo-Johnson map per group, joined to the rows; a group without a map (or a null one) gives nulls.
 
-    def __init__(self, models: dict, group: str):
-        self.models, self.group = models, group
+    ``models`` holds a row per group and a struct ``_y_<column>`` of lam, mean, std, low and high.
+    """
 
-    def _choose(self, df: DataFrame, step: str, clip: bool | None = None) -> DataFrame:
-        cols = list(next(iter(self.models.values())).lam)
-        out = {}
-        for c in cols:
-            expr = F.lit(None).cast("double")
-            for g, m in self.models.items():
-                if step == "transform":
-                    x = (yeo_johnson(_num(c), m.lam[c]) - m.mean[c]) / m.std[c]
-                else:
-                    x = yeo_johnson_inverse(_num(c) * m.std[c] + m.mean[c], m.lam[c])
-                    x = clip_to_range(x, m.low[c], m.high[c]) if clip else x
-                expr = F.when(F.col(self.group) == F.lit(g), x).otherwise(expr)
-            out[c] = expr
-        return df.withColumns(out)
+    def __init__(self, models: DataFrame, cols, group: str):
+        self.models, self.cols, self.group = models, list(cols), group
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self._choose(df, "transform")
+        part = lambda c: F.col(f"_y_{c}")
+        joined = join_model(df, self.models, self.group, "left")
+        return joined.withColumns({c: (_yeo_johnson_at(_num(c), part(c)["lam"]) - part(c)["mean"]) / part(c)["std"] for c in self.cols}).select(*df.columns)
 
     def inverse(self, df: DataFrame, clip: bool = True) -> DataFrame:
-        return self._choose(df, "inverse", clip)
+        joined, out = join_model(df, self.models, self.group, "left"), {}
+        for c in self.cols:
+            m = F.col(f"_y_{c}")
+            x = _yeo_johnson_back(_num(c) * m["std"] + m["mean"], m["lam"])
+            out[c] = clip_to_range(x, m["low"], m["high"]) if clip else x
+        return joined.withColumns(out).select(*df.columns)
 
 
-def per_group_yeo_johnson(df: DataFrame, cols, group: str, max_groups: int = 64, low: float = -2.0, high: float = 4.0,
+def per_group_yeo_johnson(df: DataFrame, cols, group: str, low: float = -2.0, high: float = 4.0,
                           points: int = 25, rounds: int = 4) -> PerGroupYeoJohnson:
-    """Fit the maps of all clusters together: one pass per round, whatever the number of clusters."""
-    lim = collect_bounded(df.groupBy(group).agg(*[f(_num(c)).alias(f"{t}{i}") for i, c in enumerate(cols)
-                                                 for t, f in (("lo", F.min), ("hi", F.max))]), "clusters", max_groups)
-    best = _best_lambdas(df, cols, [str(r[group]) for r in lim], group, low, high, points, rounds)
-    models = {}
-    for r in lim:
-        part = lambda i: {c: best[(str(r[group]), c)][i] for c in cols}
-        models[r[group]] = YeoJohnsonModel(part(0), part(1), part(2), {c: r[f"lo{i}"] for i, c in enumerate(cols)},
-                                           {c: r[f"hi{i}"] for i, c in enumerate(cols)})
-    return PerGroupYeoJohnson(models, group)
+    """Fit the maps of all groups together, whatever their number: one pass per round.
+
+    Every value meets the ``points`` lambdas of its group's and column's span, and moments are added up before they
+    are shuffled.  The likeliest lambda (the smaller on ties) is the middle of the next, narrower span.  Nulls and NaN are
+    left out; where all values of a group are equal the map is the identity less that value.
+    """
+    refuse_stream(df, "per_group_yeo_johnson")
+    cols = list(cols)
+    values = df.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), *[_num(c).alias(c) for c in cols]) \
+        .unpivot(["_g"], cols, "column", "x").where(F.col("x").isNotNull() & ~F.isnan("x"))
+    lim = written(values.groupBy("_g", "column").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mid")), "spans")
+    step = (high - low) / (points - 1)
+    found = lim.select("_g", "column", F.lit(low).alias("from"))
+    for _ in range(rounds):
+        lam = F.col("from") + F.col("i") * F.lit(step)
+        tried = join_model(values, found.select("_g", "column", "from"), ["_g", "column"]) \
+            .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("lam", lam)
+        sums = tried.groupBy("_g", "column", "i", "lam").agg(
+            F.count(F.lit(1)).alias("n"), F.avg(_yeo_johnson_at(F.col("x"), F.col("lam"))).alias("mean"),
+            F.var_pop(_yeo_johnson_at(F.col("x"), F.col("lam"))).alias("v"), F.sum(F.signum("x") * F.log1p(F.abs("x"))).alias("slope"))
+        likely = -F.col("n") / 2 * F.log("v") + (F.col("lam") - 1) * F.col("slope")
+        usable = (F.col("v") > 0) & (F.col("v") < F.lit(float("inf")))
+        best = sums.groupBy("_g", "column").agg(F.max(F.when(usable, F.struct(
+            likely.alias("likely"), (-F.col("i")).alias("i"), F.col("lam"), F.col("mean"), F.sqrt("v").alias("std")))).alias("b"))
+        found = written(best.withColumn("from", F.coalesce(F.col("b.lam"), F.lit(1.0)) - F.lit(step)), "lambdas")
+        step = 2 * step / (points - 1)
+    maps = found.join(lim, ["_g", "column"]).select("_g", "column", F.struct(
+        F.coalesce("b.lam", F.lit(1.0)).alias("lam"), F.coalesce("b.mean", "mid").alias("mean"), F.coalesce("b.std", F.lit(1.0)).alias("std"), "low", "high").alias("m"))
+    wide = maps.groupBy(F.col("_g").alias(group)).agg(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(f"_y_{c}") for c in cols])
+    return PerGroupYeoJohnson(written(wide, "maps"), cols, group)
 
 
 # ---------------------------------------------------------------- categories

@@ -313,3 +313,25 @@ def c21_std(spark, sf):
     z = m.transform(t)
     back = m.inverse(z).select("o_orderkey", F.round("z", 2).alias("back"))
     return _rounded(z, ["z"], 5).join(back, "o_orderkey")
+
+
+def _grid_sql(name: str, start: str, step: str, before: str) -> str:
+    """The likeliest of 25 lambdas from ``start`` on for every customer, as a CTE."""
+    y = "CASE WHEN abs(lam) < 1e-12 THEN ln(1 + x) ELSE (power(x + 1, lam) - 1) / lam END"
+    return f"""{name}v AS (SELECT o.o_custkey, o.x, i, {start} + i * {step} AS lam FROM o {before}, range(0, 25) r(i)),
+{name}s AS (SELECT o_custkey, i, lam, avg({y}) AS m, var_pop({y}) AS v, count(*) AS n, sum(ln(1 + x)) AS slope FROM {name}v GROUP BY 1, 2, 3),
+{name} AS (SELECT o_custkey, arg_max(struct_pack(lam := lam, m := m, d := sqrt(v)), -n / 2 * ln(v) + (lam - 1) * slope) AS b FROM {name}s WHERE v > 0 GROUP BY 1)"""
+
+
+@query("c5_yeo_johnson_per_group", sql=f"""
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice / 10000.0 AS x FROM orders), {_grid_sql("one", "-2.0", "0.25", "")},
+{_grid_sql("two", "coalesce(one.b.lam, 1.0) - 0.25", "(0.5 / 24)", "LEFT JOIN one USING (o_custkey)")},
+z AS (SELECT o.*, two.b.lam AS lam, two.b.m AS m, two.b.d AS d FROM o LEFT JOIN two USING (o_custkey))
+SELECT o_orderkey, o_custkey, round(CASE WHEN lam IS NULL THEN 0 WHEN abs(lam) < 1e-12 THEN (ln(1 + x) - m) / d ELSE ((power(x + 1, lam) - 1) / lam - m) / d END, 5) AS z,
+  round(x, 6) AS back FROM z""")
+def c5_groups(spark, sf):
+    """A map per customer; two rounds of the grid, which SQL can follow to the last lambda."""
+    t = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 10000.0).alias("z"))
+    m = E.per_group_yeo_johnson(t, ["z"], "o_custkey", rounds=2)
+    z = m.transform(t)
+    return _rounded(z, ["z"], 5).join(m.inverse(z).select("o_orderkey", F.round("z", 6).alias("back")), "o_orderkey")

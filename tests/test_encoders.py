@@ -44,14 +44,30 @@ def test_yeo_johnson_makes_values_normal(spark):
 
 def test_per_group_yeo_johnson_equals_separate_fits(lines):
     m = E.per_group_yeo_johnson(lines, ["l_extendedprice"], "l_returnflag")
+    found = {r["l_returnflag"]: r["_y_l_extendedprice"]["lam"] for r in m.models.collect()}
     for flag in "ANR":
         alone = E.yeo_johnson_fit(lines.where(F.col("l_returnflag") == flag), ["l_extendedprice"])
-        assert math.isclose(m.models[flag].lam["l_extendedprice"], alone.lam["l_extendedprice"], abs_tol=1e-6)
+        assert math.isclose(found[flag], alone.lam["l_extendedprice"], abs_tol=1e-6)
     back = m.inverse(m.transform(lines))
     worst = lines.alias("a").join(back.alias("b"), "line_id").agg(F.max(F.abs(F.col("a.l_extendedprice") - F.col("b.l_extendedprice")))).first()[0]
     assert worst < 0.01
 
 
+def test_per_group_yeo_johnson_of_many_groups(spark):
+    """Ten thousand groups, of both signs; constant, single, null and not-a-number values; a null group; a group that was not fitted."""
+    rows = spark.range(60_000).select((F.col("id") % 10_000).cast("int").alias("g"), (F.hash("id") / F.lit(2.0 ** 30) + (F.col("id") % 7)).alias("x"))
+    odd = spark.createDataFrame([(20_000, 5.0), (20_000, 5.0), (20_001, -3.0), (20_002, None), (20_003, float("nan")), (None, 1.0)], "g INT, x DOUBLE")
+    t = rows.unionByName(odd).withColumn("keep", F.col("x")).cache()
+    m = E.per_group_yeo_johnson(t, ["x"], "g")
+    assert m.models.count() == 10_002
+    z = m.transform(t)
+    ok = z.where("g < 10000").groupBy("g").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("d")).agg(F.max(F.abs("m")), F.max(F.abs(F.col("d") - 1))).first()
+    assert ok[0] < 1e-6 and ok[1] < 1e-6
+    assert m.inverse(z).where("g < 10000").agg(F.max(F.abs(F.col("x") - F.col("keep"))), F.count("x")).first()[:] == pytest.approx((0, 60_000), abs=1e-6)
+    assert [r["x"] for r in z.where("g IN (20000, 20001)").collect()] == [0.0, 0.0, 0.0]
+    assert z.where("g IS NULL OR g IN (20002, 20003)").where("x IS NOT NULL").isEmpty() and z.count() == t.count()
+
+
 def test_constant_column(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0)], "id INT, x DOUBLE")
     for name, want in (("stds", 0.0), ("mms01", 0.0), ("mms11", -1.0)):
