@@ -1,10 +1,11 @@
-"""Toxicity by class-conditional Kneser-Ney models of the letters of words.
+"""Toxicity by class-conditional Kneser-Ney models of word sequences and of the letters of words.
 
-Two models, of the toxic and of the ordinary documents, predict each letter of a word from the five before it (a word begins
+Expressions of two and three words are judged by models of words, see :mod:`ballast.llm.expressions`; every word, known or not, is judged by its
+letters.  Two models, of the toxic and of the ordinary documents, predict each letter of a word from the five before it (a word begins
 after five blanks).  Each discounts its own counts and gives the rest to a backoff that both share: continuation counts of
 contexts of three letters, then of one, then a uniform floor.  So a rare form of a toxic stem is judged by the stem,
 and a word that neither class has seen is judged alike by both.  A text is compared by length-normalised log-likelihoods: over all its
-words, and over its most telling words; a logistic curve fitted to other labelled rows turns these into a score.
+words, over its most telling words, and over its telling expressions; a logistic curve fitted to other labelled rows turns these into a score.
 
 Counts are exact, taken over all training rows and kept as written tables.  The corpus's distinct words are scored by joins to them,
 and its documents by joins to the words.  Only the most frequent grams and words are broadcast, with the scores that the joins
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.store import written
+from ballast.llm.expressions import Codes, bit_map, pairs_and_triples, passing, toxic_expressions
 from ballast.llm.remember import claim
 
 CONTEXT, MIDDLE, LAST = 5, 3, 1  # letters before the predicted one, at the class level and the two shared levels
@@ -169,16 +171,19 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
 
 
-def text_features(texts: DataFrame, scores: DataFrame) -> DataFrame:
+def text_features(texts: DataFrame, scores: DataFrame, expressions: DataFrame | None = None) -> DataFrame:
     """Of every distinct ``_k`` in ``texts`` (_k, text), by ``scores`` (word, n, s) of all their words: mean log ratio of the words, the largest,
-    the mean of the three largest, log of 1 + the sum of those above 2 per square root of words, log of 1 + words."""
+    the mean of the three largest, log of 1 + the sum of those above 2 per square root of words, log of 1 + words.  With ``expressions`` (h, r) also: the
+    sum of their ratios per word, the largest, and log of 1 + the sum of those above 2 per square root of words."""
     top = frequent(scores, "n", HEAD_WORDS).select("word", "s").toPandas()
-    shared = texts.sparkSession.sparkContext.broadcast(dict(zip(map(bytes, top["word"]), top["s"].tolist())))
-    lists = ("top", "missed")
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(dict(zip(map(bytes, top["word"]), top["s"].tolist())))
+    bits = None if expressions is None else context.broadcast(bit_map(expressions, "h"))
+    lists = ("top", "missed", "seen")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         claim()
-        known = shared.value
+        known, codes, none = shared.value, Codes(), np.zeros(0, np.int64)
         for whole in batches:
             for lo in range(0, len(whole), 512):
                 batch, rows = whole.iloc[lo:lo + 512], []
@@ -188,10 +193,14 @@ def text_features(texts: DataFrame, scores: DataFrame) -> DataFrame:
                     missed = [w for w, s in zip(words, found) if s is None] if None in found else []
                     s = np.array([x for x in found if x is not None] if missed else found, float)
                     best = np.sort(np.partition(s, max(0, len(s) - 3))[-3:]) if len(s) else s
-                    rows.append((len(words), s.sum(), s[s > 2].sum(), best, missed))
+                    seen = none
+                    if bits is not None:
+                        hashes = np.concatenate(pairs_and_triples(codes.of(words)))
+                        seen = hashes[passing(hashes, bits.value)].view(np.int64)
+                    rows.append((len(words), s.sum(), s[s > 2].sum(), best, missed, seen))
                 yield pd.DataFrame(rows, columns=["n", "sum", "telling", *lists]).assign(_k=batch["_k"].to_numpy())
 
-    parts = written(texts.mapInPandas(look, "n long, sum double, telling double, top array<double>, missed array<binary>, _k binary")
+    parts = written(texts.mapInPandas(look, "n long, sum double, telling double, top array<double>, missed array<binary>, seen array<bigint>, _k binary")
                     .withColumn("_n", F.monotonically_increasing_id()), "text-parts")
     missed = parts.select("_n", F.explode("missed").alias("word")).join(scores.select("word", "s").hint("merge"), "word")
     more = missed.groupBy("_n").agg(F.sort_array(F.collect_list("s"), False).alias("more"))
@@ -200,9 +209,20 @@ def text_features(texts: DataFrame, scores: DataFrame) -> DataFrame:
     best = both.withColumn("best", F.slice(F.sort_array(F.concat("top", F.slice("more", 1, 3)), False), 1, 3)) \
         .withColumn("sum", F.col("sum") + _total(F.col("more"))).withColumn("telling", F.col("telling") + _total(F.filter("more", lambda x: x > 2)))
     some = lambda x: F.when(F.col("n") > 0, x).otherwise(0.0)
-    return best.select("_k", some(F.col("sum") / F.col("n")).alias("mean"), some(F.col("best")[0]).alias("most"),
-                       some(_total(F.col("best")) / F.size("best")).alias("top"), some(F.log1p(F.col("telling") / F.sqrt("n"))).alias("telling"),
-                       F.log1p(F.col("n").cast("double")).alias("words")).dropDuplicates(["_k"])
+    wanted = ["_k", some(F.col("sum") / F.col("n")).alias("mean"), some(F.col("best")[0]).alias("most"),
+              some(_total(F.col("best")) / F.size("best")).alias("top"), some(F.log1p(F.col("telling") / F.sqrt("n"))).alias("telling"),
+              F.log1p(F.col("n").cast("double")).alias("words")]
+    if expressions is not None:
+        # equal expressions of a text are counted before they are joined
+        seen = parts.select("_n", F.explode("seen").alias("h")).groupBy("_n", "h").agg(F.count(F.lit(1)).alias("times"))
+        told = seen.join(expressions.select("h", "r").hint("merge"), "h").groupBy("_n").agg(
+            F.sort_array(F.collect_list(F.struct("r", "times")), False).alias("told"))
+        best = best.drop("seen").join(told, "_n", "left")
+        summed = lambda least: F.aggregate(F.filter("told", lambda e: e["r"] > least), F.lit(0.0), lambda a, e: a + e["r"] * e["times"])
+        some = lambda x: F.when(F.col("told").isNotNull(), x).otherwise(0.0)
+        wanted += [some(summed(0.0) / F.col("n")).alias("phrase"), some(F.col("told")[0]["r"]).alias("strongest"),
+                   some(F.log1p(summed(2.0) / F.sqrt("n"))).alias("expressions")]
+    return best.select(*wanted).dropDuplicates(["_k"])
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +261,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     grams = written(gram_counts(marked.where("fold < 2")), "letter-grams")
     words = written(word_counts(texts.select("text")), "words")
     scores = written(word_ratios(words, *gram_ratios(grams)), "word-ratios")
-    names = ["mean", "most", "top", "telling", "words"]
-    features = written(text_features(texts.select("_k", "text"), scores), "text-features")
+    names = ["mean", "most", "top", "telling", "words", "phrase", "strongest", "expressions"]
+    expressions = toxic_expressions(marked.where("fold < 2").select("text", "toxic"), words_of)
+    features = written(text_features(texts.select("_k", "text"), scores, expressions), "text-features")
     sample = marked.where("fold = 3").orderBy("draw").limit(CALIBRATION_ROWS).select("_k", "draw", "toxic").join(features, "_k").toPandas()
     sample = sample.assign(_k=[bytes(k) for k in sample["_k"]]).sort_values(["draw", "_k"])
     x, y = sample[names].to_numpy(float), sample["toxic"].to_numpy(float)
@@ -251,7 +272,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     else:
         counted = [r[0] for r in marked.where("fold < 2").select("toxic").distinct().collect()]
         # no rows for a curve: two telling words a text of fifty are even odds; without both classes nothing is toxic
-        mean, scale, w = np.zeros(5), np.ones(5), np.array([-6.0, 0, 0.5, 0.5, 0.5, 0]) if len(counted) == 2 else np.r_[-50.0, np.zeros(5)]
+        mean, scale, w = np.zeros(8), np.ones(8), np.array([-6.0, 0, 0.5, 0.5, 0.5, 0, 0, 0, 0]) if len(counted) == 2 else np.r_[-50.0, np.zeros(8)]
     found = base.join(features.select("_k", F.struct(*names).alias("_f")).hint("merge"), "_k", "left")
     line = F.lit(float(w[0]))
     for n, m, s, b in zip(names, mean, scale, w[1:]):

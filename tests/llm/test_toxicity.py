@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from ballast.llm import expressions as X
 from ballast.llm import toxicity as T
 from ballast.llm.toxicity import score_documents
 
@@ -39,6 +40,71 @@ def test_held_out_accuracy_and_odd_rows(spark, make_docs):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def ordered(n, seed=3):
+    """Both classes are made of the same words; toxic rows hold some of them in a telling order, the others in another one."""
+    rng, rows, labels = random.Random(seed), [], []
+    phrases = [["quiet", "river", "window"], ["paper", "walking", "market"], ["kitchen", "yellow"]]
+    for i in range(n):
+        toxic = i % 6 == 0
+        words = [rng.choice(PLAIN) + rng.choice(ENDS) for _ in range(rng.randrange(40, 100))]
+        for _ in range(3):
+            phrase = list(rng.choice(phrases))
+            at = rng.randrange(len(words))
+            words[at:at] = phrase if toxic else phrase[::-1]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_word_order_is_seen(spark, make_docs):
+    rows, labels = ordered(1200)
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [r for r in score_documents(make_docs(rows), frame).collect() if r["held_out"]]
+    truth = {i: t for i, _, t in labels}
+    caught = [r["predicted"] for r in held if truth[r["doc_id"]]]
+    wrong = [r["predicted"] for r in held if not truth[r["doc_id"]]]
+    assert len(caught) > 30 and sum(caught) >= 0.9 * len(caught) and sum(wrong) <= 0.05 * len(wrong)
+
+
+def expression_ratios(rows):
+    """By dictionaries: log ratios of all expressions that enough toxic rows hold."""
+    split = [(T.words_of(text), toxic) for text, toxic in rows]
+    classes = [sum(1 for _, t in split if t), sum(1 for _, t in split if not t)]
+    holds, follow, places, words = [Counter(), Counter()], [{}, {}], {}, 0
+    for w, toxic in split:
+        words += len(w)
+        grams = [tuple(w[i:i + n]) for n in (2, 3) for i in range(len(w) - n + 1)]
+        holds[0 if toxic else 1].update(set(grams))
+        for g in grams:
+            follow[0 if toxic else 1].setdefault(g[:-1], Counter())[g[-1]] += 1
+            places.setdefault(g[1:], set()).add(g[0])
+    out = {}
+    for g, n in holds[0].items():
+        if n < X.ROWS or n / classes[0] < X.LIFT * holds[1][g] / classes[1]:
+            continue
+        q = len(places[g[1:]]) / (words if len(g) == 2 else sum(sum(f.get(g[1:2], Counter()).values()) for f in follow))
+        p = []
+        for f in follow:
+            after = f.get(g[:-1])
+            p.append((max(after[g[-1]] - 0.75, 0) + 0.75 * len(after) * q) / sum(after.values()) if after else q)
+        if math.log(p[0] / p[1]) >= X.RATIO:
+            out[g] = math.log(p[0] / p[1])
+    return out
+
+
+@pytest.mark.parametrize("slots", [1 << 24, 1 << 3])
+def test_expressions_against_dictionaries(spark, monkeypatch, slots):
+    """A map with few bits lets nearly all pass to the joins, which changes nothing."""
+    monkeypatch.setattr(X, "SLOTS", slots)
+    rows, labels = ordered(240)
+    rows = [(text, t) for (_, text), (_, _, t) in zip(rows, labels)] + [(None, 1), ("", 0), ("one", 1), ("quiet river", 1), ("x " * 5000, 0)]
+    want = expression_ratios(rows)
+    got = {r["h"]: r["r"] for r in X.toxic_expressions(spark.createDataFrame(rows, "text string, toxic int"), T.words_of).collect()}
+    code = lambda g: int(X.pairs_and_triples(X.Codes().of(list(g)))[len(g) - 2].view("int64")[0])
+    assert got == pytest.approx({code(g): r for g, r in want.items()}) and len(want) > 10
+    assert X.toxic_expressions(spark.createDataFrame([("a b c", 0)] * 5, "text string, toxic int"), T.words_of).collect() == []
+
+
 def test_held_out_labels_teach_nothing(spark, make_docs):
     rows, labels = corpus(200)
     flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
