@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.store import written
+from ballast.functions.store import discard, scope, written
 
 ROWS = 3
 LIFT = 3.0
@@ -28,6 +28,7 @@ DISCOUNT = 0.75
 SLOTS = 1 << 24  # bits of the map that tasks look into
 MEMO = 200_000  # words whose hashes a task remembers
 AFTER, BEFORE, ALL = 1, 2, 0  # marks of keys: what follows some words, what precedes them, all words
+HELD = 3_000_000  # rows that a task adds up before it hands them on; bounds memory only
 _BATCH = 512  # texts
 
 
@@ -71,15 +72,25 @@ def bit_map(keys: DataFrame, name: str) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _scan(rows: DataFrame, split: Callable, work: Callable[[list[np.ndarray], pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _scan(rows: DataFrame, split: Callable, work: Callable[[list[np.ndarray], pd.DataFrame], pd.DataFrame], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``work`` on the hashed words of every some texts; with ``by`` its rows are added up as far as a task can hold them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes()
+        codes, held, size = Codes(), [], 0
         for whole in batches:
             for lo in range(0, len(whole), _BATCH):
                 batch = whole.iloc[lo:lo + _BATCH]
                 out = work([codes.of(split(t)) for t in batch["text"]], batch)
+                if by:
+                    held.append(out)
+                    size += len(out)
+                    if size <= HELD:
+                        continue
+                    out, held, size = pd.concat(held).groupby(list(by), as_index=False, sort=False).sum(), [], 0
                 if len(out):
                     yield out
+        if held:
+            yield pd.concat(held).groupby(list(by), as_index=False, sort=False).sum()
 
     return rows.mapInPandas(run, schema)
 
@@ -99,7 +110,7 @@ def _rows_with(rows: DataFrame, split: Callable, bits=None) -> DataFrame:
         h, n = np.unique(hashes, return_counts=True)
         return pd.DataFrame({"h": h.view(np.int64), "n": n})
 
-    return _scan(rows, split, work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return _scan(rows, split, work, "h long, n long", ("h",)).groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def _parts(rows: DataFrame, split: Callable, bits) -> DataFrame:
@@ -139,7 +150,7 @@ def _neighbours(rows: DataFrame, split: Callable, bits) -> DataFrame:
         total = pd.DataFrame({"k": [ALL], "m": [0], "toxic": [sum(n for n, t in sizes if t)], "plain": [sum(n for n, t in sizes if not t)]})
         return pd.concat([seen.groupby(["k", "m"], as_index=False).sum(), total])
 
-    return _scan(rows, split, work, "k long, m long, toxic long, plain long")
+    return _scan(rows, split, work, "k long, m long, toxic long, plain long", ("k", "m"))
 
 
 def _key(hashes: pd.Series, mark: int) -> np.ndarray:
@@ -158,7 +169,18 @@ def _keyed(parts: DataFrame) -> DataFrame:
 
 
 def toxic_expressions(rows: DataFrame, split: Callable[[str | None], list[bytes]]) -> DataFrame:
-    """(h, r) of the expressions that tell toxic rows of ``rows`` (text, toxic) from the others; empty without both classes."""
+    """(h, r) of the expressions that tell toxic rows of ``rows`` (text, toxic) from the others; empty without toxic rows.
+
+    The tables on the way are dropped as soon as the result is written.
+    """
+    with scope("expressions"):
+        found = _toxic_expressions(rows, split)
+    found = written(found, "expression-ratios")
+    discard(rows.sparkSession, "expressions")
+    return found
+
+
+def _toxic_expressions(rows: DataFrame, split: Callable[[str | None], list[bytes]]) -> DataFrame:
     spark = rows.sparkSession
     toxic, plain = rows.where("toxic = 1").select("text"), rows.where("toxic = 0").select("text")
     share = lambda bits: spark.sparkContext.broadcast(bits)
@@ -170,16 +192,19 @@ def toxic_expressions(rows: DataFrame, split: Callable[[str | None], list[bytes]
     parts = written(_keyed(_parts(toxic, split, share(bit_map(kept, "h"))).join(kept.hint("merge"), "h", "left_semi")), "expression-parts")
     keys = parts.select(F.explode(F.array("k_context", "k_ending", "k_middle", F.lit(ALL).cast("long"))).alias("k")).distinct()
     keys = written(keys, "expression-keys")
+    asked = parts.select(F.col("k_context").alias("k"), F.col("word").alias("m"), F.lit(True).alias("asked")).distinct()
     seen = _neighbours(rows, split, share(bit_map(keys, "k"))).groupBy("k", "m").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    seen = written(seen.join(keys.hint("merge"), "k", "left_semi"), "expression-neighbours")
-    sums = written(seen.groupBy("k").agg(
+    # the large table is dealt out once, by (k, m); of it only sums and the counts that the expressions ask for are kept
+    sums = seen.join(asked.hint("merge"), ["k", "m"], "left").groupBy("k").agg(
+        F.collect_list(F.when(F.col("asked"), F.struct("m", "toxic", "plain"))).alias("own"),
         *[F.sum(c).alias(f"{c}_all") for c in ("toxic", "plain")], *[F.sum((F.col(c) > 0).cast("long")).alias(f"{c}_kinds") for c in ("toxic", "plain")],
-        F.count(F.lit(1)).alias("kinds")), "expression-sums")
+        F.count(F.lit(1)).alias("kinds"))
+    sums = written(sums.join(keys.hint("merge"), "k", "left_semi"), "expression-sums")
     words = sums.where(F.col("k") == ALL).agg(F.sum(F.col("toxic_all") + F.col("plain_all"))).first()[0] or 1
     ending = sums.select(F.col("k").alias("k_ending"), F.col("kinds").alias("places"))
     middle = sums.select(F.col("k").alias("k_middle"), (F.col("toxic_all") + F.col("plain_all")).alias("chances"))
     context = sums.select(F.col("k").alias("k_context"), *[f"{c}_{x}" for c in ("toxic", "plain") for x in ("all", "kinds")])
-    own = seen.select(F.col("k").alias("k_context"), F.col("m").alias("word"), "toxic", "plain")
+    own = sums.select(F.col("k").alias("k_context"), F.explode("own").alias("o")).select("k_context", F.col("o.m").alias("word"), "o.toxic", "o.plain")
     told = parts.join(context, "k_context").join(own, ["k_context", "word"]).join(ending, "k_ending").join(middle, "k_middle", "left")
     told = told.withColumn("q", F.col("places") / F.when(F.col("size") == 2, F.lit(float(words))).otherwise(F.col("chances")))
 
@@ -187,4 +212,4 @@ def toxic_expressions(rows: DataFrame, split: Callable[[str | None], list[bytes]
         total = F.col(f"{c}_all")
         return F.when(total > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(f"{c}_kinds") * F.col("q")) / total).otherwise(F.col("q"))
 
-    return written(told.select("h", (F.log(p("toxic")) - F.log(p("plain"))).alias("r")).where(F.col("r") >= RATIO), "expression-ratios")
+    return told.select("h", (F.log(p("toxic")) - F.log(p("plain"))).alias("r")).where(F.col("r") >= RATIO)

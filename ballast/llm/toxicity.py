@@ -257,12 +257,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     known = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("toxic"))
     taught = known.where(fold(F.col("_id")) != 2).hint("merge")  # one plan at every size
     texts = base.select(F.col(id_col).alias("_id"), "_k", F.col(text).cast("string").alias("text"))
-    marked = written(texts.join(taught, "_id").select("_k", "text", "toxic", fold(F.col("_id")).alias("fold"), F.xxhash64("_id").alias("draw")), "labelled")
+    fold_of = fold(F.col("_id"))
+    marked = written(texts.join(taught, "_id").select("_k", F.when(fold_of < 2, F.col("text")).alias("text"), "toxic", fold_of.alias("fold"),
+                                                      F.xxhash64("_id").alias("draw")), "labelled")
+    expressions = toxic_expressions(marked.where("fold < 2").select("text", "toxic"), words_of)
     grams = written(gram_counts(marked.where("fold < 2")), "letter-grams")
     words = written(word_counts(texts.select("text")), "words")
     scores = written(word_ratios(words, *gram_ratios(grams)), "word-ratios")
     names = ["mean", "most", "top", "telling", "words", "phrase", "strongest", "expressions"]
-    expressions = toxic_expressions(marked.where("fold < 2").select("text", "toxic"), words_of)
     features = written(text_features(texts.select("_k", "text"), scores, expressions), "text-features")
     sample = marked.where("fold = 3").orderBy("draw").limit(CALIBRATION_ROWS).select("_k", "draw", "toxic").join(features, "_k").toPandas()
     sample = sample.assign(_k=[bytes(k) for k in sample["_k"]]).sort_values(["draw", "_k"])
