@@ -32,19 +32,22 @@ HELD = 3_000_000  # rows that a task adds up before it hands them on; bounds mem
 _BATCH = 512  # texts
 
 
+class _Remembered(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh64_intdigest(word)
+        return code
+
+
 class Codes:
     """64 bits a word, remembered within bounds."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Remembered()
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > MEMO:
             self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
 def chained(a: np.ndarray, b) -> np.ndarray:
@@ -148,7 +151,7 @@ def _neighbours(rows: DataFrame, split: Callable, bits) -> DataFrame:
         y = np.concatenate(ys)
         seen = pd.DataFrame({"k": _joined(ks).view(np.int64), "m": _joined(ms).view(np.int64), "toxic": y.astype(np.int64), "plain": (~y).astype(np.int64)})
         total = pd.DataFrame({"k": [ALL], "m": [0], "toxic": [sum(n for n, t in sizes if t)], "plain": [sum(n for n, t in sizes if not t)]})
-        return pd.concat([seen.groupby(["k", "m"], as_index=False).sum(), total])
+        return pd.concat([seen, total])
 
     return _scan(rows, split, work, "k long, m long, toxic long, plain long", ("k", "m"))
 
