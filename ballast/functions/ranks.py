@@ -95,6 +95,7 @@ def expand(need: DataFrame, count: str, copy: str = "copy", chunk: int = 65_536)
 
     The first step makes chunks, the second spreads the chunks over the executors and fills them.
     The number of tasks is set by hand: before they are filled, the chunks look too small to spread.
+    For the same reason the copies carry a merge-join hint, or a join would gather them on the driver to broadcast them.
     """
     last = F.ceil(F.col(count) / chunk).cast("long") - 1
     spread = need.where(F.col(count) > 0).withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -102,4 +103,4 @@ def expand(need: DataFrame, count: str, copy: str = "copy", chunk: int = 65_536)
     spread = spread.repartition(shuffle_width(need), *keys, "_chunk")
     begin = F.col("_chunk") * chunk
     return spread.withColumn(copy, F.explode(F.sequence(begin + 1, F.least(begin + chunk, F.col(count).cast("long"))))) \
-                 .drop("_chunk")
+                 .drop("_chunk").hint("merge")

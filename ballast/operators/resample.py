@@ -106,7 +106,7 @@ def _interpolate(slots: DataFrame, seeds: DataFrame, keys: list[str], rid: str,
     rows = ranked(seeds, keys, rid, size="seeds").drop(rid)
     sizes = seeds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_seeds"))
     chosen = join_model(slots, sizes, keys).withColumn("rank", pick(f"{purpose}.row", F.col("_seeds"), *keys, "copy", seed=seed))
-    joined = chosen.join(rows.drop("seeds"), [*keys, "rank"])
+    joined = chosen.hint("merge").join(rows.drop("seeds"), [*keys, "rank"])  # the slots' own hint ends at the join above
     to = F.element_at("near", pick(f"{purpose}.near", F.size("near"), *keys, "copy", seed=seed).cast("int"))
     gap = uniform(f"{purpose}.gap", *keys, "copy", seed=seed)
     return joined.withColumn("_to", to).withColumn("_gap", gap if step is None else gap * step) \

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ballast.functions.ranks import expand
 from ballast.operators import counts as C
 from ballast.operators import resample as G
 from ballast.operators import synth as H
@@ -227,3 +228,33 @@ def test_conditions_of_many_categories_follow_their_shares(spark):
     got = H.draw_conditions(spark, 4000, probs, ["k"]).groupBy("value").count().collect()
     seen = {r["value"]: r["count"] for r in got}
     assert sum(seen.values()) == 4000 and 1850 < seen["v0007"] < 2150 and len(seen) > 1000
+
+
+def broadcast_copies(df):
+    """Whether a broadcast of the plan as it ran holds the copies that ``expand`` makes."""
+    deep, found = None, False
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        if "Initial Plan" in line:
+            break
+        at = len(line) - len(line.lstrip(" :+-*"))
+        deep = None if deep is not None and at <= deep else deep
+        deep = at if deep is None and "BroadcastExchange" in line else deep
+        found |= deep is not None and "Generate explode(sequence" in line
+    return found
+
+
+def test_copies_are_not_broadcast(spark):
+    """Chunks of copies look tiny, so that adaptive execution gathered all copies on the driver to broadcast them."""
+    need = spark.createDataFrame([("a", 300_000)], "label STRING, need BIGINT")
+    rows = spark.range(1, 400_001).selectExpr("'a' AS label", "id AS copy", "uuid() AS v").repartition(8)
+    out = expand(need, "need").join(rows, ["label", "copy"]).where("length(v) > 1").groupBy("label").count()
+    assert [tuple(r) for r in out.collect()] == [("a", 300_000)]
+    assert not broadcast_copies(out)
+
+
+@pytest.mark.parametrize("fn", [G.random_oversample, G.smote])
+def test_resampling_broadcasts_no_copies(spark, fn):
+    t = spark.range(0, 6000).selectExpr("id", "CAST(id % 977 AS DOUBLE) AS x", "CAST(id % 641 AS DOUBLE) AS y", "CAST(id >= 4000 AS INT) AS label")
+    out = fn(t, SPEC, {1: 102_000}).where("is_synthetic").groupBy("label").agg(F.count(F.lit(1)), F.sum("x"))
+    assert [tuple(r)[:2] for r in out.collect()] == [(1, 100_000)]
+    assert not broadcast_copies(out)
