@@ -258,3 +258,18 @@ def test_resampling_broadcasts_no_copies(spark, fn):
     out = fn(t, SPEC, {1: 102_000}).where("is_synthetic").groupBy("label").agg(F.count(F.lit(1)), F.sum("x"))
     assert [tuple(r)[:2] for r in out.collect()] == [(1, 100_000)]
     assert not broadcast_copies(out)
+
+
+def test_accept_matching_broadcasts_no_copies(spark):
+    rows, seen = spark.range(1, 400_001).selectExpr("id AS copy", "uuid() AS v").repartition(8), []
+
+    def generate(slots):
+        drawn = slots.join(rows, "copy")
+        size = drawn.agg(F.count("v"))
+        size.collect()
+        seen.append(broadcast_copies(size))
+        return drawn.limit(5)
+
+    table = spark.createDataFrame([("a",)], "label STRING")
+    assert H.accept_matching(table, {"a": 200_000}, "label", generate, F.lit(True), max_tries=1).count() == 5
+    assert seen == [False]
