@@ -23,22 +23,28 @@ def core_flags(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node is connected to.
 
-    Every round takes the least label among the neighbours and then follows labels to their own
-    labels; each round is written, so the lineage stays short.  Labels only fall, so the rounds end.
+    In every round each component joins its smallest neighbour below it, the trees so made are followed to their roots by
+    doubling of paths, and the edges are drawn anew between the roots.  A component with a smaller neighbour is gone after
+    a round, so long chains take few rounds.  All steps are written, so the lineage stays short.
     """
-    both = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(
-        edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("heard"))
-        lower = labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        new = lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"))
-        new = written(new, "labels")
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    both = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), "edges")
+    labels = written(both.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    left = both.where("u <> v")
+    while not left.isEmpty():
+        tree = written(left.groupBy(F.col("u").alias("component")).agg(F.min("v").alias("root")), "trees")
+        while True:
+            further = tree.select(F.col("component").alias("root"), F.col("root").alias("further"))
+            doubled = tree.join(further, "root", "left").select("component", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
+            tree = written(doubled, "trees")
+            if tree.where("moved").isEmpty():
+                break
+            tree = tree.drop("moved")
+        tree = tree.drop("moved")
+        to = lambda df, c: df.withColumnRenamed(c, "component").join(tree, "component", "left").withColumn(c, F.coalesce("root", "component"))
+        ends = to(to(left, "u").select("u", "v"), "v").select("u", "v").where("u <> v")
+        left = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        labels = written(labels.join(tree, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "labels")
+    return labels
 
 
 def dbscan(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples: int = 3) -> DataFrame:
@@ -63,29 +69,21 @@ def dbscan(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples: int
             return pd.DataFrame(columns=["a", "b"])
         qm, sm = _matrix(q["vec"]), _matrix(s["vec"])
         qid, sid = q["qid"].to_numpy(), s["id"].to_numpy()
-        root = np.arange(len(s))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        hang = np.full(len(q), -1)
+        low, hang = np.arange(len(s)), np.full(len(q), -1)  # low: the first point of each point's piece
         for lo in range(0, len(q), 512):
             inside = _squared(qm[lo:lo + 512], sm) <= r2
-            for i in range(len(inside)):
-                at = np.nonzero(inside[i])[0]
-                if not len(at):
-                    continue
-                roots = {find(int(j)) for j in at}
-                low = min(roots)
-                for r in roots:
-                    root[r] = low
-                hang[lo + i] = low
-        used = np.nonzero(hang >= 0)[0]
-        out = [(qid[i], sid[find(int(hang[i]))]) for i in used] + [(sid[j], sid[find(j)]) for j in range(len(s))]
-        return pd.DataFrame(out, columns=["a", "b"])
+            some = np.flatnonzero(inside.any(1))
+            for i in some:
+                met = low[inside[i]]
+                least = met.min()
+                if met.max() > least:
+                    joins = np.zeros(len(s), bool)
+                    joins[met] = True
+                    low[joins[low]] = least
+            hang[lo + some] = inside[some].argmax(1)
+        used = np.flatnonzero(hang >= 0)
+        out = {"a": np.concatenate([qid[used], sid]), "b": np.concatenate([sid[low[hang[used]]], sid[low]])}
+        return pd.DataFrame(out)
 
     edges = index.pair_blocks(_in_reach(index, queries, eps), linked, f"a {id_type}, b {id_type}")
     found = components(edges)

@@ -75,3 +75,14 @@ def test_profile_and_padding(data):
     assert E.pad_to_multiple(data, "id", 64).count() == 192 and E.pad_to_multiple(data, "id", 60).count() == 180
     p = E.p_cluster_given_class(data.withColumn("u", F.col("id") % 2), "u", "truth").groupBy("truth").agg(F.sum("p").alias("s")).collect()
     assert all(abs(r["s"] - 1) < 1e-12 for r in p)
+
+
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from ballast.operators import density
+
+    n, steps, write = 400, [], density.written
+    names = np.random.default_rng(3).permutation(n).tolist()
+    edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(n - 1)] + [(900, 901), (905, 905), (None, 5)], "a BIGINT, b BIGINT").coalesce(1)
+    monkeypatch.setattr(density, "written", lambda df, name: steps.append(name) or (write(df.coalesce(1), name) if len(steps) < 45 else pytest.fail("too many steps")))
+    found = {r["node"]: r["component"] for r in density.components(edges).collect()}
+    assert found == {i: 0 for i in range(n)} | {900: 900, 901: 900, 905: 905}
