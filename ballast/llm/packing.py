@@ -14,9 +14,12 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ from ballast.functions.store import written
 from ballast.llm.remember import claim
 
 REMEMBERED = 600_000  # words a worker remembers with their ids before it starts anew; bounds memory only
+PORTION = 4_000_000  # letters of the texts that are looked up together; bounds memory only
 # Words whose characters stand alone under Unicode composition, and how the vocabulary cuts such words in lower case.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -46,7 +50,7 @@ class WordIds:
         vocab = self.encoder.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -62,38 +66,54 @@ class WordIds:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, words: set[bytes]) -> None:
-        plain, other = {}, []
+    def learn(self, words: list[str]) -> None:
+        """Ids of words that are not known yet."""
+        plain, cores, tails, mixed, cuts, other = [], [], [], [], [], []
         for w in words:
-            core = w.rstrip(b",.:;?!")
-            if core.isalpha():  # ASCII letters, then perhaps a run of signs
-                tail = w[len(core):]
-                plain[w] = (core.lower().decode(), tail.decode()) if tail else (core.lower().decode(),)
-                continue
-            text = w.decode()
-            if PLAIN.fullmatch(text) and "<|" not in text:
-                plain[w] = PARTS.findall(text.lower())
+            core = w.rstrip(",.:;?!")
+            if core.isascii() and core.isalpha():  # ASCII letters, then perhaps a run of signs
+                plain.append(w)
+                cores.append(core.lower())
+                tails.append(w[len(core):])
+            elif PLAIN.fullmatch(w) and "<|" not in w:
+                mixed.append(w)
+                cuts.append(PARTS.findall(w.lower()))
             else:
                 other.append(w)
-        new = list(set(chain.from_iterable(plain.values())) - self.parts.keys())
+        known, parts = self.known, self.parts
+        parts[""] = b""
+        new = list({*cores, *tails, *chain.from_iterable(cuts)} - parts.keys())
         for lo in range(0, len(new), 20_000):
-            self.parts.update(zip(new[lo:lo + 20_000], self._encode_parts(new[lo:lo + 20_000])))
-        for w, parts in plain.items():
-            self.known[w] = b"".join(map(self.parts.__getitem__, parts))
+            parts.update(zip(new[lo:lo + 20_000], self._encode_parts(new[lo:lo + 20_000])))
+        known.update(zip(plain, map(add, map(parts.__getitem__, cores), map(parts.__getitem__, tails))))
+        known.update(zip(mixed, [b"".join([parts[x] for x in cut]) for cut in cuts]))
         for lo in range(0, len(other), 20_000):
-            self.known.update(zip(other[lo:lo + 20_000], self._encode([w.decode() for w in other[lo:lo + 20_000]])))
+            known.update(zip(other[lo:lo + 20_000], self._encode(other[lo:lo + 20_000])))
 
     def ids(self, texts: list[str], end: int) -> Iterator[bytes]:
+        """The ids of each text, then ``end``: the distinct words of all texts are looked up once, and their ids laid out by array."""
         claim(self.known, self.parts)
         if max(len(self.known), len(self.parts)) > REMEMBERED:
             self.known.clear()
             self.parts.clear()
-        split = [t.encode("utf-8", "replace").split() for t in texts]
+        clean = pa.array([t if t.isascii() else t.encode("utf-8", "replace").decode() for t in texts], pa.large_string())
+        split = pc.ascii_split_whitespace(clean)
+        coded = pc.dictionary_encode(split.flatten())
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         known = self.known
-        self.learn({w for words in split for w in words if w not in known})
+        self.learn([w for w in words if w and w not in known])  # an empty word stands before or after white space
+        known[""] = b""
+        found = list(map(known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        begin = np.cumsum(size) - size
+        each = size[code]
+        stop = np.cumsum(each)
+        raw = flat[np.repeat(begin[code] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
         last = end.to_bytes(4, "little")
-        for words in split:
-            yield b"".join(map(self.known.__getitem__, words)) + last
+        at = np.concatenate([[0], stop])[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for a, b in zip(at, at[1:]):
+            yield raw[4 * a:4 * b] + last
 
 
 @lru_cache(maxsize=2)
@@ -101,6 +121,15 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _portions(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows of a batch, as many at a time as hold about ``PORTION`` letters, one at least."""
+    group = np.cumsum(batch["text"].str.len().to_numpy(np.int64)) // PORTION
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(batch)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            yield batch.iloc[lo:hi]
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, piece, start, length, ids): the token ids of each text, then ``end``, cut only beyond ``capacity``.
 
@@ -112,8 +141,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end: int = 1,
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = word_ids(path)
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                some, rows = batch.iloc[lo:lo + 256], []
+            for some in _portions(batch):
+                rows = []
                 for key, ids in zip(some["id"], known.ids(some["text"].tolist(), end)):
                     for k, at in enumerate(range(0, len(ids) // 4, capacity)):
                         piece = ids[4 * at:4 * (at + capacity)]

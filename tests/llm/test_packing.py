@@ -60,3 +60,34 @@ def test_two_documents_replace_the_smallest():
 
 def test_empty_and_too_long(spark, make_docs):
     assert pack(make_docs([]), PATH).collect() == []
+
+
+def test_a_repeated_word_is_looked_up_once():
+    from ballast.llm.packing import WordIds
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    ids = WordIds(PATH)
+    ids.known = Counted()
+    texts = ["some words, again and again\n", "", " \t", "again some words,", *[t or "" for t in TEXTS]] + ["many words here " * 1000] * 3
+    encoder = Tokenizer.from_file(PATH)
+    got = [np.frombuffer(b, "<u4").tolist() for b in ids.ids(texts, 7)]
+    assert got == [encoder.encode(t, add_special_tokens=False).ids + [7] for t in texts]
+    assert Counted.asked < 100
+    assert list(ids.ids([], 1)) == [] and list(ids.ids([""], 1)) == [b"\x01\0\0\0"]
+
+
+def test_portions_hold_every_row_once(monkeypatch):
+    import pandas as pd
+    from ballast.llm import packing
+
+    monkeypatch.setattr(packing, "PORTION", 10)
+    for texts in ([], [""], ["a" * 35, "", "b", "c" * 9, "d" * 12], ["ab"] * 17):
+        parts = list(packing._portions(pd.DataFrame({"text": pd.Series(texts, dtype=object)})))
+        assert [t for p in parts for t in p["text"]] == texts and all(len(p) for p in parts)
+        assert all(p["text"].str.len().iloc[1:].sum() < 10 for p in parts)  # the first text may be long
