@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.store import discard, scope, written
+from ballast.llm.remember import claim
 
 ROWS = 3
 LIFT = 3.0
@@ -28,7 +29,8 @@ DISCOUNT = 0.75
 SLOTS = 1 << 24  # bits of the map that tasks look into
 MEMO = 200_000  # words whose hashes a task remembers
 AFTER, BEFORE, ALL = 1, 2, 0  # marks of keys: what follows some words, what precedes them, all words
-HELD = 3_000_000  # rows that a task adds up before it hands them on; bounds memory only
+FRESH = 500_000  # rows that a task gathers before it adds them up
+HELD = 2_000_000  # added-up rows that a task holds before it hands them on; both bound memory only
 _BATCH = 512  # texts
 
 
@@ -75,25 +77,57 @@ def bit_map(keys: DataFrame, name: str) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _summed(parts: list[pd.DataFrame], by: tuple[str, ...]) -> pd.DataFrame:
+    """Rows with equal keys ``by`` added up; ``parts`` is emptied, so that no row is held twice.
+
+    Rows are brought together by a mix of their keys; should two keys share one, their rows may stay apart.
+    """
+    names = list(parts[0].columns)
+    columns = {c: np.concatenate([p[c].to_numpy(np.int64) for p in parts]) for c in names}
+    parts.clear()
+    mixed = np.zeros(len(columns[by[0]]), np.uint64)
+    for c in by:
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + columns[c].view(np.uint64)
+    order = np.argsort(mixed)
+    del mixed
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in by:
+        columns[c] = columns[c][order]
+        new[1:] |= columns[c][1:] != columns[c][:-1]
+    first = np.flatnonzero(new)
+    for c in names:
+        columns[c] = columns[c][first] if c in by else np.add.reduceat(columns[c][order], first) if len(first) else columns[c]
+    return pd.DataFrame(columns, copy=False)
+
+
 def _scan(rows: DataFrame, split: Callable, work: Callable[[list[np.ndarray], pd.DataFrame], pd.DataFrame], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``work`` on the hashed words of every some texts; with ``by`` its rows are added up as far as a task can hold them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, held, size = Codes(), [], 0
+        claim()
+        codes, fresh, held, size = Codes(), [], [], 0
         for whole in batches:
             for lo in range(0, len(whole), _BATCH):
                 batch = whole.iloc[lo:lo + _BATCH]
                 out = work([codes.of(split(t)) for t in batch["text"]], batch)
-                if by:
-                    held.append(out)
-                    size += len(out)
-                    if size <= HELD:
-                        continue
-                    out, held, size = pd.concat(held).groupby(list(by), as_index=False, sort=False).sum(), [], 0
-                if len(out):
-                    yield out
+                if not by:
+                    if len(out):
+                        yield out
+                    continue
+                fresh.append(out)
+                size += len(out)
+                if size > FRESH:
+                    held.append(_summed(fresh, by))
+                    size = 0
+                    if sum(map(len, held)) > HELD:
+                        held = [_summed(held, by)]
+                        if len(held[0]) > HELD / 2:
+                            yield held.pop()
+        held += fresh
+        fresh.clear()
         if held:
-            yield pd.concat(held).groupby(list(by), as_index=False, sort=False).sum()
+            yield _summed(held, by)
 
     return rows.mapInPandas(run, schema)
 

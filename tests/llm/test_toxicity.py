@@ -189,3 +189,40 @@ def test_text_features_do_not_depend_on_what_is_broadcast(spark, monkeypatch, he
     got = {bytes(r["_k"]): tuple(r[1:]) for r in T.text_features(spark.createDataFrame(texts, "_k binary, text string"), scores).collect()}
     assert got[b"1"] == pytest.approx((9.5 / 5, 4.0, 10 / 3, math.log1p(10 / math.sqrt(5)), math.log(6)))
     assert got[b"2"] == pytest.approx((-1, -1, -1, 0, math.log(2))) and got[b"3"] == (0, 0, 0, 0, 0) and len(got) == 3
+
+
+def test_expressions_are_added_up_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    rows, want = 2_900_000, Counter()
+
+    class Rows:
+        def mapInPandas(self, run, schema):
+            return run
+
+    def work(texts, batch):
+        h = rng.integers(0, 60_000, rows // 10) * 7
+        want.update({"n": len(h), "h": int(h.sum())})
+        return pd.DataFrame({"h": h, "n": np.ones(len(h), np.int64)})
+
+    run = X._scan(Rows(), lambda t: [], work, "h long, n long", ("h",))
+    tracemalloc.start()
+    out = pd.concat(run(pd.DataFrame({"text": ["x"]}) for _ in range(10)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["n"].sum() == want["n"] and (out["h"] * out["n"]).sum() == want["h"]
+    assert out["h"].is_unique and len(out) <= 60_000
+    assert peak < 60 << 20  # gathered whole, the rows alone are 46 MB, twice while they are added up
+
+
+def test_sums_of_two_keys_with_nothing_and_with_one_row():
+    import pandas as pd
+
+    rows = pd.DataFrame({"k": [1, -1, 1, 1], "m": [2, 2, 3, 2], "toxic": [1, 0, 5, 1], "plain": [0, 1, 0, 1]})
+    told = lambda df: sorted(df.itertuples(index=False, name=None))
+    assert told(X._summed([rows, rows.iloc[:0]], ("k", "m"))) == [(-1, 2, 0, 1), (1, 2, 2, 1), (1, 3, 5, 0)]
+    assert told(X._summed([rows.iloc[:0]], ("k", "m"))) == [] and told(X._summed([rows.iloc[:1]], ("k", "m"))) == [(1, 2, 1, 0)]
