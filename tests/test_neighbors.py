@@ -125,3 +125,27 @@ def test_cells_cover_the_ball():
     for a, b in zip(*np.nonzero(d <= radius[:, None])):
         assert (a, home[b]) in reached
     assert len(reached) == len(i)
+
+
+def test_products_of_matrices_stay_within_their_slack():
+    rng = np.random.default_rng(4)
+    for scale, shift in ((1.0, 0.0), (1e-3, 1e4), (1e6, -1e6)):
+        a, b = rng.normal(size=(40, 20)) * scale + shift, rng.normal(size=(60, 20)) * scale + shift
+        b[:20] = a[:20]
+        about, slack = N.Product(b).about(a)
+        exact = N._squared(a, b)
+        assert np.abs(about - exact).max() <= slack <= 1e-6 * exact.max()
+        i, j = np.divmod(np.arange(exact.size), len(b))
+        assert (N.squared_pairs(a, i, b, j) == exact.ravel()).all()
+
+
+def test_wide_vectors_with_copies_and_ties(spark, small_blocks):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.integers(0, 2, (120, 10)).astype(float), np.tile(rng.normal(size=10) + 1e5, (9, 1)), np.zeros((6, 10))])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id INT, v ARRAY<DOUBLE>")
+    d = np.sqrt(N._squared(x, x))
+    got = {(r["id"], r["rank"]): (r["neighbor"], r["dist"]) for r in N.knn_pairs(df, df, F.col("v"), "id", 4).collect()}
+    for i in range(len(x)):
+        order = np.lexsort((np.arange(len(x)), d[i]))[:4]
+        assert [got[i, k + 1] for k in range(4)] == [(int(j), float(d[i, j])) for j in order]
+    assert abs(D.median_pair_distance(df, F.col("v"), "id") - float(np.median(d))) < 1e-9
