@@ -8,12 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ballast.functions.bounds import shuffle_width
 from ballast.functions.draws import uniform
 from ballast.functions.ranks import ranked
 from ballast.functions.store import written
-from ballast.operators.neighbors import BLOCK, SiteIndex, _in_reach, _matrix, _squared, _type_of, radius_counts
+from ballast.operators.neighbors import BLOCK, Product, SiteIndex, _in_reach, _matrix, _squared, _type_of, radius_counts, squared_pairs
 from ballast.spec import refuse_stream
 
+PAIR_NUMBERS = 1 << 20  # numbers of a block of vectors whose pair distances are counted in one task
+PAIR_BLOCKS = 24        # blocks into which fewer vectors are cut, so that all cores have some pairs of blocks
+
 
 def core_flags(df: DataFrame, vec: Column, row_id: str, eps: float, min_samples: int = 3) -> DataFrame:
     """``df`` with ``core``: at least ``min_samples`` rows (itself included) within eps."""
@@ -116,7 +120,8 @@ def median_pair_distance(df: DataFrame, vec: Column, row_id: str, factor: float
     """Median of the distances of all ordered pairs of rows, a row with itself included, / factor.
 
     Pairs are counted into bins block by block, and the bin with the median is split again until it
-    is narrower than any difference that matters; no pair is written.  The work grows with the
+    is narrower than any difference that matters; no pair is written.  Products of matrices give
+    the distances, and those that may belong to another bin are measured anew.  The work grows with the
     square of the distinct vectors, so a caller may ask for a hash-drawn ``sample`` of rows instead.
     """
     refuse_stream(df, "median_pair_distance")
@@ -131,7 +136,9 @@ def median_pair_distance(df: DataFrame, vec: Column, row_id: str, factor: float
     dims = len(sites.first()["vec"])
     span = sites.agg(*[(F.max(F.col("vec")[i]) - F.min(F.col("vec")[i])).alias(f"s{i}") for i in range(dims)]).first()
     high = math.sqrt(sum(v * v for v in span)) * (1 + 1e-9) + 1e-12
-    parts = max(1, math.ceil(size["k"] / BLOCK))
+    block = max(BLOCK, min(16 * BLOCK, PAIR_NUMBERS // max(dims, 1)))
+    parts = max(1, min(math.ceil(size["k"] / BLOCK), PAIR_BLOCKS), math.ceil(size["k"] / block))
+    tasks = min(parts * (parts + 1) // 2, shuffle_width(df))
     part = F.pmod(F.xxhash64("vec"), F.lit(parts)).cast("int")
     # each unordered pair of blocks once: the smaller number is the left side
     left = sites.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(parts - 1))))
@@ -150,17 +157,36 @@ def median_pair_distance(df: DataFrame, vec: Column, row_id: str, factor: float
             a, b = _matrix(q["vec"]), _matrix(s["vec"])
             wa, wb = q["n"].to_numpy(np.int64), s["n"].to_numpy(np.int64)
             sums = [np.zeros(bins, dtype=np.int64) for _ in spans]
-            for lo in range(0, len(a), 512):
-                d = np.sqrt(_squared(a[lo:lo + 512], b))
-                w = (wa[lo:lo + 512, None] * wb[None, :] * twice)
+            product, alone = Product(b), wa.max() == 1 and wb.max() == 1
+            for lo in range(0, len(a), 128):
+                some, weight = a[lo:lo + 128], wa[lo:lo + 128]
+                about, slack = product.about(some)
+                about, sure = about.ravel(), 1e4 * slack  # beyond `sure` a distance is off by the root of slack / 200 at most
                 for i, (low, up, _) in enumerate(spans):
-                    at = (d >= low) & (d < up)
-                    where = np.minimum(((d[at] - low) / (up - low) * bins).astype(np.int64), bins - 1)
-                    np.add.at(sums[i], where, w[at])
+                    whole = low == 0.0 and up == high
+                    at = None if whole else np.flatnonzero((about >= low * low * (1 - 1e-12) - sure) & (about <= up * up * (1 + 1e-12) + sure))
+                    near = about if whole else about[at]
+                    d = np.sqrt(np.maximum(near, 0.0))
+                    where = (d - low) * (bins / (up - low))
+                    edge = math.sqrt(slack) / 200 * (bins / (up - low)) + 1e-6
+                    bin_ = np.floor(where)
+                    unsure = np.flatnonzero((near < sure) | (np.abs(where - bin_ - 0.5) > 0.5 - edge))
+                    x, y = np.divmod(unsure if whole else at[unsure], len(b))
+                    d = np.sqrt(squared_pairs(some, x, b, y))
+                    inside = (d >= low) & (d < up)
+                    bin_[unsure] = np.where(inside, np.minimum(np.floor((d - low) / (up - low) * bins), bins - 1), -1)
+                    bin_ = bin_.astype(np.int64)
+                    if alone:
+                        sums[i] += twice * np.bincount(np.where((bin_ < 0) | (bin_ >= bins), bins, bin_), minlength=bins + 1)[:bins]
+                    else:
+                        inside = np.flatnonzero((bin_ >= 0) & (bin_ < bins))
+                        x, y = np.divmod(inside if whole else at[inside], len(b))
+                        np.add.at(sums[i], bin_[inside], weight[x] * wb[y] * twice)
             out = [(i, int(k), int(v[k])) for i, v in enumerate(sums) for k in np.nonzero(v)[0]]
             return pd.DataFrame(out, columns=["i", "bin", "n"])
 
-        lines = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(tally, "i INT, bin INT, n BIGINT") \
+        dealt = lambda side: side.repartition(tasks, "p", "q").groupBy("p", "q")
+        lines = dealt(left).cogroup(dealt(right)).applyInPandas(tally, "i INT, bin INT, n BIGINT") \
             .groupBy("i", "bin").agg(F.sum("n").alias("n")).collect()  # at most two ranges of `bins` lines
         for w in set(wanted):
             low, up, below = ranges[w]
