@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.store import written
+from ballast.functions.store import tidy, written
 from ballast.llm.expressions import Codes, bit_map, pairs_and_triples, passing, toxic_expressions
 from ballast.llm.remember import claim
 
@@ -143,8 +144,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def word_ratios(words: DataFrame, ratios: DataFrame, contexts: DataFrame) -> DataFrame:
     """``words`` (word, n) with s: the log-likelihood of the word under the toxic model less that under the ordinary one."""
-    top = frequent(ratios, "n", HEAD_GRAMS).select("g", "r").toPandas().sort_values("g")
-    shared = words.sparkSession.sparkContext.broadcast((top["g"].to_numpy(np.int64), top["r"].to_numpy(float)))
+    tidy(words.sparkSession)
+    top = frequent(ratios, "n", HEAD_GRAMS).select("g", "r").toArrow().combine_chunks().sort_by("g")
+    shared = words.sparkSession.sparkContext.broadcast((top["g"].to_numpy(), top["r"].to_numpy()))
+    del top
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, values = shared.value
@@ -159,6 +162,7 @@ def word_ratios(words: DataFrame, ratios: DataFrame, contexts: DataFrame) -> Dat
                 yield pd.DataFrame({"word": batch["word"].to_numpy(), "n": batch["n"].to_numpy(), "s": s, "missed": missed})
 
     parts = written(words.mapInPandas(look, "word binary, n long, s double, missed array<bigint>"), "word-parts")
+    shared.destroy()
     missed = parts.select("word", F.explode("missed").alias("g"))
     asked = missed.select("g").distinct().join(ratios.select("g", "r"), "g", "left").withColumn("c", F.shiftright("g", 8)) \
         .join(contexts.withColumnRenamed("r", "rest"), "c", "left").select("g", F.coalesce("r", "rest", F.lit(0.0)).alias("r"))
@@ -171,13 +175,29 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
 
 
+class Lookup:
+    """Two columns that become a dictionary where they are read; in the driver it would take many times their bytes."""
+
+    def __init__(self, keys: pa.ChunkedArray, values: pa.ChunkedArray):
+        self.keys, self.values = keys, values
+
+    def __reduce__(self):
+        return _paired, (self.keys, self.values)
+
+
+def _paired(keys: pa.ChunkedArray, values: pa.ChunkedArray) -> dict:
+    return dict(zip(keys.to_pylist(), values.to_pylist()))
+
+
 def text_features(texts: DataFrame, scores: DataFrame, expressions: DataFrame | None = None) -> DataFrame:
     """Of every distinct ``_k`` in ``texts`` (_k, text), by ``scores`` (word, n, s) of all their words: mean log ratio of the words, the largest,
     the mean of the three largest, log of 1 + the sum of those above 2 per square root of words, log of 1 + words.  With ``expressions`` (h, r) also: the
     sum of their ratios per word, the largest, and log of 1 + the sum of those above 2 per square root of words."""
-    top = frequent(scores, "n", HEAD_WORDS).select("word", "s").toPandas()
+    tidy(texts.sparkSession)
+    top = frequent(scores, "n", HEAD_WORDS).select("word", "s").toArrow()
     context = texts.sparkSession.sparkContext
-    shared = context.broadcast(dict(zip(map(bytes, top["word"]), top["s"].tolist())))
+    shared = context.broadcast(Lookup(top["word"], top["s"]))
+    del top
     bits = None if expressions is None else context.broadcast(bit_map(expressions, "h"))
     lists = ("top", "missed", "seen")
 
@@ -202,6 +222,9 @@ def text_features(texts: DataFrame, scores: DataFrame, expressions: DataFrame |
 
     parts = written(texts.mapInPandas(look, "n long, sum double, telling double, top array<double>, missed array<binary>, seen array<bigint>, _k binary")
                     .withColumn("_n", F.monotonically_increasing_id()), "text-parts")
+    shared.destroy()
+    if bits is not None:
+        bits.destroy()
     missed = parts.select("_n", F.explode("missed").alias("word")).join(scores.select("word", "s").hint("merge"), "word")
     more = missed.groupBy("_n").agg(F.sort_array(F.collect_list("s"), False).alias("more"))
     none = F.array().cast("array<double>")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ballast.functions.store import discard, scope, written
+from ballast.functions.store import discard, scope, tidy, written
 from ballast.llm.minhash_dedup import deduplicated
 from ballast.llm.mixing import mixed
 from ballast.llm.packing import pack
@@ -29,6 +29,7 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(spark, SCOPE)
+        tidy(spark)
         with scope(SCOPE):
             return work(spark, docs, sf_dir)
 

@@ -226,3 +226,16 @@ def test_sums_of_two_keys_with_nothing_and_with_one_row():
     told = lambda df: sorted(df.itertuples(index=False, name=None))
     assert told(X._summed([rows, rows.iloc[:0]], ("k", "m"))) == [(-1, 2, 0, 1), (1, 2, 2, 1), (1, 3, 5, 0)]
     assert told(X._summed([rows.iloc[:0]], ("k", "m"))) == [] and told(X._summed([rows.iloc[:1]], ("k", "m"))) == [(1, 2, 1, 0)]
+
+
+def test_words_are_broadcast_as_columns_and_given_up_after_use(spark, monkeypatch):
+    import pickle
+
+    sent, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append((value, real(self, value))) or sent[-1][1])
+    scores = spark.createDataFrame([(bytearray(b"aa"), 9, 3.0), (bytearray(b"bb"), 8, -1.0)], "word binary, n long, s double")
+    assert T.text_features(spark.createDataFrame([(bytearray(b"1"), "aa bb")], "_k binary, text string"), scores).count() == 1
+    (value, shared), = sent
+    assert not isinstance(value, dict) and pickle.loads(pickle.dumps(value)) == {b"aa": 3.0, b"bb": -1.0}
+    with pytest.raises(Exception, match="destroyed"):
+        shared.unpersist()
