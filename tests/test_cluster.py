@@ -86,3 +86,19 @@ def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(density, "written", lambda df, name: steps.append(name) or (write(df.coalesce(1), name) if len(steps) < 45 else pytest.fail("too many steps")))
     found = {r["node"]: r["component"] for r in density.components(edges).collect()}
     assert found == {i: 0 for i in range(n)} | {900: 900, 901: 900, 905: 905}
+
+
+def test_rows_that_go_down_a_tree_together_end_where_each_would():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 20, (300, 2)).astype(float)
+    x[7, 1] = np.nan
+    tree = E._grow(np.nan_to_num(x), rng, 8)
+    feature, cut, child, leaf, steps = E._stepped(tree)
+    node = np.zeros(len(x), np.int64)
+    for _ in range(steps):
+        node = child[2 * node + (x[np.arange(len(x)), feature[node]] <= cut[node])]
+    for row, at in zip(x, node):
+        me = 0
+        while tree[me][0] >= 0:
+            me = tree[me][2] if row[tree[me][0]] <= tree[me][1] else tree[me][3]
+        assert me == at and leaf[at] == tree[me][5] + E._path(tree[me][4])
