@@ -16,7 +16,7 @@ from ballast.functions.ranks import expand, ranked
 from ballast.functions.store import written
 from ballast.functions.sums import array_sums
 from ballast.operators.encode import feature_array, fit_one_hot, min_max
-from ballast.operators.kmeans import fit_all, matrices, nearest, seeds_of, weighted_points
+from ballast.operators.kmeans import fit_all, matrices, nearest, packed, seeds_of, weighted_points
 from ballast.operators.neighbors import vector
 from ballast.operators.prepare import class_counts
 from ballast.operators.ward import distinct_points, merge_below, merge_rounds, roots
@@ -71,16 +71,17 @@ def choose_k_kmeans(df: DataFrame, features: str = "features", max_clusters: int
 
     All k are fitted together: equal vectors are one weighted row, and a round of every model is
     one pass and one sum of arrays.  ``detail["centres"]`` holds the centres of every k.
+    Labels follow from the centres and are not written: a caller that reads them often writes the columns it needs.
     """
     refuse_stream(df, "choose_k_kmeans")
-    data = written(df, "features")
-    points = weighted_points(data, features)
-    seeds = seeds_of(points, max_clusters - 1, seed)["all"]
+    points = weighted_points(df, features)
+    packs = packed(points)
+    seeds = seeds_of(points, max_clusters - 1, seed, packs)["all"]
     total = float(seeds.n * seeds.var.sum()) or 1.0
-    fitted = fit_all(points, seeds, range(2, max_clusters), seed)
+    fitted = fit_all(points, seeds, range(2, max_clusters), seed, packs=packs)
     scores = {k: within / total + CLUSTER_PENALTY * k for k, (_, within) in fitted.items()}
     best = min(scores, key=lambda k: (scores[k], k))
-    labelled = written(data.withColumn("cluster", nearest(features, fitted[best][0])), "clusters")
+    labelled = df.withColumn("cluster", nearest(features, fitted[best][0]))
     return Choice(best, scores, labelled, {"centres": {k: c for k, (c, _) in fitted.items()}})
 
 
@@ -364,7 +365,6 @@ def _path(n: np.ndarray | float):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, 2.0 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2.0 * (n - 1) / np.maximum(n, 1)))
 
 
-def isolation_score(df: DataFrame, spec: TableSpec, trees: int = 100, rows: int = 256, seed: int = 42):
 def _stepped(tree: list[tuple]) -> tuple:
     """A tree for steps that all rows take together: a leaf leads to itself, so every row takes as many steps as the tree is deep."""
     feature, cut, left, right, size, level = (np.array(c) for c in zip(*tree))
@@ -373,6 +373,7 @@ def _stepped(tree: list[tuple]) -> tuple:
     return np.where(inner, feature, 0), cut.astype(float), child, level + _path(size), int(level.max())
 
 
+def isolation_score(df: DataFrame, spec: TableSpec, trees: int = 100, rows: int = 256, seed: int = 42):
     """A column expression with the isolation score (0..1) of a row.
 
     The trees come from a hash-drawn sample of at most trees * rows rows; they are the model, and
@@ -389,8 +390,8 @@ def _stepped(tree: list[tuple]) -> tuple:
     depth = max(1, math.ceil(math.log2(max(per, 2))))
     forest = [_grow(picked[rng.choice(len(picked), per, replace=False)], rng, depth) for _ in range(trees)]
     norm = float(_path(per)) or 1.0
-
     trees_as_arrays = [_stepped(t) for t in forest]
+
     @F.pandas_udf("double")
     def score(v: pd.Series) -> pd.Series:
         out = np.zeros(len(v))

@@ -348,7 +348,8 @@ def clustered_resample(df: DataFrame, spec: TableSpec, strategy="auto", seed: in
     The strategy ``balance-clusters`` raises the minority classes of each cluster to its majority.
     """
     scaled = cluster_features(df, spec)
-    rows = choose_k_kmeans(scaled, max_clusters=max_clusters, seed=seed).labelled.drop("features")
+    labelled = choose_k_kmeans(scaled, max_clusters=max_clusters, seed=seed).labelled
+    rows = written(labelled.select(spec.label, *spec.features, "cluster"), "clusters")
     if strategy == "balance-clusters":
         need = balance_clusters(rows, "cluster", spec.label).where("need > 0").select("cluster", spec.label, "need")
         made = sample_clustered(rows, spec, expand(need, "need").drop("need"), seed=seed, given_cluster=True)

@@ -132,3 +132,34 @@ def test_bic_of_every_mixture_equals_plain_em(spark):
         assert {(m.kind, m.k) for m in found[name]} == {(kind, k) for kind in E.COVARIANCES for k in range(1, 5)}
         for m in found[name]:
             assert m.bic == pytest.approx(em(rows, seeds[name].centres(m.k, 42), m.kind, 25), rel=1e-6), (name, m.kind, m.k)
+
+
+def test_leaves_hold_every_point_once_and_few_are_dealt_one_by_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.random(5000), rng.integers(0, 9, 5000) / 8])
+    points = K.weighted_points(frame(spark, x).repartition(3), "features")
+    rows = K.packed(points).toArrow().to_batches()
+    held = np.concatenate([v[w > 0] for _, v, w, _ in K.leaves(rows)])
+    assert sorted(map(tuple, held)) == sorted(map(tuple, np.unique(x, axis=0)))
+    seen = []
+    monkeypatch.setattr(K, "array_sums", lambda data, fold: fold(rows))
+    monkeypatch.setattr(K.np, "isfinite", lambda v, real=np.isfinite: seen.append(real(v)) or seen[-1])
+    c = np.array([[0.2, 0.3], [0.8, 0.7]])
+    seeds = type("Given", (), {"centres": lambda self, k, seed: c})()
+    (found, within), = K.fit_all(points, seeds, [2], rounds=1, packs=points).values()
+    assert seen and (found == c).all() and within == pytest.approx(lloyd(x, c, rounds=1)[1])
+
+
+def test_draws_of_leaves_are_those_of_the_rows(spark):
+    from ballast.functions.draws import uniform
+
+    h = [0, 1, -5, 1 << 62, -(1 << 63)]
+    rows = spark.createDataFrame([(v,) for v in h], "h BIGINT").select(uniform("kmeans.3", F.lit("all"), "h", seed=7)).collect()
+    assert K._draws("kmeans.3", "all", np.array([h]), 7).tolist() == [[r[0] for r in rows]]
+
+
+def test_labels_of_every_fit_are_those_of_each(spark):
+    x = mixed(6, 20)
+    fits = [x[:2], x[50:57]]
+    rows = frame(spark, x).select(K.nearest_of_each("features", fits).alias("e"), *[K.nearest("features", c).alias(f"l{i}") for i, c in enumerate(fits)]).collect()
+    assert len(rows) == 60 and all(r["e"] == [r["l0"], r["l1"]] for r in rows)
