@@ -149,3 +149,12 @@ def test_wide_vectors_with_copies_and_ties(spark, small_blocks):
         order = np.lexsort((np.arange(len(x)), d[i]))[:4]
         assert [got[i, k + 1] for k in range(4)] == [(int(j), float(d[i, j])) for j in order]
     assert abs(D.median_pair_distance(df, F.col("v"), "id") - float(np.median(d))) < 1e-9
+
+
+def test_links_are_counted_a_row_however_many_pairs_there_are(spark, small_blocks):
+    rows = [(i, float(i % 7 * 2), 0.0) for i in range(40)] + [(40, 50.0, 0.0), (40, 12.5, 0.0), (41, None, 0.0), (None, 50.0, 0.0)]
+    df = spark.createDataFrame(rows, "id BIGINT, x DOUBLE, y DOUBLE").repartition(3)
+    got = sorted(map(tuple, N.radius_links(df, N.vector(["x", "y"]), "id", 2.0).collect()), key=str)
+    ids = lambda x: [i for i, v, _ in rows if v == x and i is not None]
+    want = [(i, min(ids(x)) if x is not None else i, sum(abs(v - x) <= 2.0 for _, v, _ in rows if v is not None) - 1 if x is not None else 0) for i, x, _ in rows]
+    assert got == sorted(want, key=str)
