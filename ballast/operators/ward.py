@@ -28,7 +28,7 @@ from ballast.functions.bounds import join_model
 from ballast.functions.draws import uniform
 from ballast.functions.store import written
 from ballast.operators.density import components
-from ballast.operators.neighbors import SAMPLE_PER_CELL, Cells, SiteIndex, _matrix, _squared, place_cells
+from ballast.operators.neighbors import SAMPLE_PER_CELL, Cells, SiteIndex, _matrix, _squared, between, place_cells
 
 CELL = 1500   # clusters of a box, about
 LAST = 3000   # clusters that one task merges to the end; also the largest piece below a limit that one task solves
@@ -109,7 +109,7 @@ def _merge_in_box(ids, n, x, top, low, high, least: float, limit: float) -> Iter
     """Merges within a box; a box of far more clusters than planned is cut once more."""
     if len(ids) > 2 * CELL:
         dim = int((x.max(0) - x.min(0)).argmax())
-        cut = float(np.median(x[:, dim]))
+        cut = between(x[:, dim], float(np.median(x[:, dim])))
         right = x[:, dim] >= cut
         if not right.all():
             for side in (~right, right):

@@ -127,6 +127,18 @@ def test_cells_cover_the_ball():
     assert len(reached) == len(i)
 
 
+def test_walls_meet_no_shared_value():
+    """Walls lie between values and part them as before; a value of most points, neighbouring floats and equal points stay possible."""
+    x = np.array([[i % 5, i % 3 / 2] for i in range(600)], float)
+    cells = N.place_cells(x, 8)
+    assert not any(at in x[:, dim] for dim, at in zip(cells.dim, cells.at)) and len(np.unique(cells.locate(x))) == 8
+    values = np.array([1.0, 2.0, 2.0, 5.0])
+    assert [N.between(values, c) for c in (2.0, 3.5, 5.0, 1.0, 9.0)] == [1.5, 3.5, 3.5, 1.0, 9.0]
+    near = np.nextafter(1.0, 2.0)
+    assert N.between(np.array([1.0, near]), near) == near
+    assert N.place_cells(np.ones((9, 2)), 4).locate(np.ones((9, 2))).std() == 0
+
+
 def test_products_of_matrices_stay_within_their_slack():
     rng = np.random.default_rng(4)
     for scale, shift in ((1.0, 0.0), (1e-3, 1e4), (1e6, -1e6)):

@@ -87,6 +87,20 @@ def test_labels_and_scores_at_two_thousand_points(spark):
         assert scores[k] == pytest.approx(within / total + 0.02 * k, abs=1e-9)
 
 
+def test_points_that_share_values_merge_within_boxes(spark, monkeypatch):
+    """Points on a few lines: no wall lies on a line, so one round within boxes merges most of them, into the same tree."""
+    monkeypatch.setattr(W, "CELL", 40)
+    monkeypatch.setattr(W, "LAST", 100)
+    rng = np.random.default_rng(6)
+    x = np.array([[i % 6, i // 6 % 5, v] for i, v in enumerate(rng.random(900))]) * [1.0, 1.0, 3.0]
+    x = x[np.lexsort(x.T[::-1])]
+    points = W.distinct_points(table(spark, x, [1] * 900), "features")
+    order = {i: k for k, i in enumerate(sorted(r["id"] for r in points.collect()))}
+    edges = W.merge_rounds(points).collect()
+    assert {(order[r["into"]], order[r["node"]]): r["cost"] for r in edges} == pytest.approx({(a, b): c for a, b, c in greedy(x, np.ones(900))})
+    assert sum(r["turn"] == 0 for r in edges) > 450
+
+
 def test_only_across_boxes(spark, monkeypatch):
     """With walls that stop every pair, rounds of nearest neighbours across boxes alone build the same tree."""
     monkeypatch.setattr(W, "CELL", 50)
