@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions.store import written
-from ballast.llm.remember import claim
+from ballast.llm.remember import claim, hand_back
 from ballast.operators.density import components
 
 BASE, RATE, TOP = 1.1, 20.0, 254  # register values are 0..TOP + 1, one byte
@@ -121,6 +121,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` (id, text and perhaps more) with n, digest and regs in the place of text; both are null without words."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hand_back()
         for batch in batches:
             rows = []
             for t in batch["text"]:
@@ -136,6 +137,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(id, hashes): the full shingle sets."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hand_back()
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 some = batch.iloc[lo:lo + 256]
@@ -190,6 +192,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _by_task(batches: Iterator[pd.DataFrame], work) -> Iterator[pd.DataFrame]:
     """``work(rows)`` of rows that come sorted by task; a task may go on in the next batch."""
+    hand_back()
     rest = None
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)

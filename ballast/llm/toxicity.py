@@ -59,6 +59,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """``rows`` (text, toxic) to one row per gram: its six letters packed, and its counts in both classes."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         held: dict[bytes, list[int]] = {}
 
         def told() -> pd.DataFrame:
@@ -128,6 +129,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of the column ``text``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         held: Counter[bytes] = Counter()
         told = lambda: pd.DataFrame({"word": list(held), "n": list(held.values())})
         for batch in batches:
@@ -150,6 +152,7 @@ def word_ratios(words: DataFrame, ratios: DataFrame, contexts: DataFrame) -> Dat
     del top
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim()
         keys, values = shared.value
         for whole in batches:
             for lo in range(0, len(whole), 10_000):
