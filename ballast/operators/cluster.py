@@ -261,10 +261,16 @@ def class_subspaces(df: DataFrame, features: str, label: str, max_components: in
 
 # ---------------------------------------------------------------- Ward agglomeration
 
-def _by_point(df: DataFrame, features: str, points: DataFrame, low: DataFrame) -> DataFrame:
-    """``df`` with ``_root``, the smallest point of each row's cluster in the forest of ``low``."""
-    named = points.join(roots(low).withColumnRenamed("node", "id"), "id", "left").select("vec", F.coalesce("root", "id").alias("_root"))
-    return df.withColumn("vec", F.col(features).cast("array<double>")).join(named, "vec").drop("vec")
+def _rooted(points: DataFrame, low: DataFrame, cut=()) -> DataFrame:
+    """(vec, _root): the smallest point of each point's cluster in the forest of ``low``, see :func:`~ballast.operators.ward.roots`."""
+    named = points.join(roots(low, cut).withColumnRenamed("node", "id"), "id", "left")
+    return written(named.select("vec", F.coalesce("root", "id").alias("_root")), "ward-named")
+
+
+def _by_point(df: DataFrame, features: str, named: DataFrame) -> DataFrame:
+    """``df`` with what ``named`` has of each row's vector.  Rows are joined as they are read, so a caller pays for the columns it uses alone."""
+    hashed = lambda rows: rows.withColumn("_h", F.xxhash64("vec"))  # numbers are sorted faster than vectors
+    return hashed(df.withColumn("vec", F.col(features).cast("array<double>"))).join(hashed(named), ["_h", "vec"]).drop("_h", "vec")
 
 
 def hierarchical(df: DataFrame, features: str = "features", k: int | None = None, max_clusters: int = 10, seed: int = 42) -> Choice:
@@ -285,8 +291,8 @@ def hierarchical(df: DataFrame, features: str = "features", k: int | None = None
     tries = [k] if k else [j for j in range(2, max_clusters) if j <= facts["n"] + 1] or [1]
     scores = {j: (total - sum(m["cost"] for m in top[:j - 1])) / total + CLUSTER_PENALTY * j for j in tries}
     best = min(scores, key=lambda j: (scores[j], j))
-    rows = written(_by_point(df, features, points, low), "ward-rows")
-    base = sorted(r["_root"] for r in collect_bounded(rows.select("_root").distinct(), "clusters"))
+    named = _rooted(points, low, {m["turn"] for m in top})
+    base = sorted(r["_root"] for r in collect_bounded(named.select("_root").distinct(), "clusters"))
     into = {m["node"]: m["into"] for m in top[best - 1:]}
 
     def root(b: int) -> int:
@@ -296,16 +302,16 @@ def hierarchical(df: DataFrame, features: str = "features", k: int | None = None
 
     number = {r: i for i, r in enumerate(sorted({root(b) for b in base}))}
     names = df.sparkSession.createDataFrame([(b, number[root(b)]) for b in base], "_root BIGINT, cluster INT")
-    return Choice(best, scores, join_model(rows, names, "_root").drop("_root"), {"merges": [(m["node"], m["into"], math.sqrt(m["cost"])) for m in top]})
+    return Choice(best, scores, _by_point(df, features, join_model(named, names, "_root").drop("_root")), {"merges": [(m["node"], m["into"], math.sqrt(m["cost"])) for m in top]})
 
 
 def ward(df: DataFrame, features: str, distance_threshold: float, seed: int = 42) -> DataFrame:
     """Ward clusters of all distinct points, merged while the distance (root of the cost) stays below the threshold; adds ``cluster``, numbered by their smallest vectors."""
     refuse_stream(df, "ward")
     points = distinct_points(df, features)
-    rows = written(_by_point(df, features, points, merge_below(points, distance_threshold)), "ward-rows")
-    numbers = ranked(written(rows.select("_root").distinct(), "ward-names"), [], "_root").select("_root", (F.col("rank") - 1).cast("int").alias("cluster"))
-    return rows.join(numbers, "_root").drop("_root")
+    named = _rooted(points, merge_below(points, distance_threshold))
+    numbers = ranked(written(named.select("_root").distinct(), "ward-names"), [], "_root").select("_root", (F.col("rank") - 1).cast("int").alias("cluster"))
+    return _by_point(df, features, named.join(numbers, "_root").drop("_root"))
 
 
 # ---------------------------------------------------------------- class-by-cluster statistics

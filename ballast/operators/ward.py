@@ -5,9 +5,10 @@ clusters that are each other's nearest stays so until it merges, so all such pai
 tree is that of merging the cheapest pair first.
 
 A round cuts space into boxes and merges within each, in one task a box, as long as a pair is nearer than anything
-outside can come: the outside starts at the box's walls, and means of points inside never leave it, as a box is convex.  Where
-walls stop too many pairs, a round finds every cluster's nearest across boxes instead.  The last few thousand clusters are merged in
-one task.  Rounds are written tables; the tree is a table of edges, a row for every cluster taken in by another, named by its smallest point.
+outside can come: the outside starts at the box's walls, and means of points inside never leave it, as a box is convex.  A box is halved
+down to a few points; those merge first, within their own walls, and what is left of two halves merges within the walls of both, so that no step
+compares more than a few clusters.  Where walls stop too many pairs, a round finds every cluster's nearest across boxes instead.  The last few
+thousand clusters are merged in one task.  Rounds are written tables; the tree is a table of edges, a row for every cluster taken in by another, named by its smallest point.
 
 Below a limit of cost t^2 the points fall into pieces that cannot meet: with all pairs of points of two clusters at least r apart, and both
 made by merges below t^2, the cost between them is at least r^2 - t^2 (sum the squared distances of all pairs: they are the squares within, each
@@ -24,18 +25,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballast.functions.bounds import join_model
+from ballast.functions.bounds import MAX_MODEL_ROWS, collect_bounded, join_model, shuffle_width
 from ballast.functions.draws import uniform
 from ballast.functions.store import written
 from ballast.operators.density import components
 from ballast.operators.neighbors import SAMPLE_PER_CELL, Cells, SiteIndex, _matrix, _squared, between, place_cells
 
-CELL = 1500   # clusters of a box, about
+CELL = 12_000  # clusters of a box, about
+LEAF = 32     # clusters that a box is halved down to
+DENSE = 3000  # clusters of two halves that are compared with each other; more are left to later rounds
+PAIRS = 1 << 18  # pairs compared together, so that they stay near the processor
 LAST = 3000   # clusters that one task merges to the end; also the largest piece below a limit that one task solves
 STUCK = 0.8   # of the clusters left by a round within boxes, the next round looks across them
 GRID_DIMS = 3  # widest dimensions that cut points into pieces
 
-ROWS = "id BIGINT, n DOUBLE, vec ARRAY<DOUBLE>, top DOUBLE, into BIGINT, step INT"
+ROWS = "id BIGINT, n DOUBLE, vec ARRAY<DOUBLE>, top DOUBLE, into BIGINT, step INT, last BIGINT"
 
 
 def costs(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -78,12 +82,23 @@ def merge_within(ids: np.ndarray, n: np.ndarray, x: np.ndarray, top: np.ndarray,
     return (ids, n, x, top), edges
 
 
+def _ends(node: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """The cluster that each taken-in one belongs to after all of these edges."""
+    names, place = np.unique(np.concatenate([node, into]), return_inverse=True)
+    to = np.arange(len(names))
+    to[place[:len(node)]] = place[len(node):]
+    while (to[to] != to).any():
+        to = to[to]
+    return names[to[place[:len(node)]]]
+
+
 def _rows(left, edges) -> pd.DataFrame:
     ids, n, x, top = left
-    out = [pd.DataFrame({"id": ids, "n": n, "vec": list(x), "top": top, "into": pd.array([None] * len(ids), "Int64"), "step": 0})]
-    for high, low, height, step in edges:
-        out.append(pd.DataFrame({"id": high, "n": np.nan, "vec": [None] * len(high), "top": height, "into": pd.array(low, "Int64"), "step": step}))
-    return pd.concat([o for o in out if len(o)]) if any(map(len, out)) else out[0]
+    node, into, height, step = (np.concatenate(c) for c in zip(*edges)) if edges else (np.zeros(0, np.int64),) * 4
+    none, gone = [None] * len(ids), len(node)
+    return pd.DataFrame({"id": np.concatenate([ids, node]), "n": np.concatenate([n, np.full(gone, np.nan)]), "vec": [*x, *[None] * gone],
+                         "top": np.concatenate([top, height]), "into": pd.array([*none, *into], "Int64"),
+                         "step": np.concatenate([np.zeros(len(ids), int), step]), "last": pd.array([*none, *_ends(node, into)], "Int64")})
 
 
 def _arrays(pdf: pd.DataFrame):
@@ -105,24 +120,125 @@ def boxes(cells: Cells, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high
 
 
-def _merge_in_box(ids, n, x, top, low, high, least: float, limit: float) -> Iterator[pd.DataFrame]:
-    """Merges within a box; a box of far more clusters than planned is cut once more."""
-    if len(ids) > 2 * CELL:
-        dim = int((x.max(0) - x.min(0)).argmax())
-        cut = between(x[:, dim], float(np.median(x[:, dim])))
-        right = x[:, dim] >= cut
-        if not right.all():
-            for side in (~right, right):
-                inner_low, inner_high = low.copy(), high.copy()
-                (inner_high if side is not right else inner_low)[dim] = cut
-                yield from _merge_in_box(ids[side], n[side], x[side], top[side], inner_low, inner_high, least, limit)
-            return
+def _halved(x: np.ndarray) -> tuple[int, float, np.ndarray] | None:
+    """(dimension, wall, which points lie beyond it) of a cut near the middle of the widest side; None for points that are all equal."""
+    dim = int((x.max(0) - x.min(0)).argmax())
+    values = x[:, dim]
+    cut = float(np.median(values))
+    if not (values < cut).any():  # many equal values: put the cut above them
+        above = values[values > cut]
+        if not len(above):
+            return None
+        cut = float(above.min())
+    cut = between(values, cut)
+    return dim, cut, values >= cut
+
+
+def _halves(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[list[tuple]]:
+    """Boxes within a box by their height over the smallest ones: (number, places or numbers of the two halves, low, high)."""
+    levels, count = [], itertools.count()
+
+    def cut(at, low, high):
+        parts = _halved(x[at]) if len(at) > LEAF else None
+        if parts is None:
+            level, held = 0, at
+        else:
+            dim, wall, right = parts
+            inner_low, inner_high = low.copy(), high.copy()
+            inner_high[dim] = inner_low[dim] = wall
+            one, two = cut(at[~right], low, inner_high), cut(at[right], inner_low, high)
+            level, held = 1 + max(one[0], two[0]), (one[1], two[1])
+        me = next(count)
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append((me, held, low, high))
+        return level, me
+
+    cut(np.arange(len(x)), low, high)
+    return levels
+
+
+def _merge_blocks(places: list[np.ndarray], low: np.ndarray, high: np.ndarray, state, least: float, limit: float, step: int):
+    """What :func:`merge_within` does within the walls, for many blocks of clusters of ``state`` at once; returns the edges and the next step."""
+    ids, n, x, top, alive = state
+    size, at = np.array([len(p) for p in places]), np.arange(max(map(len, places)))
+    real = at < size[:, None]
+    own = np.zeros(real.shape, np.int64)
+    own[real] = np.concatenate(places)
+    i_, n_, x_, t_ = ids[own], n[own], x[own], top[own]
+
+    def apart(n1, x1, n2, x2):
+        away = np.zeros(np.broadcast_shapes(n1.shape, n2.shape))
+        for k in range(x.shape[1]):
+            away += (x1[..., k] - x2[..., k]) ** 2
+        return 2.0 * n1 * n2 / (n1 + n2) * away
+
+    def settle(some):
+        held, where = real[some], own[some]
+        kept = where[held]
+        alive[where[at < size[some][:, None]]] = False
+        alive[kept] = True
+        ids[kept], n[kept], x[kept], top[kept] = i_[some][held], n_[some][held], x_[some][held], t_[some][held]
+
+    d = apart(n_[:, :, None], x_[:, :, None], n_[:, None], x_[:, None])
+    d[~(real[:, :, None] & real[:, None])] = np.inf
+    d[:, at, at] = np.inf
+    edges = []
+    while True:
+        near = d.argmin(2)
+        cost = np.take_along_axis(d, near[:, :, None], 2)[:, :, 0]
+        wall = np.minimum(x_ - low[:, None], high[:, None] - x_).min(2)
+        ok = (cost < limit) & (cost <= 2.0 * n_ * least / (n_ + least) * wall * wall * (1 - 1e-9))
+        ok &= np.take_along_axis(ok, near, 1) & (np.take_along_axis(near, near, 1) == at)
+        b, a = np.nonzero(ok & (at < near))
+        moved = np.unique(b)
+        if len(moved) < 0.7 * len(d):  # a block without a merge is done
+            done = np.ones(len(d), bool)
+            done[moved] = False
+            settle(done)
+            if not len(moved):
+                return edges, step
+            b, cost, near = np.searchsorted(moved, b), cost[moved], near[moved]
+            d, low, high, size, real, own, i_, n_, x_, t_ = (v[moved] for v in (d, low, high, size, real, own, i_, n_, x_, t_))
+        c = near[b, a]
+        height = np.maximum(cost[b, a], np.maximum(t_[b, a], t_[b, c]))
+        into, node = np.minimum(i_[b, a], i_[b, c]), np.maximum(i_[b, a], i_[b, c])
+        edges.append((node, into, height, np.full(len(a), step)))
+        total = n_[b, a] + n_[b, c]
+        x_[b, a] = (n_[b, a, None] * x_[b, a] + n_[b, c, None] * x_[b, c]) / total[:, None]
+        n_[b, a], i_[b, a], t_[b, a], real[b, c] = total, into, height, False
+        fresh = apart(total[:, None], x_[b, a][:, None], n_[b], x_[b])
+        fresh[~real[b]] = np.inf
+        fresh[np.arange(len(a)), a] = np.inf
+        d[b, a, :] = fresh
+        d[b, :, a] = fresh
+        d[b, c, :] = np.inf
+        d[b, :, c] = np.inf
+        step += 1
 
-    def room(n, x):
-        wall = np.minimum(x - low, high - x).min(1)
-        return 2.0 * n * least / (n + least) * wall * wall * (1 - 1e-9)
 
-    yield _rows(*merge_within(ids, n, x, top, room, limit))
+def _merge_in_box(ids, n, x, top, low, high, least: float, limit: float):
+    """Merges within a box, in halves of halves first; returns what is left and the edges."""
+    state, edges, step, left = (ids, n, x, top, np.ones(len(ids), bool)), [], 0, {}
+    alive = state[-1]
+    for level in _halves(x.copy(), low, high):
+        held = []
+        for me, parts, a, b in level:
+            left[me] = np.sort(np.concatenate([left.pop(p) for p in parts])) if isinstance(parts, tuple) else parts
+            if 1 < len(left[me]) <= DENSE:
+                held.append((me, a, b))
+        held.sort(key=lambda h: len(left[h[0]]))
+        first, lo = step, 0
+        while lo < len(held):
+            hi = lo + 1
+            while hi < len(held) and (hi + 1 - lo) * len(left[held[hi][0]]) ** 2 <= PAIRS:
+                hi += 1
+            some = held[lo:hi]
+            more, last = _merge_blocks([left[h[0]] for h in some], np.array([h[1] for h in some]), np.array([h[2] for h in some]), state, least, limit, first)
+            edges, step, lo = edges + more, max(step, last), hi
+        for me, *_ in held:
+            left[me] = left[me][alive[left[me]]]
+    return (ids[alive], n[alive], x[alive], top[alive]), edges
 
 
 def _in_boxes(clusters: DataFrame, total: int, least: float, limit: float, turn: int) -> DataFrame:
@@ -142,9 +258,11 @@ def _in_boxes(clusters: DataFrame, total: int, least: float, limit: float, turn:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iat[0])
-        return pd.concat(list(_merge_in_box(*_arrays(pdf), lows[cell], highs[cell], least, limit)))
+        return _rows(*_merge_in_box(*_arrays(pdf), lows[cell], highs[cell], least, limit))
 
-    return clusters.withColumn("cell", locate("vec")).groupBy("cell").applyInPandas(merge, ROWS)
+    # the number of tasks is set by hand: the work is in the merging, not in the bytes shuffled
+    tasks = min(shuffle_width(clusters), cells.count)
+    return clusters.withColumn("cell", locate("vec")).repartition(tasks, "cell").groupBy("cell").applyInPandas(merge, ROWS)
 
 
 def _across_boxes(clusters: DataFrame, least: float, limit: float) -> DataFrame:
@@ -190,11 +308,12 @@ def _across_boxes(clusters: DataFrame, least: float, limit: float) -> DataFrame:
 
 
 def _edges(rows: DataFrame, turn: int) -> DataFrame:
-    return rows.where("into is not null").select(F.col("id").alias("node"), "into", F.col("top").alias("cost"), F.lit(turn).alias("turn"), "step")
+    last = "last" if "last" in rows.columns else "into"  # a round of single merges
+    return rows.where("into is not null").select(F.col("id").alias("node"), "into", F.col("top").alias("cost"), F.lit(turn).alias("turn"), "step", F.col(last).alias("last"))
 
 
 def merge_rounds(points: DataFrame, limit: float = math.inf) -> DataFrame:
-    """The edges (node, into, cost, turn, step) of the tree of ``points`` (id, n, vec), of merges below ``limit``."""
+    """The edges (node, into, cost, turn, step, last) of the tree of ``points`` (id, n, vec), of merges below ``limit``; ``last`` is the cluster that a node belongs to after the turn."""
     clusters = points.select("id", "n", "vec", F.lit(0.0).alias("top"))
     out, turn, across = [], 0, False
     while True:
@@ -260,8 +379,12 @@ def merge_below(points: DataFrame, threshold: float) -> DataFrame:
     return edges
 
 
-def roots(edges: DataFrame) -> DataFrame:
-    """(node, root) of every taken-in cluster of the forest, by doubling of paths."""
+def _followed(edges: DataFrame) -> DataFrame:
+    """(node, root) of a forest without the use of ``last``, by doubling of paths; a small one is followed at once."""
+    known = edges.select("node", "into").limit(MAX_MODEL_ROWS + 1).collect()
+    if len(known) <= MAX_MODEL_ROWS:
+        node, into = (np.array([r[c] for r in known], np.int64) for c in ("node", "into"))
+        return edges.sparkSession.createDataFrame(list(zip(node.tolist(), _ends(node, into).tolist())), "node BIGINT, root BIGINT")
     found = written(edges.select("node", F.col("into").alias("root")), "ward-roots")
     while True:
         further = found.select(F.col("node").alias("root"), F.col("root").alias("_further"))
@@ -272,6 +395,19 @@ def roots(edges: DataFrame) -> DataFrame:
             return found
 
 
+def roots(edges: DataFrame, cut=()) -> DataFrame:
+    """(node, root) of every taken-in cluster of the forest, turn by turn from the last; of the turns in ``cut`` edges are missing, so that ``last`` does not hold."""
+    found = None
+    for r in sorted(collect_bounded(edges.select("turn").distinct(), "turns"), reverse=True):
+        own = edges.where(F.col("turn") == r["turn"])
+        own = _followed(own) if r["turn"] in cut else own.select("node", F.col("last").alias("root"))
+        if found is not None:
+            further = found.select(F.col("node").alias("root"), F.col("root").alias("_further"))
+            own = own.join(further, "root", "left").select("node", F.coalesce("_further", "root").alias("root")).unionByName(found)
+        found = written(own, "ward-roots")
+    return edges.select("node", F.col("into").alias("root")) if found is None else found
+
+
 def distinct_points(df: DataFrame, features: str) -> DataFrame:
     """(id, n, vec): distinct vectors and their rows, numbered in their order."""
     counted = df.groupBy(F.col(features).cast("array<double>").alias("vec")).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy("vec")
