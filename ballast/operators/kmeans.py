@@ -1,7 +1,7 @@
 """K-means for many numbers of clusters at once: shared seeds, one pass over the rows a round for all of them.
 
 Points lie in leaves of near neighbours, see :func:`packed`.  A leaf whose box is nearer to one centre than to any other goes to it as a whole, by its
-moments; only where boxes lie across a border between clusters are points looked at one by one.  So the fit is that of Lloyd's rounds over all points.
+moments, which are added up once; only where boxes lie across a border between clusters are points looked at one by one.  So the fit is that of Lloyd's rounds over all points.
 """
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ SEED_ROUNDS = 5      # rounds of drawing candidates for the first centres
 MAX_GROUPS = 1000    # groups fitted side by side
 LEAF = 64            # points of a leaf
 CHUNK_NUMBERS = 1 << 21  # numbers that a task holds to cut them into leaves
+SORTED = 3           # dimensions by which points are laid out before
 LEAVES = 512         # leaves looked at together
 BATCH_NUMBERS = 1 << 18  # numbers of the largest array of a piece, so that it stays near the processor
 
@@ -108,10 +109,15 @@ def _cut(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(points: DataFrame) -> DataFrame:
-    """(g, x, w, h): the points of :func:`weighted_points` in leaves of at most ``LEAF`` neighbours, their vectors and weights as bytes, and hashes for draws.
+    """(g, x, w, h, s): the points of :func:`weighted_points` in leaves of at most ``LEAF`` neighbours, their vectors and weights as bytes, hashes for draws, and
+    what a round needs of a leaf that goes to a centre as a whole, see :func:`_summary`.
 
-    A task cuts what it holds of each group; empty places have weight 0.  How points are dealt to leaves changes no result.
+    Points are laid out by their first dimensions, so that a leaf is the smaller the more points there are; then a task cuts some at a time.
+    Empty places have weight 0.  How points are dealt to leaves changes no result.
     """
+    one = points.first()
+    dims = len(one["x"]) if one else 0
+    laid = points.select("g", "x", "w", F.xxhash64("x").alias("h")).orderBy(F.xxhash64("g"), *[F.col("x")[i] for i in range(min(dims, SORTED))])
 
     def told(name: str, held: list) -> Iterable[pa.RecordBatch]:
         x, w, h = (np.concatenate(v) for v in zip(*held))
@@ -120,8 +126,8 @@ def packed(points: DataFrame) -> DataFrame:
         for lo in range(0, len(order), 8 * LEAVES):
             at = order[lo:lo + 8 * LEAVES]
             xs, ws = x[at], np.where(real[lo:lo + 8 * LEAVES], w[at], 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([v.tobytes() for v in xs], pa.binary()), pa.array([v.tobytes() for v in ws], pa.binary()),
-                                              pa.array([v.tobytes() for v in h[at]], pa.binary())], names=["g", "x", "w", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), *[pa.array([v.tobytes() for v in part], pa.binary()) for part in (xs, ws, h[at], _summary(xs, ws))]],
+                                             names=["g", "x", "w", "h", "s"])
 
     def pack(batches):
         held, size = {}, 0
@@ -138,7 +144,7 @@ def packed(points: DataFrame) -> DataFrame:
             yield from told(name, held[name])
 
     # a vector's hash is its place in the draws; equal vectors of a group are one point
-    return written(points.select("g", "x", "w", F.xxhash64("x").alias("h")).mapInArrow(pack, "g STRING, x BINARY, w BINARY, h BINARY"), "leaves")
+    return written(laid.mapInArrow(pack, "g STRING, x BINARY, w BINARY, h BINARY, s BINARY"), "leaves")
 
 
 def _numbers(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -178,6 +184,15 @@ def _box(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nan_to_num((low + high) / 2), np.nan_to_num((high - low) / 2)
 
 
+def _summary(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A row for every leaf: its weight, the squares about its mean, the mean, the middle of its box and half its sides."""
+    box, half = _box(x)
+    total = w.sum(1)
+    mean = x[:, 0] + ((x - x[:, :1]) * w[:, :, None]).sum(1) / total[:, None]
+    inner = (((x - mean[:, None]) ** 2).sum(2) * w).sum(1)
+    return np.column_stack([total, inner, mean, box, half])
+
+
 def _nearest_of(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(squared distance to the nearest of ``c``, its number; the smaller on ties) of every point of the leaves ``x``."""
     middle, half = _box(x)
@@ -266,7 +281,7 @@ def fit_all(points: DataFrame, seeds: Seeds, ks, seed: int = 42, rounds: int = 2
     nearest of the centres returned; the squares are those about the means of the rows so
     dealt, so the labels give them again.  A centre that loses all its rows stays where it is.
     """
-    packs = (packed(points) if packs is None else packs).select("g", "x", "w")
+    packs = (packed(points) if packs is None else packs).drop("g", "h")
     centres = {k: seeds.centres(k, seed) for k in ks}
     moving, out = set(centres), {}
     for turn in range(rounds):
@@ -287,25 +302,32 @@ def fit_all(points: DataFrame, seeds: Seeds, ks, seed: int = 42, rounds: int = 2
                 for j in range(dims):
                     shift[j, lo:hi] += np.bincount(own, apart[:, j] * w, hi - lo)
 
-            for _, x, w, _ in leaves(batches):
-                box, half = _box(x)
-                total = w.sum(1)
-                mean = x[:, 0] + ((x - x[:, :1]) * w[:, :, None]).sum(1) / total[:, None]
-                inner = (((x - mean[:, None]) ** 2).sum(2) * w).sum(1)
+            step = max(64, min(4 * LEAVES, (1 << 22) // (LEAF * dims)))
+            for some in (batch.slice(lo, step) for batch in batches for lo in range(0, len(batch), step)):
+                total, inner, mean, box, half = np.split(_numbers(some.column("s")), [1, 2, 2 + dims, 2 + 2 * dims], axis=1)
+                total, inner = total[:, 0], inner[:, 0]
                 away = (box - middle) @ turned + length
                 slack = 1e-11 * (((box - middle) ** 2).sum(1) + length.max())
+                owners, border = [], []
                 for i, (k, c) in enumerate(active.items()):
                     lo, hi = first[i], first[i + 1]
                     own = away[:, lo:hi].argmin(1)
                     gap = away[:, lo:hi] - np.take_along_axis(away[:, lo:hi], own[:, None], 1)
                     # no point of the box is nearer to another centre
-                    whole = gap > 2 * (between[k][own] @ half[:, :, None])[:, :, 0] + slack[:, None]
+                    whole = gap > 2 * np.einsum("nkd,nd->nk", between[k][own], half) + slack[:, None]
                     whole[np.arange(len(own)), own] = True
-                    whole = whole.all(1) & np.isfinite(inner)
+                    owners.append(own)
+                    border.append(~(whole.all(1) & np.isfinite(inner)))
+                looked = np.flatnonzero(np.any(border, axis=0))  # leaves whose points are looked at for some k
+                x = _numbers(some.column("x").take(pa.array(looked))).reshape(len(looked), LEAF, dims) if len(looked) else np.zeros((0, LEAF, dims))
+                w = _numbers(some.column("w").take(pa.array(looked))) if len(looked) else np.zeros((0, LEAF))
+                for i, (k, c) in enumerate(active.items()):
+                    lo, hi, own, whole = first[i], first[i + 1], owners[i], ~border[i]
                     apart = mean[whole] - c[own[whole]]  # sums about the centres keep the digits that sums about zero lose
                     deal(i, lo, hi, own[whole], total[whole], apart, inner[whole] + total[whole] * (apart * apart).sum(1))
-                    if not whole.all():
-                        each, weight = x[~whole].reshape(-1, dims), w[~whole].ravel()
+                    mine = border[i][looked]
+                    if mine.any():
+                        each, weight = x[mine].reshape(-1, dims), w[mine].ravel()
                         own = ((each - middle) @ turned[:, lo:hi] + length[lo:hi]).argmin(1)
                         apart = each - c[own]
                         deal(i, lo, hi, own, weight, apart, weight * (apart * apart).sum(1))
