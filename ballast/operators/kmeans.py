@@ -26,7 +26,7 @@ SEED_ROUNDS = 5      # rounds of drawing candidates for the first centres
 MAX_GROUPS = 1000    # groups fitted side by side
 LEAF = 64            # points of a leaf
 CHUNK_NUMBERS = 1 << 21  # numbers that a task holds to cut them into leaves
-SORTED = 3           # dimensions by which points are laid out before
+SORTED = 3           # dimensions by which points are dealt to the tasks that cut them
 LEAVES = 512         # leaves looked at together
 BATCH_NUMBERS = 1 << 18  # numbers of the largest array of a piece, so that it stays near the processor
 
@@ -112,12 +112,13 @@ def packed(points: DataFrame) -> DataFrame:
     """(g, x, w, h, s): the points of :func:`weighted_points` in leaves of at most ``LEAF`` neighbours, their vectors and weights as bytes, hashes for draws, and
     what a round needs of a leaf that goes to a centre as a whole, see :func:`_summary`.
 
-    Points are laid out by their first dimensions, so that a leaf is the smaller the more points there are; then a task cuts some at a time.
+    Tasks hold ranges of the first dimensions, about as many points as are cut at once, so that a leaf is the smaller the more points there are.
     Empty places have weight 0.  How points are dealt to leaves changes no result.
     """
     one = points.first()
     dims = len(one["x"]) if one else 0
-    laid = points.select("g", "x", "w", F.xxhash64("x").alias("h")).orderBy(F.xxhash64("g"), *[F.col("x")[i] for i in range(min(dims, SORTED))])
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() * dims / CHUNK_NUMBERS))
+    laid = points.select("g", "x", "w", F.xxhash64("x").alias("h")).repartitionByRange(tasks, F.xxhash64("g"), *[F.col("x")[i] for i in range(min(dims, SORTED))])
 
     def told(name: str, held: list) -> Iterable[pa.RecordBatch]:
         x, w, h = (np.concatenate(v) for v in zip(*held))
